@@ -46,6 +46,21 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 """
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import packing
+
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    found = toxicity.score(docs, model).withColumn("held_out", toxicity.held_out())
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "rejected")
+
+
 def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pfor
 
@@ -56,6 +71,8 @@ def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
+    "op3_packing": op3_packing,
+    "op8_toxicity": op8_toxicity,
     "op10_token_blocks": op10_token_blocks,
 }
 ORACLES = {"op2_quality": OP2_SQL}
