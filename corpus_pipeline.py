@@ -1,8 +1,53 @@
-"""A corpus pipeline: toxicity, line dedup, near-duplicates, decontamination and packing, each over all that is left."""
+"""A corpus pipeline over ``documents``: toxicity, line dedup, near-duplicates, decontamination and packing.
 
-STAGES: list = []
+Each stage is written as Parquet to the shared folder and read again as the documents of the next; all but the last return
+the columns of documents. Every stage decides over all rows that the one before it kept. SQL can express none of them in
+whole, so the stages are tested against brute force instead.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.llm import decontaminate, linededup, packing, simhash, toxicity
+from corpusloom.llm.common import written
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it learns from labels of the documents that are there."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.drop_toxic(docs, model)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated and nearly repeated lines go, all but the first; documents without any other line go with them."""
+    left = linededup.dedup_lines(docs, drop_emptied=True)
+    return left.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else left
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with linked fingerprints, that of the smallest id stays."""
+    return simhash.keep_representatives(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap with a benchmark item go."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents left, packed into sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [("toxicity", toxic), ("line_dedup", lines), ("simhash", near_duplicates), ("decontamination", decontaminated), ("packing", packed)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -52,6 +52,19 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontaminate
+
+    return decontaminate.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import linededup
+
+    found = linededup.dedup_lines(_table(spark, sf_dir, "documents"), count_as="n_removed")
+    return found.select("doc_id", "text", "n_removed")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity
 
@@ -72,6 +85,8 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
     "op3_packing": op3_packing,
+    "op5_decontamination": op5_decontamination,
+    "op9_line_dedup": op9_line_dedup,
     "op8_toxicity": op8_toxicity,
     "op10_token_blocks": op10_token_blocks,
 }
