@@ -11,8 +11,9 @@ A file is self-contained::
     block: minimum u32 | values u16 | exceptions u16 | width u8, high width u8, 2 bytes of zeros | exception places u16[]
     | packed high bits | packed low bits
 
-Documents are dealt by ranges of (id, text hash), sorted inside each range and written in files of bounded size; so file
-names in order hold the documents in ascending id order (null ids first, repeated ids by hash). Files are written under
+Documents are dealt by ranges of the id, whose bounds come from quantiles of the id column alone, sorted inside each range by
+(id, text hash) and written in files of bounded size named by range; so file names in order hold the documents in ascending
+id order (null ids first, repeated ids by hash). Files are written under
 another name and renamed; a task that runs again writes the same bytes. Reading goes through Spark's binary file source,
 which splits the work by file, and needs only per-file totals to place every document.
 
@@ -26,6 +27,7 @@ import zlib
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -121,26 +123,31 @@ def _filesystem(folder: str):
 def _write(batches, folder: str, path: str, end_id: int, percentile: float, file_ids: int):
     from pyspark import TaskContext
 
-    part, encoder, end = TaskContext.get().partitionId(), Encoder.of(path), np.uint32(end_id).astype("<u4").tobytes()
+    encoder, end, attempt = Encoder.of(path), np.uint32(end_id).astype("<u4").tobytes(), TaskContext.get().taskAttemptId()
     system, root = _filesystem(folder)
     ids: list[int | None] = []
     lengths: list[int] = []
     held: list[bytes] = []
     size = serial = 0
+    now = None
 
     def flush():
         nonlocal ids, lengths, held, size, serial
-        name = f"part-{part:06d}-{serial:06d}.pfor"
+        name = f"part-{now:07d}-{serial:07d}.pfor"
         payload = encode_file(ids, lengths, np.frombuffer(b"".join(held), "<u4"), percentile)
-        with system.open_output_stream(f"{root}/_{name}.{TaskContext.get().taskAttemptId()}") as f:
+        with system.open_output_stream(f"{root}/_{name}.{attempt}") as f:
             f.write(payload)
-        system.move(f"{root}/_{name}.{TaskContext.get().taskAttemptId()}", f"{root}/{name}")
+        system.move(f"{root}/_{name}.{attempt}", f"{root}/{name}")
         row = (name, len(ids), size, len(payload))
         ids, lengths, held, size, serial = [], [], [], 0, serial + 1
         return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["name", "docs", "tokens", "bytes"])
 
     for batch in batches:
-        for doc_id, text in zip(batch.column(0), batch.column(1)):
+        for part, doc_id, text in zip(*batch.columns):
+            if (part := part.as_py()) != now:
+                if ids:
+                    yield flush()
+                now, serial = part, 0
             data = encoder.encode(text.as_py()) + end
             ids.append(doc_id.as_py())
             lengths.append(len(data) // 4)
@@ -152,14 +159,28 @@ def _write(batches, folder: str, path: str, end_id: int, percentile: float, file
         yield flush()
 
 
+def _ranges(rows: DataFrame, n: int):
+    """A column with the number of the id's range, of about ``n`` ranges of as many rows each."""
+    found = rows.select(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 20 * n).alias("q")).first()["q"] if n > 1 else None
+    bounds = np.unique(np.array(found or [], np.int64))
+
+    @F.pandas_udf("int")
+    def number(ids: pd.Series) -> pd.Series:
+        return pd.Series((np.searchsorted(bounds, ids.to_numpy(np.int64), "left") + 1).astype(np.int32))
+
+    # no null reaches pandas, which would turn ids into floats
+    return F.when(F.col("doc_id").isNull(), 0).otherwise(number(F.coalesce("doc_id", F.lit(0))))
+
+
 def write_token_files(docs: DataFrame, folder: str, vocabulary_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", percentile: float = 0.9, file_ids: int = 4_000_000) -> list:
     """Write all documents' ids to ``folder`` in ascending id order; returns a row (name, docs, tokens, bytes) for each file."""
     spark = docs.sparkSession
     system, root = _filesystem(folder)
     system.create_dir(root)
-    rows = id_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("tie", F.xxhash64("text"))
+    rows = id_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie").select("doc_id", "text")
+    parted = rows.select(_ranges(rows, 3 * n).alias("part"), "doc_id", "text")
+    dealt = parted.repartition(n, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     work = partial(_write, folder=folder, path=vocabulary_path, end_id=end_id, percentile=percentile, file_ids=file_ids)
     return sorted(dealt.mapInArrow(work, "name string, docs long, tokens long, bytes long").collect())
 
