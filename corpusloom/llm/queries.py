@@ -52,6 +52,25 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import chat
+
+    return chat.link_quotes(_table(spark, sf_dir, "conversations"))
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import licenses
+
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import surrogates
+
+    found = surrogates.pseudonymise(_table(spark, sf_dir, "documents"), key=b"registered query", kinds_as="kinds")
+    return found.select("doc_id", "text", "kinds", F.size("kinds").alias("n_replaced"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontaminate
 
@@ -85,6 +104,9 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
     "op3_packing": op3_packing,
+    "op4_chat": op4_chat,
+    "op6_licenses": op6_licenses,
+    "op7_surrogates": op7_surrogates,
     "op5_decontamination": op5_decontamination,
     "op9_line_dedup": op9_line_dedup,
     "op8_toxicity": op8_toxicity,

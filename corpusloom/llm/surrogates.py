@@ -1,0 +1,237 @@
+"""Operator 7: personal data replaced by keyed surrogates of the same type and format.
+
+Every replacement is a keyed permutation of the values of one shape, so without a table two different values of a shape never
+meet in one surrogate, and one value is replaced alike wherever it stands (in any letter case and, for numbers, with any
+separators). Digits stay digits, letters keep script and case, vowels of names stay vowels, card numbers keep their check
+digit's validity, e-mail addresses keep their top-level domain, first names are permuted among names of the same gender and
+script, and gendered endings of surnames stay. Permutations are Feistel networks over keyed BLAKE2b with cycle walking.
+
+Across the corpus, a check pass gathers the distinct values and their surrogates: values that share a surrogate, or kept
+their own value, get new ones (for all but the smallest value of each group) until none is left, and the second pass applies
+those exceptions. By construction they are a handful, so they travel with the second pass; over ``most_exceptions`` of them
+(detectors of your own may need it) the pass stops with an error rather than go on without them.
+
+Defined results: null texts stay null; texts without personal data are unchanged; repeated rows are replaced alike; an empty
+table gives an empty table; all columns of the input are kept.
+"""
+
+from __future__ import annotations
+
+import re
+from functools import lru_cache, partial
+from hashlib import blake2b
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Common first names by script and gender.
+NAMES = {
+    ("latin", "f"): "Alice Anna Camille Carmen Claire Elena Emma Hannah Ines Julia Laura Lucia Maria Marie Olivia Sofia Sophie Susan".split(),
+    ("latin", "m"): "Antoine Carlos Daniel David Felix Hans Jack James Jean John Karl Lukas Martin Michael Pablo Paul Peter Robert Thomas".split(),
+    ("cyrillic", "f"): "Анна Дарья Екатерина Елена Ирина Мария Наталья Ольга Светлана Татьяна".split(),
+    ("cyrillic", "m"): "Алексей Андрей Владимир Дмитрий Иван Михаил Николай Павел Сергей Юрий".split(),
+}
+_FIRST = {name: shape for shape, names in NAMES.items() for name in names}
+_CLASSES = ("0123456789", "aeiouy", "bcdfghjklmnpqrstvwxz", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ")
+_LETTERS = ("0123456789", "abcdefghijklmnopqrstuvwxyz")
+_HEX = ("0123456789abcdef",)
+_SURNAME = r"[A-ZÀ-ÖØ-ÞА-Я][a-zß-öø-ÿа-я]+(?:-[A-ZÀ-ÖØ-ÞА-Я][a-zß-öø-ÿа-я]+)?"
+_NAME = "|".join(sorted(_FIRST, key=len, reverse=True))
+#: What a text must hold for a pattern to match at all, and the pattern; in the order in which they win.
+_PATTERNS = (
+    ("@", r"(?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"),
+    ("=:", r"(?:(?i:password|passwd|token|secret|api[_-]?key)[\"']?\s*[=:]\s*[\"']?)(?P<secret>[A-Za-z0-9+/_-]{8,})"),
+    ("0123456789", r"(?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])(?!\w))"),
+    ("0123456789", r"(?P<card>(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-]))"),
+    ("0123456789", r"(?P<phone>(?<![\w.-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?:[ .-][0-9]{2,4})?(?![\w-]))"),
+    ("0123456789", r"(?P<ssn>(?<![\w.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"),
+    ("", rf"\b(?P<name>(?P<first>{_NAME}) (?!(?P=first)\b){_SURNAME})\b"),
+)
+
+
+@lru_cache(16)
+def _finder(present: tuple[bool, ...]) -> re.Pattern | None:
+    found = [pattern for on, (_, pattern) in zip(present, _PATTERNS) if on]
+    return re.compile("|".join(found)) if found else None
+
+
+def permute(x: int, n: int, key: bytes, tweak: str) -> int:
+    """A keyed permutation of range(n); without fixed points where n is small."""
+    if n < 2:
+        return x
+    seed = tweak.encode()
+    if n < 256:
+        return (x + 1 + int.from_bytes(blake2b(seed, key=key, digest_size=8).digest(), "big") % (n - 1)) % n
+    half = ((n - 1).bit_length() + 1) // 2
+    mask, size = (1 << half) - 1, (half + 7) // 8
+    while True:
+        left, right = x >> half, x & mask
+        for r in range(6):
+            mix, bits = b"", 0
+            while bits < half:
+                mix += blake2b(b"%d.%d." % (r, bits) + right.to_bytes(size, "big") + seed, key=key).digest()
+                bits += 512
+            left, right = right, left ^ (int.from_bytes(mix, "big") & mask)
+        x = left << half | right
+        if x < n:
+            return x
+
+
+def _shift(value: str, classes: tuple[str, ...], key: bytes, tweak: str, valid=None) -> str:
+    """Permute a string among all of its shape: each character moves inside its class, others stay; letter case is kept.
+
+    ``valid`` walks on to the next string of the shape that has the same truth.
+    """
+    low = value.lower()
+    if len(low) != len(value):
+        low = value
+    places = [(i, cls) for i, c in enumerate(low) for cls in classes if c in cls]
+    shape = "".join(str(next((k for k, cls in enumerate(classes) if c in cls), c)) for c in low)
+    number, total = 0, 1
+    for i, cls in places:
+        number, total = number * len(cls) + cls.index(low[i]), total * len(cls)
+    want = valid(low) if valid else None
+    for _ in range(1000):
+        number = permute(number, total, key, f"{tweak}|{shape}")
+        out, rest = list(low), number
+        for i, cls in reversed(places):
+            rest, k = divmod(rest, len(cls))
+            out[i] = cls[k]
+        if valid is None or valid("".join(out)) == want:
+            break
+    return "".join(o.upper() if v != v.lower() else o for o, v in zip(out, value))
+
+
+def luhn(digits: str) -> bool:
+    total = 0
+    for k, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + k % 2)
+        total += d - 9 * (d > 9)
+    return total % 10 == 0
+
+
+def _refill(value: str, digits: str) -> str:
+    it = iter(digits)
+    return "".join(next(it) if c in "0123456789" else c for c in value)
+
+
+def canonical(kind: str, value: str) -> str:
+    """What makes two mentions the same value."""
+    if kind == "email":
+        return value.lower()
+    if kind in ("card", "ssn"):
+        return re.sub("[^0-9]", "", value)
+    if kind == "phone":
+        return re.sub("[^0-9]", "", re.sub(r"^\+[0-9]{1,3}(?=[^0-9])", "", value))
+    return value
+
+
+def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
+    """The replacement of one detected value."""
+    tweak = f"{kind}.{attempt}"
+    if kind == "email":
+        local, _, host = value.partition("@")
+        host, _, top = host.rpartition(".")
+        return f"{_shift(local, _LETTERS, key, tweak)}@{_shift(host, _LETTERS, key, f'host.{attempt}')}.{top}"
+    if kind == "ip":
+        n = permute(int.from_bytes(bytes(map(int, value.split("."))), "big"), 1 << 32, key, tweak)
+        return ".".join(map(str, n.to_bytes(4, "big")))
+    if kind == "secret":
+        return _shift(value, _HEX if re.fullmatch("[0-9a-f]+", value) else _LETTERS, key, tweak)
+    if kind == "name":
+        first, _, last = value.partition(" ")
+        script, gender = _FIRST[first]
+        names = sorted(NAMES[script, gender], key=lambda n: blake2b(n.encode(), key=key).digest())
+        ending = re.search(r"(?:ова|ева|ина|ская|ов|ев|ин|ский)$", last)
+        stem = last[: ending.start()] if ending else last
+        return f"{names[(names.index(first) + 1 + attempt) % len(names)]} {_shift(stem, _CLASSES, key, tweak)}{ending.group() if ending else ''}"
+    prefix = (re.match(r"^\+[0-9]{1,3}(?=[^0-9])", value) or [""])[0] if kind == "phone" else ""
+    rest = value[len(prefix) :]
+    digits = re.sub("[^0-9]", "", rest)
+    return prefix + _refill(rest, _shift(digits, ("0123456789",), key, tweak, luhn if kind == "card" else None))
+
+
+def detect(text: str) -> list[tuple[str, int, int]]:
+    """(kind, start, stop) of each value, in the order of the text."""
+    named = any(name in text for name in _FIRST)
+    finder = _finder(tuple(any(c in text for c in chars) if chars else named for chars, _ in _PATTERNS))
+    found = []
+    for m in finder.finditer(text) if finder else ():
+        kind = "name" if m.lastgroup == "first" else m.lastgroup
+        if kind == "ip" and any(int(x) > 255 for x in m["ip"].split(".")):
+            continue
+        found.append((kind, m.start(kind), m.end(kind)))
+    return found
+
+
+def _entities(batches, key: bytes):
+    for batch in batches:
+        seen: dict[tuple[str, str], str] = {}
+        for text in batch.column(0):
+            text = text.as_py()
+            for kind, s, e in detect(text):
+                value = text[s:e]
+                seen.setdefault((kind, canonical(kind, value)), value)
+        rows = [(k, c, canonical(k, surrogate(k, v, key)), v) for (k, c), v in seen.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (list(zip(*rows)) or [[]] * 4)], names=["kind", "value", "surrogate", "sample"])
+
+
+def entities(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
+    """(kind, value, surrogate, sample): the distinct values of all texts, with what each would be replaced by."""
+    rows = docs.select(F.col(f"`{text_col}`").alias("text")).filter("text is not null")
+    found = rows.mapInArrow(partial(_entities, key=key), "kind string, value string, surrogate string, sample string")
+    return found.groupBy("kind", "value").agg(F.min("surrogate").alias("surrogate"), F.min("sample").alias("sample"))
+
+
+def collisions(found: DataFrame) -> DataFrame:
+    """Values that kept themselves, and all but the smallest of those that share a surrogate."""
+    shared = found.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min("value").alias("low"))
+    return found.join(shared, ["kind", "surrogate"]).filter("value = surrogate or n > 1 and value <> low").select("kind", "value", "sample")
+
+
+def exceptions(docs: DataFrame, key: bytes, text_col: str = "text", most: int = 100_000) -> dict[tuple[str, str], int]:
+    """(kind, value) -> attempt for the values whose first surrogate collides; repeated until nothing collides."""
+    from .common import written
+
+    found = written(entities(docs, key, text_col), "entities")
+    out: dict[tuple[str, str], int] = {}
+    for attempt in range(1, 50):
+        bad = collisions(found).limit(most + 1).collect()
+        if len(bad) + len(out) > most:
+            raise ValueError(f"more than {most} values collide: use a key or detectors with larger domains")
+        if not bad:
+            break
+        out |= {(r.kind, r.value): attempt for r in bad}
+        new = docs.sparkSession.createDataFrame([(r.kind, r.value, canonical(r.kind, surrogate(r.kind, r.sample, key, attempt))) for r in bad], "kind string, value string, renewed string")
+        found = written(found.join(F.broadcast(new), ["kind", "value"], "left").select("kind", "value", F.coalesce("renewed", "surrogate").alias("surrogate"), "sample"), "entities")
+    return out
+
+
+def replace(text: str, key: bytes, retry: dict, make=surrogate) -> tuple[str, list[str]]:
+    """The text with surrogates, and the kinds of what was replaced."""
+    parts, at, kinds = [], 0, []
+    for kind, s, e in detect(text):
+        value = text[s:e]
+        parts += [text[at:s], make(kind, value, key, retry.get((kind, canonical(kind, value)), 0) if retry else 0)]
+        at = e
+        kinds.append(kind)
+    return ("".join([*parts, text[at:]]), kinds) if kinds else (text, kinds)
+
+
+def _replaced(batches, key: bytes, retry: dict):
+    make = lru_cache(100_000)(surrogate)
+    for batch in batches:
+        rows = [(None, []) if t is None else replace(t, key, retry, make) for t in (x.as_py() for x in batch.column(1))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.string()))], names=["row", "text", "kinds"])
+
+
+def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", kinds_as: str | None = None, most_exceptions: int = 100_000) -> DataFrame:
+    """``docs`` with surrogates in place of personal data; with ``kinds_as``, also the kinds replaced, in the order of the text."""
+    retry = exceptions(docs, key, text_col, most_exceptions)
+    others = [c for c in docs.columns if c != text_col]
+    packed = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.lit(0).alias("none"))
+    rows = docs.select(packed.alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    found = rows.mapInArrow(partial(_replaced, key=key, retry=retry), f"row {rows.schema['row'].dataType.simpleString()}, text string, kinds array<string>")
+    out = [F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns]
+    return found.select(*out, *([F.col("kinds").alias(kinds_as)] if kinds_as else []))
