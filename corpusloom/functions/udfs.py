@@ -6,23 +6,24 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from .citations import extract_markers, uncited_sentences
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Unicode composed form."""
     return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(ArrayType(IntegerType()))
 def code_aware_markers(text: pd.Series) -> pd.Series:
     """Citation markers outside fenced and inline code."""
     return text.map(extract_markers, na_action="ignore")
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def code_aware_uncited(text: pd.Series) -> pd.Series:
     """Uncited sentences, where markers in code do not count."""
     return text.map(uncited_sentences, na_action="ignore").astype("Int32")

@@ -75,8 +75,8 @@ def kappa_agreement(spark, d):
 
 @query("""WITH s AS (SELECT quality, lang, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY quality, lang),
 t AS (SELECT least(sum(n), greatest(count(*), CAST(round_even(sum(n) * 0.15, 0) AS BIGINT))) AS target FROM s),
-turns AS (SELECT quality, lang, n, unnest(range(1, n + 1)) AS turn FROM s), placed AS (SELECT *, row_number() OVER (ORDER BY turn, lang, quality) AS at FROM turns)
-SELECT quality, lang, n, count(*) FILTER (at <= (SELECT target FROM t)) AS take FROM placed GROUP BY quality, lang, n""")
+turns AS (SELECT quality, lang, n, unnest(range(1, n + 1)) AS turn FROM s), placed AS (SELECT *, row_number() OVER (ORDER BY turn, lang, quality) AS place FROM turns)
+SELECT quality, lang, n, count(*) FILTER (place <= (SELECT target FROM t)) AS take FROM placed GROUP BY quality, lang, n""")
 def stratified_allocation(spark, d):
     rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
     return S.allocation(rows.groupBy("lang", "quality").agg(F.count("*").alias("n")), 0.15).select("quality", "lang", "n", "take")
