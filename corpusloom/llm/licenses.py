@@ -1,8 +1,9 @@
 """Operator 6: license scans by patience alignment.
 
 A template is the words of a license notice. Where a text may hold one is found first, without loss: the words that a template
-shares with the text have to make up the required coverage, so windows start at each occurrence of the template's rarest
-words that are there and only windows with enough common words are aligned. Alignment is patience diff: words that are
+shares with the text have to make up the required coverage, so windows lie around each occurrence of the template's rarest
+words and only windows with enough common words are aligned. What is found is taken out and the windows are read again, until
+nothing more is found, so notices that follow each other do not hide each other. Alignment is patience diff: words that are
 unique to both sides are anchors, the longest increasing subsequence of their places is kept, and the gaps between anchors
 are aligned in the same way; a gap without anchors takes its equal words at both ends. Coverage is the share of the
 template's words that are aligned.
@@ -102,6 +103,10 @@ class Scanner:
         self.names = [name for name, _ in templates]
         self.words = [[w for w in words_of(t) if w] for _, t in templates]
         self.counts = [Counter(w) for w in self.words]
+        self.spots: list[dict[str, list[int]]] = [defaultdict(list) for _ in self.words]
+        for spots, words in zip(self.spots, self.words):
+            for i, w in enumerate(words):
+                spots[w].append(i)
         spread = Counter(w for c in self.counts for w in c)
         self.keys: dict[str, list[int]] = defaultdict(list)
         for k, words in enumerate(self.words):
@@ -120,6 +125,17 @@ class Scanner:
         words = words_of(text)
         if self.keys.keys().isdisjoint(words):
             return []
+        taken: list[tuple[str, int, int, int, int]] = []
+        while found := self._round(words):
+            found.sort(key=lambda f: (-f[3], -f[3] / f[4], f[1], f[0]))
+            for f in found:
+                if all(words[i] for i in (f[1], f[2] - 1)) and all(f[2] <= t[1] or f[1] >= t[2] for t in taken):
+                    taken.append(f)
+                    words[f[1] : f[2]] = [""] * (f[2] - f[1])
+        return sorted(taken, key=lambda f: f[1])
+
+    def _round(self, words: list[str]) -> list[tuple[str, int, int, int, int]]:
+        """Notices in windows around the key words that are left."""
         places: dict[int, list[int]] = defaultdict(list)
         for i, w in enumerate(words):
             for k in self.keys.get(w, ()):
@@ -127,28 +143,16 @@ class Scanner:
         found = []
         for k, at in places.items():
             template, n, need = self.words[k], len(self.words[k]), self.needed(k)
-            reach = n + n // 2 + 2
-            windows: list[list[int]] = []
-            for i in at:  # windows around the places; those that share words and would only repeat the last one are joined
-                low, high = max(0, i - reach), min(len(words), i + reach + 1)
-                if windows and i - windows[-1][2] <= max(2, n // 4):
-                    windows[-1][1:] = [high, i]
-                else:
-                    windows.append([low, high, i])
-            for low, high, _ in windows:
+            slack = n // 2 + 2
+            windows = {(max(0, i - p - slack), i - p + n + slack) for i in at for p in self.spots[k][words[i]]}
+            for low, high in sorted(windows):
                 part = words[low:high]
-                common = sum((Counter(part) & self.counts[k]).values())
-                if common < need:
+                if sum((Counter(part) & self.counts[k]).values()) < need:
                     continue
                 pairs = self._dense(patience(template, part), n)
                 if len(pairs) >= need:
                     found.append((self.names[k], low + pairs[0][1], low + pairs[-1][1] + 1, len(pairs), n))
-        found.sort(key=lambda f: (-f[3], f[3] / f[4] * -1, f[1], f[0]))
-        taken: list[tuple] = []
-        for f in found:
-            if all(f[2] <= t[1] or f[1] >= t[2] for t in taken):
-                taken.append(f)
-        return sorted(taken, key=lambda f: f[1])
+        return found
 
     @staticmethod
     def _dense(pairs: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
