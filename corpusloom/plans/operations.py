@@ -113,3 +113,83 @@ def label_grouping_sets(spark, d):
     rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", F.length("text").alias("n_text")), "doc_id")
     rows.createOrReplaceTempView("labelled_rows")
     return spark.sql("SELECT quality, toxic, count(*) AS n, round(sum(n_text) / 1000.0D, 3) AS kchars FROM labelled_rows GROUP BY GROUPING SETS ((), (quality), (toxic), (quality, toxic))")
+
+
+_STAGES_SQL = """rec AS (SELECT event_id, user_id, event_type, value AS retrieve, CASE WHEN CAST(props->>'$.k' AS INT) % 7 <> 0 THEN CAST(props->>'$.k' AS DOUBLE) END AS generate, CAST(props->>'$.k' AS INT) < 50 AS clean FROM events),
+stages AS (SELECT event_id, clean, 'retrieve' AS stage, retrieve AS ms FROM rec UNION ALL SELECT event_id, clean, 'generate', generate FROM rec UNION ALL SELECT event_id, clean, 'total', retrieve + generate FROM rec)"""
+
+
+def _stages(spark, d):
+    k = F.get_json_object("props", "$.k").cast("int")
+    rec = table(spark, d, "events").select("event_id", F.col("value").alias("retrieve"), F.when(k % 7 != 0, k.cast("double")).alias("generate"), (k < 50).alias("clean")).withColumn("total", F.col("retrieve") + F.col("generate"))
+    return rec.unpivot(["event_id", "clean"], ["retrieve", "generate", "total"], "stage", "ms")
+
+
+@query(f"WITH {_STAGES_SQL} SELECT clean, stage, count(*) AS n, round(avg(ms), 6) AS mean, round(quantile_disc(ms, 0.5), 6) AS p50, round(quantile_disc(ms, 0.95), 6) AS p95, round(max(ms), 6) AS max FROM stages WHERE ms IS NOT NULL GROUP BY clean, stage")
+def latency_by_stage(spark, d):
+    """Latency of each stage, null stages left out, clean records apart from retried ones."""
+    found = E.latency_summary(_stages(spark, d), "ms", "clean", "stage")
+    return found.select("clean", "stage", "n", *[F.round(c, 6).alias(c) for c in ("mean", "p50", "p95", "max")])
+
+
+@query("""SELECT user_id, count(*) FILTER (event_type <> 'error') AS ok, count(*) FILTER (event_type = 'error') AS errors, count(DISTINCT event_type) AS kinds,
+round(count(*) FILTER (event_type = 'error')::DOUBLE / count(*), 6) AS error_rate FROM events GROUP BY user_id""")
+def run_tally(spark, d):
+    bad = F.col("event_type") == "error"
+    return table(spark, d, "events").groupBy("user_id").agg(F.count_if(~bad).alias("ok"), F.count_if(bad).alias("errors"), F.count_distinct("event_type").alias("kinds"), F.round(E.rate(F.count_if(bad), F.count("*")), 6).alias("error_rate"))
+
+
+@query("""WITH p AS (SELECT * FROM (VALUES ('user', 0.3::DOUBLE, 2.5::DOUBLE), ('assistant', 0.1, 0.4), ('system', NULL, 1.0)) AS t(model, i, o)),
+t AS (SELECT role, conv_id, CAST(sum(greatest(1, CAST(ceil(length(text) / 4.0) AS BIGINT))) AS BIGINT) AS tokens, count(*) AS calls FROM conversations GROUP BY role, conv_id)
+SELECT conv_id, role, tokens, calls, round((tokens * i + calls * o) / 1000000, 9) AS usd, i IS NULL OR o IS NULL AS unpriced FROM t LEFT JOIN p ON model = role""")
+def cost_by_model(spark, d):
+    """Tokens and list price of each model's calls; without a price there is no cost."""
+    prices = spark.createDataFrame([("user", 0.3, 2.5), ("assistant", 0.1, 0.4), ("system", None, 1.0)], "model string, i double, o double")
+    sums = table(spark, d, "conversations").groupBy("role", "conv_id").agg(F.sum(T.estimated_tokens(F.col("text")).cast("long")).alias("tokens"), F.count("*").alias("calls"))
+    both = sums.join(F.broadcast(prices), F.col("model") == F.col("role"), "left")
+    return both.select("conv_id", "role", "tokens", "calls", F.round(E.cost_usd(F.col("tokens"), F.col("calls"), F.lit(0), F.col("i"), F.col("o")), 9).alias("usd"), (F.col("i").isNull() | F.col("o").isNull()).alias("unpriced"))
+
+
+@query("SELECT doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM documents o WHERE o.text = d.text AND o.doc_id <> d.doc_id)")
+def parallel_subset(spark, d):
+    """Rows that have a twin in their group."""
+    docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("g"))
+    many = docs.groupBy("g").agg(F.count_distinct("doc_id").alias("n")).filter("n > 1")
+    return docs.join(many, "g", "left_semi").select("doc_id")
+
+
+@query("""SELECT doc_id, l.doc_id IS NULL AS only_left, d.doc_id IS NULL AS only_right FROM documents d FULL OUTER JOIN (SELECT doc_id FROM labels WHERE quality = 1 UNION ALL SELECT 10000000) l USING (doc_id) WHERE l.doc_id IS NULL OR d.doc_id IS NULL""")
+def sheet_key_mismatches(spark, d):
+    """Ids of a sheet and of its key that do not answer to each other."""
+    left = table(spark, d, "documents").select("doc_id", F.lit(True).alias("l"))
+    right = table(spark, d, "labels").filter("quality = 1").select("doc_id").union(spark.createDataFrame([(10000000,)], "doc_id long")).withColumn("r", F.lit(True))
+    both = left.join(right, "doc_id", "full_outer")
+    return both.filter("l is null or r is null").select("doc_id", F.col("r").isNull().alias("only_left"), F.col("l").isNull().alias("only_right"))
+
+
+@query("SELECT doc_id, coalesce(o.toxic, l.toxic) AS toxic, o.toxic IS NOT NULL AS overridden FROM labels l LEFT JOIN (SELECT doc_id, 1 - toxic AS toxic FROM labels WHERE doc_id % 17 = 0) o USING (doc_id)")
+def overrides_applied(spark, d):
+    labels = table(spark, d, "labels").select("doc_id", "toxic")
+    owner = labels.filter("doc_id % 17 = 0").select("doc_id", (1 - F.col("toxic")).alias("own"))
+    return labels.join(owner, "doc_id", "left").select("doc_id", F.coalesce("own", "toxic").alias("toxic"), F.col("own").isNotNull().alias("overridden"))
+
+
+@query("""WITH r AS (SELECT event_id, ts, user_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
+SELECT user_id, count(*) AS n, count(before) AS followed, min(event_id) AS first_id, max(event_id) AS last_id FROM r GROUP BY user_id""")
+def record_sequences(spark, d):
+    from pyspark.sql import Window as W
+
+    rows = table(spark, d, "events").withColumn("before", F.lag("event_id").over(W.partitionBy("user_id").orderBy("ts", "event_id")))
+    return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.count("before").alias("followed"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
+
+
+@query()
+def answer_flow(spark, d):
+    """Questions through the gate, a model and citation resolution; the model here is a fixed function of the prompt."""
+    from .answering import answer_frame
+    from .vectors import _hits
+
+    found = _hits(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id").select("query_id", "rank", "score", "text")
+    asked = table(spark, d, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.concat(F.lit("What does passage "), F.col("vec_id").cast("string"), F.lit(" say?")).alias("question"))
+    reply = '{"insufficient": false, "answer": "It says this [1] and that [9].", "cited_passages": [2], "missing_information": ""}'
+    return answer_frame(asked, found, 0.5, lambda prompt: reply)
