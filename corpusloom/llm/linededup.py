@@ -4,7 +4,8 @@ Lines are compared by the Jaccard similarity of their sets of ``shingle``-charac
 collapsed; lines of fewer than ``least_words`` words are never touched). Exact repeats are counted first, so that everything
 after works on distinct lines. Those get MinHash signatures, cut into bands; distinct lines that share a band meet in one
 bucket, where similarities are computed exactly. Inside a bucket a line is compared until it has met each component there,
-so a bucket of copies of one line costs about one comparison a line; only a spanning forest of links leaves a task. Buckets
+so a bucket of copies of one line costs about one comparison a line; only a spanning forest of links leaves a task. Lines that
+meet in several bands without any other line are compared in one of them. Buckets
 of more than ``tile`` distinct lines are split, and each part meets all lines that it has to. Components of the links come
 from distributed union-find (``components``); the first line of a component in the order of (id, line number) stays.
 
@@ -174,6 +175,10 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lines = written(rows.mapInArrow(cut, "doc_id long, line int, id long, " + ", ".join(f"{k} long" for k in keys)), "lines")
     distinct = written(lines.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"), *[F.min(k).alias(k) for k in keys]).select("id", "first.doc_id", "first.line", "n", *keys), "distinct")
     meets = written(distinct.select("id", F.explode(F.array(*keys)).alias("key")).select("key", "id").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_shared, "key long, id long"), "buckets")
+    # buckets of the same lines in several bands are one bucket
+    marks = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")]
+    once = meets.groupBy("key").agg(*marks).groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
+    meets = written(meets.join(once, "key"), "distinct-buckets")
     wanted = written(meets.select("id").distinct().join(distinct.select("id", "doc_id", "line"), "id").groupBy("doc_id").agg(F.collect_list(F.struct("id", "line")).alias("at")), "wanted")
     fetched = written(
         rows.join(wanted, "doc_id").select(F.split("text", "\n").alias("all"), F.explode("at").alias("a"))
