@@ -9,7 +9,9 @@ meet in several bands without any other line are compared in one of them. Bucket
 of more than ``tile`` distinct lines are split, and each part meets all lines that it has to. Components of the links come
 from distributed union-find (``components``); the first line of a component in the order of (id, line number) stays.
 
-Lines travel as 64-bit hashes; texts are only fetched for lines that share a bucket, and for documents that lose lines.
+Lines travel as 64-bit hashes. Texts of lines that share a bucket are fetched by reading the documents again against a bit
+table of those hashes, of a bounded size (``filter_bits``); where more lines are wanted than it can tell apart, by a join with
+the documents that hold them. Other than that, only documents that lose lines are joined.
 
 Defined results: null texts stay null and empty ones empty; documents that lose nothing are returned as they are; of ones
 that lose their last line with words, the text becomes empty (or the row goes, see ``drop_emptied``); rows of one id count as
@@ -33,6 +35,8 @@ from .components import connected_components
 SEED = 91
 _MULTIPLIERS = np.random.default_rng(SEED).integers(1, 1 << 32, 256, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 
+_SHIFTS = (0, 18, 36)  # of the three places that a 64-bit hash has in a bit table
+
 
 def normalised(line: str) -> str:
     return " ".join(line.lower().split())
@@ -165,7 +169,49 @@ def _verify(batches, size: int, least: float):
     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["src", "dst"])
 
 
-def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, shingle: int = 8, bands: int = 8, band_rows: int = 4, least_words: int = 5, least_chars: int = 25, tile: int = 2000) -> DataFrame:
+def _bits(ids: DataFrame, size: int) -> np.ndarray:
+    """Bit table of ids: three places each, joined into words of 63 bits before they come to the driver."""
+    places = F.array(*[F.shiftrightunsigned("id", s).bitwiseAND(F.lit(size - 1).cast("long")) for s in _SHIFTS])
+    words = ids.select(F.explode(places).alias("p")).groupBy(F.floor(F.col("p") / 63).alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(p % 63)))").alias("v"))
+    table = words.toArrow()
+    out = np.zeros((-(-size // 63), 63), bool)
+    values = table["v"].to_numpy()[:, None] >> np.arange(63)[None, :] & 1
+    out[table["w"].to_numpy()] = values.astype(bool)
+    return np.packbits(out.ravel()[:size])
+
+
+def _wanted_lines(batches, bits: np.ndarray, size: int, least_words: int, least_chars: int):
+    table, seen = np.unpackbits(bits, count=size).view(bool), set()
+    for batch in batches:
+        ids, texts = [], []
+        for text in batch.column(0):
+            for line in text.as_py().split("\n"):
+                if len(line) >= least_chars and len(words := line.lower().split()) >= least_words:
+                    x = xxhash.xxh64_intdigest((line := " ".join(words)).encode("utf-8", "surrogatepass"))
+                    if all(table[(x >> s) & (size - 1)] for s in _SHIFTS) and x not in seen:
+                        seen.add(x)
+                        ids.append(x)
+                        texts.append(line)
+        if len(seen) > 200_000:
+            seen.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(texts, pa.string())], names=["id", "text"])
+
+
+def _fetch(rows: DataFrame, wanted: DataFrame, distinct: DataFrame, filter_bits: int, **rule) -> DataFrame:
+    """(id, text): the normalised text of each wanted line."""
+    n = wanted.count()
+    size = min(1 << 20, filter_bits)
+    while size < min(12 * n, filter_bits):
+        size *= 2
+    if 6 * n <= size:
+        found = rows.select("text").mapInArrow(partial(_wanted_lines, bits=_bits(wanted, size), size=size, **rule), "id long, text string").join(wanted, "id", "left_semi")
+    else:
+        at = wanted.join(distinct.select("id", "doc_id", "line"), "id").groupBy("doc_id").agg(F.collect_list(F.struct("id", "line")).alias("at"))
+        found = rows.join(at, "doc_id").select(F.split("text", "\n").alias("all"), F.explode("at").alias("a")).select(F.col("a.id").alias("id"), F.element_at("all", F.col("a.line") + 1).alias("text"))
+    return found.groupBy("id").agg(F.min("text").alias("text"))
+
+
+def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, shingle: int = 8, bands: int = 8, band_rows: int = 4, least_words: int = 5, least_chars: int = 25, tile: int = 2000, filter_bits: int = 1 << 28) -> DataFrame:
     """(doc_id, lines array<int>): the numbers (from 0) of the lines that each document loses."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -179,11 +225,8 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marks = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")]
     once = meets.groupBy("key").agg(*marks).groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
     meets = written(meets.join(once, "key"), "distinct-buckets")
-    wanted = written(meets.select("id").distinct().join(distinct.select("id", "doc_id", "line"), "id").groupBy("doc_id").agg(F.collect_list(F.struct("id", "line")).alias("at")), "wanted")
-    fetched = written(
-        rows.join(wanted, "doc_id").select(F.split("text", "\n").alias("all"), F.explode("at").alias("a"))
-        .select(F.col("a.id").alias("id"), F.element_at("all", F.col("a.line") + 1).alias("text")).groupBy("id").agg(F.min("text").alias("text")), "texts"
-    )
+    wanted = written(meets.select("id").distinct(), "wanted")
+    fetched = written(_fetch(rows, wanted, distinct, filter_bits, least_words=least_words, least_chars=least_chars), "texts")
     hot = meets.groupBy("key").count().filter(F.col("count") > tile).select("key", F.ceil(F.col("count") / tile).cast("int").alias("parts"))
     met = meets.join(fetched, "id")
     if hot.isEmpty():
@@ -206,7 +249,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``drop_emptied`` leaves out documents of which no line with words is left: all that they said is said elsewhere.
     """
-    gone = written(duplicate_lines(docs, id_col, text_col, **options).select(F.col("doc_id").alias("__of"), F.col("lines").alias("__gone")), "gone")
+    # what goes grows with the documents, so this join is never a broadcast
+    gone = written(duplicate_lines(docs, id_col, text_col, **options).select(F.col("doc_id").alias("__of"), F.col("lines").alias("__gone")), "gone").hint("merge")
     both = docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("__of"), "left")
     left = F.concat_ws("\n", F.filter(F.split(F.col(f"`{text_col}`"), "\n"), lambda x, i: ~F.array_contains("__gone", i)))
     if drop_emptied:
