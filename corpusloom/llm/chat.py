@@ -16,6 +16,7 @@ columns are ignored.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pyarrow as pa
 import xxhash
@@ -97,14 +98,19 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     links = turns.join(best, ["conv_id", "turn"], "left").join(before, ["conv_id", "turn"], "left").select(
         "conv_id", "turn", F.coalesce("quoted_turn", "previous").alias("reply_to"), F.col("quoted_turn").isNotNull().alias("by_quote"), F.coalesce("linked", F.lit(0)).alias("n_linked"))
     links = written(links, "links")
-    roots = links.select("conv_id", "turn", F.coalesce("reply_to", "turn").alias("above"), F.col("reply_to").isNotNull().cast("int").alias("depth"))
+    # pointers that have come to the start of their thread stay out of further rounds
+    start = links.filter("reply_to is null").select("conv_id", "turn", F.col("turn").alias("above"), F.lit(0).alias("depth"))
+    open_ = links.filter("reply_to is not null").select("conv_id", "turn", F.col("reply_to").alias("above"), F.lit(1).alias("depth"))
+    arrived = [start]
     while True:
-        roots = written(roots, "roots")
+        roots = reduce(DataFrame.union, [*arrived, open_])
         over = roots.select("conv_id", F.col("turn").alias("above"), F.col("above").alias("higher"), F.col("depth").alias("more"))
-        both = roots.join(over, ["conv_id", "above"])
-        if both.filter("higher <> above").isEmpty():
+        both = written(open_.join(over, ["conv_id", "above"]), "roots")
+        arrived.append(both.filter("higher = above").select("conv_id", "turn", "above", "depth"))
+        open_ = both.filter("higher <> above").select("conv_id", "turn", F.col("higher").alias("above"), (F.col("depth") + F.col("more")).alias("depth"))
+        if open_.isEmpty():
             break
-        roots = both.select("conv_id", "turn", F.col("higher").alias("above"), (F.col("depth") + F.col("more")).alias("depth"))
+    roots = reduce(DataFrame.union, arrived)
     placed = links.join(roots.select("conv_id", "turn", F.col("above").alias("thread"), "depth"), ["conv_id", "turn"])
     quoted = F.size(F.filter("quoted", lambda q: q["part"] == 0)).alias("n_quotes")
     return parsed.select("conv_id", "turn", "role", "text", quoted).join(placed, ["conv_id", "turn"], "left").select(
