@@ -47,36 +47,72 @@ def shingles(line: str, size: int) -> set[str]:
     return {line[i : i + size] for i in range(max(1, len(line) - size + 1))}
 
 
-def similar(a: set[str], b: set[str], least: float) -> bool:
+def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether the Jaccard similarity of two sets, as sorted arrays, is ``least`` or more."""
     if min(len(a), len(b)) < least * max(len(a), len(b)):
         return False
-    common = len(a & b)
-    return common >= least * (len(a) + len(b) - common)
+    both = np.concatenate([a, b])
+    both.sort()
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return common >= least * (len(both) - common)
 
 
-def signatures(lines: list[str], size: int, rows: int) -> np.ndarray:
-    """(lines, rows) MinHash values: for each row, the least hash of the line's shingles. Lines are normalised and not empty."""
-    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+def _windows(lines: list[str], size: int, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Polynomial hashes of all shingles of the lines in turn, and where each line's begin (with the end of all).
+
+    Lines are normalised and not empty; a line shorter than a shingle is one shingle.
+    """
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(kind)
     lengths = np.array([len(x) for x in lines])
-    ends = np.cumsum(lengths)
-    hashes = codes * np.uint32(0x9E3779B1)
-    total = hashes.copy()
-    for k in range(1, size):  # a polynomial over the next characters; where a line ends, what it would take from the next is left out
-        total[:-k] = total[:-k] * np.uint32(0x01000193) + hashes[k:]
-    total ^= total >> np.uint32(15)
-    total *= np.uint32(0x85EBCA77)
-    total ^= total >> np.uint32(13)
+    hashes = codes * kind(0x9E3779B97F4A7C15 & np.iinfo(kind).max)
+    total, base = hashes.copy(), kind(0x100000001B3 if kind is np.uint64 else 0x01000193)
+    for k in range(1, size):  # over the next characters; where a line ends, what it would take from the next is left out
+        total[:-k] = total[:-k] * base + hashes[k:]
+    total ^= total >> kind(15)
+    total *= kind(0xC2B2AE3D27D4EB4F & np.iinfo(kind).max)
+    total ^= total >> kind(13)
     count = np.maximum(lengths - size + 1, 1)
-    starts = ends - lengths
-    short = np.flatnonzero(lengths < size)
-    keep = np.repeat(starts - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-    picked = total[keep]
-    at = np.cumsum(count) - count
-    for i in short:
-        picked[at[i]] = xxhash.xxh32_intdigest(lines[i].encode("utf-8", "surrogatepass"))
+    starts = np.cumsum(lengths) - lengths
+    picked = total[np.repeat(starts - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
+    at = np.concatenate([[0], np.cumsum(count)])
+    for i in np.flatnonzero(lengths < size):
+        picked[at[i]] = kind(xxhash.xxh64_intdigest(lines[i].encode("utf-8", "surrogatepass")) & np.iinfo(kind).max)
+    return picked, at
+
+
+def hashed_shingles(lines: list[str], size: int) -> list[np.ndarray]:
+    """Each line's set of shingles, as a sorted array of 64-bit hashes."""
+    if not lines:
+        return []
+    picked, at = _windows(lines, size, np.uint64)
+    out = []
+    for s, e in zip(at[:-1].tolist(), at[1:].tolist()):
+        own = picked[s:e]
+        own.sort()
+        first = np.ones(len(own), bool)
+        np.not_equal(own[1:], own[:-1], out=first[1:])
+        out.append(own[first])
+    return out
+
+
+def signatures(lines: list[str], size: int, rows: int) -> np.ndarray:
+    """(lines, rows) MinHash values: for each row, the least hash of the line's shingles. Lines are normalised and not empty."""
+    picked, at = _windows(lines, size, np.uint32)
     out = np.empty((len(lines), rows), np.uint32)
     for r in range(rows):
-        out[:, r] = np.minimum.reduceat(picked * _MULTIPLIERS[r], at)
+        out[:, r] = np.minimum.reduceat(picked * _MULTIPLIERS[r], at[:-1])
+    return out
+
+
+def band_keys(marks: np.ndarray, bands: int) -> list[np.ndarray]:
+    """A 64-bit key of each line for each band of its signature."""
+    out = []
+    for k, part in enumerate(np.split(marks.astype(np.uint64), bands, axis=1)):
+        key = np.full(len(marks), k + 1, np.uint64)
+        for column in part.T:
+            key = (key ^ column) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(32)
+        out.append((key * np.uint64(0xD6E8FEB86659FD93)).view(np.int64))
     return out
 
 
@@ -87,8 +123,7 @@ def _lines(batches, size: int, bands: int, band_rows: int, least_words: int, lea
 
         def flush():
             ids = np.fromiter((xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in texts), np.uint64, len(texts)).view(np.int64)
-            marks = signatures(texts, size, bands * band_rows)
-            keys = [np.fromiter((xxhash.xxh64_intdigest(row.tobytes(), k) for row in marks[:, k * band_rows : (k + 1) * band_rows]), np.uint64, len(texts)).view(np.int64) for k in range(bands)]
+            keys = band_keys(signatures(texts, size, bands * band_rows), bands)
             return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(numbers, pa.int32()), pa.array(ids), *map(pa.array, keys)], names=names)
 
         chars = 0
@@ -132,11 +167,11 @@ class _Bucket:
 
     def __init__(self, size: int, least: float):
         self.size, self.least = size, least
-        self.sets: list[set[str]] = []
+        self.sets: list[np.ndarray] = []
         self.ids: list[int] = []
         self.group: list[list[int]] = []
 
-    def meet(self, line_id: int, own: set[str], stays: bool) -> list[int]:
+    def meet(self, line_id: int, own: np.ndarray, stays: bool) -> list[int]:
         """Ids of one similar line of each component; merges them if the line stays."""
         found, hit = [], []
         for g, members in enumerate(self.group):
@@ -148,8 +183,10 @@ class _Bucket:
         if stays:
             self.sets.append(own)
             self.ids.append(line_id)
-            merged = [m for g in hit for m in self.group[g]] + [len(self.ids) - 1]
-            self.group = [m for g, m in enumerate(self.group) if g not in set(hit)] + [merged]
+            merged = [len(self.ids) - 1]
+            for g in reversed(hit):
+                merged = self.group.pop(g) + merged
+            self.group.append(merged)
         return found
 
 
@@ -157,14 +194,16 @@ def _verify(batches, size: int, least: float):
     """Rows (key, part, probe, id, line) sorted by key, part and probe; owners of a part come before the lines they only meet."""
     links, now, bucket = Links(), None, None
     for batch in batches:
-        for key, part, probe, line_id, line in zip(*(c.to_pylist() for c in batch.columns)):
-            if (key, part) != now:
-                now, bucket = (key, part), _Bucket(size, least)
-            if probe and not bucket.ids:
-                continue
-            found = bucket.meet(line_id, shingles(normalised(line), size), not probe)
-            if found:
-                links.add(np.full(len(found), line_id, np.int64), np.array(found, np.int64))
+        for at in range(0, batch.num_rows, 500):
+            *keys, lines = (c.to_pylist() for c in batch.slice(at, 500).columns)
+            for key, part, probe, line_id, own in zip(*keys, hashed_shingles([normalised(x) for x in lines], size)):
+                if (key, part) != now:
+                    now, bucket = (key, part), _Bucket(size, least)
+                if probe and not bucket.ids:
+                    continue
+                found = bucket.meet(line_id, own, not probe)
+                if found:
+                    links.add(np.full(len(found), line_id, np.int64), np.array(found, np.int64))
     a, b = links.edges()
     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["src", "dst"])
 
