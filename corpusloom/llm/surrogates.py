@@ -44,6 +44,8 @@ _PATTERNS = (
     ("=:", r"(?:(?i:password|passwd|token|secret|api[_-]?key)[\"']?\s*[=:]\s*[\"']?)(?P<secret>[A-Za-z0-9+/_-]{8,})"),
     ("0123456789", r"(?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])(?!\w))"),
     ("0123456789", r"(?P<card>(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-]))"),
+    ("0123456789", r"(?P<iban>(?<![\w.-])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\w-]))"),
+    ("+", r"(?P<intl>(?<![\w.-])\+[0-9](?:[ ().-]{0,2}[0-9]){7,14}(?![\w-]))"),
     ("0123456789", r"(?P<phone>(?<![\w.-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?:[ .-][0-9]{2,4})?(?![\w-]))"),
     ("0123456789", r"(?P<ssn>(?<![\w.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"),
     ("", rf"\b(?P<name>(?P<first>{_NAME}) (?!(?P=first)\b){_SURNAME})\b"),
@@ -122,6 +124,8 @@ def canonical(kind: str, value: str) -> str:
         return value.lower()
     if kind in ("card", "ssn"):
         return re.sub("[^0-9]", "", value)
+    if kind == "iban":
+        return value.replace(" ", "").upper()
     if kind == "phone":
         return re.sub("[^0-9]", "", re.sub(r"^\+[0-9]{1,3}(?=[^0-9])", "", value))
     return value
@@ -146,6 +150,9 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
         ending = re.search(r"(?:ова|ева|ина|ская|ов|ев|ин|ский)$", last)
         stem = last[: ending.start()] if ending else last
         return f"{names[(names.index(first) + 1 + attempt) % len(names)]} {_shift(stem, _CLASSES, key, tweak)}{ending.group() if ending else ''}"
+    if kind == "iban":  # the country stays
+        new = iter(_shift(canonical(kind, value)[2:], _LETTERS, key, tweak))
+        return value[:2] + "".join(c if c == " " else next(new) for c in value[2:])
     prefix = (re.match(r"^\+[0-9]{1,3}(?=[^0-9])", value) or [""])[0] if kind == "phone" else ""
     rest = value[len(prefix) :]
     digits = re.sub("[^0-9]", "", rest)
@@ -158,10 +165,11 @@ def detect(text: str) -> list[tuple[str, int, int]]:
     finder = _finder(tuple(any(c in text for c in chars) if chars else named for chars, _ in _PATTERNS))
     found = []
     for m in finder.finditer(text) if finder else ():
-        kind = "name" if m.lastgroup == "first" else m.lastgroup
+        kind = {"first": "name", "intl": "phone"}.get(m.lastgroup, m.lastgroup)
         if kind == "ip" and any(int(x) > 255 for x in m["ip"].split(".")):
             continue
-        found.append((kind, m.start(kind), m.end(kind)))
+        group = "name" if kind == "name" else m.lastgroup
+        found.append((kind, m.start(group), m.end(group)))
     return found
 
 

@@ -15,7 +15,7 @@ def test_permutations(n):
 
 
 VALUES = {
-    "email": ["ann.lee99@mail7.example.com", "x@y.org"], "ip": ["10.0.255.1"], "card": ["4111 1111 1111 1111", "4111-1111-1111-1112"], "phone": ["+1 (469) 555-8958", "469-555-8958"],
+    "email": ["ann.lee99@mail7.example.com", "x@y.org"], "ip": ["10.0.255.1"], "card": ["4111 1111 1111 1111", "4111-1111-1111-1112"], "phone": ["+1 (469) 555-8958", "469-555-8958", "+49 30 1234567", "+4930123456"], "iban": ["DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819"],
     "ssn": ["123-45-6789"], "secret": ["0641917ea4e9feb9cda83477b57ac2654884f485", "Ab3dEf9hXy"], "name": ["Maria Lopez", "Anna Schmidt-Wolf", "Анна Иванова", "Иван Петров"],
 }
 
