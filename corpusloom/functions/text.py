@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"\x09-\x0d\x1c-\x20\x85\xa0  -     　"
+#: The same, character by character, for trimming.
+SPACES = "".join(chr(c) for c in (*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 MARKER = r"\[(\d+)\]"
 #: A link or image with its text as group 1: one level of parentheses in the address, an optional title.
 LINK = r'!?\[([^\]\n]*)\]\((?:[^()\s]|\([^()\s]*\))*(?:\s+"[^"\n]*")?\)'
@@ -33,13 +35,13 @@ def collapse_whitespace(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def trimmed_span(text: Column, start: Column, end: Column) -> Column:
     """struct(start, end, text) of ``text[start:end]`` moved inward over white space."""
     part = F.substring(text, start + 1, end - start)
-    lead = F.length(F.regexp_extract(part, rf"\A[{SPACE}]*", 0))
+    lead = F.length(part) - F.length(F.ltrim(part, F.lit(SPACES)))
     kept = strip(part)
     return F.struct((start + lead).alias("char_start"), (start + lead + F.length(kept)).alias("char_end"), kept.alias("text"))
 
@@ -62,7 +64,7 @@ def excerpt(text: Column, limit: int = 300) -> Column:
     inside = ~F.rlike(F.substring(t, limit + 1, 1), F.lit(f"[{SPACE}]"))
     back = F.regexp_extract(cut, r"(?s)\A(.+)[ \n]", 1)
     ended = F.when(inside & (back != ""), back).otherwise(cut)
-    return F.when(F.length(t) <= limit, t).otherwise(F.regexp_replace(ended, rf"[{SPACE}]+\z", ""))
+    return F.when(F.length(t) <= limit, t).otherwise(F.rtrim(ended, F.lit(SPACES)))
 
 
 def sentences(text: Column) -> Column:
