@@ -130,11 +130,11 @@ def _overlaps(texts: list[str], words: Words, index: Index, least_words: int, le
     return found
 
 
-def _chunks(batch, column: int, chars: int = 2_000_000):
-    """(start, texts) of a batch, so that a chunk has not many more than ``chars`` characters."""
+def _chunks(column: pa.Array, chars: int = 1_000_000):
+    """(start, texts) of a column, so that a chunk has not many more than ``chars`` characters."""
     texts, start, size = [], 0, 0
-    for k, text in enumerate(batch.column(column)):
-        texts.append(text.as_py())
+    for k, text in enumerate(column):
+        texts.append(text.as_py() or "")
         size += len(texts[-1])
         if size > chars:
             yield start, texts
@@ -146,7 +146,7 @@ def _chunks(batch, column: int, chars: int = 2_000_000):
 def _report(batches, index: Index, kind: pa.DataType, **rule):
     words = Words()
     for batch in batches:
-        for start, texts in _chunks(batch, 1):
+        for start, texts in _chunks(batch.column(1)):
             found = _overlaps(texts, words, index, **rule)
             rows = [(d + start, index.ids[i], len(index.words[i]), *x) for (d, i), x in found.items()]
             cols = list(zip(*rows)) if rows else [[]] * 6
@@ -156,10 +156,10 @@ def _report(batches, index: Index, kind: pa.DataType, **rule):
             )
 
 
-def _clean(batches, index: Index, **rule):
+def _clean(batches, index: Index, text: int, **rule):
     words = Words()
     for batch in batches:
-        for start, texts in _chunks(batch, 1):
+        for start, texts in _chunks(batch.column(0).field(text)):
             bad = {d for d, _ in _overlaps(texts, words, index, **rule)}
             keep = pa.array([start + k for k in range(len(texts)) if k not in bad], pa.int64())
             yield batch.take(keep)
@@ -190,8 +190,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS, least_words: int = 12, least_share: float = 0.75, penalty: float = 2.0, block_words: int = 400_000) -> DataFrame:
     """The rows of ``docs`` that overlap with no item, with all their columns; a filter in place, without a join."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    rule = {"least_words": least_words, "least_share": least_share, "penalty": penalty}
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rule = {"text": docs.columns.index(text_col), "least_words": least_words, "least_share": least_share, "penalty": penalty}
     for index in _indexes(benchmark, item_id, item_text, masks, block_words):
         rows = rows.mapInArrow(partial(_clean, index=index, **rule), rows.schema)
     return rows.select("row.*")

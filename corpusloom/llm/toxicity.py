@@ -235,7 +235,7 @@ def model_logits(model: Model, texts: list[str]) -> np.ndarray:
 class Scorer:
     """Scores batches of texts; keeps the filters' dot products of at most ``most`` words between batches."""
 
-    def __init__(self, model: Model, most: int = 150_000):
+    def __init__(self, model: Model, most: int = 80_000):
         self.model, self.most = model, most
         self.number: dict[str, int] = {}
         self.dots = np.zeros((_COLUMNS, 1), np.float32)
@@ -253,6 +253,17 @@ class Scorer:
         return self.model.score(np.array([self.model.logit(self.model.pooled(self.dots, doc)[0]) for doc in ids]))
 
 
+def _scored_rows(batches, model: Model, text: int):
+    """Rows (struct, language) whose field ``text`` is scored; a text is in memory once."""
+    scorer = Scorer(model)
+    for batch in batches:
+        texts = batch.column(0).field(text)
+        for at in range(0, batch.num_rows, 200):
+            part = batch.slice(at, 200)
+            score = scorer([t if isinstance(t, str) else str(t or "") for t in texts[at : at + 200].to_pylist()])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=["row", "lang", "score"])
+
+
 def _scored(batches, model: Model):
     scorer = Scorer(model)
     for batch in batches:
@@ -298,7 +309,7 @@ def threshold(model: Model, lang_col: str = "lang"):
 
 def drop_toxic(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` that are not rejected, with all their columns, scored in place without a join."""
-    others = [c for c in docs.columns]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     shape = f"row {rows.schema['row'].dataType.simpleString()}, lang string, score double"
-    return rows.mapInArrow(partial(_scored, model=model), shape).filter(F.col("score") < threshold(model)).select("row.*")
+    work = partial(_scored_rows, model=model, text=docs.columns.index(text_col))
+    return rows.mapInArrow(work, shape).filter(F.col("score") < threshold(model)).select("row.*")
