@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, linededup, packing, simhash, toxicity
+from corpusloom.llm import decontaminate, linededup, neardup, packing, toxicity
 from corpusloom.llm.common import written
 
 
@@ -27,8 +27,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with linked fingerprints, that of the smallest id stays."""
-    return simhash.keep_representatives(docs)
+    """Of documents linked by five-word shingles of similarity 0.8 or more, that of the smallest id stays."""
+    return neardup.keep_representatives(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
