@@ -5,8 +5,12 @@ test items are joined with those of every document; around each hit the document
 hit's offset, and the run with the best balance (+1 for an equal word, -``penalty`` for a different one) is the overlap. It
 counts if it spans ``least_words`` words (or the whole item, if that is shorter) and ``least_share`` of its words are equal.
 
-Words are lower case without punctuation around them; those of punctuation alone are left out. Items shorter than a mask are
-found by all their words. Test items are indexed in blocks of a bounded number of words: a block's index is broadcast and all
+Items of fewer than ``WHOLE`` words are also judged as a whole: ``least_share`` of all their words are equal at one place of the
+text. Those places are found without loss: an item is cut into two pieces more than words may differ, and some two pieces are
+equal there; they are looked up at the places of a text where enough words are words of such items. Of items under ``TOLERANT``
+words all words have to be equal, as a question so short with another word is mostly another question.
+
+Words are lower case without punctuation around them; those of punctuation alone are left out. Test items are indexed in blocks of a bounded number of words: a block's index is broadcast and all
 documents are read against it, so test sets of any size pass in as many reads as they have blocks, and no shuffle is needed.
 
 Defined results: null texts, texts and items without words overlap with nothing; repeated rows are reported once each; null
@@ -16,6 +20,7 @@ ids are reported like others; an empty table on either side gives no rows; other
 from __future__ import annotations
 
 from functools import partial, reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +32,8 @@ from .common import id_text
 
 #: Of weight 8; any two words of a passage may differ between hits of different masks.
 MASKS = ("11111111", "1101100111011", "1110010110111", "110101100110011")
+#: Items of fewer words are judged as a whole too; of those with fewer than TOLERANT, no word may differ.
+WHOLE, TOLERANT = 20, 8
 _PUNCT = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„…¿¡"
 _ODD = (np.random.default_rng(5).integers(0, 1 << 63, 4096, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
@@ -86,6 +93,12 @@ class Index:
             bits[(h >> np.uint64(42)).astype(np.int64)] = True
             self.tables.append((mask, h[order], np.concatenate(item)[order] if item else h.astype(int), np.concatenate(place)[order] if place else h.astype(int), np.packbits(bits)))
         del self.masks
+        self._whole: dict[float, Whole] = {}
+
+    def whole(self, least_share: float) -> Whole:
+        if least_share not in self._whole:
+            self._whole[least_share] = Whole(self.words, least_share)
+        return self._whole[least_share]
 
     def hits(self, words: np.ndarray):
         """(place in words, item, place in item) of every seed that a test item has too."""
@@ -99,6 +112,59 @@ class Index:
             yield np.repeat(at, counts), item[rows], place[rows], len(mask)
 
 
+class Whole:
+    """Short items, found wherever ``least_share`` of all their words are equal."""
+
+    def __init__(self, words: list[np.ndarray], least_share: float):
+        self.words = words
+        self.lengths = []  # (words, least equal words, places, hashes of all pairs of pieces in turn, which pair, item)
+        short = [i for i, w in enumerate(words) if TOLERANT <= len(w) < WHOLE]
+        self.known = np.unique(np.concatenate([words[i] for i in short])) if short else np.empty(0, np.uint64)
+        for n in sorted({len(words[i]) for i in short}):
+            least = max(1, int(np.ceil(least_share * n - 1e-9)))
+            items = np.array([i for i in short if len(words[i]) == n])
+            pieces = np.array_split(np.arange(n), min(n, n - least + 2))
+            pairs = [np.concatenate(x) for x in combinations(pieces, 2)] if len(pieces) > 1 else pieces
+            block = np.stack([words[i] for i in items])
+            seeds = []
+            for places in pairs:
+                h = self._hash(block, places)
+                order = np.argsort(h, kind="stable")
+                seeds.append((places, h[order], items[order]))
+            self.lengths.append((n, least, seeds))
+
+    @staticmethod
+    def _hash(rows: np.ndarray, places: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+        """Of the words at ``places`` of each row, or of the windows of one row of words that begin ``at``."""
+        total = np.zeros(len(rows) if at is None else len(at), np.uint64)
+        for p in places.tolist():
+            total += (rows[:, p] if at is None else rows[at + p]) * _ODD[p]
+        total ^= total >> np.uint64(29)
+        return total * np.uint64(0xBF58476D1CE4E5B9)
+
+    def hits(self, words: np.ndarray, ends: np.ndarray):
+        """(place in words, item, equal words) of all items; ``ends`` are those of the texts, which no item crosses."""
+        if not self.lengths or not len(words):
+            return
+        where = np.minimum(np.searchsorted(self.known, words), len(self.known) - 1)
+        common = np.concatenate([[0], np.cumsum(self.known[where] == words)])
+        for n, least, seeds in self.lengths:
+            at = np.flatnonzero(common[n:] - common[:-n] >= least)
+            at = at[at + n <= ends[np.searchsorted(ends, at, "right")]]
+            if not len(at):
+                continue
+            met = set()
+            for places, hashes, items in seeds:
+                found = self._hash(words, places, at)
+                low, high = np.searchsorted(hashes, found, "left"), np.searchsorted(hashes, found, "right")
+                for k in np.flatnonzero(high > low).tolist():
+                    met.update((int(at[k]), int(i)) for i in items[low[k] : high[k]])
+            for place, item in sorted(met):
+                same = int(np.count_nonzero(self.words[item] == words[place : place + n]))
+                if same >= least:
+                    yield place, item, same
+
+
 def best_run(equal: np.ndarray, penalty: float) -> tuple[int, int]:
     """[start, stop) of the run with the best balance of equal and different words."""
     balance = np.concatenate([[0], np.cumsum(np.where(equal, 1.0, -penalty))])
@@ -127,6 +193,10 @@ def _overlaps(texts: list[str], words: Words, index: Index, least_words: int, le
         n, same = e - s, int(equal[s:e].sum())
         if n >= min(least_words, len(mine)) and same >= least_share * n and same > found.get((doc, item), (0, 0, 0))[2]:
             found[doc, item] = (low + shift + s, n, same)
+    for place, item, same in index.whole(least_share).hits(all_words, ends):
+        doc = int(np.searchsorted(ends, place, "right"))
+        if same > found.get((doc, item), (0, 0, 0))[2]:
+            found[doc, item] = (place - int(starts[doc]), len(index.words[item]), same)
     return found
 
 

@@ -62,3 +62,28 @@ def test_case_and_punctuation_do_not_matter(spark, docs):
         assert clean.columns == df.columns and sorted(r.doc_id for r in clean.collect()) == [3, 4]
     assert D.overlaps(df.limit(0), items).count() == 0 and D.overlaps(df, items.limit(0)).count() == 0
     assert D.drop_contaminated(df, items.limit(0)).count() == 6
+
+
+def test_short_items_with_substitutions():
+    """Against a brute force without masks: every place where three quarters of an item's words are equal."""
+    rng = random.Random(9)
+    for n in range(8, 20):
+        items = [[rng.choice(VOCABULARY[:300]) for _ in range(n)] for _ in range(12)]
+        index = D.Index([(k, " ".join(x)) for k, x in enumerate(items)], D.MASKS)
+        texts, expected = [], set()
+        for k, item in enumerate(items):
+            for changes in (0, 1, 2, 2, n // 4, n // 4 + 2):
+                changed = list(item)
+                for at in rng.sample(range(n), changes):
+                    changed[at] = rng.choice(["zz", *VOCABULARY[:300]])
+                before, after = ([rng.choice(VOCABULARY[:300]) for _ in range(rng.randrange(20))] for _ in range(2))
+                texts.append(before + changed + after)
+        for d, text in enumerate(texts):
+            for k, item in enumerate(items):
+                if any(4 * sum(a == b for a, b in zip(item, text[p:])) >= 3 * n for p in range(len(text) - n + 1)):
+                    expected.add((d, k))
+        found = set(D._overlaps([" ".join(t) for t in texts], D.Words(), index, 12, 0.75, 2.0))
+        runs = {(d, k) for d, k in found - expected}  # parts of 12 words and more of a longer item
+        assert expected <= found and len(expected) >= 55 and (n > 12 or not runs)
+    one = D.Index([(1, "a b c d e f g")], D.MASKS)  # under eight words, all have to be equal
+    assert D._overlaps(["x a b c d e f g", "x a b c d e f h"], D.Words(), one, 12, 0.75, 2.0) == {(0, 0): (1, 7, 7)}
