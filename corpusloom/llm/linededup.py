@@ -1,7 +1,8 @@
 """Operator 9: near-duplicate lines across all documents, of which one stays.
 
 Lines are compared by the Jaccard similarity of their sets of ``shingle``-character shingles (lower case, white space
-collapsed; lines of fewer than ``least_words`` words are never touched). Exact repeats are counted first, so that everything
+collapsed; lines of fewer than ``least_words`` words or ``least_chars`` characters are never touched: at 1 and 1, as in the
+registered query, every line with a word is compared, and one shorter than a shingle is its own only shingle). Exact repeats are counted first, so that everything
 after works on distinct lines. Those get MinHash signatures, cut into bands; distinct lines that share a band meet in one
 bucket, where similarities are computed exactly. Inside a bucket a line is compared until it has met each component there,
 so a bucket of copies of one line costs about one comparison a line; only a spanning forest of links leaves a task. Lines that

@@ -80,7 +80,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import linededup
 
-    found = linededup.dedup_lines(_table(spark, sf_dir, "documents"), count_as="n_removed")
+    found = linededup.dedup_lines(_table(spark, sf_dir, "documents"), count_as="n_removed", least_words=1, least_chars=1)
     return found.select("doc_id", "text", "n_removed")
 
 

@@ -84,3 +84,18 @@ def test_signatures_estimate_similarity():
     x, y = L.shingles(a, 8), L.shingles(b, 8)
     assert abs((marks[0] == marks[1]).mean() - len(x & y) / len(x | y)) < 0.12
     assert (L.signatures([b, a], 8, 200)[1] == marks[0]).all() and marks.dtype == np.uint32
+
+
+def test_query_compares_every_line_with_a_word(spark, data, docs, tmp_path):
+    from corpusloom.llm import queries
+
+    chinese, url = "这是一个在许多文档中重复出现的没有空格的长句子用来测试去重", "https://example.org/" + "abcdef0123456789" * 4
+    table = spark.read.parquet(f"{data}/documents.parquet")
+    planted = [(10**6 + k, f"Menu\nown line number {k}\n{chinese}{'' if k else '。'}\n{url}\n \nok", "en", "s", 1) for k in range(3)]
+    table.union(spark.createDataFrame(planted, table.schema)).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r.text for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()}
+    gone = brute(rows.items(), least_words=1, least_chars=1)
+    assert {(10**6 + k, n) for k in (1, 2) for n in (0, 2, 3, 5)} <= gone
+    expected = {i: "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone) for i, t in rows.items() if t is not None}
+    got = {r.doc_id: r.text for r in queries.op9_line_dedup(spark, str(tmp_path)).collect()}
+    assert {i: t for i, t in got.items() if t is not None} == expected
