@@ -73,3 +73,14 @@ def test_edges(spark):
 def test_thresholds():
     assert X._best_threshold(np.array([0.9, 0.8, 0.2, 0.1]), np.array([1, 1, 0, 0])) == 0.5
     assert X._best_threshold(np.array([0.9, 0.8]), np.array([1, 1])) is None
+
+
+def test_a_very_long_text_does_not_end_the_sample(spark):
+    rows = corpus(300, 6)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    first = docs.filter(~X.held_out()).orderBy(X.F.xxhash64("doc_id")).first().doc_id
+    chars = sum(len(t) for _, t, _, _ in rows)
+    for size in (chars + 10, chars - 10):  # one that never fits, and one that would leave no room for the others
+        long = spark.createDataFrame([(i, t if i != first else "word " * (size // 5), lang, y) for i, t, lang, y in rows], docs.schema)
+        model = X.train(long.drop("toxic"), long.select("doc_id", "toxic"), chars=chars)
+        assert model.constant is None and X.score(long, model).filter("rejected").count() > 30
