@@ -129,13 +129,13 @@ def wilcoxon_ranks(spark, d):
 def bootstrap_ci(spark, d):
     """Interval, test and wording for hit at 1."""
     pairs = _arms(spark, d).select(F.lit("hit_1").alias("metric"), F.col("query_id").alias("case_id"), "a", "b")
-    return S.compare(pairs, "binary", resamples=2000)
+    return S.compare(pairs, "binary")
 
 
 @query()
 def compare_metrics(spark, d):
     pairs = _arms(spark, d).select(F.lit("mrr").alias("metric"), F.col("query_id").alias("case_id"), F.col("rr_a").alias("a"), F.col("rr_b").alias("b"))
-    return S.compare(pairs, "continuous", resamples=2000)
+    return S.compare(pairs, "continuous")
 
 
 @query(f"WITH {_HITS} SELECT query_id, CAST(count(*) - count(DISTINCT passage_hash) AS BIGINT) AS repeats, count(*) FILTER (label <> q_label) AS off_target, count(*) FILTER (len(duplicate_ids) > 0) AS with_copies FROM (SELECT f.*, t.label, t.q_label FROM final f JOIN top t USING (query_id, id)) GROUP BY query_id")
