@@ -8,6 +8,10 @@ unique to both sides are anchors, the longest increasing subsequence of their pl
 are aligned in the same way; a gap without anchors takes its equal words at both ends. Coverage is the share of the
 template's words that are aligned.
 
+A covered notice has its template's name only if the words that tell it from its neighbours are aligned too: all names and
+versions, and over half of a condition that only it has. Otherwise it is a notice of some license that is not known here,
+and is reported as ``unidentified`` where no notice with a name overlaps.
+
 Words are lower case, without punctuation around them. Defined results: null, empty and word-less texts have no notices;
 repeated rows are reported once each; null ids are reported like others; an empty table gives no rows; other columns are
 ignored. A text with several notices gets a row for each; of overlapping notices the one with more aligned words stays.
@@ -24,22 +28,59 @@ from pyspark.sql import DataFrame
 
 from .common import id_text
 
-#: Notices in common use, by SPDX identifier.
+#: Disclaimers and conditions that notices share.
+_AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_ADVERTISING = "All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization."
+_ENDORSE = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_ISC_END = "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+_GNU = (("GPL-2.0", "General", "2"), ("GPL-3.0", "General", "3"), ("LGPL-2.1", "Lesser General", "2.1"), ("LGPL-3.0", "Lesser General", "3"), ("AGPL-3.0", "Affero General", "3"))
+_CC = (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))
+_CC_VERSIONS = (("1.0", "Generic"), ("2.0", "Generic"), ("2.5", "Generic"), ("3.0", "Unported"), ("4.0", "International"))
+
+
+def _gnu(name: str, kind: str, version: str) -> list[tuple[str, str]]:
+    """Notices of a GNU license, for the version alone and for later ones."""
+    free = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU"
+    later = f"{free} {kind} Public License as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version."
+    only = f"{free} {kind} Public License version {version} as published by the Free Software Foundation."
+    end = f"This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} Public License for more details. You should have received a copy of the GNU {kind} Public License along with this program. If not, see https://www.gnu.org/licenses/."
+    line = f"This work is licensed under the GNU {kind} Public License, version {version}"
+    return [(f"{name}-only", f"{line}."), (f"{name}-or-later", later), (f"{name}-or-later", f"{line} or later."), (f"{name}-only", only), (f"{name}-or-later", f"{later} {end}"), (f"{name}-only", f"{only} {end}")]
+
+
+def _cc(kind: str, long: str) -> list[tuple[str, str]]:
+    lines = [(f"CC-{kind}-{v}", f"Licensed under CC {kind} {v}.") for v, _ in _CC_VERSIONS]
+    return lines + [(f"CC-{kind}-{v}", f"This work is licensed under the Creative Commons {long} {v} {port} License.") for v, port in _CC_VERSIONS]
+
+
+#: Whole notices in common use, by SPDX identifier.
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
-    ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-SA-4.0", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("MIT", f"{_MIT}, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. {_AS_IS}"),
+    ("MIT-0", f"{_MIT}. {_AS_IS}"),
+    ("BSD-2-Clause", f"{_BSD} {_BSD_END}"),
+    ("BSD-3-Clause", f"{_BSD} {_ENDORSE} {_BSD_END}"),
+    ("BSD-4-Clause", f"{_BSD} {_ADVERTISING} {_ENDORSE} {_BSD_END}"),
+    ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
+    ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("ISC", f"Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. {_ISC_END}"),
+    ("0BSD", f"Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. {_ISC_END}"),
+    ("ISC", "Released under the ISC License."),
+    ("CC0-1.0", "Licensed under CC0 1.0."),
     ("reserved", "All rights reserved."),
+    *(t for args in _GNU for t in _gnu(*args)),
+    *(t for args in _CC for t in _cc(*args)),
 )
+#: Words that tell a license from its neighbours, besides versions: names, and conditions that only some of them have.
+TELLING = frozenset("apache mit bsd 2-clause 3-clause isc mozilla gnu general lesser affero later creative cc cc0 reserved".split()) | {w.lower() for pair in _CC for w in pair}
+CONDITIONS = ("shall be included in all copies or substantial portions", "may be used to endorse or promote products derived from", "all advertising materials mentioning features or use of", "notice and this permission notice appear in all copies")
+UNIDENTIFIED = "unidentified"
 _PUNCT = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„…"
 
 
@@ -107,6 +148,7 @@ class Scanner:
         for spots, words in zip(self.spots, self.words):
             for i, w in enumerate(words):
                 spots[w].append(i)
+        self.telling = [self._telling(w) for w in self.words]
         spread = Counter(w for c in self.counts for w in c)
         self.keys: dict[str, list[int]] = defaultdict(list)
         for k, words in enumerate(self.words):
@@ -116,6 +158,24 @@ class Scanner:
             for w in {words[i] for i in order[:need]}:
                 self.keys[w].append(k)
 
+    @staticmethod
+    def _telling(words: list[str]) -> list[tuple[list[int], int]]:
+        """Places, and how many of them have to be aligned."""
+        at: dict[str, list[int]] = defaultdict(list)
+        for i, w in enumerate(words):
+            if w in TELLING or w.replace(".", "", 1).isdigit():
+                at[w].append(i)
+        out = [(places, 1) for places in at.values()]
+        for phrase in map(str.split, CONDITIONS):
+            for i in range(len(words) - len(phrase) + 1):
+                if words[i : i + len(phrase)] == phrase:
+                    out.append((list(range(i, i + len(phrase))), len(phrase) // 2 + 1))
+        return out
+
+    def named(self, k: int, pairs: list[tuple[int, int]]) -> bool:
+        aligned = {i for i, _ in pairs}
+        return all(len(aligned.intersection(places)) >= least for places, least in self.telling[k])
+
     def needed(self, k: int) -> int:
         n = len(self.words[k])
         return max(1, -int(-self.least * n // 1))
@@ -126,12 +186,18 @@ class Scanner:
         if self.keys.keys().isdisjoint(words):
             return []
         taken: list[tuple[str, int, int, int, int]] = []
+        named = True
         while found := self._round(words):
+            before = len(taken)
             found.sort(key=lambda f: (-f[3], -f[3] / f[4], f[1], f[0]))
             for f in found:
-                if all(words[i] for i in (f[1], f[2] - 1)) and all(f[2] <= t[1] or f[1] >= t[2] for t in taken):
+                if (f[0] != UNIDENTIFIED) == named and all(words[i] for i in (f[1], f[2] - 1)) and all(f[2] <= t[1] or f[1] >= t[2] for t in taken):
                     taken.append(f)
                     words[f[1] : f[2]] = [""] * (f[2] - f[1])
+            if len(taken) == before:  # what is left overlaps or has no name; the unnamed come when all named are taken
+                if not named:
+                    break
+                named = False
         return sorted(taken, key=lambda f: f[1])
 
     def _round(self, words: list[str]) -> list[tuple[str, int, int, int, int]]:
@@ -141,8 +207,11 @@ class Scanner:
             for k in self.keys.get(w, ()):
                 places[k].append(i)
         found = []
+        present = set(words)
         for k, at in places.items():
             template, n, need = self.words[k], len(self.words[k]), self.needed(k)
+            if sum(c for w, c in self.counts[k].items() if w in present) < need:
+                continue
             slack = n // 2 + 2
             windows = {(max(0, i - p - slack), i - p + n + slack) for i in at for p in self.spots[k][words[i]]}
             for low, high in sorted(windows):
@@ -151,7 +220,7 @@ class Scanner:
                     continue
                 pairs = self._dense(patience(template, part), n)
                 if len(pairs) >= need:
-                    found.append((self.names[k], low + pairs[0][1], low + pairs[-1][1] + 1, len(pairs), n))
+                    found.append((self.names[k] if self.named(k, pairs) else UNIDENTIFIED, low + pairs[0][1], low + pairs[-1][1] + 1, len(pairs), n))
         return found
 
     @staticmethod

@@ -61,3 +61,16 @@ def test_edges(spark, docs):
     rows = sorted((str(r.doc_id), r.license, r.first_word, r.end_word, r.coverage) for r in L.scan(df).collect())
     assert rows == [("3", "reserved", 0, 3, 1.0), ("3", "reserved", 0, 3, 1.0), ("3", "reserved", 3, 6, 1.0), ("None", "reserved", 0, 3, 1.0)]
     assert L.scan(df.limit(0)).count() == 0
+
+
+def test_neighbours_keep_their_names():
+    scanner = L.Scanner(L.TEMPLATES, 0.8)
+    names = lambda text: [f[0] for f in scanner.scan(text)]
+    for name, text in L.TEMPLATES:
+        assert names(f"some words before {text} and after") == [name], (name, text)
+    assert names(f"1. {L._BSD} {L._BSD_END}") == ["BSD-2-Clause"]
+    assert names("Released under the BSD License.") == ["unidentified"]
+    assert names("Licensed under CC BY-SA 4.0.") == ["CC-BY-SA-4.0"] and names("Licensed under CC BY-SA 3.0.") == ["CC-BY-SA-3.0"]
+    assert names("This work is licensed under the GNU General Public License, version 2") == ["GPL-2.0-only"]
+    assert names("GNU General Public License, version 2") == [] and names("licensed under the GNU General Public License, version 2") != ["GPL-3.0-only"]
+    assert names(L.TEMPLATES[3][1].split(" THE SOFTWARE IS")[0] + " no more") == []
