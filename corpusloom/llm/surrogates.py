@@ -17,6 +17,7 @@ table gives an empty table; all columns of the input are kept.
 
 from __future__ import annotations
 
+import ipaddress
 import re
 from functools import lru_cache, partial
 from hashlib import blake2b
@@ -25,19 +26,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Common first names by script and gender.
+#: Common first names by script and gender; a person is known by one of these or by a title.
 NAMES = {
-    ("latin", "f"): "Alice Anna Camille Carmen Claire Elena Emma Hannah Ines Julia Laura Lucia Maria Marie Olivia Sofia Sophie Susan".split(),
-    ("latin", "m"): "Antoine Carlos Daniel David Felix Hans Jack James Jean John Karl Lukas Martin Michael Pablo Paul Peter Robert Thomas".split(),
-    ("cyrillic", "f"): "Анна Дарья Екатерина Елена Ирина Мария Наталья Ольга Светлана Татьяна".split(),
-    ("cyrillic", "m"): "Алексей Андрей Владимир Дмитрий Иван Михаил Николай Павел Сергей Юрий".split(),
+    ("latin", "f"): (
+        "Alice Anna Camille Carmen Claire Elena Emma Hannah Ines Julia Laura Lucia Maria Marie Olivia Sofia Sophie Susan Abigail Amanda Amelia Amy Andrea Angela Anne Ashley Barbara Beatriz Betty Brenda "
+        "Carol Caroline Catherine Charlotte Christina Christine Chloe Clara Cynthia Deborah Diana Donna Dorothy Elisabeth Elizabeth Ella Emily Eva Evelyn Fiona Frances Franziska Gabriela Giulia Gloria "
+        "Grace Heather Heidi Helen Helena Ingrid Irene Isabel Isabella Jacqueline Jane Janet Jennifer Jessica Joan Johanna Josephine Joyce Judith Julie Karen Katharina Katherine Kathleen Kelly Kimberly "
+        "Kristin Lea Lena Linda Lisa Louise Lucy Madison Manon Margaret Marta Martha Mary Megan Melissa Mia Michelle Monica Monika Nancy Natalie Nicole Nina Nora Pamela Patricia Paula Petra Rachel "
+        "Rebecca Renate Rosa Ruth Sabine Samantha Sandra Sara Sarah Sharon Silvia Sonia Stephanie Teresa Theresa Ursula Valentina Valerie Vanessa Victoria Virginia Yvonne Zoe"
+    ).split(),
+    ("latin", "m"): (
+        "Antoine Carlos Daniel David Felix Hans Jack James Jean John Karl Lukas Martin Michael Pablo Paul Peter Robert Thomas Aaron Adam Alan Albert Alejandro Alexander Alfred Andreas Andrew Anthony "
+        "Antonio Arthur Benjamin Bernard Brandon Brian Bruce Charles Christian Christopher Claude Daniele Dennis Diego Dieter Donald Douglas Edward Emil Enrique Eric Ernst Ethan Eugene Fernando Francis "
+        "Francisco Frank Frederick Friedrich Gabriel Gary George Gerald Gerhard Giovanni Gregory Guillaume Harold Heinrich Helmut Henri Henry Hugo Ivan Jacob Jacques Jason Javier Jeffrey Jerry Joachim "
+        "Johannes Jonathan Jorge Jose Joseph Joshua Juan Julien Jürgen Keith Kenneth Kevin Klaus Kurt Larry Lawrence Leon Liam Louis Luca Lucas Luis Manuel Marco Marcus Mario Matthew Matthias Maximilian "
+        "Miguel Nathan Nicholas Nicolas Noah Oliver Oscar Otto Patrick Philip Philippe Pierre Rafael Ralph Raymond Ricardo Richard Roger Roland Ronald Russell Ryan Samuel Scott Sebastian Sergio Simon "
+        "Stefan Stephen Steven Theodore Timothy Tobias Ulrich Victor Vincent Walter Werner William Wolfgang Xavier Zachary"
+    ).split(),
+    ("cyrillic", "f"): "Анна Дарья Екатерина Елена Ирина Мария Наталья Ольга Светлана Татьяна Александра Алина Анастасия Валентина Вера Виктория Галина Евгения Елизавета Ксения Людмила Марина Надежда Нина Полина София Юлия".split(),
+    ("cyrillic", "m"): "Алексей Андрей Владимир Дмитрий Иван Михаил Николай Павел Сергей Юрий Александр Анатолий Антон Артём Борис Василий Виктор Виталий Григорий Денис Евгений Игорь Илья Кирилл Константин Максим Никита Олег Пётр Роман".split(),
 }
 _FIRST = {name: shape for shape, names in NAMES.items() for name in names}
 _CLASSES = ("0123456789", "aeiouy", "bcdfghjklmnpqrstvwxz", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ")
 _LETTERS = ("0123456789", "abcdefghijklmnopqrstuvwxyz")
 _HEX = ("0123456789abcdef",)
-_SURNAME = r"[A-ZÀ-ÖØ-ÞА-Я][a-zß-öø-ÿа-я]+(?:-[A-ZÀ-ÖØ-ÞА-Я][a-zß-öø-ÿа-я]+)?"
-_NAME = "|".join(sorted(_FIRST, key=len, reverse=True))
+_CAP, _LOW = "A-ZÀ-ÖØ-ÞА-ЯЁ", "a-zß-öø-ÿа-яё"
+_SURNAME = rf"(?:(?:[A-Z]['’]|Mc|Mac)?[{_CAP}][{_LOW}]+(?:-[{_CAP}][{_LOW}]+)?)"
+_UPPER = rf"(?:[A-Z]['’])?[{_CAP}]{{2,}}(?:-[{_CAP}]{{2,}})?"
+_PARTICLES = "von van der den de del da di du la le bin ibn al".split()
+_MIDDLE = rf"(?: (?:[{_CAP}]\.|(?:{'|'.join(_PARTICLES)})\b))*"
+#: What may follow a first name, in either letter case, and what may stand before one.
+_AFTER = {False: re.compile(rf"{_MIDDLE} {_SURNAME}\b"), True: re.compile(rf"{_MIDDLE} {_UPPER}\b")}
+_AHEAD = {False: re.compile(rf"(?<![\w-]){_SURNAME}, $"), True: re.compile(rf"(?<![\w-]){_UPPER}, $")}
+_CAPITAL = re.compile(rf"(?<![\w-])[{_CAP}][{_CAP}{_LOW}]+(?![\w-])")
+_TITLED = re.compile(rf"(?<!\w)(?:(?:Mr|Mrs|Ms|Dr|Prof|Sr|Sra|Mme|Mlle)\.? |(?:Miss|Sir|Herrn?|Frau|Señora?|Monsieur|Madame|Signora?|господина?|госпожа|г-н|г-жа) )(?P<who>{_SURNAME}(?: {_SURNAME}){{0,2}})\b")
 #: What a text must hold for a pattern to match at all, and the pattern; in the order in which they win.
 _PATTERNS = (
     ("@", r"(?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"),
@@ -48,7 +70,7 @@ _PATTERNS = (
     ("+", r"(?P<intl>(?<![\w.-])\+[0-9](?:[ ().-]{0,2}[0-9]){7,14}(?![\w-]))"),
     ("0123456789", r"(?P<phone>(?<![\w.-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?:[ .-][0-9]{2,4})?(?![\w-]))"),
     ("0123456789", r"(?P<ssn>(?<![\w.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"),
-    ("", rf"\b(?P<name>(?P<first>{_NAME}) (?!(?P=first)\b){_SURNAME})\b"),
+    (":", r"(?P<ipv6>(?<![\w:.])(?=[0-9A-Fa-f:]*:[0-9A-Fa-f:]*:)[0-9A-Fa-f:]{3,39}(?![\w:]))"),
 )
 
 
@@ -128,9 +150,40 @@ def canonical(kind: str, value: str) -> str:
         return value.replace(" ", "").upper()
     if kind == "phone":
         return re.sub("[^0-9]", "", re.sub(r"^\+[0-9]{1,3}(?=[^0-9])", "", value))
+    if kind == "name":  # letter case and order make no difference
+        last, comma, first = value.partition(", ")
+        words = (f"{first} {last}" if comma else value).split()
+        return " ".join(w.title() if w.isupper() and len(w) > 2 else w for w in words)
+    if kind == "surname":
+        return value.title() if value.isupper() else value
+    if kind == "ipv6":
+        return ipaddress.IPv6Address(value).exploded
     return value
 
 
+def _first(word: str) -> str | None:
+    """The listed first name that a word is, in capitals or not."""
+    return word if word in _FIRST else word.title() if word.isupper() and word.title() in _FIRST else None
+
+
+def _name(value: str, key: bytes, attempt: int) -> str:
+    """First names among those of script and gender; particles stay; initials and surnames move by themselves, so a surname alone does alike."""
+    tokens, out = re.findall(r"[^\s,]+|[\s,]+", value), []
+    for k, word in enumerate(tokens):
+        first = _first(word)
+        if not word.strip(" ,") or word in _PARTICLES:
+            out.append(word)
+        elif first and (k < len(tokens) - 1 or ", " in value):  # the last word is a surname, if not behind a comma
+            names = sorted(NAMES[_FIRST[first]], key=lambda n: blake2b(n.encode(), key=key).digest())
+            new = names[(names.index(first) + 1 + attempt) % len(names)]
+            out.append(new.upper() if word.isupper() else new)
+        else:
+            ending = re.search(r"(?:ова|ева|ина|ская|ов|ев|ин|ский)$", word)
+            stem = word[: ending.start()] if ending else word
+            out.append(_shift(stem, _CLASSES, key, f"name.{attempt}") + (ending.group() if ending else ""))
+    return "".join(out)
+
+
 def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
     """The replacement of one detected value."""
     tweak = f"{kind}.{attempt}"
@@ -143,13 +196,11 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
         return ".".join(map(str, n.to_bytes(4, "big")))
     if kind == "secret":
         return _shift(value, _HEX if re.fullmatch("[0-9a-f]+", value) else _LETTERS, key, tweak)
-    if kind == "name":
-        first, _, last = value.partition(" ")
-        script, gender = _FIRST[first]
-        names = sorted(NAMES[script, gender], key=lambda n: blake2b(n.encode(), key=key).digest())
-        ending = re.search(r"(?:ова|ева|ина|ская|ов|ев|ин|ский)$", last)
-        stem = last[: ending.start()] if ending else last
-        return f"{names[(names.index(first) + 1 + attempt) % len(names)]} {_shift(stem, _CLASSES, key, tweak)}{ending.group() if ending else ''}"
+    if kind in ("name", "surname"):
+        return _name(value, key, attempt)
+    if kind == "ipv6":
+        n = permute(int(ipaddress.IPv6Address(value)), 1 << 128, key, tweak)
+        return str(ipaddress.IPv6Address(n))
     if kind == "iban":  # the country stays
         new = iter(_shift(canonical(kind, value)[2:], _LETTERS, key, tweak))
         return value[:2] + "".join(c if c == " " else next(new) for c in value[2:])
@@ -161,15 +212,65 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
 
 def detect(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, stop) of each value, in the order of the text."""
-    named = any(name in text for name in _FIRST)
-    finder = _finder(tuple(any(c in text for c in chars) if chars else named for chars, _ in _PATTERNS))
+    finder = _finder(tuple(any(c in text for c in chars) for chars, _ in _PATTERNS))
     found = []
     for m in finder.finditer(text) if finder else ():
-        kind = {"first": "name", "intl": "phone"}.get(m.lastgroup, m.lastgroup)
-        if kind == "ip" and any(int(x) > 255 for x in m["ip"].split(".")):
+        kind = {"intl": "phone"}.get(m.lastgroup, m.lastgroup)
+        if kind == "ip" and any(int(x) > 255 for x in m["ip"].split(".")) or kind == "ipv6" and not _is_ipv6(m["ipv6"]):
+            continue
+        found.append((kind, m.start(m.lastgroup), m.end(m.lastgroup)))
+    free = [(s, e) for _, s, e in found]
+    people = [p for p in _people(text) if all(p[2] <= s or p[1] >= e for s, e in free)]
+    return sorted(found + people, key=lambda f: f[1])
+
+
+def _is_ipv6(value: str) -> bool:
+    try:
+        return bool(ipaddress.IPv6Address(value)) and any(c in "0123456789" for c in value)
+    except ValueError:
+        return False
+
+
+def _people(text: str) -> list[tuple[str, int, int]]:
+    """Full names by a listed first name, capitalised words after a title, then the same surnames alone in the text."""
+    found, stop, surnames = [], 0, set()
+    for m in _CAPITAL.finditer(text):
+        s, e, first = m.start(), m.end(), _first(m[0])
+        if s < stop or not first:
+            continue
+        upper = m[0].isupper()
+        after = _AFTER[upper].match(text, e)
+        while after and _first(text[after.start() : after.end()].split()[-1]) and (more := _AFTER[upper].match(text, after.end())):
+            after = more
+        last = text[e : after.end()].split()[-1] if after else ""
+        if after and last != m[0]:
+            e = after.end()
+        elif not after and (ahead := _AHEAD[upper].search(text, max(stop, s - 60), s)):
+            s, last = ahead.start(), ahead[0][:-2]
+            if _first(last):
+                continue
+        else:
             continue
-        group = "name" if kind == "name" else m.lastgroup
-        found.append((kind, m.start(group), m.end(group)))
+        found.append(("name", s, e))
+        surnames.add(last.title() if upper else last)
+        stop = e
+    for m in _TITLED.finditer(text):
+        at = m.start("who")
+        for word in m["who"].split():
+            if all(at + len(word) <= s or at >= e for _, s, e in found):
+                found.append(("surname", at, at + len(word)))
+                surnames.add(word)
+            at += len(word) + 1
+    surnames = {w for w in surnames if len(w) > 2 and not _first(w)}
+    if surnames:
+        taken = sorted((s, e) for _, s, e in found)
+        alone = re.compile(rf"(?<![\w-])(?:{'|'.join(re.escape(x) for w in sorted(surnames, key=len, reverse=True) for x in (w, w.upper()))})(?![\w-])")
+        k = 0
+        for m in alone.finditer(text):
+            while k < len(taken) and taken[k][1] <= m.start():
+                k += 1
+            if k == len(taken) or m.end() <= taken[k][0]:
+                found.append(("surname", *m.span()))
     return found
 
 

@@ -87,3 +87,19 @@ def test_edges(spark, docs):
     texts = {str(r.doc_id): r.text for r in out.collect()}
     assert texts["1"] is None and texts["2"] == "" and texts["None"] == texts["3"] != "x@y.org" and out.count() == 5
     assert S.pseudonymise(df.limit(0), KEY).count() == 0
+
+
+@pytest.mark.parametrize("value", ["Emily Clark", "William Brown", "John Q. Smith", "JOHN SMITH", "Smith, John", "Anna Maria Lopez", "Karl von Steinberg", "James O'Brien", "2001:db8::ff00:42:8329"])
+def test_other_forms_are_replaced(value):
+    text = f"so {value} is here."
+    assert [text[s:e] for _, s, e in S.detect(text)] == [value]
+    new, _ = S.replace(text, KEY, {})
+    words = [w for w in re.findall(r"\w+", value) if len(w) > 3]
+    assert new != text and not any(re.search(rf"\b{w}\b", new) for w in words) and len(S.detect(new)) == 1
+
+
+def test_surnames_alone_and_titles_follow_their_full_names():
+    new, kinds = S.replace("John Smith met Dr. Okonkwo. Smith left, OKONKWO stayed; SMITH, JOHN and John Smith are one.", KEY, {})
+    m = re.fullmatch(r"(\w+) (\w+) met Dr\. (\w+)\. (\w+) left, (\w+) stayed; (\w+), (\w+) and (\w+) (\w+) are one\.", new)
+    assert kinds == ["name", "surname", "surname", "surname", "name", "name"]
+    assert m[2] == m[4] == m[9] == m[6].title() and m[1] == m[8] == m[7].title() and m[3] == m[5].title() and not {"Smith", "Okonkwo", "John"} & set(m.groups())
