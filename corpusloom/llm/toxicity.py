@@ -6,8 +6,9 @@ which the second and third tell a mention from a habit), and a logistic layer tu
 trained by gradient descent on a bounded sample of labelled rows: at most ``rows`` rows and ``chars`` characters, taken in
 the order of a hash of the id, texts of over a twentieth of the bound last, and ones that do not fit left out; that bound is the only sampling here, and every text is scored whole.
 
-A fifth of the sample is kept back: there the score is calibrated (a logistic fit, shifted so that 0.3 is the best
-threshold over all), and there each language gets the threshold with the best F1 of its own. Scores never see labels,
+A fifth of the sample is kept back: there the score is calibrated (a logistic fit on standardised logits with smoothed
+targets, finite even where the logits separate the classes, then shifted so that 0.3 is the best threshold over all), and
+there each language gets the threshold with the best F1 of its own. Scores never see labels,
 language, source or id; only the verdict ``rejected`` uses the threshold of the row's language.
 
 A word's dot products with all filters are computed once and looked up, so scoring is a gather, a few sums and a partition.
@@ -19,7 +20,6 @@ and nothing is rejected; repeated rows are scored alike; an empty table gives no
 
 from __future__ import annotations
 
-import zlib
 from functools import partial
 
 import numpy as np
@@ -29,23 +29,38 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-WIDTHS, FILTERS, TOP, DIM, BUCKETS = (1, 2, 3), 8, 3, 12, 1 << 16
+WIDTHS, FILTERS, TOP, DIM, BUCKET_BITS = (1, 2, 3), 8, 3, 12, 16
+BUCKETS = 1 << BUCKET_BITS
+_ODD = (np.random.default_rng(3).integers(0, 1 << 63, 64, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 BEGINNINGS = (3, 4, 5, 6, 7)
 _PUNCT = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„…"
 _COLUMNS = FILTERS * sum(WIDTHS)
 PAD = max(WIDTHS) + TOP
 
 
-def word_pieces(word: str) -> list[int]:
-    """Rows of the embedding table of one word."""
-    w = word.lower().strip(_PUNCT)
-    parts = [w + "$", *(w[:k] for k in BEGINNINGS if len(w) >= k)]
-    return [zlib.crc32(p.encode("utf-8", "surrogatepass")) % BUCKETS for p in parts]
+def pieces_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the embedding table of each lower-case word in turn: of the word without punctuation around it, and of its beginnings; and where each word's begin."""
+    bare = [w.strip(_PUNCT) for w in words]
+    lengths = np.fromiter(map(len, bare), np.int64, len(bare))
+    codes = np.frombuffer("".join(bare).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    starts = np.cumsum(lengths) - lengths
+    place = np.arange(len(codes)) - np.repeat(starts, lengths)
+    mixed = (codes + np.uint64(1)) * _ODD[place % len(_ODD)]
+    mixed ^= mixed >> np.uint64(29)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed * np.uint64(0xBF58476D1CE4E5B9))])  # a beginning's hash is a difference
+    sizes = np.array(BEGINNINGS)[None, :]
+    there = np.concatenate([np.ones((len(bare), 1), bool), lengths[:, None] >= sizes], 1)
+    stops = starts[:, None] + np.concatenate([lengths[:, None], np.minimum(sizes, lengths[:, None])], 1)
+    found = total[stops] - total[starts][:, None]
+    found[:, 0] ^= np.uint64(0x5851F42D4C957F2D)  # the whole word is another piece than a beginning with its letters
+    found *= np.uint64(0x9E3779B97F4A7C15)
+    counts = there.sum(1)
+    return (found[there] >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), np.cumsum(counts) - counts
 
 
-def _pieces(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    rows = [word_pieces(w) for w in words]
-    return np.fromiter((r for x in rows for r in x), np.int64), np.cumsum([0, *map(len, rows)][:-1])
+def _within(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of the ranges in turn."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
 class Model:
@@ -67,13 +82,13 @@ class Model:
     def words(self, words: list[str]) -> np.ndarray:
         if not words:
             return np.empty((0, DIM), np.float32)
-        flat, starts = _pieces(words)
-        return np.add.reduceat(self.table[flat], starts, axis=0) / np.diff([*starts, len(flat)])[:, None].astype(np.float32)
+        flat, starts = pieces_of(words)
+        return np.add.reduceat(self.table[flat], starts, axis=0) / np.diff(starts, append=len(flat))[:, None].astype(np.float32)
 
-    def pooled(self, dots: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(filters, TOP) largest values of each filter and their places, for one text; the last column of dots is padding."""
+    def pooled(self, dots: np.ndarray, ids: np.ndarray, padding: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """(filters, TOP) largest values of each filter and their places, for one text; column ``padding`` of dots is that of no word."""
         n = len(ids) + PAD
-        found = dots[:, np.concatenate([ids, np.full(PAD + max(WIDTHS), dots.shape[1] - 1)])]
+        found = dots[:, np.concatenate([ids, np.full(PAD + max(WIDTHS), padding)])]
         acts, at = np.empty((FILTERS * len(WIDTHS), n), np.float32), 0
         for g, width in enumerate(WIDTHS):
             part = acts[g * FILTERS : (g + 1) * FILTERS]
@@ -98,20 +113,35 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.scale * np.asarray(logits, float) + self.shift, -50, 50)))
 
 
-def _indexed(texts: list[str]) -> tuple[list[str], list[np.ndarray]]:
-    split = [(t or "").split() for t in texts]
-    number = {w: k for k, w in enumerate(dict.fromkeys(w for s in split for w in s))}
-    return list(number), [np.fromiter(map(number.__getitem__, s), np.int64, len(s)) for s in split]
+def _split(text: str | None) -> list[str]:
+    return (text or "").lower().split()
+
+
+class _Sample:
+    """Texts as numbers of words, and the words as rows of the embedding table."""
 
+    def __init__(self, texts: list[str]):
+        split = [_split(t) for t in texts]
+        self.words = list(dict.fromkeys(w for s in split for w in s))
+        number = {w: k for k, w in enumerate(self.words)}
+        self.ids = [np.fromiter(map(number.__getitem__, s), np.int64, len(s)) for s in split]
+        self.flat, self.starts = pieces_of(self.words)
+        self.sizes = np.diff(self.starts, append=len(self.flat))
 
-def _step(model: Model, texts: list[str], labels: np.ndarray, sums: dict, rate: float) -> None:
+    def pieces(self, words: np.ndarray) -> np.ndarray:
+        return self.flat[_within(self.starts[words], self.sizes[words])]
+
+
+def _step(model: Model, sample: _Sample, docs: np.ndarray, labels: np.ndarray, sums: dict, rate: float) -> None:
     """One step of Adagrad on a batch."""
-    words, ids = _indexed(texts)
-    words.append("")
-    flat, starts = _pieces(words)
-    sizes = np.diff([*starts, len(flat)])
-    vectors = np.add.reduceat(model.table[flat], starts, axis=0) / sizes[:, None].astype(np.float32)
-    vectors[-1] = 0
+    ids = [sample.ids[i] for i in docs]
+    used, inverse = np.unique(np.concatenate(ids), return_inverse=True)
+    ids = np.split(inverse, np.cumsum([len(x) for x in ids])[:-1])
+    sizes = sample.sizes[used]
+    flat, starts = sample.pieces(used), np.cumsum(sizes) - sizes
+    vectors = np.zeros((len(used) + 1, DIM), np.float32)  # the last is padding
+    if len(used):
+        vectors[:-1] = np.add.reduceat(model.table[flat], starts, axis=0) / sizes[:, None].astype(np.float32)
     dots = model.filters @ vectors.T
     d_out, d_bias = np.zeros_like(model.out), 0.0
     rows, columns, grads = [], [], []
@@ -123,7 +153,7 @@ def _step(model: Model, texts: list[str], labels: np.ndarray, sums: dict, rate:
         d_out += g * z.ravel()
         d_bias += g
         d_z = g * model.out.reshape(values.shape) * (values > 0)
-        padded, at = np.concatenate([doc, np.full(PAD + max(WIDTHS), len(words) - 1)]), 0
+        padded, at = np.concatenate([doc, np.full(PAD + max(WIDTHS), len(used))]), 0
         for i, width in enumerate(WIDTHS):
             of = slice(i * FILTERS, (i + 1) * FILTERS)
             for k in range(width):
@@ -142,10 +172,8 @@ def _step(model: Model, texts: list[str], labels: np.ndarray, sums: dict, rate:
     sums["bias"] = sums.get("bias", 0) + d_bias**2
     model.bias -= rate * d_bias / (np.sqrt(sums["bias"]) + 1e-6)
     if len(touched):
-        ends = starts + sizes
-        rows = np.concatenate([flat[starts[w] : ends[w]] for w in touched])
         grads = np.repeat(d_vectors[touched] / sizes[touched, None], sizes[touched], axis=0)
-        unique, inverse = np.unique(rows, return_inverse=True)
+        unique, inverse = np.unique(flat[_within(starts[touched], sizes[touched])], return_inverse=True)
         total = np.zeros((len(unique), DIM), np.float32)
         np.add.at(total, inverse, grads)
         squares = sums.setdefault("table", np.zeros(BUCKETS, np.float32))
@@ -153,25 +181,42 @@ def _step(model: Model, texts: list[str], labels: np.ndarray, sums: dict, rate:
         model.table[unique] -= rate * total / (np.sqrt(squares[unique])[:, None] + 1e-6)
 
 
-def _evidence(model: Model, texts: list[str], labels: np.ndarray, doubt: float = 2.0) -> None:
+def _evidence(model: Model, sample: _Sample, docs: np.ndarray, labels: np.ndarray, doubt: float = 2.0) -> None:
     """Start the embeddings' first dimension at how surely a piece speaks for label 1: its log odds in standard errors, beyond ``doubt``."""
     counts = np.zeros((2, BUCKETS))
-    for at in range(0, len(texts), 500):
-        words, ids = _indexed(texts[at : at + 500])
-        if words:
-            flat, starts = _pieces(words)
-            ends = np.append(starts[1:], len(flat))
-            for doc, y in zip(ids, labels[at : at + 500]):
-                own = np.unique(doc)
-                sizes = (ends - starts)[own]
-                places = np.repeat(starts[own] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-                counts[int(y), np.unique(flat[places])] += 1
+    for i, y in zip(docs, labels):
+        counts[int(y), np.unique(sample.pieces(np.unique(sample.ids[i])))] += 1
     total = np.array([(labels == 0).sum(), (labels == 1).sum()])[:, None]
     odds = np.log((counts[1] + 0.5) / (total[1] + 1)) - np.log((counts[0] + 0.5) / (total[0] + 1))
     error = np.sqrt(1 / (counts[1] + 0.5) + 1 / (counts[0] + 0.5))
     model.table[:, 0] = np.clip(odds / error - doubt, 0, 6) / 2
 
 
+def calibrated(logits: np.ndarray, truth: np.ndarray) -> tuple[float, float]:
+    """(scale, shift) of a logistic fit of 0/1 labels. Smoothed targets keep it finite; each Newton step is halved until the loss falls."""
+    mean, spread = float(logits.mean()), float(logits.std()) or 1.0
+    z, n1, n0 = (logits - mean) / spread, truth.sum(), (1 - truth).sum()
+    aim = np.where(truth > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    x = np.stack([z, np.ones_like(z)], 1)
+
+    def loss(w: np.ndarray) -> float:
+        return float((np.logaddexp(0, x @ w) - aim * (x @ w)).sum() + 1e-3 * w[0] ** 2)
+
+    w = np.array([1.0, float(np.log((n1 + 1) / (n0 + 1)))])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
+        grad = x.T @ (p - aim) + np.array([2e-3 * w[0], 0])
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 2e-3 * np.eye(2), grad)
+        now, rate = loss(w), 1.0
+        while rate > 1e-6 and loss(w - rate * step) > now:
+            rate /= 2
+        w = w - rate * step
+        if np.abs(rate * step).max() < 1e-8:
+            break
+    scale = max(float(w[0]), 0.05) / spread  # more evidence never lowers the score
+    return scale, float(w[1]) - scale * mean
+
+
 def _best_threshold(scores: np.ndarray, labels: np.ndarray) -> float | None:
     """In the middle of the gap where F1 is best; of equal ones, the widest gap."""
     if not 0 < labels.sum() < len(labels):
@@ -194,30 +239,21 @@ def fit(texts: list[str], labels: list[int], langs: list[str | None], epochs: in
         model.threshold = 2.0
         return model
     kept = np.arange(len(y)) % 5 == 4
-    train, sums, rng = np.flatnonzero(~kept), {}, np.random.default_rng(seed)
+    train, sums, rng, sample = np.flatnonzero(~kept), {}, np.random.default_rng(seed), _Sample(texts)
     model.bias = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
-    _evidence(model, [texts[i] for i in train], y[train])
+    _evidence(model, sample, train, y[train])
     for epoch in range(epochs):
         order = rng.permutation(train)
         for at in range(0, len(order), batch):
             rows = order[at : at + batch]
-            _step(model, [texts[i] for i in rows], y[rows], sums, rate)
+            _step(model, sample, rows, y[rows], sums, rate)
     held = np.flatnonzero(kept)
     logits, truth = model_logits(model, [texts[i] for i in held]), y[held]
-    a, b = 1.0, 0.0
-    for _ in range(200):  # Newton steps of a regularised logistic fit
-        p = 1 / (1 + np.exp(-np.clip(a * logits + b, -30, 30)))
-        w = p * (1 - p) + 1e-6
-        grad = np.array([((p - truth) * logits).sum() + 0.01 * (a - 1), (p - truth).sum() + 0.01 * b])
-        hess = np.array([[(w * logits**2).sum() + 0.01, (w * logits).sum()], [(w * logits).sum(), w.sum() + 0.01]])
-        step = np.linalg.solve(hess, grad)
-        a, b = a - step[0], b - step[1]
-        if np.abs(step).max() < 1e-6:
-            break
-    model.scale, model.shift = float(np.clip(a, 0.2, 5)), b
+    model.scale, model.shift = calibrated(logits, truth)
     best = _best_threshold(model.score(logits), truth)
     if best is not None:  # move the best threshold over all to 0.3
-        model.shift += np.log(0.3 / 0.7) - np.log(best / (1 - best))
+        best = min(max(best, 0.01), 0.99)
+        model.shift += float(np.log(0.3 / 0.7) - np.log(best / (1 - best)))
     scores = model.score(logits)
     names = np.array([x or "" for x in langs], object)[held]
     for name in set(names) - {""}:
@@ -228,30 +264,40 @@ def fit(texts: list[str], labels: list[int], langs: list[str | None], epochs: in
 
 
 def model_logits(model: Model, texts: list[str]) -> np.ndarray:
-    words, ids = _indexed(texts)
-    dots = model.filters @ np.concatenate([model.words(words), np.zeros((1, DIM), np.float32)]).T
-    return np.array([model.logit(model.pooled(dots, doc)[0]) for doc in ids])
+    split = [_split(t) for t in texts]
+    number = {w: k for k, w in enumerate(dict.fromkeys(w for s in split for w in s))}
+    dots = model.filters @ np.concatenate([model.words(list(number)), np.zeros((1, DIM), np.float32)]).T
+    return np.array([model.logit(model.pooled(dots, np.fromiter(map(number.__getitem__, s), np.int64, len(s)))[0]) for s in split])
 
 
 class Scorer:
     """Scores batches of texts; keeps the filters' dot products of at most ``most`` words between batches."""
 
-    def __init__(self, model: Model, most: int = 80_000):
+    def __init__(self, model: Model, most: int = 200_000):
         self.model, self.most = model, most
         self.number: dict[str, int] = {}
-        self.dots = np.zeros((_COLUMNS, 1), np.float32)
+        self.dots = np.zeros((_COLUMNS, 1), np.float32)  # column 0 is padding
+
+    def _learn(self, words: list[str]) -> None:
+        have, need = len(self.number) + 1, len(self.number) + 1 + len(words)
+        if need > self.dots.shape[1]:
+            grown = np.zeros((_COLUMNS, max(need, 2 * have)), np.float32)
+            grown[:, :have] = self.dots[:, :have]
+            self.dots = grown
+        self.dots[:, have:need] = self.model.filters @ self.model.words(words).T
+        self.number.update(zip(words, range(have, need)))
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        split = [(t or "").split() for t in texts]
-        new = list(dict.fromkeys(w for s in split for w in s if w not in self.number))
+        split = [_split(t) for t in texts]
+        unique = {w for s in split for w in s}
+        new = [w for w in unique if w not in self.number]
+        if new and len(self.number) + len(new) > self.most:
+            self.number, new = {}, list(unique)
+            self.dots = np.zeros((_COLUMNS, 1), np.float32)
         if new:
-            if len(self.number) + len(new) > self.most:
-                self.number, self.dots = {}, np.zeros((_COLUMNS, 1), np.float32)
-                new = list(dict.fromkeys(w for s in split for w in s))
-            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
-            self.dots = np.concatenate([self.dots[:, :-1], self.model.filters @ self.model.words(new).T, np.zeros((_COLUMNS, 1), np.float32)], 1)
+            self._learn(new)
         ids = [np.fromiter(map(self.number.__getitem__, s), np.int64, len(s)) for s in split]
-        return self.model.score(np.array([self.model.logit(self.model.pooled(self.dots, doc)[0]) for doc in ids]))
+        return self.model.score(np.array([self.model.logit(self.model.pooled(self.dots, doc, 0)[0]) for doc in ids]))
 
 
 def _scored_rows(batches, model: Model, text: int):

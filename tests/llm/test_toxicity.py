@@ -84,3 +84,38 @@ def test_a_very_long_text_does_not_end_the_sample(spark):
         long = spark.createDataFrame([(i, t if i != first else "word " * (size // 5), lang, y) for i, t, lang, y in rows], docs.schema)
         model = X.train(long.drop("toxic"), long.select("doc_id", "toxic"), chars=chars)
         assert model.constant is None and X.score(long, model).filter("rejected").count() > 30
+
+
+def test_calibration_is_finite_where_logits_separate():
+    logits, truth = np.concatenate([np.linspace(-90, -60, 500), np.linspace(5, 40, 80)]), np.repeat([0.0, 1.0], [500, 80])
+    scale, shift = X.calibrated(logits, truth)
+    p = 1 / (1 + np.exp(-(scale * logits + shift)))
+    assert 0 < scale < 5 and abs(shift) < 50 and p[:500].max() < 0.3 < p[500:].min()
+    flat = X.calibrated(np.zeros(10), np.repeat([0.0, 1.0], 5))
+    assert np.isfinite(flat).all()
+
+
+def test_pieces_of_words():
+    flat, starts = X.pieces_of(["idiot", "idiots.", "", "id", "idiot"])
+    parts = np.split(flat, starts[1:])
+    assert [len(p) for p in parts] == [4, 5, 1, 1, 4] and parts[0][1:].tolist() == parts[1][1:4].tolist() and parts[0].tolist() == parts[4].tolist()
+
+
+def test_query_on_held_out_rows_of_a_larger_table(spark):
+    import os
+
+    import pytest
+
+    import corpus_pipeline
+    from corpusloom.llm import queries
+
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("no larger tables here")
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    held = [r for r in queries.op8_toxicity(spark, folder).collect() if r.held_out and r.doc_id in labels]
+    toxic, clean = [r for r in held if labels[r.doc_id]], [r for r in held if not labels[r.doc_id]]
+    assert len(toxic) > 50 and sum(r.predicted for r in toxic) >= 0.9 * len(toxic) and sum(r.predicted for r in clean) <= 0.02 * len(clean)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    left = {r.doc_id for r in corpus_pipeline.toxic(spark, docs, folder).select("doc_id").collect()}
+    assert sum(r.doc_id not in left for r in toxic) >= 0.9 * len(toxic) and sum(r.doc_id not in left for r in clean) <= 0.02 * len(clean)
