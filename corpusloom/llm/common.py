@@ -17,9 +17,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder inside ``spark.checkpoint.dir``; that setting is only made here where the session has none (tests)."""
+    """A new folder inside ``spark.checkpoint.dir``; that setting is only made here for a local session that has none (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/corpusloom-{os.getpid()}-{next(_SERIAL)}-{uuid.uuid4().hex[:8]}"
@@ -38,6 +40,18 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
 
 
+def join_unique(rows: DataFrame, table: DataFrame, key: str, size: str, total: int, share: int = 256) -> DataFrame:
+    """Inner join with the one row that ``table`` has for each key, also where a few keys hold most of ``rows``.
+
+    ``size`` is the table's column with how many of the ``total`` rows (of which ``rows`` may be a part) have the key. Fewer
+    than ``share`` keys can have more than a ``share``-th of them, so those are broadcast; the others' rows are shuffled.
+    """
+    limit = total // share
+    hot = F.broadcast(table.filter(F.col(size) > limit))
+    rest = rows.join(F.broadcast(table.filter(F.col(size) > limit).select(key)), key, "left_anti").join(table.filter(F.col(size) <= limit), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Star edges (node, smallest node of its component) of the graph with edges a[i]-b[i]; roots themselves are left out."""
     nodes, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)

@@ -2,7 +2,8 @@
 
 Edges are first reduced to spanning forests inside each partition; the rounds then run as aggregates and joins on at most
 one edge per node and partition. Minima are taken by ``groupBy`` (partial aggregation before the shuffle), never by
-gathering the neighbours of a node, so a node with a third of all edges is no hot task.
+gathering the neighbours of a node, and edges of the few nodes with a good part of all edges meet their minima by a broadcast
+of bounded size (``join_unique``), so a node with a third of all edges is no hot task.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Links, written
+from .common import Links, join_unique, written
 
 EDGES = "src long, dst long"
 
@@ -29,16 +30,23 @@ def local_forests(edges: DataFrame) -> DataFrame:
     return edges.filter("src <> dst").mapInArrow(_local_forest, EDGES)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, total: int, own: bool) -> DataFrame:
+    """Edges with ``low``: the smallest neighbour of src (``own``: or src itself, if that is smaller)."""
+    least = edges.groupBy("src").agg(F.min("dst").alias("low"), F.count("*").alias("degree"))
+    if own:
+        least = least.withColumn("low", F.least("src", "low"))
+    return join_unique(edges, least, "src", "degree", total)
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    least = both.groupBy("src").agg(F.min("dst").alias("low")).select(F.col("src").alias("node"), F.least("src", "low").alias("low"))
-    return both.filter("dst > src").join(least, F.col("src") == F.col("node")).select(F.col("dst").alias("src"), F.col("low").alias("dst"))
+    return _with_least(both, 2 * total, True).filter("dst > src").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("src").agg(F.min("dst").alias("low")).select(F.col("src").alias("node"), "low")
-    moved = edges.join(least, F.col("src") == F.col("node")).filter("dst <> low").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
-    return moved.union(least.select(F.col("node").alias("src"), F.col("low").alias("dst")))
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
+    """Of edges that all lead to smaller nodes."""
+    found = _with_least(edges, total, False)
+    return found.select(F.col("dst").alias("src"), F.col("low").alias("dst")).filter("src <> dst").union(edges.groupBy("src").agg(F.min("dst").alias("dst")))
 
 
 def _stars(edges: DataFrame) -> bool:
@@ -55,5 +63,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     now = written(local_forests(edges), "edges")
     while not _stars(now):
-        now = written(_small_star(_large_star(now)).distinct(), "edges")
+        large = written(_large_star(now, now.count()).distinct(), "edges")
+        now = written(_small_star(large, large.count()).distinct(), "edges")
     return now.select(F.col("src").alias("node"), F.col("dst").alias("component")).union(now.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct())

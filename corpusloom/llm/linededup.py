@@ -1,23 +1,20 @@
 """Operator 9: near-duplicate lines across all documents, of which one stays.
 
-Lines are compared by the Jaccard similarity of their sets of ``shingle``-character shingles (lower case, white space
-collapsed; lines of fewer than ``least_words`` words or ``least_chars`` characters are never touched: at 1 and 1, as in the
-registered query, every line with a word is compared, and one shorter than a shingle is its own only shingle). Exact repeats are counted first, so that everything
-after works on distinct lines. Those get MinHash signatures, cut into bands; distinct lines that share a band meet in one
-bucket, where similarities are computed exactly. Inside a bucket a line is compared until it has met each component there,
-so a bucket of copies of one line costs about one comparison a line; only a spanning forest of links leaves a task. Lines that
-meet in several bands without any other line are compared in one of them. Buckets
-of more than ``tile`` distinct lines are split, and each part meets all lines that it has to. Components of the links come
-from distributed union-find (``components``); the first line of a component in the order of (id, line number) stays.
+Every line with a word is compared, whatever its length and script, by the Jaccard similarity of the sets of
+``shingle``-character shingles (lower case, white space collapsed); one shorter than a shingle is its own only shingle, so it
+repeats equal lines alone. Exact repeats are counted first, so that everything after works on distinct lines. Those get
+MinHash signatures, cut into bands; distinct lines that share a band meet in one bucket, where similarities are computed
+exactly (``buckets``). At the least similarity two lines share no band in (1 - 0.8**3)**7 = 0.7 % of cases. Inside a bucket a
+line is compared until it has met each component there, so a bucket of copies of one line costs about one comparison a line;
+only a spanning forest of links leaves a task. Components of the links come from distributed union-find (``components``); the
+first line of a component in the order of (id, line number) stays.
 
-Lines travel as 64-bit hashes. Texts of lines that share a bucket are fetched by reading the documents again against a bit
-table of those hashes, of a bounded size (``filter_bits``); where more lines are wanted than it can tell apart, by a join with
-the documents that hold them. Other than that, only documents that lose lines are joined.
+Lines travel as 64-bit hashes. Only documents that lose lines are joined with what they lose.
 
 Defined results: null texts stay null and empty ones empty; documents that lose nothing are returned as they are; of ones
-that lose their last line with words, the text becomes empty (or the row goes, see ``drop_emptied``); rows of one id count as
-one document with the same lines; rows with null id are never changed; empty tables give empty tables; all columns of the
-input are returned.
+that lose their last line with words, the text becomes empty (or the row goes, see ``drop_emptied``); rows of one id and one
+text count as one document, and rows of one id with other texts as documents of their own; rows with null id are never
+changed; empty tables give empty tables; all columns of the input are returned. Ids are integers.
 """
 
 from __future__ import annotations
@@ -30,14 +27,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Links, written
+from . import buckets
+from .common import join_unique, written
 from .components import connected_components
 
-SEED = 91
-_MULTIPLIERS = np.random.default_rng(SEED).integers(1, 1 << 32, 256, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-
-_SHIFTS = (0, 18, 36)  # of the three places that a 64-bit hash has in a bit table
-
 
 def normalised(line: str) -> str:
     return " ".join(line.lower().split())
@@ -48,16 +41,6 @@ def shingles(line: str, size: int) -> set[str]:
     return {line[i : i + size] for i in range(max(1, len(line) - size + 1))}
 
 
-def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
-    """Whether the Jaccard similarity of two sets, as sorted arrays, is ``least`` or more."""
-    if min(len(a), len(b)) < least * max(len(a), len(b)):
-        return False
-    both = np.concatenate([a, b])
-    both.sort()
-    common = int(np.count_nonzero(both[1:] == both[:-1]))
-    return common >= least * (len(both) - common)
-
-
 def _windows(lines: list[str], size: int, kind: type) -> tuple[np.ndarray, np.ndarray]:
     """Polynomial hashes of all shingles of the lines in turn, and where each line's begin (with the end of all).
 
@@ -97,191 +80,71 @@ def hashed_shingles(lines: list[str], size: int) -> list[np.ndarray]:
 
 
 def signatures(lines: list[str], size: int, rows: int) -> np.ndarray:
-    """(lines, rows) MinHash values: for each row, the least hash of the line's shingles. Lines are normalised and not empty."""
+    """(lines, rows) MinHash values. Lines are normalised and not empty."""
     picked, at = _windows(lines, size, np.uint32)
-    out = np.empty((len(lines), rows), np.uint32)
-    for r in range(rows):
-        out[:, r] = np.minimum.reduceat(picked * _MULTIPLIERS[r], at[:-1])
-    return out
+    return buckets.minhash(picked, at[:-1], rows)
 
 
-def band_keys(marks: np.ndarray, bands: int) -> list[np.ndarray]:
-    """A 64-bit key of each line for each band of its signature."""
-    out = []
-    for k, part in enumerate(np.split(marks.astype(np.uint64), bands, axis=1)):
-        key = np.full(len(marks), k + 1, np.uint64)
-        for column in part.T:
-            key = (key ^ column) * np.uint64(0x9E3779B97F4A7C15)
-            key ^= key >> np.uint64(32)
-        out.append((key * np.uint64(0xD6E8FEB86659FD93)).view(np.int64))
-    return out
+def _hashes(lines: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in lines), np.uint64, len(lines))
 
 
-def _lines(batches, size: int, bands: int, band_rows: int, least_words: int, least_chars: int):
-    names = ["doc_id", "line", "id", *(f"b{k}" for k in range(bands))]
+def _lines(batches, size: int, bands: int, band_rows: int):
+    names = ["doc_id", "version", "line", "id", *(f"b{k}" for k in range(bands))]
     for batch in batches:
-        docs, numbers, texts = [], [], []
+        owner, numbers, texts = [], [], []
 
         def flush():
-            ids = np.fromiter((xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in texts), np.uint64, len(texts)).view(np.int64)
-            keys = band_keys(signatures(texts, size, bands * band_rows), bands)
-            return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(numbers, pa.int32()), pa.array(ids), *map(pa.array, keys)], names=names)
+            ids = _hashes(texts).view(np.int64)
+            short = pa.array(np.fromiter(map(len, texts), np.int64, len(texts)) < size)  # equal lines alone are similar to these
+            keys = [pa.compute.if_else(short, None, pa.array(k)) for k in buckets.band_keys(signatures(texts, size, bands * band_rows), bands)]
+            own = pa.array(owner)
+            return pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(numbers, pa.int32()), pa.array(ids), *keys], names=names)
 
         chars = 0
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            for n, line in enumerate(text.as_py().split("\n")):
-                if len(line) >= least_chars and len(words := line.lower().split()) >= least_words:
-                    docs.append(doc_id)
+        for k, text in enumerate(batch.column(2)):
+            for n, line in enumerate(text.as_py().lower().split("\n")):
+                if words := line.split():
+                    owner.append(k)
                     numbers.append(n)
                     texts.append(" ".join(words))
                     chars += len(line)
             if chars > 1_000_000:
                 yield flush()
-                docs, numbers, texts, chars = [], [], [], 0
-        if docs:
+                owner, numbers, texts, chars = [], [], [], 0
+        if owner:
             yield flush()
 
 
-def _shared(batches):
-    """Rows (key, id) sorted by key; keeps those whose key has two rows or more, with the bucket's row number."""
-    last: tuple | None = None
-    pending = False
+def _wanted_lines(batches, wanted: buckets.Filter):
+    """Rows (id, text) of the lines that the filter holds, of which repeats near each other are left out."""
+    seen: set[int] = set()
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        key, ids = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        same = key[1:] == key[:-1]
-        keep = np.zeros(len(key), bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        if last is not None and last[0] == key[0]:
-            keep[0] = True
-            if pending:
-                yield pa.RecordBatch.from_arrays([pa.array([last[0]]), pa.array([last[1]])], names=["key", "id"])
-        pending = not keep[-1]
-        last = (key[-1], ids[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(ids[keep])], names=["key", "id"])
-
-
-class _Bucket:
-    """Distinct lines of one bucket part, in components of similar ones."""
-
-    def __init__(self, size: int, least: float):
-        self.size, self.least = size, least
-        self.sets: list[np.ndarray] = []
-        self.ids: list[int] = []
-        self.group: list[list[int]] = []
-
-    def meet(self, line_id: int, own: np.ndarray, stays: bool) -> list[int]:
-        """Ids of one similar line of each component; merges them if the line stays."""
-        found, hit = [], []
-        for g, members in enumerate(self.group):
-            for m in members:
-                if similar(self.sets[m], own, self.least):
-                    found.append(self.ids[m])
-                    hit.append(g)
-                    break
-        if stays:
-            self.sets.append(own)
-            self.ids.append(line_id)
-            merged = [len(self.ids) - 1]
-            for g in reversed(hit):
-                merged = self.group.pop(g) + merged
-            self.group.append(merged)
-        return found
-
-
-def _verify(batches, size: int, least: float):
-    """Rows (key, part, probe, id, line) sorted by key, part and probe; owners of a part come before the lines they only meet."""
-    links, now, bucket = Links(), None, None
-    for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            *keys, lines = (c.to_pylist() for c in batch.slice(at, 500).columns)
-            for key, part, probe, line_id, own in zip(*keys, hashed_shingles([normalised(x) for x in lines], size)):
-                if (key, part) != now:
-                    now, bucket = (key, part), _Bucket(size, least)
-                if probe and not bucket.ids:
-                    continue
-                found = bucket.meet(line_id, own, not probe)
-                if found:
-                    links.add(np.full(len(found), line_id, np.int64), np.array(found, np.int64))
-    a, b = links.edges()
-    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["src", "dst"])
-
-
-def _bits(ids: DataFrame, size: int) -> np.ndarray:
-    """Bit table of ids: three places each, joined into words of 63 bits before they come to the driver."""
-    places = F.array(*[F.shiftrightunsigned("id", s).bitwiseAND(F.lit(size - 1).cast("long")) for s in _SHIFTS])
-    words = ids.select(F.explode(places).alias("p")).groupBy(F.floor(F.col("p") / 63).alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(p % 63)))").alias("v"))
-    table = words.toArrow()
-    out = np.zeros((-(-size // 63), 63), bool)
-    values = table["v"].to_numpy()[:, None] >> np.arange(63)[None, :] & 1
-    out[table["w"].to_numpy()] = values.astype(bool)
-    return np.packbits(out.ravel()[:size])
-
-
-def _wanted_lines(batches, bits: np.ndarray, size: int, least_words: int, least_chars: int):
-    table, seen = np.unpackbits(bits, count=size).view(bool), set()
-    for batch in batches:
-        ids, texts = [], []
-        for text in batch.column(0):
-            for line in text.as_py().split("\n"):
-                if len(line) >= least_chars and len(words := line.lower().split()) >= least_words:
-                    x = xxhash.xxh64_intdigest((line := " ".join(words)).encode("utf-8", "surrogatepass"))
-                    if all(table[(x >> s) & (size - 1)] for s in _SHIFTS) and x not in seen:
-                        seen.add(x)
-                        ids.append(x)
-                        texts.append(line)
+        lines = [" ".join(words) for text in batch.column(0) for line in text.as_py().lower().split("\n") if (words := line.split())]
+        ids = _hashes(lines)
+        at = [i for i in np.flatnonzero(wanted.holds(ids)).tolist() if (x := int(ids[i])) not in seen and not seen.add(x)]
         if len(seen) > 200_000:
             seen.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(texts, pa.string())], names=["id", "text"])
-
-
-def _fetch(rows: DataFrame, wanted: DataFrame, distinct: DataFrame, filter_bits: int, **rule) -> DataFrame:
-    """(id, text): the normalised text of each wanted line."""
-    n = wanted.count()
-    size = min(1 << 20, filter_bits)
-    while size < min(12 * n, filter_bits):
-        size *= 2
-    if 6 * n <= size:
-        found = rows.select("text").mapInArrow(partial(_wanted_lines, bits=_bits(wanted, size), size=size, **rule), "id long, text string").join(wanted, "id", "left_semi")
-    else:
-        at = wanted.join(distinct.select("id", "doc_id", "line"), "id").groupBy("doc_id").agg(F.collect_list(F.struct("id", "line")).alias("at"))
-        found = rows.join(at, "doc_id").select(F.split("text", "\n").alias("all"), F.explode("at").alias("a")).select(F.col("a.id").alias("id"), F.element_at("all", F.col("a.line") + 1).alias("text"))
-    return found.groupBy("id").agg(F.min("text").alias("text"))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[at].view(np.int64)), pa.array([lines[i] for i in at], pa.string())], names=["id", "text"])
 
 
-def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, shingle: int = 8, bands: int = 8, band_rows: int = 4, least_words: int = 5, least_chars: int = 25, tile: int = 2000, filter_bits: int = 1 << 28) -> DataFrame:
-    """(doc_id, lines array<int>): the numbers (from 0) of the lines that each document loses."""
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, shingle: int = 8, bands: int = 7, band_rows: int = 3, tile: int = 2000, filter_bits: int = buckets.FILTER_BITS) -> DataFrame:
+    """(doc_id, version, lines array<int>): the numbers (from 0) of the lines that each document loses; version is xxhash64 of its text."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).filter("doc_id is not null and text is not null")
     keys = [f"b{k}" for k in range(bands)]
-    cut = partial(_lines, size=shingle, bands=bands, band_rows=band_rows, least_words=least_words, least_chars=least_chars)
-    lines = written(rows.mapInArrow(cut, "doc_id long, line int, id long, " + ", ".join(f"{k} long" for k in keys)), "lines")
-    distinct = written(lines.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n"), *[F.min(k).alias(k) for k in keys]).select("id", "first.doc_id", "first.line", "n", *keys), "distinct")
-    meets = written(distinct.select("id", F.explode(F.array(*keys)).alias("key")).select("key", "id").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_shared, "key long, id long"), "buckets")
-    # buckets of the same lines in several bands are one bucket
-    marks = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")]
-    once = meets.groupBy("key").agg(*marks).groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
-    meets = written(meets.join(once, "key"), "distinct-buckets")
-    wanted = written(meets.select("id").distinct(), "wanted")
-    fetched = written(_fetch(rows, wanted, distinct, filter_bits, least_words=least_words, least_chars=least_chars), "texts")
-    hot = meets.groupBy("key").count().filter(F.col("count") > tile).select("key", F.ceil(F.col("count") / tile).cast("int").alias("parts"))
-    met = meets.join(fetched, "id")
-    if hot.isEmpty():
-        parted = met.select("key", F.lit(0).alias("part"), F.lit(0).alias("probe"), "id", "text")
-    else:
-        split = met.join(hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), "parts").cast("int"))
-        parted = split.select("key", F.col("own").alias("part"), F.lit(0).alias("probe"), "id", "text").union(
-            split.filter("own > 0").select("key", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("part"), F.lit(1).alias("probe"), "id", "text"))
-    dealt = parted.repartition(n, "key", "part").sortWithinPartitions("key", "part", "probe", "id")
-    found = connected_components(dealt.mapInArrow(partial(_verify, size=shingle, least=least), "src long, dst long"))
-    joined = distinct.select("id", "doc_id", "line", "n").join(found, F.col("id") == F.col("node"), "left").select("id", "doc_id", "line", F.coalesce("component", "id").alias("component"), ((F.col("n") > 1) | F.col("component").isNotNull()).alias("many")).filter("many")
-    first = joined.groupBy("component").agg(F.min(F.struct("doc_id", "line")).alias("first"))
-    stays = joined.join(first, "component").select("id", F.col("first.doc_id").alias("first_doc"), F.col("first.line").alias("first_line"))
-    gone = lines.select("doc_id", "line", "id").join(stays, "id").filter("doc_id <> first_doc or line <> first_line")
-    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    cut = partial(_lines, size=shingle, bands=bands, band_rows=band_rows)
+    lines = written(rows.select("doc_id", F.xxhash64("text").alias("version"), "text").mapInArrow(cut, "doc_id long, version long, line int, id long, " + ", ".join(f"{k} long" for k in keys)), "lines")
+    distinct = written(lines.groupBy("id").agg(F.count("*").alias("n"), *[F.min(k).alias(k) for k in keys]), "distinct")
+    meets = buckets.buckets(distinct, keys, parts)
+    texts = buckets.fetched(rows.select("text"), meets, _wanted_lines, filter_bits)
+    found = connected_components(buckets.links(meets, texts, partial(hashed_shingles, size=shingle), least, tile, parts))
+    many = distinct.filter("n > 1").select("id", "n").join(found.withColumnRenamed("node", "id"), "id", "full").select("id", F.coalesce("n", F.lit(1)).alias("n"), F.coalesce("component", "id").alias("component"))
+    total = lines.count()
+    repeated = written(join_unique(lines.select("id", "doc_id", "version", "line"), written(many, "many"), "id", "n", total).select("component", "doc_id", "line", "version"), "repeated")
+    first = repeated.groupBy("component").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line", "version")).alias("first"))
+    gone = join_unique(repeated, written(first, "first"), "component", "n", total).filter("struct(doc_id, line, version) <> first")
+    return gone.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False, count_as: str | None = None, **options) -> DataFrame:
@@ -290,8 +153,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``drop_emptied`` leaves out documents of which no line with words is left: all that they said is said elsewhere.
     """
     # what goes grows with the documents, so this join is never a broadcast
-    gone = written(duplicate_lines(docs, id_col, text_col, **options).select(F.col("doc_id").alias("__of"), F.col("lines").alias("__gone")), "gone").hint("merge")
-    both = docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("__of"), "left")
+    gone = written(duplicate_lines(docs, id_col, text_col, **options).select(F.col("doc_id").alias("__of"), F.col("version").alias("__version"), F.col("lines").alias("__gone")), "gone").hint("merge")
+    both = docs.join(gone, (F.col(f"`{id_col}`").cast("long") == F.col("__of")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("__version")), "left")
     left = F.concat_ws("\n", F.filter(F.split(F.col(f"`{text_col}`"), "\n"), lambda x, i: ~F.array_contains("__gone", i)))
     if drop_emptied:
         both = both.filter(F.col("__gone").isNull() | F.rlike(left, F.lit(r"[^\x20\x09-\x0D]")))

@@ -1,9 +1,9 @@
 """The pipeline's near-duplicate documents: five-word shingles, Jaccard similarity of 0.8 or more, of which one stays.
 
 Exact repeats are counted first. Distinct texts get MinHash signatures, cut into bands; texts that share a band meet in a
-bucket, where the similarity of their whole sets of shingles is computed, so no link is wrong. At the least similarity a pair
-shares no band in (1 - 0.8**4)**20 = 3e-5 of cases, at 0.85 in less than 1e-6. Buckets of more than ``tile`` distinct texts
-are split, and each part meets all texts that it has to. Operator 1 (``simhash``) has its own contract.
+bucket, where the similarity of their whole sets of shingles is computed (``buckets``), so no link is wrong. At the least
+similarity a pair shares no band in (1 - 0.8**3)**14 = 4e-5 of cases, at 0.85 in 1e-6. Operator 1 (``simhash``) has its own
+contract.
 
 Words are those of ``simhash``: lower-case A-Z, cut at ASCII white space, so line breaks make no difference; a text of fewer
 words than a shingle is one shingle. Texts without words are repeats of each other; null text counts as empty; rows with null
@@ -20,9 +20,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Links, id_text, written
+from . import buckets
+from .common import id_text, join_unique, written
 from .components import connected_components
-from .linededup import _MULTIPLIERS, _SHIFTS, _bits, _Bucket, _shared, band_keys
 
 _ODD = (np.random.default_rng(17).integers(0, 1 << 63, 64, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
@@ -63,10 +63,8 @@ def _marks(batches, size: int, bands: int, band_rows: int):
         docs, ids, sets, held = [], [], [], 0
 
         def flush():
-            picked = np.concatenate(sets).astype(np.uint32)
-            starts = np.cumsum([0, *map(len, sets[:-1])])
-            marks = np.stack([np.minimum.reduceat(picked * m, starts) for m in _MULTIPLIERS[: bands * band_rows]], 1)
-            columns = [pa.array(docs, pa.int64()), pa.array(np.array(ids, np.uint64).view(np.int64)), *map(pa.array, band_keys(marks, bands))]
+            marks = buckets.minhash(np.concatenate(sets).astype(np.uint32), np.cumsum([0, *map(len, sets[:-1])]), bands * band_rows)
+            columns = [pa.array(docs, pa.int64()), pa.array(np.array(ids, np.uint64).view(np.int64)), *map(pa.array, buckets.band_keys(marks, bands))]
             return pa.RecordBatch.from_arrays(columns, names=["doc_id", "id", *(f"b{k}" for k in range(bands))])
 
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -82,64 +80,34 @@ def _marks(batches, size: int, bands: int, band_rows: int):
             yield flush()
 
 
-def _wanted_texts(batches, bits: np.ndarray, size: int):
-    table = np.unpackbits(bits, count=size).view(bool)
+def _wanted_texts(batches, wanted: buckets.Filter):
     for batch in batches:
         ids = np.fromiter((_text_id(words_of(t.as_py())) for t in batch.column(0)), np.uint64, batch.num_rows)
-        keep = np.ones(len(ids), bool)
-        for s in _SHIFTS:
-            keep &= table[((ids >> np.uint64(s)) & np.uint64(size - 1)).astype(np.int64)]
+        keep = wanted.holds(ids)
         yield pa.RecordBatch.from_arrays([pa.array(ids[keep].view(np.int64)), batch.column(0).filter(pa.array(keep))], names=["id", "text"])
 
 
-def _verify(batches, size: int, least: float):
-    """Rows (key, part, probe, id, text) sorted by key, part and probe; owners of a part come before the texts they only meet."""
-    links, now, bucket, memo = Links(), None, None, _Hashes()
-    for batch in batches:
-        *keys, texts = batch.columns
-        for *key, probe, text_id, text in zip(*(c.to_pylist() for c in keys), texts):
-            if key != now:
-                now, bucket = key, _Bucket(size, least)
-            if probe and not bucket.ids:
-                continue
-            found = bucket.meet(text_id, shingles(words_of(text.as_py()), size, memo), not probe)
-            links.add(np.full(len(found), text_id, np.int64), np.array(found, np.int64))
-    a, b = links.edges()
-    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["src", "dst"])
-
-
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, shingle: int = 5, bands: int = 20, band_rows: int = 4, tile: int = 1000, filter_bits: int = 1 << 28) -> DataFrame:
+def _sets(texts: list[str], size: int):
+    memo = _Hashes()
+    return (shingles(words_of(t), size, memo) for t in texts)
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, shingle: int = 5, bands: int = 14, band_rows: int = 3, tile: int = 1000, filter_bits: int = buckets.FILTER_BITS) -> DataFrame:
     """(doc_id, component_id) of the documents that repeat another or are similar to one; component_id is their smallest id."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = id_text(docs, id_col, text_col).filter("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
     keys = [f"b{k}" for k in range(bands)]
     cut = partial(_marks, size=shingle, bands=bands, band_rows=band_rows)
     marked = written(rows.mapInArrow(cut, "doc_id long, id long, " + ", ".join(f"{k} long" for k in keys)), "marks")
     distinct = written(marked.groupBy("id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), *[F.min(k).alias(k) for k in keys]), "distinct")
-    meets = written(distinct.select("id", F.explode(F.array(*keys)).alias("key")).select("key", "id").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_shared, "key long, id long"), "buckets")
-    # buckets of the same texts in several bands are one bucket
-    sums = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")]
-    once = meets.groupBy("key").agg(*sums).groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
-    meets = written(meets.join(once, "key"), "distinct-buckets")
-    wanted = written(meets.select("id").distinct(), "wanted")
-    count, size = wanted.count(), min(1 << 20, filter_bits)
-    while size < min(12 * count, filter_bits):
-        size *= 2
-    fetched = rows.select("text").mapInArrow(partial(_wanted_texts, bits=_bits(wanted, size), size=size), "id long, text string")
-    fetched = written(fetched.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
-    hot = meets.groupBy("key").count().filter(F.col("count") > tile).select("key", F.ceil(F.col("count") / tile).cast("int").alias("parts"))
-    met = meets.join(fetched, "id")
-    if hot.isEmpty():
-        parted = met.select("key", F.lit(0).alias("part"), F.lit(0).alias("probe"), "id", "text")
-    else:
-        split = met.join(hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), "parts").cast("int"))
-        parted = split.select("key", F.col("own").alias("part"), F.lit(0).alias("probe"), "id", "text").union(
-            split.filter("own > 0").select("key", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("part"), F.lit(1).alias("probe"), "id", "text"))
-    dealt = parted.repartition(n, "key", "part").sortWithinPartitions("key", "part", "probe", "id")
-    found = connected_components(dealt.mapInArrow(partial(_verify, size=shingle, least=least), "src long, dst long"))
-    many = distinct.select("id", "rep", "n").join(found, F.col("id") == F.col("node"), "left").filter("n > 1 or component is not null").select("id", "rep", F.coalesce("component", "id").alias("component"))
-    low = many.groupBy("component").agg(F.min("rep").alias("component_id"))
-    return marked.select("doc_id", "id").join(many.join(low, "component").select("id", "component_id"), "id").select("doc_id", "component_id")
+    meets = buckets.buckets(distinct, keys, parts)
+    texts = buckets.fetched(rows.select("text"), meets, _wanted_texts, filter_bits)
+    found = connected_components(buckets.links(meets, texts, partial(_sets, size=shingle), least, tile, parts))
+    joined = distinct.select("id", "rep", "n").join(found.withColumnRenamed("node", "id"), "id", "left").filter("n > 1 or component is not null")
+    many = written(joined.select("id", "rep", "n", F.coalesce("component", "id").alias("component")), "many")
+    low = many.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("size"))
+    classes = join_unique(many, low, "component", "size", many.count()).select("id", "n", "component_id")
+    return join_unique(marked.select("doc_id", "id"), written(classes, "classes"), "id", "n", marked.count()).select("doc_id", "component_id")
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

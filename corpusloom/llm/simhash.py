@@ -10,7 +10,7 @@ Only distinct fingerprints are compared, and a task returns a spanning forest of
 
 Defined results: null text counts as empty, texts without words have fingerprint 0 and are linked like any other; repeated
 rows give a row each; a null id is returned as it is and never names a component unless all ids of the class are null
-(then component_id is null); an empty table gives no rows. Columns other than id and text are ignored.
+(then component_id is null); an empty table gives no rows. Columns other than id and text are ignored. Ids are integers.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Links, id_text, written
+from .common import Links, id_text, join_unique, written
 from .components import connected_components
 
 SEED = 42
@@ -155,10 +155,10 @@ def hamming_links(prints: DataFrame, radius: int = 2, tile: int = 8192, lanes: i
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``; component_id is the smallest id reachable over links."""
     rows = written(simhash(docs, id_col, text_col, shingle), "fingerprints")
-    prints = written(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")).filter("rep is not null"), "distinct")
-    found = connected_components(hamming_links(prints, radius))
-    classes = prints.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return rows.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
+    prints = written(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "distinct")
+    found = connected_components(hamming_links(prints.filter("rep is not null").select("fp", "rep"), radius))
+    classes = written(prints.join(found, F.col("rep") == F.col("node"), "left").select("fp", "n", F.coalesce("component", "rep").alias("component_id")), "classes")
+    return join_unique(rows, classes, "fp", "n", rows.count()).select("doc_id", "fp", "component_id")
 
 
 def hex_fingerprint(column: str = "fp"):

@@ -5,12 +5,12 @@ import numpy as np
 from corpusloom.llm import linededup as L
 
 
-def brute(rows, least=0.8, size=8, least_words=5, least_chars=25):
+def brute(rows, least=0.8, size=8):
     """(doc, line) pairs that go."""
     at = defaultdict(list)
     for doc, text in rows:
         for n, line in enumerate((text or "").split("\n")):
-            if len(line) >= least_chars and len(line.split()) >= least_words:
+            if line.split():
                 at[L.normalised(line)].append((doc, n))
     keys, group = sorted(at), {}
     sets, holding = [L.shingles(k, size) for k in keys], defaultdict(list)
@@ -70,10 +70,10 @@ def test_documents(spark, docs):
     out = L.dedup_lines(df, count_as="lost")
     got = [(str(r.doc_id), r.text, r.lost) for r in out.collect()]
     assert out.columns == [*df.columns, "lost"]
-    assert sorted(r[2] for r in got) == [0, 0, 0, 0, 0, 0, 1, 1, 2]
-    assert {(r[0], r[1]) for r in got} == {("1", rows[0][1]), ("2", "short\n"), ("3", ""), ("4", None), ("5", ""), ("None", shared), ("6", "short\nshort"), ("7", "")}
+    assert sorted(r[2] for r in got) == [0, 0, 0, 0, 0, 1, 1, 2, 2]
+    assert {(r[0], r[1]) for r in got} == {("1", rows[0][1]), ("2", "short\n"), ("3", ""), ("4", None), ("5", ""), ("None", shared), ("6", ""), ("7", "")}
     left = {str(r.doc_id) for r in L.dedup_lines(df, drop_emptied=True).collect()}
-    assert left == {"1", "2", "4", "5", "None", "6"}
+    assert left == {"1", "2", "4", "5", "None"}
     assert L.dedup_lines(df.limit(0)).count() == 0
 
 
@@ -94,8 +94,34 @@ def test_query_compares_every_line_with_a_word(spark, data, docs, tmp_path):
     planted = [(10**6 + k, f"Menu\nown line number {k}\n{chinese}{'' if k else '。'}\n{url}\n \nok", "en", "s", 1) for k in range(3)]
     table.union(spark.createDataFrame(planted, table.schema)).write.parquet(f"{tmp_path}/documents.parquet")
     rows = {r.doc_id: r.text for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()}
-    gone = brute(rows.items(), least_words=1, least_chars=1)
+    gone = brute(rows.items())
     assert {(10**6 + k, n) for k in (1, 2) for n in (0, 2, 3, 5)} <= gone
     expected = {i: "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone) for i, t in rows.items() if t is not None}
     got = {r.doc_id: r.text for r in queries.op9_line_dedup(spark, str(tmp_path)).collect()}
     assert {i: t for i, t in got.items() if t is not None} == expected
+
+
+def test_rows_of_one_id_with_other_texts(spark, docs):
+    a, b = LINE.format("one"), "quite another sentence that two documents of the table have in common with each other"
+    df = docs([(1, a), (2, f"{b}\nown words of two"), (2, f"yet more of them\n{a}"), (3, b), (3, f"{a}\n{b}")], "doc_id long, text string")
+    for options in ({}, {"filter_bits": 64}):
+        left = sorted((r.doc_id, r.text) for r in L.dedup_lines(df, **options).collect())
+        assert left == [(1, a), (2, f"{b}\nown words of two"), (2, "yet more of them"), (3, ""), (3, "")]
+
+
+def test_very_long_lines_and_scripts_without_spaces(spark, docs):
+    long, text = "word " * 60_000, "在许多文档中重复出现的没有空格的长句子" * 400
+    df = docs([(1, long), (2, f"{long}\n{text}"), (3, f"x\n{text}。"), (4, "\n".join(["x"] * 3000)), (5, "y")], "doc_id long, text string")
+    assert found(df) == brute([(r.doc_id, r.text) for r in df.collect()])
+
+
+def test_recall_at_the_least_similarity(spark, docs):
+    rng = np.random.default_rng(4)
+    rows, want = [], 0
+    for k in range(300):
+        a = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz    "), 200))
+        b = a[: (cut := int(rng.integers(60, 140)))] + "#" * int(rng.integers(1, 14)) + a[cut + 8 :]
+        x, y = L.shingles(L.normalised(a), 8), L.shingles(L.normalised(b), 8)
+        want += len(x & y) >= 0.8 * len(x | y)
+        rows += [(2 * k, a), (2 * k + 1, b)]
+    assert want > 200 and len(found(docs(rows, "doc_id long, text string"))) >= 0.98 * want
