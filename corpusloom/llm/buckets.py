@@ -3,8 +3,8 @@
 Shared by the operators on lines and on whole documents. An item is a 64-bit hash of its text. Buckets with the same items in
 several bands are compared once. Texts of the items that share a bucket with others are read again from their source: rows go
 through a bit table of the wanted hashes (a Bloom filter of at most ``FILTER_BITS`` bits, whatever the input) and then a semi
-join, so a full table costs a larger shuffle and never a text. A bucket of more than ``tile`` items is split in parts, each of
-which meets the items of all parts after it.
+join, so a full table costs a larger shuffle and never a text. A bucket of more than ``tile`` items is split in parts, and each pair
+of parts is a task's work of its own, of about 2 ``tile`` items at most.
 """
 
 from __future__ import annotations
@@ -141,14 +141,14 @@ class Bucket:
 
 
 def _verify(batches, sets: Callable[[list[str]], Iterable[np.ndarray]], least: float):
-    """Rows (key, part, probe, id, text) sorted by key, part and probe; owners of a part come before the items they only meet."""
+    """Rows (key, low, high, probe, id, text) sorted by key, pair of parts and probe; the first part's items come before those they only meet."""
     links, now, bucket = Links(), None, None
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             *keys, texts = (c.to_pylist() for c in batch.slice(at, 500).columns)
-            for key, part, probe, item, own in zip(*keys, sets(texts)):
-                if (key, part) != now:
-                    now, bucket = (key, part), Bucket(least)
+            for *pair, probe, item, own in zip(*keys, sets(texts)):
+                if pair != now:
+                    now, bucket = pair, Bucket(least)
                 if probe and not bucket.ids:
                     continue
                 found = bucket.meet(item, own, not probe)
@@ -160,7 +160,10 @@ def _verify(batches, sets: Callable[[list[str]], Iterable[np.ndarray]], least: f
 
 def links(meets: DataFrame, texts: DataFrame, sets: Callable[[list[str]], Iterable[np.ndarray]], least: float, tile: int, parts: int) -> DataFrame:
     """(src, dst): spanning forests of the links between similar items of a bucket. ``sets`` makes sorted arrays of shingles of texts."""
-    own = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / tile)).cast("int")
-    met = meets.join(texts, "id").withColumn("own", own).select("key", F.explode(F.sequence(F.lit(0), "own")).alias("part"), "own", "id", "text")
-    dealt = met.select("key", "part", (F.col("part") < F.col("own")).cast("int").alias("probe"), "id", "text").repartition(parts, "key", "part").sortWithinPartitions("key", "part", "probe", "id")
+    count = F.ceil(F.col("size") / tile)
+    met = meets.join(texts, "id").withColumn("own", F.pmod(F.xxhash64("id"), count).cast("int")).withColumn("last", (count - 1).cast("int"))
+    # each part with every later one; its own items are compared in all of these, those of the last part by themselves
+    paired = met.select("key", "own", "id", "text", F.explode(F.filter(F.sequence(F.lit(0), "last"), lambda p: (p != F.col("own")) | (p == F.col("last")))).alias("other"))
+    low, high = F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")
+    dealt = paired.select("key", low, high, (F.col("own") > F.col("other")).cast("int").alias("probe"), "id", "text").repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high", "probe", "id")
     return dealt.mapInArrow(partial(_verify, sets=sets, least=least), "src long, dst long")

@@ -128,7 +128,7 @@ def _wanted_lines(batches, wanted: buckets.Filter):
         yield pa.RecordBatch.from_arrays([pa.array(ids[at].view(np.int64)), pa.array([lines[i] for i in at], pa.string())], names=["id", "text"])
 
 
-def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, shingle: int = 8, bands: int = 7, band_rows: int = 3, tile: int = 2000, filter_bits: int = buckets.FILTER_BITS) -> DataFrame:
+def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, shingle: int = 8, bands: int = 7, band_rows: int = 3, tile: int = 1000, filter_bits: int = buckets.FILTER_BITS) -> DataFrame:
     """(doc_id, version, lines array<int>): the numbers (from 0) of the lines that each document loses; version is xxhash64 of its text."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).filter("doc_id is not null and text is not null")
