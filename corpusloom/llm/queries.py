@@ -55,7 +55,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import chat
 
-    return chat.link_quotes(_table(spark, sf_dir, "conversations"))
+    return chat.formatted(chat.link_quotes(_table(spark, sf_dir, "conversations")))
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
