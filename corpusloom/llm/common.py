@@ -35,6 +35,13 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def filesystem(folder: str):
+    """(file system, path) of a folder of the shared storage, for tasks that read or write files of their own there."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder)
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only id and text, under internal names, null text as empty; other columns can't clash with internal ones."""
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))

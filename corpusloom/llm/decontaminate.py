@@ -10,16 +10,21 @@ text. Those places are found without loss: an item is cut into two pieces more t
 equal there; they are looked up at the places of a text where enough words are words of such items. Of items under ``TOLERANT``
 words all words have to be equal, as a question so short with another word is mostly another question.
 
-Words are lower case without punctuation around them; those of punctuation alone are left out. Test items are indexed in blocks of a bounded number of words: a block's index is broadcast and all
-documents are read against it, so test sets of any size pass in as many reads as they have blocks, and no shuffle is needed.
+Words are lower case without punctuation around them; those of punctuation alone are left out. Test items are indexed by tasks
+in blocks of about ``block_words`` words, files of the shared folder. The documents are read once: a task joins the seeds of its
+texts with those of one block after another, and keeps the blocks that fit into ``HELD`` bytes between its texts. So test sets of
+any size pass without the driver, a broadcast or a shuffle of documents, and memory is that of a few blocks.
 
-Defined results: null texts, texts and items without words overlap with nothing; repeated rows are reported once each; null
+Defined results: null texts, texts and items without words overlap with nothing; repeated rows of documents are reported once each, and repeated
+items (of one id and text) are one item; null
 ids are reported like others; an empty table on either side gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from functools import partial, reduce
+import pickle
+from collections.abc import Callable
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -28,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text
+from .common import filesystem, id_text, shared_dir
 
 #: Of weight 8; any two words of a passage may differ between hits of different masks.
 MASKS = ("11111111", "1101100111011", "1110010110111", "110101100110011")
@@ -91,7 +96,8 @@ class Index:
             order = np.argsort(h, kind="stable")
             bits = np.zeros(1 << 22, bool)
             bits[(h >> np.uint64(42)).astype(np.int64)] = True
-            self.tables.append((mask, h[order], np.concatenate(item)[order] if item else h.astype(int), np.concatenate(place)[order] if place else h.astype(int), np.packbits(bits)))
+            item, place = (np.concatenate(x).astype(np.int32)[order] if x else np.empty(0, np.int32) for x in (item, place))
+            self.tables.append((mask, h[order], item, place, np.packbits(bits, bitorder="little")))
         del self.masks
         self._whole: dict[float, Whole] = {}
 
@@ -100,16 +106,22 @@ class Index:
             self._whole[least_share] = Whole(self.words, least_share)
         return self._whole[least_share]
 
-    def hits(self, words: np.ndarray):
-        """(place in words, item, place in item) of every seed that a test item has too."""
-        for mask, hashes, item, place, packed in self.tables:
-            found = seed_hashes(words, mask)
-            bits = np.unpackbits(packed).view(bool)
-            at = np.flatnonzero(bits[(found >> np.uint64(42)).astype(np.int64)])
+    def hits(self, seeds: Callable[[str], np.ndarray], most: int = 1_000_000):
+        """(place in words, item, place in item, words of the mask) of every seed that a test item has too, about ``most`` at a time."""
+        for mask, hashes, item, place, bits in self.tables:
+            found = seeds(mask)
+            slot = (found >> np.uint64(42)).astype(np.int64)
+            at = np.flatnonzero(bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
             low, high = np.searchsorted(hashes, found[at], "left"), np.searchsorted(hashes, found[at], "right")
-            counts = high - low
-            rows = np.repeat(low - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
-            yield np.repeat(at, counts), item[rows], place[rows], len(mask)
+            at, low, counts = at[high > low], low[high > low], (high - low)[high > low]
+            ends = np.cumsum(counts)
+            for part in np.split(np.arange(len(at)), np.searchsorted(ends, np.arange(most, int(ends[-1]) if len(ends) else 0, most))):
+                n = counts[part]
+                rows = np.repeat(low[part] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                yield np.repeat(at[part], n), item[rows].astype(np.int64), place[rows].astype(np.int64), len(mask)
+
+    def bytes(self) -> int:
+        return sum(x.nbytes for table in self.tables for x in table[1:]) + sum(w.nbytes for w in self.words)
 
 
 class Whole:
@@ -173,30 +185,43 @@ def best_run(equal: np.ndarray, penalty: float) -> tuple[int, int]:
     return int(np.flatnonzero(balance[: stop + 1] == low[stop])[-1]), stop
 
 
-def _overlaps(texts: list[str], words: Words, index: Index, least_words: int, least_share: float, penalty: float) -> dict[tuple[int, int], tuple[int, int, int]]:
+class Texts:
+    """Words of some texts in turn, and the hashes of their seeds."""
+
+    def __init__(self, texts: list[str], words: Words):
+        self.parts = [words.of(t) for t in texts]
+        self.ends = np.cumsum([len(p) for p in self.parts])
+        self.starts = self.ends - [len(p) for p in self.parts]
+        self.words = np.concatenate(self.parts) if self.parts else np.empty(0, np.uint64)
+        self._seeds: dict[str, np.ndarray] = {}
+
+    def seeds(self, mask: str) -> np.ndarray:
+        if mask not in self._seeds:
+            self._seeds[mask] = seed_hashes(self.words, mask)
+        return self._seeds[mask]
+
+
+def matches(texts: Texts, index: Index, least_words: int, least_share: float, penalty: float) -> dict[tuple[int, int], tuple[int, int, int]]:
     """(text, item) -> (start, words, equal words) of the best overlap."""
-    parts = [words.of(t) for t in texts]
-    ends = np.cumsum([len(p) for p in parts])
-    starts = ends - [len(p) for p in parts]
-    all_words = np.concatenate(parts) if parts else np.empty(0, np.uint64)
     met = set()
-    for at, item, place, span in index.hits(all_words):
-        doc = np.searchsorted(ends, at, "right")
-        inside = at + span <= ends[doc]
-        met.update(zip(doc[inside].tolist(), item[inside].tolist(), (at - place - starts[doc])[inside].tolist()))
+    for at, item, place, span in index.hits(texts.seeds):
+        doc = np.searchsorted(texts.ends, at, "right")
+        inside = at + span <= texts.ends[doc]
+        rows = np.unique(np.stack([doc, item, at - place - texts.starts[doc]], 1)[inside], axis=0)
+        met.update(map(tuple, rows.tolist()))
     found: dict[tuple[int, int], tuple[int, int, int]] = {}
     for doc, item, shift in sorted(met):
-        mine, own = index.words[item], parts[doc]
+        mine, own = index.words[item], texts.parts[doc]
         low, high = max(0, -shift), min(len(mine), len(own) - shift)
         equal = mine[low:high] == own[low + shift : high + shift]
         s, e = best_run(equal, penalty)
         n, same = e - s, int(equal[s:e].sum())
         if n >= min(least_words, len(mine)) and same >= least_share * n and same > found.get((doc, item), (0, 0, 0))[2]:
             found[doc, item] = (low + shift + s, n, same)
-    for place, item, same in index.whole(least_share).hits(all_words, ends):
-        doc = int(np.searchsorted(ends, place, "right"))
+    for place, item, same in index.whole(least_share).hits(texts.words, texts.ends):
+        doc = int(np.searchsorted(texts.ends, place, "right"))
         if same > found.get((doc, item), (0, 0, 0))[2]:
-            found[doc, item] = (place - int(starts[doc]), len(index.words[item]), same)
+            found[doc, item] = (place - int(texts.starts[doc]), len(index.words[item]), same)
     return found
 
 
@@ -213,12 +238,85 @@ def _chunks(column: pa.Array, chars: int = 1_000_000):
         yield start, texts
 
 
-def _report(batches, index: Index, kind: pa.DataType, **rule):
+#: Bytes of index blocks that a worker keeps between its texts and tasks, and those blocks.
+HELD = 128 << 20
+_OPEN: dict[str, Index] = {}
+
+
+class Blocks:
+    """The index blocks of a folder, in the order of their numbers."""
+
+    def __init__(self, folder: str, names: list[str]):
+        self.folder, self.names = folder, names
+
+    def __iter__(self):
+        for old in [path for path in _OPEN if not path.startswith(self.folder)]:
+            del _OPEN[old]
+        size = sum(index.bytes() for index in _OPEN.values())
+        for name in self.names:
+            path = f"{self.folder}/{name}"
+            index = _OPEN.get(path)
+            if index is None:
+                system, at = filesystem(path)
+                with system.open_input_stream(at) as f:
+                    index = pickle.loads(f.read())
+                if size + index.bytes() <= HELD:
+                    _OPEN[path] = index
+                    size += index.bytes()
+            yield index
+
+
+def _write_blocks(batches, folder: str, masks: tuple[str, ...]):
+    """Rows (block, id, text) sorted by block; writes a file for each block under another name and renames it."""
+    from pyspark import TaskContext
+
+    system, root = filesystem(folder)
+    held: list[tuple] = []
+    now, attempt = None, TaskContext.get().taskAttemptId()
+
+    def flush():
+        name = f"block-{now:07d}"
+        with system.open_output_stream(f"{root}/_{name}.{attempt}") as f:
+            f.write(pickle.dumps(Index(sorted(held, key=lambda r: (r[0] is None, r[0], r[1])), masks), protocol=5))
+        system.move(f"{root}/_{name}.{attempt}", f"{root}/{name}")
+        return pa.RecordBatch.from_arrays([pa.array([name])], names=["name"])
+
+    for batch in batches:
+        for block, item, text in zip(*(c.to_pylist() for c in batch.columns)):
+            if block != now:
+                if held:
+                    yield flush()
+                now, held = block, []
+            held.append((item, text))
+    if held:
+        yield flush()
+
+
+def write_index(benchmark: DataFrame, item_id: str, item_text: str, masks: tuple[str, ...], block_words: int) -> Blocks:
+    """Index the items in blocks of the shared folder; the driver has the names of the blocks alone."""
+    items = id_text(benchmark, item_id, item_text).distinct()
+    total = items.agg(F.sum(F.size(F.split("text", r"\s+")).cast("long"))).first()[0] or 0
+    blocks, folder = max(1, -(-total // block_words)), f"{shared_dir(benchmark.sparkSession)}/index"
+    system, root = filesystem(folder)
+    system.create_dir(root)
+    rows = items.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"), "doc_id", "text")
+    dealt = rows.repartition(min(blocks, 1000), "block").sortWithinPartitions("block")
+    names = dealt.mapInArrow(partial(_write_blocks, folder=folder, masks=masks), "name string").collect()  # a short name for each block
+    return Blocks(folder, sorted(r.name for r in names))
+
+
+def _matches(column: pa.Array, words: Words, blocks: Blocks, **rule):
+    """(first row, texts, overlaps with each block) of the texts of a column; larger chunks where there are more blocks than are kept."""
+    for start, texts in _chunks(column, 1_000_000 * min(16, 1 + len(blocks.names) // 8)):
+        prepared = Texts(texts, words)
+        yield start, len(texts), ((index, matches(prepared, index, **rule)) for index in blocks)
+
+
+def _report(batches, blocks: Blocks, kind: pa.DataType, **rule):
     words = Words()
     for batch in batches:
-        for start, texts in _chunks(batch.column(1)):
-            found = _overlaps(texts, words, index, **rule)
-            rows = [(d + start, index.ids[i], len(index.words[i]), *x) for (d, i), x in found.items()]
+        for start, _, found in _matches(batch.column(1), words, blocks, **rule):
+            rows = [(d + start, index.ids[i], len(index.words[i]), *x) for index, pairs in found for (d, i), x in pairs.items()]
             cols = list(zip(*rows)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], kind), *(pa.array(c, pa.int32()) for c in cols[2:])],
@@ -226,26 +324,15 @@ def _report(batches, index: Index, kind: pa.DataType, **rule):
             )
 
 
-def _clean(batches, index: Index, text: int, **rule):
+def _clean(batches, blocks: Blocks, text: int, **rule):
     words = Words()
     for batch in batches:
-        for start, texts in _chunks(batch.column(0).field(text)):
-            bad = {d for d, _ in _overlaps(texts, words, index, **rule)}
-            keep = pa.array([start + k for k in range(len(texts)) if k not in bad], pa.int64())
-            yield batch.take(keep)
-
-
-def _indexes(benchmark: DataFrame, item_id: str, item_text: str, masks: tuple[str, ...], block_words: int):
-    """Indexes of all items, block by block; only a block of about ``block_words`` words is on the driver at a time."""
-    items = id_text(benchmark, item_id, item_text)
-    total = items.agg(F.sum(F.size(F.split("text", " ")).cast("long"))).first()[0] or 0
-    blocks = -(-total // block_words)
-    for b in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()
-        yield Index([(r.doc_id, r.text) for r in sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id, r.text))], masks)
+        for start, n, found in _matches(batch.column(0).field(text), words, blocks, **rule):
+            bad = {d for _, pairs in found for d, _ in pairs}
+            yield batch.take(pa.array([start + k for k in range(n) if k not in bad], pa.int64()))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS, least_words: int = 12, least_share: float = 0.75, penalty: float = 2.0, block_words: int = 400_000) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS, least_words: int = 12, least_share: float = 0.75, penalty: float = 2.0, block_words: int = 100_000) -> DataFrame:
     """(doc_id, item_id, item_words, start, n_words, n_equal): the best overlap of every row with every item it overlaps with."""
     rows = id_text(docs, id_col, text_col)
     kind, item_kind = rows.schema["doc_id"].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()
@@ -254,14 +341,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
     arrow = to_arrow_type(benchmark.schema[item_id].dataType)
     rule = {"least_words": least_words, "least_share": least_share, "penalty": penalty}
-    found = [rows.mapInArrow(partial(_report, index=i, kind=arrow, **rule), shape) for i in _indexes(benchmark, item_id, item_text, masks, block_words)]
-    return reduce(DataFrame.union, found) if found else docs.sparkSession.createDataFrame([], shape)
+    blocks = write_index(benchmark, item_id, item_text, masks, block_words)
+    return rows.mapInArrow(partial(_report, blocks=blocks, kind=arrow, **rule), shape)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS, least_words: int = 12, least_share: float = 0.75, penalty: float = 2.0, block_words: int = 400_000) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS, least_words: int = 12, least_share: float = 0.75, penalty: float = 2.0, block_words: int = 100_000) -> DataFrame:
     """The rows of ``docs`` that overlap with no item, with all their columns; a filter in place, without a join."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     rule = {"text": docs.columns.index(text_col), "least_words": least_words, "least_share": least_share, "penalty": penalty}
-    for index in _indexes(benchmark, item_id, item_text, masks, block_words):
-        rows = rows.mapInArrow(partial(_clean, index=index, **rule), rows.schema)
-    return rows.select("row.*")
+    blocks = write_index(benchmark, item_id, item_text, masks, block_words)
+    return rows.mapInArrow(partial(_clean, blocks=blocks, **rule), rows.schema).select("row.*")

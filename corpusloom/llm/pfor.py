@@ -27,16 +27,16 @@ import zlib
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import id_text, shared_dir
+from .common import filesystem, id_text, shared_dir
 from .tokens import Encoder, vocabulary
 
 BLOCK, MAGIC, VERSION = 4096, b"CLPF", 1
+FILES = "name string, part long, serial long, docs long, tokens long, bytes long"
 _HEAD = struct.Struct("<4sIQQQQ")
 _BLOCK = struct.Struct("<IHHBBxx")
 
@@ -113,18 +113,11 @@ class Reader:
         return np.concatenate(parts)[start - first * self.block : stop - first * self.block]
 
 
-def _filesystem(folder: str):
-    from pyarrow import fs
-
-    system, path = fs.FileSystem.from_uri(folder)
-    return system, path
-
-
 def _write(batches, folder: str, path: str, end_id: int, percentile: float, file_ids: int):
     from pyspark import TaskContext
 
     encoder, end, attempt = Encoder.of(path), np.uint32(end_id).astype("<u4").tobytes(), TaskContext.get().taskAttemptId()
-    system, root = _filesystem(folder)
+    system, root = filesystem(folder)
     ids: list[int | None] = []
     lengths: list[int] = []
     held: list[bytes] = []
@@ -138,9 +131,9 @@ def _write(batches, folder: str, path: str, end_id: int, percentile: float, file
         with system.open_output_stream(f"{root}/_{name}.{attempt}") as f:
             f.write(payload)
         system.move(f"{root}/_{name}.{attempt}", f"{root}/{name}")
-        row = (name, len(ids), size, len(payload))
+        row = (name, now, serial, len(ids), size, len(payload))
         ids, lengths, held, size, serial = [], [], [], 0, serial + 1
-        return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["name", "docs", "tokens", "bytes"])
+        return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["name", "part", "serial", "docs", "tokens", "bytes"])
 
     for batch in batches:
         for part, doc_id, text in zip(*batch.columns):
@@ -160,29 +153,30 @@ def _write(batches, folder: str, path: str, end_id: int, percentile: float, file
 
 
 def _ranges(rows: DataFrame, n: int):
-    """A column with the number of the id's range, of about ``n`` ranges of as many rows each."""
+    """A column with the number of the id's range, of about ``n`` ranges of as many rows each (0: null); built-in functions alone."""
     found = rows.select(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 20 * n).alias("q")).first()["q"] if n > 1 else None
-    bounds = np.unique(np.array(found or [], np.int64))
-
-    @F.pandas_udf("int")
-    def number(ids: pd.Series) -> pd.Series:
-        return pd.Series((np.searchsorted(bounds, ids.to_numpy(np.int64), "left") + 1).astype(np.int32))
-
-    # no null reaches pandas, which would turn ids into floats
-    return F.when(F.col("doc_id").isNull(), 0).otherwise(number(F.coalesce("doc_id", F.lit(0))))
-
-
-def write_token_files(docs: DataFrame, folder: str, vocabulary_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", percentile: float = 0.9, file_ids: int = 4_000_000) -> list:
-    """Write all documents' ids to ``folder`` in ascending id order; returns a row (name, docs, tokens, bytes) for each file."""
+    bounds = sorted(set(found or []))
+    if not bounds:
+        return F.when(F.col("doc_id").isNull(), 0).otherwise(1)
+    width = int(len(bounds) ** 0.5) + 1  # bounds in groups: the last group that begins below the id, then its bounds below the id
+    groups = [bounds[i : i + width] for i in range(0, len(bounds), width)]
+    row = lambda values: F.array(*[F.lit(v).cast("long") for v in values])
+    group = F.size(F.filter(row([g[0] for g in groups]), lambda b: b < F.col("doc_id")))
+    inside = F.size(F.filter(F.get(F.array(*map(row, groups)), group - 1), lambda b: b < F.col("doc_id")))
+    return F.when(F.col("doc_id").isNull(), 0).when(group == 0, 1).otherwise((group - 1) * width + inside + 1)
+
+
+def write_token_files(docs: DataFrame, folder: str, vocabulary_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", percentile: float = 0.9, file_ids: int = 4_000_000) -> None:
+    """Write all documents' ids to ``folder`` in ascending id order, and the list of files (``_files``: name, part, serial, docs, tokens, bytes), each row by the task that wrote the file."""
     spark = docs.sparkSession
-    system, root = _filesystem(folder)
+    system, root = filesystem(folder)
     system.create_dir(root)
     rows = id_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parted = rows.select(_ranges(rows, 3 * n).alias("part"), "doc_id", "text")
     dealt = parted.repartition(n, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     work = partial(_write, folder=folder, path=vocabulary_path, end_id=end_id, percentile=percentile, file_ids=file_ids)
-    return sorted(dealt.mapInArrow(work, "name string, docs long, tokens long, bytes long").collect())
+    dealt.mapInArrow(work, FILES).write.mode("overwrite").parquet(f"{folder}/_files")
 
 
 def _read(batches):
@@ -207,13 +201,17 @@ def _read(batches):
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in the files of ``folder``, decoded from their blocks.
 
-    start counts the ids of all documents before it over all files in name order; only one row per file is summed for that.
+    start counts the ids of all documents before it over all files in name order. Only rows of files are summed for that: those
+    of a range by themselves, and one row for each range, of which there are as many as shuffle partitions allow.
     """
     shape = "name string, doc_id long, start long, n_tokens long, ids_crc32 long"
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.pfor").load(folder).select("path", "content")
     docs = files.mapInArrow(_read, shape)
-    totals = spark.read.parquet(f"{folder}/_files").select("name", "tokens")
-    before = totals.select("name", (F.sum("tokens").over(W.orderBy("name")) - F.col("tokens")).alias("before"))
+    totals = spark.read.schema(FILES).parquet(f"{folder}/_files")
+    ranges = totals.groupBy("part").agg(F.sum("tokens").alias("tokens"))
+    ranges = ranges.select("part", (F.sum("tokens").over(W.orderBy("part")) - F.col("tokens")).alias("above"))
+    inside = totals.select("name", "part", (F.sum("tokens").over(W.partitionBy("part").orderBy("serial")) - F.col("tokens")).alias("within"))
+    before = inside.join(ranges, "part").select("name", (F.col("above") + F.col("within")).alias("before"))
     return docs.join(before, "name").select("doc_id", (F.col("before") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 
 
@@ -221,6 +219,5 @@ def encode_corpus(docs: DataFrame, vocabulary_path: str | None = None, end_id: i
     """Write the files and their list (``_files``, a row per file) into a folder, by default a new one of the shared folder; returns it."""
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/tokens"
-    files = write_token_files(docs, folder, vocabulary_path or vocabulary("word_bpe_49k.json"), end_id, **options)
-    spark.createDataFrame(files, "name string, docs long, tokens long, bytes long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/_files")
+    write_token_files(docs, folder, vocabulary_path or vocabulary("word_bpe_49k.json"), end_id, **options)
     return folder

@@ -46,8 +46,8 @@ def test_substitutions_are_tolerated():
         text = [rng.choice(VOCABULARY) for _ in range(100)]
         changed = [w if rng.random() > 0.1 else "zz" for w in item]
         index = D.Index([(1, " ".join(item))], D.MASKS)
-        hit += bool(D._overlaps([" ".join(text + changed + text)], D.Words(), index, 12, 0.75, 2.0))
-        assert not D._overlaps([" ".join(text)], D.Words(), index, 12, 0.75, 2.0)
+        hit += bool(D.matches(D.Texts([" ".join(text + changed + text)], D.Words()), index, 12, 0.75, 2.0))
+        assert not D.matches(D.Texts([" ".join(text)], D.Words()), index, 12, 0.75, 2.0)
     assert hit >= 190
 
 
@@ -82,8 +82,27 @@ def test_short_items_with_substitutions():
             for k, item in enumerate(items):
                 if any(4 * sum(a == b for a, b in zip(item, text[p:])) >= 3 * n for p in range(len(text) - n + 1)):
                     expected.add((d, k))
-        found = set(D._overlaps([" ".join(t) for t in texts], D.Words(), index, 12, 0.75, 2.0))
+        found = set(D.matches(D.Texts([" ".join(t) for t in texts], D.Words()), index, 12, 0.75, 2.0))
         runs = {(d, k) for d, k in found - expected}  # parts of 12 words and more of a longer item
         assert expected <= found and len(expected) >= 55 and (n > 12 or not runs)
     one = D.Index([(1, "a b c d e f g")], D.MASKS)  # under eight words, all have to be equal
-    assert D._overlaps(["x a b c d e f g", "x a b c d e f h"], D.Words(), one, 12, 0.75, 2.0) == {(0, 0): (1, 7, 7)}
+    assert D.matches(D.Texts(["x a b c d e f g", "x a b c d e f h"], D.Words()), one, 12, 0.75, 2.0) == {(0, 0): (1, 7, 7)}
+
+
+def test_blocks_give_the_same_overlaps_in_one_scan(spark, data):
+    docs, items = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "benchmark"))
+    whole, parted = D.overlaps(docs, items), D.overlaps(docs, items, block_words=200)
+    assert sorted(whole.collect()) == sorted(parted.collect()) and whole.count()
+    assert parted._jdf.queryExecution().toString().count("FileScan parquet") == whole._jdf.queryExecution().toString().count("FileScan parquet")
+    kept = D.drop_contaminated(docs, items, block_words=200)
+    bad = {r.doc_id for r in whole.collect()}
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in docs.select("doc_id").collect()} - bad
+
+
+def test_repeated_words_and_very_long_texts():
+    index = D.Index([(1, "spam " * 3000), (2, " ".join(VOCABULARY[:40]))], D.MASKS)
+    text = " ".join(["spam"] * 4000 + VOCABULARY[100:50_000 % 5000 + 100] * 3 + VOCABULARY[:40] + ["spam"] * 500)
+    found = D.matches(D.Texts([text, "", "spam"], D.Words()), index, 12, 0.75, 2.0)
+    assert {k: v[2] for k, v in found.items()} == {(0, 0): 3000, (0, 1): 40}
+    ties = D.matches(D.Texts([" ".join(VOCABULARY[:40] * 3)], D.Words()), index, 12, 0.75, 2.0)
+    assert ties == {(0, 1): (0, 40, 40)} or ties[0, 1][1:] == (40, 40)
