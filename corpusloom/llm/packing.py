@@ -3,8 +3,9 @@
 Documents become pieces: one piece, or pieces of ``capacity`` ids of which the first may be shorter. Each partition packs its
 pieces best-fit (longest first, into the fullest sequence with room) as soon as it has tokenized them. Sequences with almost
 no room left are final. Those with room go on as items to the next round, in fewer partitions, where whole sequences are
-packed best-fit again, and so on up the tree. A partition of a later round takes a bounded number of items: where the last
-rounds hold more than that, they end with as many partitions as needed, and their sequences with room stay as they are.
+packed best-fit again, and so on up the tree. A partition of a later round takes ``most_items`` items at most, which bounds
+its memory; where more are left than one partition takes, they are dealt anew, so that others meet, until a round at whose end
+there is one partition or nothing (less than a thousandth) was won.
 
 A sequence is a row that carries its members, so a round shuffles a few dozen bytes a piece and never a text or its ids.
 Rounds are written tables; a lost executor costs a part of one round.
@@ -130,15 +131,16 @@ def pack(docs: DataFrame, vocabulary_path: str | None = None, end_id: int = 0, c
     work = partial(_pack_texts, path=vocabulary_path or vocabulary("byte_bpe_50k.json"), end_id=end_id, capacity=capacity, slack=slack)
     now = written(rows.mapInArrow(work, shape), "round-0")
     parts = max(1, now.select(F.spark_partition_id().alias("p")).distinct().count())
-    done, level = [], 0
+    done, level, won = [], 0, True
     while parts > 1 or not level:
         open_ = now.filter("not full")
         n = open_.count()
-        to = max(-(-parts // fan_in), -(-n // most_items))
-        if not n or to >= parts and level:
+        to = min(parts, max(-(-parts // fan_in), -(-n // most_items)))
+        if not n or level and to >= parts and not won:
             break
         done.append(now.filter("full"))
         parts, level = to, level + 1
-        now = written(open_.repartition(parts, "bin").mapInArrow(partial(_repack, capacity=capacity, slack=slack, level=level), shape), f"round-{level}")
+        now = written(open_.repartition(parts, F.xxhash64("bin", F.lit(level))).mapInArrow(partial(_repack, capacity=capacity, slack=slack, level=level), shape), f"round-{level}")
+        won = n - now.count() > n // 1000
     sequences = reduce(DataFrame.union, [*done, now]).select("bin", "members")
     return sequences.mapInArrow(_unfold, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
