@@ -33,7 +33,8 @@ NAMES = {
         "Carol Caroline Catherine Charlotte Christina Christine Chloe Clara Cynthia Deborah Diana Donna Dorothy Elisabeth Elizabeth Ella Emily Eva Evelyn Fiona Frances Franziska Gabriela Giulia Gloria "
         "Grace Heather Heidi Helen Helena Ingrid Irene Isabel Isabella Jacqueline Jane Janet Jennifer Jessica Joan Johanna Josephine Joyce Judith Julie Karen Katharina Katherine Kathleen Kelly Kimberly "
         "Kristin Lea Lena Linda Lisa Louise Lucy Madison Manon Margaret Marta Martha Mary Megan Melissa Mia Michelle Monica Monika Nancy Natalie Nicole Nina Nora Pamela Patricia Paula Petra Rachel "
-        "Rebecca Renate Rosa Ruth Sabine Samantha Sandra Sara Sarah Sharon Silvia Sonia Stephanie Teresa Theresa Ursula Valentina Valerie Vanessa Victoria Virginia Yvonne Zoe"
+        "Rebecca Renate Rosa Ruth Sabine Samantha Sandra Sara Sarah Sharon Silvia Sonia Stephanie Teresa Theresa Ursula Valentina Valerie Vanessa Victoria Virginia Yvonne Zoe "
+        "Aisha Amina Ananya Ayesha Fatima Keiko Khadija Layla Leila Mei Ngozi Priya Sakura Sunita Yasmin Yuki Zainab"
     ).split(),
     ("latin", "m"): (
         "Antoine Carlos Daniel David Felix Hans Jack James Jean John Karl Lukas Martin Michael Pablo Paul Peter Robert Thomas Aaron Adam Alan Albert Alejandro Alexander Alfred Andreas Andrew Anthony "
@@ -41,7 +42,8 @@ NAMES = {
         "Francisco Frank Frederick Friedrich Gabriel Gary George Gerald Gerhard Giovanni Gregory Guillaume Harold Heinrich Helmut Henri Henry Hugo Ivan Jacob Jacques Jason Javier Jeffrey Jerry Joachim "
         "Johannes Jonathan Jorge Jose Joseph Joshua Juan Julien Jürgen Keith Kenneth Kevin Klaus Kurt Larry Lawrence Leon Liam Louis Luca Lucas Luis Manuel Marco Marcus Mario Matthew Matthias Maximilian "
         "Miguel Nathan Nicholas Nicolas Noah Oliver Oscar Otto Patrick Philip Philippe Pierre Rafael Ralph Raymond Ricardo Richard Roger Roland Ronald Russell Ryan Samuel Scott Sebastian Sergio Simon "
-        "Stefan Stephen Steven Theodore Timothy Tobias Ulrich Victor Vincent Walter Werner William Wolfgang Xavier Zachary"
+        "Stefan Stephen Steven Theodore Timothy Tobias Ulrich Victor Vincent Walter Werner William Wolfgang Xavier Zachary "
+        "Abdul Ahmed Ali Arjun Chen Hassan Hiroshi Ibrahim Kenji Khalid Kwame Mohammed Muhammad Mustafa Omar Rahul Raj Ravi Sanjay Takashi Tariq Wei Yusuf"
     ).split(),
     ("cyrillic", "f"): "Анна Дарья Екатерина Елена Ирина Мария Наталья Ольга Светлана Татьяна Александра Алина Анастасия Валентина Вера Виктория Галина Евгения Елизавета Ксения Людмила Марина Надежда Нина Полина София Юлия".split(),
     ("cyrillic", "m"): "Алексей Андрей Владимир Дмитрий Иван Михаил Николай Павел Сергей Юрий Александр Анатолий Антон Артём Борис Василий Виктор Виталий Григорий Денис Евгений Игорь Илья Кирилл Константин Максим Никита Олег Пётр Роман".split(),
@@ -60,6 +62,13 @@ _AFTER = {False: re.compile(rf"{_MIDDLE} {_SURNAME}\b"), True: re.compile(rf"{_M
 _AHEAD = {False: re.compile(rf"(?<![\w-]){_SURNAME}, $"), True: re.compile(rf"(?<![\w-]){_UPPER}, $")}
 _CAPITAL = re.compile(rf"(?<![\w-])[{_CAP}][{_CAP}{_LOW}]+(?![\w-])")
 _TITLED = re.compile(rf"(?<!\w)(?:(?:Mr|Mrs|Ms|Dr|Prof|Sr|Sra|Mme|Mlle)\.? |(?:Miss|Sir|Herrn?|Frau|Señora?|Monsieur|Madame|Signora?|господина?|госпожа|г-н|г-жа) )(?P<who>{_SURNAME}(?: {_SURNAME}){{0,2}})\b")
+#: A full name behind words that announce one, or before words that one says.
+_CUED = re.compile(rf"(?:(?i:\bmy name is|\bI am|\bsincerely,?|\bregards,?|\bsigned(?: by)?:?|\bwritten by|\bauthor:|\bcontact:?|\bfrom:|\bto:|\battn:?|\bname:|\bpatient:|\bcustomer:) ?\n?)(?P<who>{_SURNAME}(?: [{_CAP}]\.)?(?: {_SURNAME}){{1,2}})\b")
+_SAYING = re.compile(rf"(?<![\w.-])(?P<who>{_SURNAME}(?: [{_CAP}]\.)? {_SURNAME}) (?:wrote|said|says|writes|replied|asked|schrieb|sagte|a dit|a écrit|dijo|escribió)\b")
+#: Words before a number that make it none of a phone or an address.
+_NUMBERED = re.compile(r"(?i)\b(?:version|ver|release|build|firmware|order|invoice|ticket|ref|part|serial|item|isbn|section|chapter|no|nr)[.:#]? ?#?$|(?<!\w)v$")
+#: Country calling codes of one and two digits; all others have three.
+_CALLING = set("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 #: What a text must hold for a pattern to match at all, and the pattern; in the order in which they win.
 _PATTERNS = (
     ("@", r"(?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"),
@@ -148,24 +157,41 @@ def canonical(kind: str, value: str) -> str:
         return re.sub("[^0-9]", "", value)
     if kind == "iban":
         return value.replace(" ", "").upper()
-    if kind == "phone":
-        return re.sub("[^0-9]", "", re.sub(r"^\+[0-9]{1,3}(?=[^0-9])", "", value))
+    if kind == "phone":  # the number without country code or the 0 that stands for it
+        return re.sub("[^0-9]", "", value[len(_country(value)) :])
     if kind == "name":  # letter case and order make no difference
         last, comma, first = value.partition(", ")
         words = (f"{first} {last}" if comma else value).split()
         return " ".join(w.title() if w.isupper() and len(w) > 2 else w for w in words)
-    if kind == "surname":
+    if kind in ("surname", "first"):
         return value.title() if value.isupper() else value
     if kind == "ipv6":
         return ipaddress.IPv6Address(value).exploded
     return value
 
 
+def _country(number: str) -> str:
+    """The country code with its plus sign, or the trunk 0, with which a phone number begins."""
+    if not number.startswith("+"):
+        return "0" if re.match(r"0[1-9]", number) else ""
+    digits = re.sub("[^0-9]", "", number[:6])
+    n = next((n for n in (1, 2) if digits[:n] in _CALLING), 3)
+    return re.match(rf"\+(?:[^0-9]*[0-9]){{{n}}}", number)[0]
+
+
 def _first(word: str) -> str | None:
     """The listed first name that a word is, in capitals or not."""
     return word if word in _FIRST else word.title() if word.isupper() and word.title() in _FIRST else None
 
 
+def _given(word: str, key: bytes, attempt: int) -> str:
+    """A listed first name of the same gender and script, in capitals or not as the word is."""
+    first = _first(word)
+    names = sorted(NAMES[_FIRST[first]], key=lambda n: blake2b(n.encode(), key=key).digest())
+    new = names[(names.index(first) + 1 + attempt) % len(names)]
+    return new.upper() if word.isupper() else new
+
+
 def _name(value: str, key: bytes, attempt: int) -> str:
     """First names among those of script and gender; particles stay; initials and surnames move by themselves, so a surname alone does alike."""
     tokens, out = re.findall(r"[^\s,]+|[\s,]+", value), []
@@ -174,9 +200,7 @@ def _name(value: str, key: bytes, attempt: int) -> str:
         if not word.strip(" ,") or word in _PARTICLES:
             out.append(word)
         elif first and (k < len(tokens) - 1 or ", " in value):  # the last word is a surname, if not behind a comma
-            names = sorted(NAMES[_FIRST[first]], key=lambda n: blake2b(n.encode(), key=key).digest())
-            new = names[(names.index(first) + 1 + attempt) % len(names)]
-            out.append(new.upper() if word.isupper() else new)
+            out.append(_given(word, key, attempt))
         else:
             ending = re.search(r"(?:ова|ева|ина|ская|ов|ев|ин|ский)$", word)
             stem = word[: ending.start()] if ending else word
@@ -198,13 +222,15 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
         return _shift(value, _HEX if re.fullmatch("[0-9a-f]+", value) else _LETTERS, key, tweak)
     if kind in ("name", "surname"):
         return _name(value, key, attempt)
+    if kind == "first":
+        return _given(value, key, attempt)
     if kind == "ipv6":
         n = permute(int(ipaddress.IPv6Address(value)), 1 << 128, key, tweak)
         return str(ipaddress.IPv6Address(n))
     if kind == "iban":  # the country stays
         new = iter(_shift(canonical(kind, value)[2:], _LETTERS, key, tweak))
         return value[:2] + "".join(c if c == " " else next(new) for c in value[2:])
-    prefix = (re.match(r"^\+[0-9]{1,3}(?=[^0-9])", value) or [""])[0] if kind == "phone" else ""
+    prefix = _country(value) if kind == "phone" else ""
     rest = value[len(prefix) :]
     digits = re.sub("[^0-9]", "", rest)
     return prefix + _refill(rest, _shift(digits, ("0123456789",), key, tweak, luhn if kind == "card" else None))
@@ -218,6 +244,10 @@ def detect(text: str) -> list[tuple[str, int, int]]:
         kind = {"intl": "phone"}.get(m.lastgroup, m.lastgroup)
         if kind == "ip" and any(int(x) > 255 for x in m["ip"].split(".")) or kind == "ipv6" and not _is_ipv6(m["ipv6"]):
             continue
+        if kind == "card" and m["card"].isdigit() and not luhn(m["card"]):  # some other long number: without groups, the check digit has to be right
+            continue
+        if kind in ("ip", "phone") and _NUMBERED.search(text[max(0, m.start(m.lastgroup) - 12) : m.start(m.lastgroup)]):
+            continue
         found.append((kind, m.start(m.lastgroup), m.end(m.lastgroup)))
     free = [(s, e) for _, s, e in found]
     people = [p for p in _people(text) if all(p[2] <= s or p[1] >= e for s, e in free)]
@@ -232,8 +262,8 @@ def _is_ipv6(value: str) -> bool:
 
 
 def _people(text: str) -> list[tuple[str, int, int]]:
-    """Full names by a listed first name, capitalised words after a title, then the same surnames alone in the text."""
-    found, stop, surnames = [], 0, set()
+    """Full names by a listed first name or by what stands around them, capitalised words after a title, then the same first names and surnames alone in the text."""
+    found, stop, surnames, firsts = [], 0, set(), set()
     for m in _CAPITAL.finditer(text):
         s, e, first = m.start(), m.end(), _first(m[0])
         if s < stop or not first:
@@ -253,7 +283,14 @@ def _people(text: str) -> list[tuple[str, int, int]]:
             continue
         found.append(("name", s, e))
         surnames.add(last.title() if upper else last)
+        firsts.add(first)
         stop = e
+    for pattern in (_CUED, _SAYING):
+        for m in pattern.finditer(text):
+            s, e = m.span("who")
+            if all(e <= a or s >= b for _, a, b in found):
+                found.append(("name", s, e))
+                surnames.add(m["who"].split()[-1])
     for m in _TITLED.finditer(text):
         at = m.start("who")
         for word in m["who"].split():
@@ -262,15 +299,15 @@ def _people(text: str) -> list[tuple[str, int, int]]:
                 surnames.add(word)
             at += len(word) + 1
     surnames = {w for w in surnames if len(w) > 2 and not _first(w)}
-    if surnames:
+    if surnames or firsts:
         taken = sorted((s, e) for _, s, e in found)
-        alone = re.compile(rf"(?<![\w-])(?:{'|'.join(re.escape(x) for w in sorted(surnames, key=len, reverse=True) for x in (w, w.upper()))})(?![\w-])")
+        alone = re.compile(rf"(?<![\w-])(?:{'|'.join(re.escape(x) for w in sorted(surnames | firsts, key=lambda w: (-len(w), w)) for x in (w, w.upper()))})(?![\w-])")
         k = 0
         for m in alone.finditer(text):
             while k < len(taken) and taken[k][1] <= m.start():
                 k += 1
             if k == len(taken) or m.end() <= taken[k][0]:
-                found.append(("surname", *m.span()))
+                found.append(("first" if _first(m[0]) in firsts else "surname", *m.span()))
     return found
 
 
@@ -314,6 +351,8 @@ def exceptions(docs: DataFrame, key: bytes, text_col: str = "text", most: int =
         out |= {(r.kind, r.value): attempt for r in bad}
         new = docs.sparkSession.createDataFrame([(r.kind, r.value, canonical(r.kind, surrogate(r.kind, r.sample, key, attempt))) for r in bad], "kind string, value string, renewed string")
         found = written(found.join(F.broadcast(new), ["kind", "value"], "left").select("kind", "value", F.coalesce("renewed", "surrogate").alias("surrogate"), "sample"), "entities")
+    else:
+        raise ValueError("values still collide after 49 attempts: use a key or detectors with larger domains")
     return out
 
 

@@ -103,3 +103,24 @@ def test_surnames_alone_and_titles_follow_their_full_names():
     m = re.fullmatch(r"(\w+) (\w+) met Dr\. (\w+)\. (\w+) left, (\w+) stayed; (\w+), (\w+) and (\w+) (\w+) are one\.", new)
     assert kinds == ["name", "surname", "surname", "surname", "name", "name"]
     assert m[2] == m[4] == m[9] == m[6].title() and m[1] == m[8] == m[7].title() and m[3] == m[5].title() and not {"Smith", "Okonkwo", "John"} & set(m.groups())
+
+
+def test_coreference_and_neighbours():
+    text, kinds = S.replace("Anna Smith wrote. Ms Smith agreed. Anna left. ANNA SMITH signed.", KEY_OF, {})
+    first, last = text.split()[0], text.split()[1]
+    assert text == f"{first} {last} wrote. Ms {last} agreed. {first} left. {first.upper()} {last.upper()} signed." and first != "Anna" and last != "Smith"
+    found = {x[s:e] for x in ["Jane Miller met Wei Zhang and Omar Haddad.", "My name is Zaphod Beeble.", "Quirin Xaver Holl wrote:", "Contact: Ulla Bok"] for _, s, e in S.detect(x)}
+    assert {"Jane Miller", "Wei Zhang", "Omar Haddad", "Zaphod Beeble", "Ulla Bok"} <= found
+    for x in ("version 1.2.3.4", "order 1234-567-8901", "see section 4.3.2.1", "number 1234567890123456", "v1.2.3.4"):
+        assert not S.detect(x), x
+    assert [k for k, *_ in S.detect("10.2.3.4 and 4111 1111 1111 1111")] == ["ip", "card"]
+
+
+def test_one_number_in_several_forms():
+    forms = ["+14155552671", "+1 415 555 2671", "415-555-2671", "+1 (415) 555-2671"]
+    out = ["".join(c for c in S.replace(f"call {x} now", KEY_OF, {})[0] if c.isdigit())[-10:] for x in forms]
+    assert len(set(out)) == 1 and out[0] != "4155552671"
+    assert S.canonical("phone", "+49 171 1234567") == S.canonical("phone", "0171 1234567") == S.canonical("phone", "+491711234567")
+
+
+KEY_OF = b"a key of the tests"
