@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import unicodedata
 
 import numpy as np
@@ -22,7 +23,7 @@ _OTHER = re.compile(rf"[{_SPACE}\x00İƻ-\U0010ffff]|<\|")
 #: How these two vocabularies cut texts (for Latin texts, in the syntax of ``re``).
 _SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _BARE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_BARE_CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\s\w]|_)+")
+_BARE_CUT = re.compile(r"[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|'(?:s|t|re|ve|m|ll|d)|(?:[^\s\w]|_)+")  # words first, as most pieces are words
 _END = "</w>"
 _OPEN: dict[str, "Encoder"] = {}
 
@@ -105,6 +106,10 @@ class Encoder:
         return self.core.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes() if text else b""
 
 
+def _ids(values: list[int]) -> bytes:
+    return struct.pack(f"<{len(values)}I", *values)
+
+
 class _Words(dict):
     """ids of words cut from lower-case texts."""
 
@@ -112,5 +117,5 @@ class _Words(dict):
         self.encoder = encoder
 
     def __missing__(self, word: str) -> bytes:
-        ids = self[word] = self.encoder.core.encode_to_numpy(word + "\0", disallowed_special=()).astype("<u4", copy=False).tobytes()
+        ids = self[word] = _ids(self.encoder.core._core_bpe.encode_single_piece((word + "\0").encode("utf-8")))
         return ids
