@@ -48,7 +48,7 @@ def _gnu(name: str, kind: str, version: str) -> list[tuple[str, str]]:
     only = f"{free} {kind} Public License version {version} as published by the Free Software Foundation."
     end = f"This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} Public License for more details. You should have received a copy of the GNU {kind} Public License along with this program. If not, see https://www.gnu.org/licenses/."
     line = f"This work is licensed under the GNU {kind} Public License, version {version}"
-    return [(f"{name}-only", f"{line}."), (f"{name}-or-later", later), (f"{name}-or-later", f"{line} or later."), (f"{name}-only", only), (f"{name}-or-later", f"{later} {end}"), (f"{name}-only", f"{only} {end}")]
+    return [(f"{name}-only", f"{line}."), (f"{name}-or-later", later), (f"{name}-or-later", f"{line} or later."), (f"{name}-only", f"Licensed under the GNU {kind} Public License, version {version}."), (f"{name}-only", only), (f"{name}-or-later", f"{later} {end}"), (f"{name}-only", f"{only} {end}")]
 
 
 def _cc(kind: str, long: str) -> list[tuple[str, str]]:

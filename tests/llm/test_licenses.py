@@ -1,6 +1,9 @@
 import random
+import time
 from collections import Counter
 
+import pytest
+
 from corpusloom.llm import licenses as L
 from corpusloom.llm import queries
 
@@ -74,3 +77,40 @@ def test_neighbours_keep_their_names():
     assert names("This work is licensed under the GNU General Public License, version 2") == ["GPL-2.0-only"]
     assert names("GNU General Public License, version 2") == [] and names("licensed under the GNU General Public License, version 2") != ["GPL-3.0-only"]
     assert names(L.TEMPLATES[3][1].split(" THE SOFTWARE IS")[0] + " no more") == []
+
+
+NEIGHBOURS = {
+    "Licensed under the Apache License, Version 1.1.": ["unidentified"], "Licensed under CC BY-ND 4.0.": ["CC-BY-ND-4.0"], "Licensed under CC BY 3.0.": ["CC-BY-3.0"], "Licensed under CC BY-SA 4.0.": ["CC-BY-SA-4.0"],
+    "Licensed under the GNU Lesser General Public License, version 3.": ["LGPL-3.0-only"], "This work is licensed under the GNU General Public License, version 2.": ["GPL-2.0-only"],
+    "Released under the X11 License.": ["unidentified"], "Released under the BSD License.": ["unidentified"], "Released under the MIT License.": ["MIT"],
+    "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License.": ["CC-BY-NC-4.0"],
+}
+
+
+@pytest.mark.parametrize("text", NEIGHBOURS)
+def test_neighbours_are_not_confused(text):
+    assert [f[0] for f in L.Scanner(L.TEMPLATES, 0.8).scan(text)] == NEIGHBOURS[text]
+
+
+def test_mixtures_end_in_time():
+    """Random mixtures of parts of the templates: each scan ends, and what it reports does not overlap."""
+    rng, scanner, templates = random.Random(7), L.Scanner(L.TEMPLATES, 0.8), [t.split() for _, t in L.TEMPLATES]
+    for _ in range(3000):
+        text = []
+        for _ in range(rng.randrange(1, 6)):
+            words = rng.choice(templates)
+            if rng.random() < 0.6:
+                words = words[(a := rng.randrange(len(words))) : rng.randrange(a, len(words)) + 1]
+            words = [w for w in words if rng.random() > 0.1] if rng.random() < 0.4 else list(words)
+            if rng.random() < 0.2:
+                rng.shuffle(words)
+            text += words
+        start = time.perf_counter()
+        found = scanner.scan(" ".join(text))
+        assert time.perf_counter() - start < 5 and all(a[2] <= b[1] for a, b in zip(found, found[1:]))
+
+
+def test_very_long_text_and_ties(spark, docs):
+    filler, notice = "lorem ipsum dolor " * 60_000, "Released under the MIT License."
+    found = L.scan(docs([(1, f"{filler}{notice} {filler}{notice}"), (1, notice), (1, notice)], "doc_id long, text string")).collect()
+    assert sorted((r.license, r.first_word) for r in found) == [("MIT", 0), ("MIT", 0), ("MIT", 180_000), ("MIT", 360_005)]
