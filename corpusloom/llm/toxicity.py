@@ -113,20 +113,38 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.scale * np.asarray(logits, float) + self.shift, -50, 50)))
 
 
-def _split(text: str | None) -> list[str]:
-    return (text or "").lower().split()
+def _split(text: str | pa.Scalar | None) -> list[str]:
+    return ((text.as_py() if isinstance(text, pa.Scalar) else text) or "").lower().split()
 
 
 class _Sample:
-    """Texts as numbers of words, and the words as rows of the embedding table."""
+    """Texts as numbers of words, and the words as rows of the embedding table; the texts' words themselves are held once each."""
 
     def __init__(self, texts: list[str]):
-        split = [_split(t) for t in texts]
-        self.words = list(dict.fromkeys(w for s in split for w in s))
-        number = {w: k for k, w in enumerate(self.words)}
-        self.ids = [np.fromiter(map(number.__getitem__, s), np.int64, len(s)) for s in split]
-        self.flat, self.starts = pieces_of(self.words)
-        self.sizes = np.diff(self.starts, append=len(self.flat))
+        number: dict[str, int] = {}
+        self.ids = [np.fromiter((number.setdefault(w, len(number)) for w in _split(t)), np.int32) for t in texts]
+        words = list(number)
+        parts = [pieces_of(words[k : k + 20_000]) for k in range(0, len(words), 20_000)] or [pieces_of([])]
+        self.flat = np.concatenate([flat.astype(np.int32) for flat, _ in parts])
+        self.sizes = np.concatenate([np.diff(starts, append=len(flat)) for flat, starts in parts])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def vectors(self, model: Model, words: np.ndarray) -> np.ndarray:
+        """Embeddings of some words, and zeros for padding after them."""
+        out = np.zeros((len(words) + 1, DIM), np.float32)
+        if len(words):
+            sizes = self.sizes[words]
+            out[:-1] = np.add.reduceat(model.table[self.pieces(words)], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None].astype(np.float32)
+        return out
+
+    def logits(self, model: Model, docs: np.ndarray) -> np.ndarray:
+        found = []
+        for at in range(0, len(docs), 200):
+            ids = [self.ids[i] for i in docs[at : at + 200]]
+            used, inverse = np.unique(np.concatenate(ids), return_inverse=True)
+            dots = model.filters @ self.vectors(model, used).T
+            found += [model.logit(model.pooled(dots, x)[0]) for x in np.split(inverse, np.cumsum([len(x) for x in ids])[:-1])]
+        return np.array(found)
 
     def pieces(self, words: np.ndarray) -> np.ndarray:
         return self.flat[_within(self.starts[words], self.sizes[words])]
@@ -138,10 +156,7 @@ def _step(model: Model, sample: _Sample, docs: np.ndarray, labels: np.ndarray, s
     used, inverse = np.unique(np.concatenate(ids), return_inverse=True)
     ids = np.split(inverse, np.cumsum([len(x) for x in ids])[:-1])
     sizes = sample.sizes[used]
-    flat, starts = sample.pieces(used), np.cumsum(sizes) - sizes
-    vectors = np.zeros((len(used) + 1, DIM), np.float32)  # the last is padding
-    if len(used):
-        vectors[:-1] = np.add.reduceat(model.table[flat], starts, axis=0) / sizes[:, None].astype(np.float32)
+    flat, starts, vectors = sample.pieces(used), np.cumsum(sizes) - sizes, sample.vectors(model, used)
     dots = model.filters @ vectors.T
     d_out, d_bias = np.zeros_like(model.out), 0.0
     rows, columns, grads = [], [], []
@@ -231,7 +246,7 @@ def _best_threshold(scores: np.ndarray, labels: np.ndarray) -> float | None:
     return float(s[best] - gaps[best] / 2)
 
 
-def fit(texts: list[str], labels: list[int], langs: list[str | None], epochs: int = 3, batch: int = 32, rate: float = 0.1, seed: int = 7, least: int = 10) -> Model:
+def fit(texts: list[str] | pa.ChunkedArray, labels: list[int], langs: list[str | None], epochs: int = 3, batch: int = 32, rate: float = 0.1, seed: int = 7, least: int = 10) -> Model:
     """Train, calibrate and set thresholds; rows of every fifth place are kept back for the last two."""
     model, y = Model(seed), np.array(labels, float)
     if len(y) < 20 or not 0 < y.sum() < len(y):
@@ -248,7 +263,7 @@ def fit(texts: list[str], labels: list[int], langs: list[str | None], epochs: in
             rows = order[at : at + batch]
             _step(model, sample, rows, y[rows], sums, rate)
     held = np.flatnonzero(kept)
-    logits, truth = model_logits(model, [texts[i] for i in held]), y[held]
+    logits, truth = sample.logits(model, held), y[held]
     model.scale, model.shift = calibrated(logits, truth)
     best = _best_threshold(model.score(logits), truth)
     if best is not None:  # move the best threshold over all to 0.3
@@ -264,10 +279,7 @@ def fit(texts: list[str], labels: list[int], langs: list[str | None], epochs: in
 
 
 def model_logits(model: Model, texts: list[str]) -> np.ndarray:
-    split = [_split(t) for t in texts]
-    number = {w: k for k, w in enumerate(dict.fromkeys(w for s in split for w in s))}
-    dots = model.filters @ np.concatenate([model.words(list(number)), np.zeros((1, DIM), np.float32)]).T
-    return np.array([model.logit(model.pooled(dots, np.fromiter(map(number.__getitem__, s), np.int64, len(s)))[0]) for s in split])
+    return _Sample(texts).logits(model, np.arange(len(texts)))
 
 
 class Scorer:
@@ -342,7 +354,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         else:
             skipped.append(r.doc_id)
     found = sample.filter(~F.col("doc_id").isin(skipped)).orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "label", "lang").toArrow()
-    return fit(found["text"].to_pylist(), found["label"].to_pylist(), found["lang"].to_pylist(), **options)
+    return fit(found["text"], found["label"].to_pylist(), found["lang"].to_pylist(), **options)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
