@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Links, join_unique, written
+from .common import Links, join_unique, tidy, written
 
 FILTER_BITS = 1 << 27
 _MULTIPLIERS = np.random.default_rng(91).integers(1, 1 << 32, 256, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -140,6 +140,7 @@ class Bucket:
         return found
 
 
+@tidy
 def _verify(batches, sets: Callable[[list[str]], Iterable[np.ndarray]], least: float):
     """Rows (key, low, high, probe, id, text) sorted by key, pair of parts and probe; the first part's items come before those they only meet."""
     links, now, bucket = Links(), None, None

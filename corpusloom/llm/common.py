@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import itertools
 import os
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SERIAL = itertools.count()
+_LIBC = ctypes.CDLL(None)
 #: Words everywhere in these operators: runs of anything but the ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -35,6 +40,33 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_KEPT: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """What an operator keeps in a Python worker between tasks; what others kept there goes, as workers are used again."""
+    for other in [k for k in _KEPT if k != owner]:
+        del _KEPT[other]
+    return _KEPT.setdefault(owner, {})
+
+
+def tidy(work):
+    """A function of ``mapInArrow`` after which the worker gives its unused memory back, as it will wait or do other work."""
+
+    @functools.wraps(work)
+    def run(batches, **options):
+        kept(work.__module__)
+        try:
+            yield from work(batches, **options)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if hasattr(_LIBC, "malloc_trim"):
+                _LIBC.malloc_trim(0)
+
+    return run
+
+
 def filesystem(folder: str):
     """(file system, path) of a folder of the shared storage, for tasks that read or write files of their own there."""
     from pyarrow import fs

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, id_text, shared_dir
+from .common import filesystem, id_text, kept, shared_dir, tidy
 
 #: Of weight 8; any two words of a passage may differ between hits of different masks.
 MASKS = ("11111111", "1101100111011", "1110010110111", "110101100110011")
@@ -238,9 +238,8 @@ def _chunks(column: pa.Array, chars: int = 1_000_000):
         yield start, texts
 
 
-#: Bytes of index blocks that a worker keeps between its texts and tasks, and those blocks.
+#: Bytes of index blocks that a worker keeps between its texts and tasks.
 HELD = 128 << 20
-_OPEN: dict[str, Index] = {}
 
 
 class Blocks:
@@ -250,18 +249,19 @@ class Blocks:
         self.folder, self.names = folder, names
 
     def __iter__(self):
-        for old in [path for path in _OPEN if not path.startswith(self.folder)]:
-            del _OPEN[old]
-        size = sum(index.bytes() for index in _OPEN.values())
+        held = kept(__name__)
+        for old in [path for path in held if not path.startswith(self.folder)]:
+            del held[old]
+        size = sum(index.bytes() for index in held.values())
         for name in self.names:
             path = f"{self.folder}/{name}"
-            index = _OPEN.get(path)
+            index = held.get(path)
             if index is None:
                 system, at = filesystem(path)
                 with system.open_input_stream(at) as f:
                     index = pickle.loads(f.read())
                 if size + index.bytes() <= HELD:
-                    _OPEN[path] = index
+                    held[path] = index
                     size += index.bytes()
             yield index
 
@@ -312,6 +312,7 @@ def _matches(column: pa.Array, words: Words, blocks: Blocks, **rule):
         yield start, len(texts), ((index, matches(prepared, index, **rule)) for index in blocks)
 
 
+@tidy
 def _report(batches, blocks: Blocks, kind: pa.DataType, **rule):
     words = Words()
     for batch in batches:
@@ -324,6 +325,7 @@ def _report(batches, blocks: Blocks, kind: pa.DataType, **rule):
             )
 
 
+@tidy
 def _clean(batches, blocks: Blocks, text: int, **rule):
     words = Words()
     for batch in batches:

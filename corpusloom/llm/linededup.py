@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import buckets
-from .common import join_unique, written
+from .common import join_unique, tidy, written
 from .components import connected_components
 
 
@@ -89,6 +89,7 @@ def _hashes(lines: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in lines), np.uint64, len(lines))
 
 
+@tidy
 def _lines(batches, size: int, bands: int, band_rows: int):
     names = ["doc_id", "version", "line", "id", *(f"b{k}" for k in range(bands))]
     for batch in batches:
@@ -116,6 +117,7 @@ def _lines(batches, size: int, bands: int, band_rows: int):
             yield flush()
 
 
+@tidy
 def _wanted_lines(batches, wanted: buckets.Filter):
     """Rows (id, text) of the lines that the filter holds, of which repeats near each other are left out."""
     seen: set[int] = set()

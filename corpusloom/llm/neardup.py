@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import buckets
-from .common import id_text, join_unique, written
+from .common import id_text, join_unique, tidy, written
 from .components import connected_components
 
 _ODD = (np.random.default_rng(17).integers(0, 1 << 63, 64, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -57,6 +57,7 @@ def _text_id(words: list[bytes]) -> int:
     return xxhash.xxh64_intdigest(b" ".join(words), 7)
 
 
+@tidy
 def _marks(batches, size: int, bands: int, band_rows: int):
     memo = _Hashes()
     for batch in batches:
@@ -80,6 +81,7 @@ def _marks(batches, size: int, bands: int, band_rows: int):
             yield flush()
 
 
+@tidy
 def _wanted_texts(batches, wanted: buckets.Filter):
     for batch in batches:
         ids = np.fromiter((_text_id(words_of(t.as_py())) for t in batch.column(0)), np.uint64, batch.num_rows)

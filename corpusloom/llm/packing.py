@@ -25,7 +25,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, written
+from .common import id_text, tidy, written
 from .tokens import Encoder, vocabulary
 
 MEMBER = "struct<doc_id: {0}, piece: int, start: bigint, length: bigint, ids_crc32: bigint>"
@@ -79,8 +79,9 @@ def _first_id(level: int) -> int:
     return (level << 56) + (TaskContext.get().partitionId() << 32)
 
 
+@tidy
 def _pack_texts(batches, path: str, end_id: int, capacity: int, slack: int):
-    encoder, end = Encoder.of(path), np.uint32(end_id).astype("<u4").tobytes()
+    encoder, end = Encoder.of(path, __name__), np.uint32(end_id).astype("<u4").tobytes()
     ids: list[pa.Array] = []
     rows: list[tuple[int, int, int, int]] = []
     owner: list[int] = []
@@ -102,6 +103,7 @@ def _pack_texts(batches, path: str, end_id: int, capacity: int, slack: int):
         yield _bins(length, members, np.arange(len(rows) + 1), capacity, slack, _first_id(0))
 
 
+@tidy
 def _repack(batches, capacity: int, slack: int, level: int):
     if (held := [b for b in batches if b.num_rows]):
         table = pa.Table.from_batches(held).combine_chunks()

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import filesystem, id_text, shared_dir
+from .common import filesystem, id_text, shared_dir, tidy
 from .tokens import Encoder, vocabulary
 
 BLOCK, MAGIC, VERSION = 4096, b"CLPF", 1
@@ -113,10 +113,11 @@ class Reader:
         return np.concatenate(parts)[start - first * self.block : stop - first * self.block]
 
 
+@tidy
 def _write(batches, folder: str, path: str, end_id: int, percentile: float, file_ids: int):
     from pyspark import TaskContext
 
-    encoder, end, attempt = Encoder.of(path), np.uint32(end_id).astype("<u4").tobytes(), TaskContext.get().taskAttemptId()
+    encoder, end, attempt = Encoder.of(path, __name__), np.uint32(end_id).astype("<u4").tobytes(), TaskContext.get().taskAttemptId()
     system, root = filesystem(folder)
     ids: list[int | None] = []
     lengths: list[int] = []

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Links, id_text, join_unique, written
+from .common import Links, id_text, join_unique, tidy, written
 from .components import connected_components
 
 SEED = 42
@@ -48,6 +48,7 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
+@tidy
 def _fingerprints(batches, shingle: int):
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
@@ -92,6 +93,7 @@ def _compare(owners: np.ndarray, owner_ids: np.ndarray, probes: np.ndarray, prob
             links.add(owner_ids[i + r], probe_ids[j + c])
 
 
+@tidy
 def _tiles(batches, radius: int):
     """Rows come sorted by tile, owners before probes; holds one tile's owners and one batch of probes at a time."""
     links, key = Links(), None

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 #: Common first names by script and gender; a person is known by one of these or by a title.
 NAMES = {
     ("latin", "f"): (
@@ -314,6 +316,7 @@ def _people(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+@tidy
 def _entities(batches, key: bytes):
     for batch in batches:
         seen: dict[tuple[str, str], str] = {}
@@ -370,6 +373,7 @@ def replace(text: str, key: bytes, retry: dict, make=surrogate) -> tuple[str, li
     return ("".join([*parts, text[at:]]), kinds) if kinds else (text, kinds)
 
 
+@tidy
 def _replaced(batches, key: bytes, retry: dict):
     make = lru_cache(100_000)(surrogate)
     for batch in batches:

@@ -15,6 +15,8 @@ import unicodedata
 
 import numpy as np
 
+from .common import kept
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _SPACE = r"\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿"
@@ -25,7 +27,6 @@ _SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _BARE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _BARE_CUT = re.compile(r"[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|'(?:s|t|re|ve|m|ll|d)|(?:[^\s\w]|_)+")  # words first, as most pieces are words
 _END = "</w>"
-_OPEN: dict[str, "Encoder"] = {}
 
 
 def vocabulary(name: str) -> str:
@@ -54,11 +55,12 @@ class Encoder:
             self.core = self._core(json.load(f))
 
     @classmethod
-    def of(cls, path: str) -> "Encoder":
-        """One encoder for each vocabulary and Python worker."""
-        if path not in _OPEN:
-            _OPEN[path] = cls(path)
-        return _OPEN[path]
+    def of(cls, path: str, owner: str) -> "Encoder":
+        """One encoder for each vocabulary and Python worker, as long as the worker serves its owner."""
+        held = kept(owner)
+        if path not in held:
+            held[path] = cls(path)
+        return held[path]
 
     def _core(self, file: dict):
         import tiktoken

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tidy, written
 
 WIDTHS, FILTERS, TOP, DIM, BUCKET_BITS = (1, 2, 3), 8, 3, 12, 16
 BUCKETS = 1 << BUCKET_BITS
@@ -285,7 +285,7 @@ def model_logits(model: Model, texts: list[str]) -> np.ndarray:
 class Scorer:
     """Scores batches of texts; keeps the filters' dot products of at most ``most`` words between batches."""
 
-    def __init__(self, model: Model, most: int = 200_000):
+    def __init__(self, model: Model, most: int = 80_000):
         self.model, self.most = model, most
         self.number: dict[str, int] = {}
         self.dots = np.zeros((_COLUMNS, 1), np.float32)  # column 0 is padding
@@ -312,6 +312,7 @@ class Scorer:
         return self.model.score(np.array([self.model.logit(self.model.pooled(self.dots, doc, 0)[0]) for doc in ids]))
 
 
+@tidy
 def _scored_rows(batches, model: Model, text: int):
     """Rows (struct, language) whose field ``text`` is scored; a text is in memory once."""
     scorer = Scorer(model)
@@ -323,6 +324,7 @@ def _scored_rows(batches, model: Model, text: int):
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=["row", "lang", "score"])
 
 
+@tidy
 def _scored(batches, model: Model):
     scorer = Scorer(model)
     for batch in batches:
