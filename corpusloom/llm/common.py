@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import gc
 import itertools
 import os
 import tempfile
@@ -59,7 +58,6 @@ def tidy(work):
         try:
             yield from work(batches, **options)
         finally:
-            gc.collect()
             pa.default_memory_pool().release_unused()
             if hasattr(_LIBC, "malloc_trim"):
                 _LIBC.malloc_trim(0)
