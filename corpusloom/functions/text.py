@@ -13,10 +13,8 @@ SPACE = r"\x09-\x0d\x1c-\x20\x85\xa0  -     　"
 #: The same, character by character, for trimming.
 SPACES = "".join(chr(c) for c in (*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 MARKER = r"\[(\d+)\]"
-#: A link or image with its text as group 1: one level of parentheses in the address, an optional title.
+#: Fixed value: what is taken for a link or image. Its text is group 1; the address has one level of parentheses, the title is optional.
 LINK = r'!?\[([^\]\n]*)\]\((?:[^()\s]|\([^()\s]*\))*(?:\s+"[^"\n]*")?\)'
-#: Where a sentence ends: its marks and the citation markers after them before white space or the end, or a line end.
-SENTENCE_END = r"[.!?]+(?:[ \t]*\[\d+\])*(?=[" + SPACE + r"]|\z)|\n+"
 #: Letters that only Vietnamese uses (and every vowel with a tone mark).
 VIETNAMESE = "ăâđêôơưàáảãạằắẳẵặầấẩẫậèéẻẽẹềếểễệìíỉĩịòóỏõọồốổỗộờớởỡợùúủũụừứửữựỳýỷỹỵ"
 REDACTED = "[REDACTED]"
@@ -68,9 +66,9 @@ def excerpt(text: Column, limit: int = 300) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Stripped sentences, none empty."""
-    cut = F.split(F.regexp_replace(text, SENTENCE_END, "$0\u0001"), "\u0001")
-    return F.filter(F.transform(cut, strip), lambda s: s != "")
+    """Stripped sentences, none empty: a new line begins after a mark that ends one, with its citation markers, and each line is one."""
+    lines = F.split(F.regexp_replace(text, rf"([.!?](?:[ \t]*{MARKER})*)[{SPACE}]", "$1\n"), "\n")
+    return F.filter(F.transform(lines, strip), lambda s: s != "")
 
 
 def markers(text: Column) -> Column:

@@ -100,7 +100,9 @@ def test_throttle():
     now = [0.0]
     window = throttle.SlidingWindow(2, 100, clock=lambda: now[0], sleep=lambda s: now.__setitem__(0, now[0] + s))
     assert [window.acquire(n) for n in (60, 30, 10)] == [0.0, 0.0, 60.0]
-    assert window.acquire(500) == 60.0  # more than the budget goes alone
+    with pytest.raises(ValueError):  # more than the budget never fits
+        window.acquire(500)
+    assert window.acquire(40, requests=2) == 60.0 and window.acquire(1) == 60.0
     assert throttle.plan_calls(["x" * 40, "y" * 40, "z" * 400, "w"], 10, 90, 40) == [["x" * 40, "y" * 40], ["z" * 400], ["w"]]
 
 
