@@ -10,6 +10,7 @@ import math
 import random
 from fractions import Fraction
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -49,20 +50,21 @@ def average_ranks(values: list[float]) -> list[float]:
 
 
 def wilcoxon(a: list[float], b: list[float]) -> dict:
-    """Exact signed-rank test: every assignment of signs is counted, by subset sums of doubled ranks."""
+    """Exact signed-rank test: every assignment of signs is counted, by sums of doubled ranks.
+
+    The counts are the coefficients of the product of (1 + x**rank), kept as fields of one large integer up to the smaller sum.
+    """
     d = [round(y - x, 12) for x, y in zip(a, b)]
     kept = [x for x in d if x]
     ranks = average_ranks([abs(x) for x in kept])
     plus = sum(r for r, x in zip(ranks, kept) if x > 0)
     minus = sum(ranks) - plus
-    ways = {0: 1}
+    low, field = round(2 * min(plus, minus)), len(kept) // 8 + 1  # bytes that no count can overflow
+    ways, mask = 1, (1 << 8 * field * (low + 1)) - 1
     for r in (round(2 * r) for r in ranks):
-        grown = dict(ways)
-        for total, n in ways.items():
-            grown[total + r] = grown.get(total + r, 0) + n
-        ways = grown
-    low = round(2 * min(plus, minus))
-    tail = sum(n for total, n in ways.items() if total <= low)
+        ways = (ways + (ways << 8 * field * r)) & mask if r <= low else ways
+    counts = ways.to_bytes(field * (low + 1), "little")
+    tail = sum(int.from_bytes(counts[k : k + field], "little") for k in range(0, len(counts), field))
     p = float(min(Fraction(1), Fraction(2 * tail, 2 ** len(kept)))) if kept else 1.0
     return {"n": len(kept), "zeros_dropped": len(d) - len(kept), "w_plus": float(plus), "w_minus": float(minus), "p": p}
 
@@ -74,14 +76,28 @@ def percentile_interval(values: list[float], level: float = 0.95) -> tuple[float
     return values[rank(side) - 1], values[rank(1 - side) - 1]
 
 
+def draws(n: int, count: int, seed: int):
+    """``count`` draws below n, the same as those of ``random.Random(seed).randrange(n)`` in turn, in blocks."""
+    state = random.Random(seed).getstate()[1]
+    bits = np.random.MT19937()
+    bits.state = {"bit_generator": "MT19937", "state": {"key": np.array(state[:-1], np.uint32), "pos": state[-1]}}
+    while count > 0:  # a draw is the top bits of a word, and anew if it is too large
+        block = bits.random_raw(1_000_000) >> np.uint64(32 - n.bit_length())
+        block = block[block < n][:count].astype(np.int64)
+        count -= len(block)
+        yield block
+
+
 def bootstrap(a: list[float], b: list[float], statistic=None, resamples: int = 10_000, seed: int = 42, level: float = 0.95) -> dict:
     """Difference of a statistic (the mean) of b and a, with a percentile interval over resampled pairs."""
+    n, x, y = len(a), np.asarray(a, float), np.asarray(b, float)
     mean = statistic or (lambda v: sum(v) / len(v))
-    rng, n = random.Random(seed), len(a)
-    deltas = []
-    for _ in range(resamples):
-        picks = [rng.randrange(n) for _ in range(n)]
-        deltas.append(mean([b[i] for i in picks]) - mean([a[i] for i in picks]))
+    deltas, rest = [], np.empty(0, np.int64)
+    for block in draws(n, resamples * n, seed):
+        rest = np.concatenate([rest, block])
+        whole = len(rest) // n
+        picks, rest = rest[: whole * n].reshape(whole, n), rest[whole * n :]
+        deltas += [mean(y[p].tolist()) - mean(x[p].tolist()) for p in picks] if statistic else (y[picks].mean(1) - x[picks].mean(1)).tolist()
     low, high = percentile_interval(deltas, level)
     return {"delta": mean(b) - mean(a), "low": low, "high": high}
 
