@@ -67,7 +67,7 @@ def excerpt(text: Column, limit: int = 300) -> Column:
 
 def sentences(text: Column) -> Column:
     """Stripped sentences, none empty: a new line begins after a mark that ends one, with its citation markers, and each line is one."""
-    lines = F.split(F.regexp_replace(text, rf"([.!?](?:[ \t]*{MARKER})*)[{SPACE}]", "$1\n"), "\n")
+    lines = F.split(F.regexp_replace(text, rf"([.!?](?:[ \t]*{MARKER})*)(?:[{SPACE}]|\z)", "$1\n"), "\n")
     return F.filter(F.transform(lines, strip), lambda s: s != "")
 
 

