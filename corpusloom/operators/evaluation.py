@@ -29,23 +29,23 @@ def overlaps(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
 def _find(batches, items: list[tuple]):
     automaton = ahocorasick.Automaton()
     for item_id, text in items:
-        automaton.add_word(text, (*automaton.get(text, ()), item_id))
+        _, ids = automaton.get(text, (0, ()))
+        automaton.add_word(text, (len(text), (*ids, item_id)))
     automaton.make_automaton()
-    lengths = dict(items)
     for batch in batches:
         rows = []
         for k, text in enumerate(batch.column(1).to_pylist()):
             first: dict = {}
-            for end, ids in automaton.iter(text or ""):
+            for end, (n, ids) in automaton.iter(text or ""):
                 for i in ids:
-                    first.setdefault(i, end + 1 - len(lengths[i]))
-            rows += [(k, i, s, s + len(lengths[i])) for i, s in first.items()]
+                    first.setdefault((i, n), end + 1 - n)
+            rows += [(k, i, s, s + n) for (i, n), s in first.items()]
         cols = list(zip(*rows)) if rows else [[]] * 4
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], names=["doc_id", "item_id", "char_start", "char_end"])
 
 
 def passage_spans(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_chars: int = 4_000_000) -> DataFrame:
-    """(doc_id, item_id, char_start, char_end): where a document first holds an item's whole text.
+    """(doc_id, item_id, char_start, char_end): where a document first holds an item's whole text (each text of an id that has several lengths).
 
     Items are looked for in blocks of a bounded size, all of a block in one pass over each text; documents are not shuffled.
     """

@@ -111,8 +111,7 @@ def split_overlap(spark, d):
 @query("""SELECT quality, toxic, count(*) AS n, round(sum(length(text)) / 1000.0::DOUBLE, 3) AS kchars FROM labels JOIN documents USING (doc_id) GROUP BY GROUPING SETS ((), (quality), (toxic), (quality, toxic))""")
 def label_grouping_sets(spark, d):
     rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", F.length("text").alias("n_text")), "doc_id")
-    rows.createOrReplaceTempView("labelled_rows")
-    return spark.sql("SELECT quality, toxic, count(*) AS n, round(sum(n_text) / 1000.0D, 3) AS kchars FROM labelled_rows GROUP BY GROUPING SETS ((), (quality), (toxic), (quality, toxic))")
+    return rows.groupingSets([[], ["quality"], ["toxic"], ["quality", "toxic"]], "quality", "toxic").agg(F.count("*").alias("n"), F.round(F.sum("n_text") / F.lit(1000.0), 3).alias("kchars"))
 
 
 _STAGES_SQL = """rec AS (SELECT event_id, user_id, event_type, value AS retrieve, CASE WHEN CAST(props->>'$.k' AS INT) % 7 <> 0 THEN CAST(props->>'$.k' AS DOUBLE) END AS generate, CAST(props->>'$.k' AS INT) < 50 AS clean FROM events),

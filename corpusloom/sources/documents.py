@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.markdown import DocumentError
+from .docx import to_markdown
 from .html import to_text
 
 Reader = Callable[[bytes, str], tuple[str | None, str]]
@@ -27,6 +28,10 @@ def read_html(data: bytes, name: str) -> tuple[str | None, str]:
     return to_text(data.decode("utf-8"))
 
 
+def read_docx(data: bytes, name: str) -> tuple[str | None, str]:
+    return to_markdown(data)
+
+
 class Readers(dict):
     """Readers by lower-case extension; an unknown one raises."""
 
@@ -38,8 +43,8 @@ class Readers(dict):
 
 
 def default_readers() -> Readers:
-    """Markdown, plain text and HTML; readers of other formats (PDF, DOCX) are added by their extension."""
-    return Readers({".md": read_markdown, ".markdown": read_markdown, ".txt": read_plain, ".html": read_html, ".htm": read_html})
+    """Markdown, plain text, HTML and DOCX; readers of other formats (PDF) are added by their extension."""
+    return Readers({".docx": read_docx, ".md": read_markdown, ".markdown": read_markdown, ".txt": read_plain, ".html": read_html, ".htm": read_html})
 
 
 def scan(spark: SparkSession, path: str, readers: Readers | None = None, glob: str | None = None) -> DataFrame:
@@ -52,11 +57,11 @@ def scan(spark: SparkSession, path: str, readers: Readers | None = None, glob: s
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 try:
                     title, text = readers.of(name)(data.as_py(), name)
-                except UnicodeDecodeError as e:
+                except ValueError as e:  # bytes that are not text, or no file of the format
                     raise DocumentError(f"{name}: {e}") from e
                 if not text.strip():
                     raise DocumentError(f"{name}: no text")
-                rows.append((name, title or name.rpartition("/")[2].rpartition(".")[0], text))
+                rows.append((name, " ".join((title or "").split()) or name.rpartition("/")[2].rpartition(".")[0], text))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (list(zip(*rows)) or [[]] * 3)], names=["path", "title", "text"])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
@@ -79,3 +84,16 @@ def write_records(df: DataFrame, path: str) -> None:
 def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines with a stated schema; a broken line raises."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+SEPARATOR = " > "
+
+
+def write_chunks(chunks: DataFrame, path: str) -> None:
+    """Chunks as JSON lines; ``heading_path`` is an array there."""
+    write_records(chunks.withColumn("heading_path", F.when(F.col("heading_path") == "", F.array().cast("array<string>")).otherwise(F.split("heading_path", SEPARATOR))), path)
+
+
+def load_chunks(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Chunks as they were before ``write_chunks``; ``schema`` has the heading path as array<string>."""
+    return read_records(spark, path, schema).withColumn("heading_path", F.array_join("heading_path", SEPARATOR))

@@ -74,13 +74,24 @@ class RecordLog:
         line = self.redact(json.dumps(record, ensure_ascii=False, allow_nan=False)) + "\n"
         os.makedirs(os.path.dirname(self.path) or ".", exist_ok=True)
         with open(self.path, "ab+") as f:
-            f.seek(0)
-            whole = f.read().rfind(b"\n") + 1
-            f.truncate(whole)
+            f.truncate(self._ended(f))
             f.write(line.encode())
             f.flush()
             os.fsync(f.fileno())
 
+    @staticmethod
+    def _ended(f, block: int = 1 << 16) -> int:
+        """Where the last whole line ends, read from the end of the file back."""
+        at = f.seek(0, os.SEEK_END)
+        while at > 0:
+            start = max(0, at - block)
+            f.seek(start)
+            found = f.read(at - start).rfind(b"\n")
+            if found >= 0:
+                return start + found + 1
+            at = start
+        return 0
+
     def read(self) -> list[dict]:
         if not os.path.exists(self.path):
             return []
