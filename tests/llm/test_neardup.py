@@ -53,3 +53,13 @@ def test_edges(spark, docs):
     kept = neardup.keep_representatives(df)
     assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "5", "5", "None"]
     assert neardup.keep_representatives(df.limit(0)).count() == 0
+
+
+def test_stage_joins_fingerprints_and_similarity(spark, docs):
+    """A chain of which one link is found by similarity and the other by fingerprints and similarity; empty texts are one class."""
+    words = [f"w{k}" for k in range(400)]
+    a, b = " ".join(words), " ".join(words[:-1] + ["other"])
+    c = " ".join(words[30:-1] + ["other"])
+    df = docs([(3, a), (2, b), (9, c), (4, ""), (5, None), (6, "x y"), (None, a), (7, "unlike all of the others here")], "doc_id long, text string")
+    assert {r.doc_id for r in neardup.keep_representatives(df).collect()} == {2, 4, 6, 7, None}
+    assert neardup.keep_representatives(df.limit(0)).count() == 0

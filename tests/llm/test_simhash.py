@@ -83,3 +83,12 @@ def test_chains_become_one_component(spark):
     found = {r.node: r.component for r in connected_components(edges).collect()}
     assert found == {**{i: 0 for i in range(201)}, 500: 500, 501: 500}
     assert connected_components(edges.limit(0)).count() == 0
+
+
+def test_very_long_text(spark, docs):
+    from corpusloom.llm import simhash
+
+    long = " ".join(f"w{k % 977}" for k in range(300_000))
+    df = docs([(1, long), (2, long.upper()), (3, long + " end"), (4, "other words")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+    assert simhash.simhash(df).filter("doc_id = 1").first().fp == np.uint64(brute_fingerprint(long)).astype(np.int64)

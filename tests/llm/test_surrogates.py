@@ -124,3 +124,9 @@ def test_one_number_in_several_forms():
 
 
 KEY_OF = b"a key of the tests"
+
+
+def test_very_long_text():
+    long = "lorem ipsum " * 100_000
+    text, kinds = S.replace(f"{long}mail me at ann.lee99@mail7.example.com {long}", KEY_OF, {})
+    assert kinds == ["email"] and "ann.lee99" not in text and len(text) == len(f"{long}mail me at ann.lee99@mail7.example.com {long}")
