@@ -31,33 +31,57 @@ def split_by_cache(texts: DataFrame, cache: DataFrame, model: str, task: str, te
     return hits, misses
 
 
-def upsert(spark: SparkSession, path: str, rows: DataFrame, key: str = "chunk_id", config_col: str = "chunker_config", config: str | None = None) -> None:
-    """Replace and add rows by key; rows of another configuration raise. The table is swapped in whole, so readers see one or the other."""
+def upsert(spark: SparkSession, path: str, rows: DataFrame, key: str = "chunk_id", config_col: str = "chunker_config", config: str | None = None, buckets: int = 64) -> None:
+    """Replace and add rows by key; rows of another configuration raise.
+
+    A collection is cut into ``buckets`` by a hash of the key, fixed when it is created. A version holds the buckets that its
+    rows touch, whole, and takes effect once its write is committed, so readers see all of it or nothing. ``rows`` are read
+    twice: for the buckets that they touch, and to be written. No rows write nothing.
+    """
     if config is not None:
         rows = rows.withColumn(config_col, F.when(F.col(config_col) == config, F.col(config_col)).otherwise(F.raise_error(F.concat(F.lit("rows of another configuration: "), F.col(config_col)))))
-    versions = _versions(spark, path)
-    if versions:
-        old = spark.read.parquet(f"{path}/v{versions[-1]:08d}")
+    newest = _newest_buckets(spark, path)
+    if newest:
+        buckets = next(iter(newest))[0]
+    rows = rows.withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    touched = sorted(r[0] for r in rows.select("__bucket").distinct().collect())
+    if not touched:
+        return
+    version = max(_versions(spark, path), default=0) + 1
+    if present := [newest[buckets, b] for b in touched if (buckets, b) in newest]:
+        old = spark.read.parquet(*present).withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
         rows = old.join(rows.select(key), key, "left_anti").unionByName(rows)
-    rows.write.parquet(f"{path}/v{(versions[-1] if versions else 0) + 1:08d}")
+    rows.withColumn("__buckets", F.lit(buckets)).write.partitionBy("__buckets", "__bucket").parquet(f"{path}/v{version:08d}")
 
 
 def collection(spark: SparkSession, path: str) -> DataFrame | None:
-    """The newest whole version of a collection; None where there is none."""
-    versions = _versions(spark, path)
-    return spark.read.parquet(f"{path}/v{versions[-1]:08d}") if versions else None
+    """The newest committed state of every bucket of a collection; None where there are no rows."""
+    newest = _newest_buckets(spark, path)
+    return spark.read.parquet(*newest.values()) if newest else None
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the versions whose write was committed, through Hadoop's file systems."""
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
+def _newest_buckets(spark: SparkSession, path: str) -> dict[tuple[int, int], str]:
+    """(number of buckets, bucket) to the folder in the last version that holds the bucket."""
+    found = {}
+    for version in _versions(spark, path):
+        top = f"{path}/v{version:08d}"
+        for of in _folders(spark, top, "__buckets="):
+            for bucket in _folders(spark, f"{top}/{of}", "__bucket="):
+                found[int(of.split("=")[1]), int(bucket.split("=")[1])] = f"{top}/{of}/{bucket}"
+    return found
+
+
+def _folders(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    """Names in a folder that begin so, through Hadoop's file systems; none where there is no folder."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(root)]
-    done = [n for n in names if n.startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
-    return sorted(int(n[1:]) for n in done)
+    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+    return sorted(n for n in names if n.startswith(prefix))
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the versions whose write was committed."""
+    return [int(n[1:]) for n in _folders(spark, path, "v") if _folders(spark, f"{path}/{n}", "_SUCCESS")]
 
 
 class RecordLog:

@@ -76,6 +76,24 @@ def test_upsert(spark, tmp_path):
     assert store.collection(spark, path).count() == 3
 
 
+def test_upsert_rewrites_the_buckets_it_touches(spark, tmp_path):
+    path = str(tmp_path / "c")
+    make = lambda ids, v: spark.createDataFrame([(i, v) for i in ids], "chunk_id string, v int")
+    store.upsert(spark, path, make([], 0))
+    assert store.collection(spark, path) is None
+    want = {}
+    for v, ids in enumerate([[f"c{i}" for i in range(200)], ["c7"], ["c7", "c8", "new"], [], [None, "c9"]]):
+        store.upsert(spark, path, make(ids, v), buckets=16 if v == 0 else 64)  # a collection keeps its number of buckets
+        want |= dict.fromkeys(ids, v)
+        got = store.collection(spark, path).collect()
+        assert len(got) == len(want) and {r.chunk_id: r.v for r in got} == want
+    sizes = [len(list((tmp_path / "c").glob(f"v{n:08d}/*/__bucket=*"))) for n in (1, 2, 3)]
+    assert sizes[0] == 16 and sizes[1] == 1 and 1 <= sizes[2] <= 3
+    torn = tmp_path / "c" / "v00000009" / "__buckets=16" / "__bucket=0"  # a write that was never committed
+    torn.mkdir(parents=True)
+    assert store.collection(spark, path).count() == len(want)
+
+
 def test_cache_split(spark):
     texts = spark.createDataFrame([(0, "a"), (1, "b"), (2, "b"), (3, "c")], "seq int, text string")
     cache = texts.filter("text = 'a'").select(store.cache_key(F.lit("m"), F.lit("t"), F.col("text")).alias("key"), F.array(F.lit(1.0)).alias("vector"))
