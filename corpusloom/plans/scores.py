@@ -68,7 +68,7 @@ _SCORE_SQL = _score_sql().replace("rank <= ", "s.doc_id IS NOT NULL AND rank <=
 @query(f"WITH {FIXTURE_SQL} {_SCORE_SQL}")
 def retrieval_scores(spark, d):
     """Hits at 1, 3 and 5 by source and section, lenient and strict, slot fractions and reciprocal ranks of each case and arm."""
-    spans = _spans(spark, d).cache()
+    spans = _spans(spark, d)
     scores = E.retrieval_scores(_retrieved(spark, d, spans), spans, ["arm", "item_id"])
     return scores.select(*[c for c in scores.columns if "bare" not in c])
 
@@ -90,7 +90,7 @@ SELECT arm, item_id, CAST(first AS INT) AS first, CAST(bare AS INT) AS bare, fir
 def duplicate_rule_changes(spark, d):
     """First section hits of cases, and whether they move when the copies that a chunk stands for count too."""
     docs = table(spark, d, "documents").select("doc_id", F.xxhash64("text").alias("h"), F.sha2("text", 256).alias("c"))
-    spans = _spans(spark, d).cache()
+    spans = _spans(spark, d)
     got = _retrieved(spark, d, spans).drop("duplicates")
     mine = got.select("source_id").distinct().join(docs, F.col("source_id") == F.col("doc_id")).select("source_id", "c")
     # copies outside the expected sources can't change a hit, so only those are gathered
@@ -112,7 +112,7 @@ found AS (SELECT a.arm, q.item_id, q.point, min(t.rank) AS first, min(t.rank) FI
 @query(f"WITH {FIXTURE_SQL}, {_QUOTES_SQL} SELECT arm, item_id, " + ", ".join(f"min(coalesce(first <= {k}, FALSE)::INT) AS evidence_hit_{k}, max(coalesce(first <= {k}, FALSE)::INT) AS any_hit_{k}" for k in (1, 3, 5)) + ", min((first_out IS NOT NULL AND first_in IS NULL)::INT) AS alternate_only FROM found GROUP BY arm, item_id")
 def evidence_hit(spark, d):
     """Whether every point, or any, has its quote whole in one of the first chunks, and whether only alternates had them."""
-    spans = _spans(spark, d).cache()
+    spans = _spans(spark, d)
     quotes = table(spark, d, "benchmark").select("item_id", F.posexplode(F.filter(F.split("text", r"\. "), lambda x: F.length(x) > 20)).alias("point", "quote")).withColumn("required", F.lit(True))
     return E.evidence_scores(_retrieved(spark, d, spans), quotes, spans, ["arm", "item_id"])
 
@@ -181,7 +181,7 @@ classes AS (SELECT a.arm, a.item_id, count(c.rank) AS n, CASE WHEN count(c.rank)
 
 
 def _classes(spark, d):
-    spans = _spans(spark, d).cache()
+    spans = _spans(spark, d)
     got = _retrieved(spark, d, spans)
     hits = E.chunk_hits(got, spans, ["arm", "item_id"]).groupBy("arm", "item_id", "rank").agg(F.max("source").alias("source_ok"), F.max("section").alias("section_ok"))
     cited = got.filter("rank <= item_id % 3").select("arm", "item_id", "rank").join(hits, ["arm", "item_id", "rank"], "left").na.fill(False, ["source_ok", "section_ok"])
@@ -210,8 +210,8 @@ failed AS (SELECT sc.arm, sc.item_id, label, CASE WHEN label IS NULL OR (label I
 
 
 def _failures(spark, d):
-    spans = _spans(spark, d).cache()
-    got, case = _retrieved(spark, d, spans).cache(), ["arm", "item_id"]
+    spans = _spans(spark, d)
+    got, case = _retrieved(spark, d, spans), ["arm", "item_id"]
     quotes = table(spark, d, "benchmark").select("item_id", F.posexplode(F.filter(F.split("text", r"\. "), lambda x: F.length(x) > 20)).alias("point", "quote")).withColumn("required", F.lit(True))
     hits = E.chunk_hits(got, spans, case).filter("section").groupBy(*case).agg(F.count_distinct("rank").alias("n_hit"), F.min("rank").alias("first_rank"))
     labels = _answers(spark, d).select(F.col("doc_id").alias("item_id"), "label")
