@@ -50,7 +50,8 @@ def upsert(spark: SparkSession, path: str, rows: DataFrame, key: str = "chunk_id
     version = max(_versions(spark, path), default=0) + 1
     if present := [newest[buckets, b] for b in touched if (buckets, b) in newest]:
         old = spark.read.parquet(*present).withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-        rows = old.join(rows.select(key), key, "left_anti").unionByName(rows)
+        new = rows.select(F.col(key).alias("__new"))
+        rows = old.join(new, F.col(key).eqNullSafe(F.col("__new")), "left_anti").unionByName(rows)
     rows.withColumn("__buckets", F.lit(buckets)).write.partitionBy("__buckets", "__bucket").parquet(f"{path}/v{version:08d}")
 
 
@@ -65,7 +66,10 @@ def _newest_buckets(spark: SparkSession, path: str) -> dict[tuple[int, int], str
     found = {}
     for version in _versions(spark, path):
         top = f"{path}/v{version:08d}"
-        for of in _folders(spark, top, "__buckets="):
+        layout = _folders(spark, top, "__buckets=")
+        if not layout:
+            raise ValueError(f"{top} is not cut into buckets; write its rows to a new collection")
+        for of in layout:
             for bucket in _folders(spark, f"{top}/{of}", "__bucket="):
                 found[int(of.split("=")[1]), int(bucket.split("=")[1])] = f"{top}/{of}/{bucket}"
     return found

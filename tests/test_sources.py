@@ -82,7 +82,7 @@ def test_upsert_rewrites_the_buckets_it_touches(spark, tmp_path):
     store.upsert(spark, path, make([], 0))
     assert store.collection(spark, path) is None
     want = {}
-    for v, ids in enumerate([[f"c{i}" for i in range(200)], ["c7"], ["c7", "c8", "new"], [], [None, "c9"]]):
+    for v, ids in enumerate([[f"c{i}" for i in range(200)], ["c7"], ["c7", "c8", "new"], [], [None, "c9"], [None]]):
         store.upsert(spark, path, make(ids, v), buckets=16 if v == 0 else 64)  # a collection keeps its number of buckets
         want |= dict.fromkeys(ids, v)
         got = store.collection(spark, path).collect()
@@ -92,6 +92,9 @@ def test_upsert_rewrites_the_buckets_it_touches(spark, tmp_path):
     torn = tmp_path / "c" / "v00000009" / "__buckets=16" / "__bucket=0"  # a write that was never committed
     torn.mkdir(parents=True)
     assert store.collection(spark, path).count() == len(want)
+    make(["a"], 0).write.parquet(f"{tmp_path}/whole/v00000001")
+    with pytest.raises(ValueError, match="not cut into buckets"):
+        store.collection(spark, f"{tmp_path}/whole")
 
 
 def test_cache_split(spark):
