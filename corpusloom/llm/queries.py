@@ -100,6 +100,37 @@ def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfor.read_token_files(spark, folder)
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mixing
+
+    found = mixing.mix(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, repeats=2)
+    return found.documents.select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    md5(concat_ws(':', 'mix', coalesce(doc_id::VARCHAR, ''), coalesce(text, ''))) AS turn FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rk FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][rk % 3 + 1] AS weight, 2 * source_size AS cap, sum(source_size) OVER () AS total FROM s),
+v AS (
+  SELECT *, (1.5 * total - coalesce(sum(cap) OVER (ORDER BY cap / weight, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+    / sum(weight) OVER (ORDER BY cap / weight, rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS level FROM w),
+t AS (SELECT source, source_size, rk, least(cap::DOUBLE, weight * (SELECT arg_min(level, (cap / weight, rk)) FROM v WHERE cap > weight * level)) AS target FROM v),
+once AS (
+  SELECT d.r, d.size, t.source_size, t.rk, t.target, (sum(d.size) OVER (PARTITION BY t.rk ORDER BY d.turn, d.r) - d.size)::BIGINT AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT r, size, rk, target, start + unnest([0, source_size]) AS start FROM once),
+p AS (
+  SELECT r, rk, target, start AS a, least(start + size, greatest(floor(target)::BIGINT, start)) AS b FROM q
+  UNION ALL SELECT r, rk, target, greatest(start, least(floor(target)::BIGINT, start + size)), start + size FROM q),
+o AS (SELECT r, b - a AS words, sum(b - a) OVER (ORDER BY b / target, rk, b) - (b - a) AS ahead FROM p WHERE b > a AND target > 0),
+k AS (SELECT r, sum(greatest(0, least(words, (SELECT floor(1.5 * any_value(total)) FROM w)::BIGINT - ahead)))::BIGINT AS taken FROM o GROUP BY r)
+SELECT d.doc_id, d.size, t.source_size, t.target, coalesce(k.taken, 0)::BIGINT AS taken
+FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN k ON d.r = k.r
+"""
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
@@ -111,5 +142,6 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op8_toxicity": op8_toxicity,
     "op10_token_blocks": op10_token_blocks,
+    "op11_mixing": op11_mixing,
 }
-ORACLES = {"op2_quality": OP2_SQL}
+ORACLES = {"op2_quality": OP2_SQL, "op11_mixing": OP11_SQL}
