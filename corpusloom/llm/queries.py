@@ -131,6 +131,12 @@ FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN k ON d.r = k.r
 """
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import whitening
+
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), k=8)[0]
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
@@ -143,5 +149,6 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op10_token_blocks": op10_token_blocks,
     "op11_mixing": op11_mixing,
+    "op12_whitening": op12_whitening,
 }
 ORACLES = {"op2_quality": OP2_SQL, "op11_mixing": OP11_SQL}
