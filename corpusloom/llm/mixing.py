@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import WORD, join_unique, written
 
 #: Equal rows of a run, and rows of a bucket of a source.
-RUN, BUCKET = 1000, 50_000
+RUN, BUCKET = 1000, 4000
 #: Hexadecimal digits of the shuffled order that number buckets.
 _DIGITS = 7
 
