@@ -137,6 +137,33 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"), k=8)[0]
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import phrases
+
+    return phrases.collocations(_table(spark, sf_dir, "documents"), least=100, longest=5, top=2000)
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM d),
+s AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM w),
+g AS (SELECT lang, words, i, unnest(range(1, least(5, len(words) - i + 1) + 1)) AS m FROM s),
+f AS (SELECT lang, m, array_to_string(words[i:i + m - 1], ' ') AS phrase, count(*) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(a) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE m > 1 AND a >= 100),
+k AS (SELECT lang, phrase, a, m, ws, unnest(range(1, m)) AS k FROM c),
+x AS (
+  SELECT k.lang, k.phrase, k.a, k.k, l.a AS l, r.a AS r, n.n, (1000::HUGEINT * k.a * n.n) // (l.a::HUGEINT * r.a) AS score
+  FROM k JOIN n USING (lang) JOIN f AS l ON l.lang = k.lang AND l.phrase = array_to_string(ws[1:k], ' ') JOIN f AS r ON r.lang = k.lang AND r.phrase = array_to_string(ws[k + 1:], ' ')),
+b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (SELECT DISTINCT c.lang, c.phrase FROM c JOIN c AS longer ON longer.lang = c.lang AND longer.m > c.m AND longer.a >= c.a AND contains(' ' || longer.phrase || ' ', ' ' || c.phrase || ' ')),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b ANTI JOIN o USING (lang, phrase))
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM z WHERE rank <= 2000
+"""
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_quality": op2_quality,
@@ -150,5 +177,6 @@ QUERIES = {
     "op10_token_blocks": op10_token_blocks,
     "op11_mixing": op11_mixing,
     "op12_whitening": op12_whitening,
+    "op13_collocations": op13_collocations,
 }
-ORACLES = {"op2_quality": OP2_SQL, "op11_mixing": OP11_SQL}
+ORACLES = {"op2_quality": OP2_SQL, "op11_mixing": OP11_SQL, "op13_collocations": OP13_SQL}
