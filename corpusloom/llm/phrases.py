@@ -19,6 +19,7 @@ space, tab and the characters that end a piece.
 
 from __future__ import annotations
 
+import itertools
 import pickle
 from collections import Counter, OrderedDict
 from functools import partial
@@ -75,7 +76,7 @@ def _words(batches):
     for batch in batches:
         for lang, raw in _parts(batch):
             counts.setdefault(lang, Counter()).update(tokens(raw))
-            if sum(map(len, counts.values())) > 300_000:
+            if sum(map(len, counts.values())) > 150_000:
                 yield from flush()
     yield from flush()
 
@@ -262,14 +263,15 @@ def _encoded(batches, index: Index, seed: int, sketch: bool):
     for batch in batches:
         for lang, raw in _parts(batch):
             words = tokens(raw)
-            known = memo.setdefault(lang, {_END: NONE})
-            if len(known) > 300_000:
-                known.clear()
-                known[_END] = NONE
+            if sum(map(len, memo.values())) > 100_000:
+                memo.clear()
+            known = memo.setdefault(lang, {})
             if new := [w for w in set(words) if w not in known]:
                 keys = np.array([_digest(lang, w, seed) for w in new], np.uint64)
-                known.update(zip(new, index.find(1, keys[:, 0], keys[:, 1])))
-            yield from out.add(np.fromiter(map(known.__getitem__, words), np.uint32, len(words)))
+                slots = index.find(1, keys[:, 0], keys[:, 1])
+                there = np.flatnonzero(slots != NONE).tolist()
+                known.update(zip((new[i] for i in there), slots[there].tolist()))
+            yield from out.add(np.fromiter(map(known.get, words, itertools.repeat(int(NONE))), np.uint32, len(words)))
     yield from out.close()
 
 
