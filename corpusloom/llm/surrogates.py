@@ -2,22 +2,28 @@
 
 Every replacement is a keyed permutation of the values of one shape, so without a table two different values of a shape never
 meet in one surrogate, and one value is replaced alike wherever it stands (in any letter case and, for numbers, with any
-separators). Digits stay digits, letters keep script and case, vowels of names stay vowels, card numbers keep their check
-digit's validity, e-mail addresses keep their top-level domain, first names are permuted among names of the same gender and
-script, and gendered endings of surnames stay. Permutations are Feistel networks over keyed BLAKE2b with cycle walking.
+separators). Digits stay digits, letters keep script and case, vowels of names stay vowels, accents stay accents, card numbers
+and IBANs keep their check digits' validity, e-mail addresses keep their top-level domain, first names are permuted among names
+of the same gender and script, and gendered endings of surnames stay. Permutations are Feistel networks over keyed BLAKE2b with
+cycle walking. A value without a letter or digit to move gets letters of a keyed hash in its place.
 
 Across the corpus, a check pass gathers the distinct values and their surrogates: values that share a surrogate, or kept
 their own value, get new ones (for all but the smallest value of each group) until none is left, and the second pass applies
-those exceptions. By construction they are a handful, so they travel with the second pass; over ``most_exceptions`` of them
-(detectors of your own may need it) the pass stops with an error rather than go on without them.
-
-Defined results: null texts stay null; texts without personal data are unchanged; repeated rows are replaced alike; an empty
-table gives an empty table; all columns of the input are kept.
+those exceptions. Full names are checked part by part, so a surname that has to move on does so in full names and alone. From
+attempt ``LONGER`` on surrogates get longer, so that also shapes of which nearly all values occur run out of collisions; IP
+addresses can't, and keep their last surrogate after ``ATTEMPTS``. By construction exceptions are a handful, so they travel with
+the second pass; over ``most_exceptions`` of them (detectors of your own may need it) the pass stops with an error rather than
+go on without them.
+
+Defined results: null texts stay null; texts without personal data are unchanged; a password of neither letters nor digits
+(``password: ________``) is a blank to fill in and stays; repeated rows are replaced alike; an empty table gives an empty
+table; all columns of the input are kept.
 """
 
 from __future__ import annotations
 
 import ipaddress
+import itertools
 import re
 from functools import lru_cache, partial
 from hashlib import blake2b
@@ -51,7 +57,9 @@ NAMES = {
     ("cyrillic", "m"): "Алексей Андрей Владимир Дмитрий Иван Михаил Николай Павел Сергей Юрий Александр Анатолий Антон Артём Борис Василий Виктор Виталий Григорий Денис Евгений Игорь Илья Кирилл Константин Максим Никита Олег Пётр Роман".split(),
 }
 _FIRST = {name: shape for shape, names in NAMES.items() for name in names}
-_CLASSES = ("0123456789", "aeiouy", "bcdfghjklmnpqrstvwxz", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ")
+_CLASSES = ("0123456789", "aeiouy", "bcdfghjklmnpqrstvwxz", "àáâãäåæèéêëìíîïòóôõöøùúûüý", "çðñþ", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "ъь")
+#: Attempts at a surrogate that no other value has, and from which on surrogates get longer.
+ATTEMPTS, LONGER = 50, 20
 _LETTERS = ("0123456789", "abcdefghijklmnopqrstuvwxyz")
 _HEX = ("0123456789abcdef",)
 _CAP, _LOW = "A-ZÀ-ÖØ-ÞА-ЯЁ", "a-zß-öø-ÿа-яё"
@@ -77,7 +85,7 @@ _CALLING = set("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52
 #: What a text must hold for a pattern to match at all, and the pattern; in the order in which they win.
 _PATTERNS = (
     ("@", r"(?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"),
-    ("=:", r"(?:(?i:password|passwd|token|secret|api[_-]?key)[\"']?\s*[=:]\s*[\"']?)(?P<secret>[A-Za-z0-9+/_-]{8,})"),
+    ("=:", r"(?:(?i:password|passwd|token|secret|api[_-]?key)[\"']?\s*[=:]\s*[\"']?)(?P<secret>(?=[+/_-]*[A-Za-z0-9])[A-Za-z0-9+/_-]{8,})"),
     ("0123456789", r"(?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])(?!\w))"),
     ("0123456789", r"(?P<card>(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-]))"),
     ("0123456789", r"(?P<iban>(?<![\w.-])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\w-]))"),
@@ -129,6 +137,8 @@ def _shift(value: str, classes: tuple[str, ...], key: bytes, tweak: str, valid=N
     number, total = 0, 1
     for i, cls in places:
         number, total = number * len(cls) + cls.index(low[i]), total * len(cls)
+    if total < 2:
+        return "".join(chr(97 + b % 26) for _, b in zip(value, itertools.cycle(blake2b(f"{tweak}|{value}".encode(), key=key).digest())))
     want = valid(low) if valid else None
     for _ in range(1000):
         number = permute(number, total, key, f"{tweak}|{shape}")
@@ -149,6 +159,23 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def iban_check(country: str, account: str) -> int:
+    """The check digits that make an IBAN valid: the number is 1 modulo 97 with the country behind the account."""
+    return 98 - int("".join(str(int(c, 36)) for c in account + country) + "00") % 97
+
+
+def _iban(value: str, key: bytes, tweak: str) -> str:
+    """The country stays, and whether the check digits are right; wrong ones stay as far from the right ones."""
+    country, check, account = value[:2], int(value[2:4]), value[4:]
+    new = _shift(account, _LETTERS, key, tweak)
+    right = iban_check(country, new)
+    off = (check - iban_check(country, account)) % 100
+    wrong = (right + off) % 100
+    if off and (wrong - right) % 97 == 0:  # 97 more or less is as right
+        wrong = (right - off) % 100
+    return f"{country}{wrong:02d}{new}"
+
+
 def _refill(value: str, digits: str) -> str:
     it = iter(digits)
     return "".join(next(it) if c in "0123456789" else c for c in value)
@@ -197,24 +224,39 @@ def _given(word: str, key: bytes, attempt: int) -> str:
     return new.upper() if word.isupper() else new
 
 
-def _name(value: str, key: bytes, attempt: int) -> str:
-    """First names among those of script and gender; particles stay; initials and surnames move by themselves, so a surname alone does alike."""
+def name_parts(value: str) -> list[tuple[str, str]]:
+    """The parts of a name in turn: ``first``, ``surname`` (initials as well), or ``-`` for what stays."""
     tokens, out = re.findall(r"[^\s,]+|[\s,]+", value), []
     for k, word in enumerate(tokens):
-        first = _first(word)
-        if not word.strip(" ,") or word in _PARTICLES:
-            out.append(word)
-        elif first and (k < len(tokens) - 1 or ", " in value):  # the last word is a surname, if not behind a comma
-            out.append(_given(word, key, attempt))
-        else:
-            ending = re.search(r"(?:ова|ева|ина|ская|ов|ев|ин|ский)$", word)
-            stem = word[: ending.start()] if ending else word
-            out.append(_shift(stem, _CLASSES, key, f"name.{attempt}") + (ending.group() if ending else ""))
-    return "".join(out)
+        given = _first(word) and (k < len(tokens) - 1 or ", " in value)  # the last word is a surname, if not behind a comma
+        out.append(("-" if not word.strip(" ,") or word in _PARTICLES else "first" if given else "surname", word))
+    return out
 
 
-def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
-    """The replacement of one detected value."""
+def _surname(word: str, key: bytes, attempt: int) -> str:
+    ending = re.search(r"(?:ова|ева|ина|ская|ов|ев|ин|ский)$", word)
+    stem = word[: ending.start()] if ending else word
+    return _shift(stem, _CLASSES, key, f"name.{attempt}") + (ending.group() if ending else "")
+
+
+def _lengthened(new: str, kind: str, value: str, key: bytes, more: int) -> str:
+    """A surrogate with more letters or digits in front of what has to stay at its end."""
+    drawn = int.from_bytes(blake2b(f"{kind}|{canonical(kind, value)}".encode(), key=key).digest(), "big")
+    alphabet = "0123456789" if kind in ("card", "phone", "ssn", "iban") else "аеио" if re.search("[а-яё]", new.lower()) else "aeiou"
+    extra = "".join(alphabet[drawn // len(alphabet) ** k % len(alphabet)] for k in range(more))
+    return extra + new if kind == "email" else new + (extra.upper() if new.isupper() and len(new) > 1 else extra)
+
+
+def surrogate(kind: str, value: str, key: bytes, attempt: int = 0, retry: dict | None = None) -> str:
+    """The replacement of one detected value; the parts of a name take their attempts from ``retry``."""
+    if kind == "name":
+        make = {"-": lambda w: w, "first": lambda w: _given(w, key, 0), "surname": lambda w: surrogate("surname", w, key, retry.get(("surname", canonical("surname", w)), 0) if retry else 0)}
+        return "".join(make[part](word) for part, word in name_parts(value))
+    new = _replacement(kind, value, key, attempt)
+    return _lengthened(new, kind, value, key, 2 * (attempt - LONGER + 1)) if attempt >= LONGER and kind not in ("ip", "ipv6") else new
+
+
+def _replacement(kind: str, value: str, key: bytes, attempt: int) -> str:
     tweak = f"{kind}.{attempt}"
     if kind == "email":
         local, _, host = value.partition("@")
@@ -225,16 +267,16 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
         return ".".join(map(str, n.to_bytes(4, "big")))
     if kind == "secret":
         return _shift(value, _HEX if re.fullmatch("[0-9a-f]+", value) else _LETTERS, key, tweak)
-    if kind in ("name", "surname"):
-        return _name(value, key, attempt)
+    if kind == "surname":
+        return _surname(value, key, attempt)
     if kind == "first":
         return _given(value, key, attempt)
     if kind == "ipv6":
         n = permute(int(ipaddress.IPv6Address(value)), 1 << 128, key, tweak)
         return str(ipaddress.IPv6Address(n))
-    if kind == "iban":  # the country stays
-        new = iter(_shift(canonical(kind, value)[2:], _LETTERS, key, tweak))
-        return value[:2] + "".join(c if c == " " else next(new) for c in value[2:])
+    if kind == "iban":
+        new = iter(_iban(canonical(kind, value), key, tweak))
+        return "".join(c if c == " " else next(new) for c in value)
     prefix = _country(value) if kind == "phone" else ""
     rest = value[len(prefix) :]
     digits = re.sub("[^0-9]", "", rest)
@@ -323,14 +365,15 @@ def _entities(batches, key: bytes):
         for text in batch.column(0):
             text = text.as_py()
             for kind, s, e in detect(text):
-                value = text[s:e]
-                seen.setdefault((kind, canonical(kind, value)), value)
+                for part, value in name_parts(text[s:e]) if kind == "name" else [(kind, text[s:e])]:
+                    if part not in ("-", "first"):  # first names move along a list, so no two meet
+                        seen.setdefault((part, canonical(part, value)), value)
         rows = [(k, c, canonical(k, surrogate(k, v, key)), v) for (k, c), v in seen.items()]
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (list(zip(*rows)) or [[]] * 4)], names=["kind", "value", "surrogate", "sample"])
 
 
 def entities(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
-    """(kind, value, surrogate, sample): the distinct values of all texts, with what each would be replaced by."""
+    """(kind, value, surrogate, sample): the distinct values of all texts, names by their surnames, with what each would be replaced by."""
     rows = docs.select(F.col(f"`{text_col}`").alias("text")).filter("text is not null")
     found = rows.mapInArrow(partial(_entities, key=key), "kind string, value string, surrogate string, sample string")
     return found.groupBy("kind", "value").agg(F.min("surrogate").alias("surrogate"), F.min("sample").alias("sample"))
@@ -348,7 +391,7 @@ def exceptions(docs: DataFrame, key: bytes, text_col: str = "text", most: int =
 
     found = written(entities(docs, key, text_col), "entities")
     out: dict[tuple[str, str], int] = {}
-    for attempt in range(1, 50):
+    for attempt in range(1, ATTEMPTS):
         bad = collisions(found).limit(most + 1).collect()
         if len(bad) + len(out) > most:
             raise ValueError(f"more than {most} values collide: use a key or detectors with larger domains")
@@ -357,8 +400,6 @@ def exceptions(docs: DataFrame, key: bytes, text_col: str = "text", most: int =
         out |= {(r.kind, r.value): attempt for r in bad}
         new = docs.sparkSession.createDataFrame([(r.kind, r.value, canonical(r.kind, surrogate(r.kind, r.sample, key, attempt))) for r in bad], "kind string, value string, renewed string")
         found = written(found.join(F.broadcast(new), ["kind", "value"], "left").select("kind", "value", F.coalesce("renewed", "surrogate").alias("surrogate"), "sample"), "entities")
-    else:
-        raise ValueError("values still collide after 49 attempts: use a key or detectors with larger domains")
     return out
 
 
@@ -367,7 +408,7 @@ def replace(text: str, key: bytes, retry: dict, make=surrogate) -> tuple[str, li
     parts, at, kinds = [], 0, []
     for kind, s, e in detect(text):
         value = text[s:e]
-        parts += [text[at:s], make(kind, value, key, retry.get((kind, canonical(kind, value)), 0) if retry else 0)]
+        parts += [text[at:s], surrogate(kind, value, key, 0, retry) if kind == "name" else make(kind, value, key, retry.get((kind, canonical(kind, value)), 0) if retry else 0)]
         at = e
         kinds.append(kind)
     return ("".join([*parts, text[at:]]), kinds) if kinds else (text, kinds)

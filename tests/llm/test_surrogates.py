@@ -130,3 +130,56 @@ def test_very_long_text():
     long = "lorem ipsum " * 100_000
     text, kinds = S.replace(f"{long}mail me at ann.lee99@mail7.example.com {long}", KEY_OF, {})
     assert kinds == ["email"] and "ann.lee99" not in text and len(text) == len(f"{long}mail me at ann.lee99@mail7.example.com {long}")
+
+
+@pytest.mark.parametrize("line", ["password: ________", "secret = --------", "token=////////"])
+def test_blanks_are_no_secrets(line):
+    assert S.replace(line, KEY, {}) == (line, [])
+
+
+@pytest.mark.parametrize("line", ["Mr. Ééé", "Dr. Ñçð", "господин Ъьй", "Иван Йоёъь", "token = _______a", "Ms. Øå", "Sr. Ýþ-Ðñ", "my name is Éa Öý"])
+def test_every_letter_moves_inside_its_class(line):
+    new, kinds = S.replace(line, KEY, {})
+    value, got = (t.split()[-1] for t in (line, new))
+    assert len(kinds) == 1 and value != got and len(value) == len(got)
+    for a, b in zip(value, got):
+        assert kinds == ["secret"] or a.isupper() == b.isupper() and b.lower() in next((c for c in S._CLASSES if a.lower() in c), a)
+
+
+def test_classes_hold_every_letter_that_names_may_have():
+    letters = [chr(c) for c in [*range(0xC0, 0xD7), *range(0xD8, 0xDF), *range(0x410, 0x430), 0x401]]
+    assert all(sum(x.lower() in c for c in S._CLASSES) == 1 and x.lower().upper() == x for x in letters)
+    assert all(c.upper().lower() == c for cls in S._CLASSES for c in cls)
+
+
+def test_no_line_ends_the_pass(spark, docs):
+    rows = ["password: ________", "secret = --------", "token=////////", "Mr. Ééé", "господин Ъь", "госпожа Ьъ", "password=++++++++", "IBAN DE00 0000 0000 0000 0000 00", "a@-.com x@-.com", ":: 1::", "+0 00000000"]
+    df = docs([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in S.pseudonymise(df, KEY).collect()}
+    assert [out[i] for i in (0, 1, 2, 6)] == [rows[i] for i in (0, 1, 2, 6)] and out[3] != rows[3] and out[4] != rows[4]
+    assert S._shift("____", S._LETTERS, KEY, "t") not in ("____", S._shift("----", S._LETTERS, KEY, "t"))
+
+
+@pytest.mark.parametrize("value", ["DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "DE88370400440532013000", "FR01 2004 1010 0505 0001 3M02 606"])
+def test_iban_check_digits(value):
+    def right(v):
+        v = v.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
+
+    for key in (b"a", b"b", b"c", b"d", b"e", b"f"):
+        got = S.surrogate("iban", value, key)
+        assert got != value and got[:2] == value[:2] and right(got) == right(value) and shape(got) == shape(value)
+
+
+def test_a_surname_that_moves_on_does_so_everywhere():
+    text = "Maria Lopez met Dr. Lopez; LOPEZ, Maria wrote."
+    retry = {("surname", "Lopez"): 3}
+    new, kinds = S.replace(text, KEY, retry)
+    got = re.match(r"(\w+) (\w+) met Dr. (\w+); (\w+), (\w+) wrote", new)
+    assert got[2] == got[3] == got[4].title() and got[1] == got[5] and got[2] != S.replace(text, KEY, {})[0].split()[1]
+
+
+def test_longer_surrogates_after_many_attempts():
+    for kind, value in (("surname", "Lopez"), ("email", "a@b.org"), ("ssn", "123-45-6789"), ("surname", "Иванов")):
+        a, b = S.surrogate(kind, value, KEY, S.LONGER - 1), S.surrogate(kind, value, KEY, S.LONGER)
+        assert len(b) == len(a) + 2 and S.surrogate(kind, value, KEY, S.LONGER) == b
