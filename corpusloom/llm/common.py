@@ -77,6 +77,14 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
 
 
+def free(name: str, df: DataFrame) -> str:
+    """A column name that ``df`` doesn't have (names differ by more than letter case)."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def join_unique(rows: DataFrame, table: DataFrame, key: str, size: str, total: int, share: int = 256) -> DataFrame:
     """Inner join with the one row that ``table`` has for each key, also where a few keys hold most of ``rows``.
 

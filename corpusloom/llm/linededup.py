@@ -9,7 +9,8 @@ line is compared until it has met each component there, so a bucket of copies of
 only a spanning forest of links leaves a task. Components of the links come from distributed union-find (``components``); the
 first line of a component in the order of (id, line number) stays.
 
-Lines travel as 64-bit hashes. Only documents that lose lines are joined with what they lose.
+Lines travel as 64-bit hashes. Only documents that lose lines (and the few others that a Bloom filter of their id and text
+lets through) are joined with what they lose, and shuffled for it; the others' texts stay where they are read.
 
 Defined results: null texts stay null and empty ones empty; documents that lose nothing are returned as they are; of ones
 that lose their last line with words, the text becomes empty (or the row goes, see ``drop_emptied``); rows of one id and one
@@ -19,6 +20,7 @@ changed; empty tables give empty tables; all columns of the input are returned.
 
 from __future__ import annotations
 
+import itertools
 from functools import partial
 
 import numpy as np
@@ -26,9 +28,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType
 
 from . import buckets
-from .common import join_unique, tidy, written
+from .common import free, join_unique, tidy, written
 from .components import connected_components
 
 
@@ -130,6 +133,34 @@ def _wanted_lines(batches, wanted: buckets.Filter):
         yield pa.RecordBatch.from_arrays([pa.array(ids[at].view(np.int64)), pa.array([lines[i] for i in at], pa.string())], names=["id", "text"])
 
 
+def _maybe(wanted: buckets.Filter):
+    """A column function: whether the filter may hold a 64-bit hash (never null)."""
+
+    @F.arrow_udf(BooleanType())
+    def holds(hashes: pa.Array) -> pa.Array:
+        return pa.array(wanted.holds(hashes.to_numpy(zero_copy_only=False).view(np.uint64)))
+
+    return holds
+
+
+@F.arrow_udf(StringType())
+def _without(texts: pa.Array, gone: pa.Array) -> pa.Array:
+    """Texts without the lines of the given numbers."""
+    out = []
+    for text, numbers in zip(texts, gone):
+        text = text.as_py()
+        if text is not None and numbers.is_valid:
+            lines = text.split("\n")
+            stays = np.ones(len(lines), bool)
+            stays[numbers.values.to_numpy()] = False
+            text = "\n".join(itertools.compress(lines, stays.tolist()))
+        out.append(text)
+    return pa.array(out, pa.string())
+
+
+_without = _without.asNondeterministic()  # so that it runs once, also where a filter reads its result
+
+
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, shingle: int = 8, bands: int = 7, band_rows: int = 3, tile: int = 1000, filter_bits: int = buckets.FILTER_BITS) -> DataFrame:
     """(doc_id, version, lines array<int>): the numbers (from 0) of the lines that each document loses; version is xxhash64 of its text."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -154,11 +185,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``drop_emptied`` leaves out documents of which no line with words is left: all that they said is said elsewhere.
     """
-    # what goes grows with the documents, so this join is never a broadcast
-    gone = written(duplicate_lines(docs, id_col, text_col, **options).select(F.col("doc_id").alias("__of"), F.col("version").alias("__version"), F.col("lines").alias("__gone")), "gone").hint("merge")
-    both = docs.join(gone, (F.col(f"`{id_col}`").cast("long") == F.col("__of")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("__version")), "left")
-    left = F.concat_ws("\n", F.filter(F.split(F.col(f"`{text_col}`"), "\n"), lambda x, i: ~F.array_contains("__gone", i)))
+    of, version, gone, lost, rest = (free(n, docs) for n in ("of", "version", "gone", "lost", "rest"))
+    marks = written(duplicate_lines(docs, id_col, text_col, **options).select(F.col("doc_id").alias(of), F.col("version").alias(version), F.col("lines").alias(gone)), "gone")
+    own, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
+    # both the filter's table and the mark of each row have a bounded size; what goes grows with the documents, so its join is never a broadcast
+    keys = marks.select(F.xxhash64(of, version).alias("id"))
+    marked = docs.withColumn(lost, _maybe(buckets.Filter(keys, options.get("filter_bits", buckets.FILTER_BITS)))(F.xxhash64(own, F.xxhash64(text))))
+    both = marked.filter(lost).join(marks.hint("merge"), (own == F.col(of)) & (F.xxhash64(text) == F.col(version)), "left")
+    both = both.withColumn(rest, _without(text, F.col(gone)))
     if drop_emptied:
-        both = both.filter(F.col("__gone").isNull() | F.rlike(left, F.lit(r"[^\x20\x09-\x0D]")))
-    out = [F.when(F.col("__gone").isNull(), F.col(f"`{c}`")).otherwise(left).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return both.select(*out, *([F.coalesce(F.size("__gone"), F.lit(0)).alias(count_as)] if count_as else []))
+        both = both.filter(F.col(gone).isNull() | F.rlike(F.col(rest), F.lit(r"[^\x20\x09-\x0D]")))
+    changed = [F.col(rest if c == text_col else f"`{c}`").alias(c) for c in docs.columns]
+    same = marked.filter(f"not `{lost}`").select(*[F.col(f"`{c}`") for c in docs.columns], *([F.lit(0).alias(count_as)] if count_as else []))
+    return same.unionAll(both.select(*changed, *([F.coalesce(F.size(gone), F.lit(0)).alias(count_as)] if count_as else [])))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import buckets, simhash
-from .common import id_text, join_unique, tidy, written
+from .common import free, id_text, join_unique, tidy, written
 from .components import connected_components
 
 _ODD = (np.random.default_rng(17).integers(0, 1 << 63, 64, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -119,5 +119,5 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows of ``docs`` of which one stays for each class of similar texts or close fingerprints: that of the smallest id (rows without id stay)."""
     prints = simhash.near_duplicates(docs, id_col, text_col, shingle, radius).filter("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("component_id").cast("long"))
     links = prints.union(similar_documents(docs, id_col, text_col, shingle=shingle, **options)).filter("doc_id <> component_id")
-    gone = connected_components(links.select(F.col("doc_id").alias("src"), F.col("component_id").alias("dst"))).filter("node <> component").select(F.col("node").alias("__gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("__gone"), "left_anti")
+    gone = connected_components(links.select(F.col("doc_id").alias("src"), F.col("component_id").alias("dst"))).filter("node <> component").select(F.col("node").alias(node := free("gone", docs))).distinct()
+    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col(node), "left_anti")

@@ -1,6 +1,7 @@
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from corpusloom.llm import linededup as L
 
@@ -125,3 +126,29 @@ def test_recall_at_the_least_similarity(spark, docs):
         want += len(x & y) >= 0.8 * len(x | y)
         rows += [(2 * k, a), (2 * k + 1, b)]
     assert want > 200 and len(found(docs(rows, "doc_id long, text string"))) >= 0.98 * want
+
+
+def test_half_a_million_lines_in_one_text(spark, docs):
+    import time
+
+    many = "\n".join(["the same line of a log file, again and again"] * 480_000 + [f"{i * 0x9E3779B97F4A7C15 % (1 << 64):016x}" for i in range(20_000)])
+    df = docs([(1, many, "a", 1, "b", 2), (2, "the same line of a log file, again and again\nown", "a", 1, "b", 2), (3, None, "a", 1, "b", 2)], "doc_id long, text string, gone string, of int, version string, lost int")
+    start = time.monotonic()
+    out = {r.doc_id: r for r in L.dedup_lines(df, count_as="n").collect()}
+    took = time.monotonic() - start
+    kept = out[1].text.split("\n")
+    assert kept[0] == "the same line of a log file, again and again" and len(kept) + out[1].n == 500_000 and out[1].n == 479_999 and out[2].text == "own" and out[3].text is None
+    assert (out[2].gone, out[2].of, out[2].version, out[2].lost) == ("a", 1, "b", 2) and took < 240
+
+
+def test_removal_is_linear_in_the_lines(spark, docs, monkeypatch):
+    import time
+
+    text = "\n".join(["x"] * 500_000)
+    gone = docs([(1, list(range(1, 500_000)))], "doc_id long, lines array<int>")
+    df = docs([(1, text), (2, "y")], "doc_id long, text string")
+    marks = gone.crossJoin(df.filter("doc_id = 1").select(F.xxhash64("text").alias("version"))).select("doc_id", "version", "lines")
+    monkeypatch.setattr(L, "duplicate_lines", lambda *a, **k: marks)
+    start = time.monotonic()
+    assert {r.doc_id: r.text for r in L.dedup_lines(df).collect()} == {1: "x", 2: "y"}
+    assert time.monotonic() - start < 30
