@@ -1,13 +1,15 @@
 """Vector search over a collection, passage deduplication and the score gate.
 
-Queries are a stated set, read in blocks of a bounded number of vectors; a block is multiplied with every Arrow batch of the
-collection, a partition keeps its best few for each query, and the exact order among those is settled by a window that needs
-``k`` rows for each query and partition. The collection is never shuffled, whatever its size.
+Queries are written once, in blocks of a bounded number of vectors, as files that tasks read; the driver never holds them. Each
+task multiplies every block with its part of the collection and keeps the best few of each part for each query, and the exact
+order among those is settled by a window that needs ``k`` rows for each query and part. The collection is read once and never
+shuffled, whatever its size and however many queries there are.
 """
 
 from __future__ import annotations
 
-from functools import partial, reduce
+from collections import OrderedDict
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import opened, shared_folder
+
 K, OVER_FETCH, MARGIN, DIGITS = 5, 10, 0.05, 6
 
 
@@ -41,24 +45,112 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
     return m / np.where(n == 0, 1, n)
 
 
-def _best(batches, queries: np.ndarray, query_ids: list, k: int, skip_self: bool):
-    """The best k of the partition for each query, and all that tie with the last of them after rounding."""
-    kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    ids_type = None
+def write_blocks(asked: DataFrame, folder: str, sizes: dict[int, int], block: int) -> dict[int, list[int]]:
+    """Write rows (cell, id, vector) as Arrow files of about ``block`` rows; the numbers of each cell's blocks. ``sizes``: rows of each cell."""
+    parts = {cell: -(-n // block) for cell, n in sizes.items()}
+    if not parts:
+        return {}
+    of = F.create_map(*[F.lit(x) for pair in parts.items() for x in pair])[F.col("cell")]
+    numbered = asked.withColumn("block", F.pmod(F.xxhash64("id"), of).cast("int")).select("cell", "block", "id", "vector")
+    tasks = min(sum(parts.values()), int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = numbered.repartition(tasks, "cell", "block").sortWithinPartitions("cell", "block", "id")
+    found: dict[int, list[int]] = {}
+    for cell, number in sorted(map(tuple, dealt.mapInArrow(partial(_write, folder=folder), "cell int, block int").collect())):
+        found.setdefault(cell, []).append(number)
+    return found
+
+
+def _write(batches, folder: str):
+    """Rows sorted by cell and block: a file for each of them."""
+    fs, path = opened(folder)
+    fs.create_dir(path, recursive=True)
+    now, held = None, []
+
+    def close():
+        with fs.open_output_stream(f"{path}/block-{now[0]}-{now[1]}") as out, pa.ipc.new_stream(out, held[0].schema) as writer:
+            for part in held:
+                writer.write_batch(part)
+        return pa.RecordBatch.from_arrays([pa.array([x], pa.int32()) for x in now], names=["cell", "block"])
+
+    for batch in batches:
+        keys = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:2]], axis=1)
+        edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        for s, e in zip(edges[:-1], edges[1:]):
+            if s == e:
+                continue
+            if now is not None and tuple(keys[s]) != now:
+                yield close()
+                held = []
+            now = tuple(keys[s].tolist())
+            held.append(batch.slice(s, e - s).select([2, 3]))
+    if held:
+        yield close()
+
+
+class Blocks:
+    """Blocks of queries as a task reads them; the last few stay in memory."""
+
+    def __init__(self, folder: str, parts: dict[int, list[int]], held: int = 32):
+        self.folder, self.parts, self.held = folder, parts, held
+        self.open: OrderedDict[tuple[int, int], tuple[pa.Array, np.ndarray]] = OrderedDict()
+
+    def of(self, cell: int):
+        """(ids, matrix) of each block that looks at a cell."""
+        for n in self.parts.get(cell, ()):
+            if (cell, n) not in self.open:
+                fs, path = opened(self.folder)
+                with fs.open_input_stream(f"{path}/block-{cell}-{n}") as file:
+                    table = pa.ipc.open_stream(file).read_all().combine_chunks()
+                self.open[cell, n] = (table.column(0).combine_chunks(), _matrix(table.column(1).combine_chunks()))
+                while len(self.open) > self.held:
+                    self.open.popitem(last=False)
+            self.open.move_to_end((cell, n))
+            yield self.open[cell, n]
+
+
+def _search(batches, folder: str, parts: dict[int, list[int]], k: int, skip_self: bool, numbers: int = 4_000_000):
+    """Rows (cell, id, vector): for each query that looks at a cell the best k of each part of it, and all that tie with the last after rounding."""
+    blocks, held, size = Blocks(folder, parts), {}, 0
+
+    def flush():
+        for cell, rows in held.items():
+            table = pa.Table.from_batches(rows).combine_chunks()
+            ids, matrix = table.column(0).combine_chunks(), _matrix(table.column(1).combine_chunks())
+            plain = ids.to_numpy(zero_copy_only=False)
+            for query_ids, queries in blocks.of(cell):
+                asked, best = query_ids.to_numpy(zero_copy_only=False), []
+                for at in range(0, len(plain), 2048):
+                    scores = queries @ matrix[at : at + 2048].T
+                    if skip_self:
+                        scores[asked[:, None] == plain[None, at : at + 2048]] = -2
+                    n = min(k, scores.shape[1])
+                    floor = -np.partition(-scores, n - 1, axis=1)[:, n - 1 : n] - 2 * 10.0**-DIGITS
+                    q, c = np.nonzero((scores >= floor) & (scores > -2))
+                    best.append((q, c + at, scores[q, c]))
+                q, c, scores = _cut(best, k)
+                yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(q)), ids.take(pa.array(c)), pa.array(scores)], names=["query_id", "id", "raw"])
+        held.clear()
+
     for batch in batches:
-        ids_type = batch.schema.field(0).type
-        ids, scores = batch.column(0).to_numpy(zero_copy_only=False), queries @ _matrix(batch.column(1)).T
-        if skip_self:
-            scores[np.asarray(query_ids)[:, None] == ids[None, :]] = -2
-        n = min(k, len(ids))
-        floor = -np.partition(-scores, n - 1, axis=1)[:, n - 1 : n] - 2 * 10.0**-DIGITS
-        q, c = np.nonzero((scores >= floor) & (scores > -2))
-        kept.append((q, ids[c], scores[q, c]))
-        if sum(len(x[0]) for x in kept) > 50 * k * len(queries):
-            kept = [_cut(kept, k)]
-    if kept:
-        q, ids, scores = _cut(kept, k)
-        yield pa.RecordBatch.from_arrays([pa.array(np.asarray(query_ids)[q]), pa.array(ids, ids_type), pa.array(scores)], names=["query_id", "id", "raw"])
+        cells = batch.column(0).to_numpy(zero_copy_only=False)
+        order = pa.array(np.argsort(cells, kind="stable"))
+        sorted_batch, cells = batch.take(order), np.sort(cells)
+        for at in range(0, batch.num_rows, 4096):
+            part, own = sorted_batch.slice(at, 4096), cells[at : at + 4096]
+            for cell in np.unique(own).tolist():
+                s, e = np.searchsorted(own, [cell, cell + 1])
+                held.setdefault(cell, []).append(part.slice(s, e - s).select([1, 2]))
+            size += len(part.column(2).flatten())
+            if size >= numbers:
+                yield from flush()
+                size = 0
+    yield from flush()
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score, rank): the best k of rows (query_id, id, raw) after rounding, ties by id."""
+    scored = found.select("query_id", "id", F.round("raw", DIGITS).alias("score"))
+    return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= k)
 
 
 def _cut(parts, k: int):
@@ -75,22 +167,17 @@ def _cut(parts, k: int):
 def top_k(queries: DataFrame, collection: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", skip_self: bool = False, block: int = 2048) -> DataFrame:
     """(query_id, id, score, rank): for each query the k rows with the highest cosine (rounded), ties by id.
 
-    ``queries`` is read block by block, so it may be of any size; null vectors match nothing.
+    ``queries`` may be of any size; null ids and vectors match nothing.
     """
-    rows = collection.select(F.col(id_col), F.col(vector_col)).filter(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull())
-    asked = queries.select(F.col(id_col).cast("long"), vector_col).filter(F.col(vector_col).isNotNull())
-    blocks = max(1, -(-asked.count() // block))
-    kind = rows.schema[id_col].dataType.simpleString()
-    found = []
-    for b in range(blocks):
-        table = asked.filter(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == b).orderBy(id_col).toArrow()
-        if table.num_rows:
-            work = partial(_best, queries=_matrix(table.column(1).combine_chunks()), query_ids=table.column(0).to_pylist(), k=k, skip_self=skip_self)
-            found.append(rows.mapInArrow(work, f"query_id long, id {kind}, raw double"))
-    if not found:
-        return collection.sparkSession.createDataFrame([], f"query_id long, id {kind}, score double, rank int")
-    scored = reduce(DataFrame.union, found).select("query_id", "id", F.round("raw", DIGITS).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= k)
+    spark, there = collection.sparkSession, F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()
+    rows = collection.filter(there).select(F.lit(0).alias("cell"), F.col(id_col).alias("id"), F.col(vector_col).alias("vector"))
+    asked = queries.filter(there).select(F.lit(0).alias("cell"), F.col(id_col).alias("id"), F.col(vector_col).alias("vector"))
+    folder, n = shared_folder(spark), asked.count()
+    parts = write_blocks(asked, folder, {0: n} if n else {}, block)
+    kinds = [df.schema["id"].dataType.simpleString() for df in (asked, rows)]
+    if not parts:
+        return spark.createDataFrame([], f"query_id {kinds[0]}, id {kinds[1]}, score double, rank int")
+    return ranked(rows.mapInArrow(partial(_search, folder=folder, parts=parts, k=k, skip_self=skip_self), f"query_id {kinds[0]}, id {kinds[1]}, raw double"), k)
 
 
 def dedup_hits(hits: DataFrame, passage_hash: str, k: int = K, query: str = "query_id", id_col: str = "id") -> DataFrame:

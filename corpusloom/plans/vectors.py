@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import ann as A
 from ..operators import retrieval as R
 from ..operators import statistics as S
+from ..sources.shared import shared_folder, stored
 from .base import query, sql_collapse, table
 
 _PAIRS = """
@@ -25,6 +27,17 @@ def vector_topk_raw(spark, d):
     return R.top_k(_queries(spark, d), table(spark, d, "embeddings"), R.K)
 
 
+@query("""SELECT CAST(count(*) FILTER (vec_id % 50 = 0) AS BIGINT) AS n_queries, CAST(count(*) FILTER (vec_id % 50 = 0) * least(5, count(*)) AS BIGINT) AS n_true, true AS reached, true AS exact_with_all_cells FROM embeddings""")
+def ann_recall(spark, d):
+    """Hits of the inverted file (a quarter of its cells probed) against those of all rows: whether recall at 5 reaches 0.9, and 1 with all cells."""
+    rows = table(spark, d, "embeddings")
+    path = shared_folder(spark)
+    cells = A.build(rows, path, cells=32)["cells"]
+    exact = stored(R.top_k(_queries(spark, d), rows, R.K), "exact")
+    some, all_ = (A.recall(A.search(spark, path, _queries(spark, d), R.K, probes=n, space="cosine"), exact) for n in (-(-cells // 4), cells))
+    return some.crossJoin(F.broadcast(all_.select(F.col("n_found").alias("all_found")))).select("n_queries", "n_true", (10 * F.col("n_found") >= 9 * F.col("n_true")).alias("reached"), (F.col("all_found") == F.col("n_true")).alias("exact_with_all_cells"))
+
+
 _HITS = f"""{_PAIRS},
 col AS (SELECT s.*, sha256({sql_collapse('text')}) AS passage_hash FROM scored s JOIN documents ON doc_id = id),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM col) WHERE r <= 15),
