@@ -3,7 +3,8 @@
 Words are counted first; the frequent ones of a language get slots of a minimal perfect hash (``mph``), under which texts are
 written once as sequences of slots. Then level by level: a phrase of m words is the pair of the slots of its first and its last
 m - 1 words, so it exists only where both are frequent (Apriori), and the pair is its exact 64-bit key. Keys are first counted
-in a table of ``SKETCH`` places by their hash; only those of places that reach ``least`` can be frequent. These candidates, in
+in a table of ``SKETCH`` places by their hash; only those of places that reach ``least``, and that some task has its share of,
+can be frequent. These candidates, in
 blocks of a bounded size, get a minimal perfect hash each, whose stored keys decide on a match. Mappers count slots by
 ``bincount`` into an array for each block; a tree of sums, ``FAN`` arrays at a time, adds them up. Counts are files by block
 as well, so the parts of every cut of a candidate are read by slot. No candidate, word or count of the corpus passes through
@@ -215,9 +216,33 @@ def _place(keys: np.ndarray) -> np.ndarray:
     return (mixed(keys, 77) % np.uint64(SKETCH)).astype(np.int64)
 
 
-def _row(kind: str, piece: int, payload: np.ndarray) -> pa.RecordBatch:
+_KINDS = {1: np.dtype("<u1"), 2: np.dtype("<u2"), 4: np.dtype("<u4"), 8: np.dtype("<i8")}
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs; only those that are not 0, with their places, where that is shorter."""
+    width = next(w for w in (1, 2, 4, 8) if int(values.max(initial=0)) < 1 << 8 * w)
+    at = np.flatnonzero(values)
+    kind, sparse = _KINDS[width], len(at) * (4 + width) < len(values) * width
+    head = np.array([len(values), len(at) if sparse else -1, width], "<i8").tobytes()
+    return head + (at.astype("<u4").tobytes() + values[at].astype(kind).tobytes() if sparse else values.astype(kind).tobytes())
+
+
+def added_to(total: np.ndarray | None, payload: bytes) -> np.ndarray:
+    """``total`` (None: zeros) plus packed counts."""
+    n, k, width = np.frombuffer(payload, "<i8", 3).tolist()
+    total = np.zeros(n, np.int64) if total is None else total
+    kind = _KINDS[width]
+    if k < 0:
+        total += np.frombuffer(payload, kind, n, 24)
+    else:
+        total[np.frombuffer(payload, "<u4", k, 24)] += np.frombuffer(payload, kind, k, 24 + 4 * k)
+    return total
+
+
+def _row(kind: str, piece: int, payload: bytes) -> pa.RecordBatch:
     turn = TaskContext.get().partitionId()
-    return pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([piece], pa.int32()), pa.array([turn], pa.int32()), pa.array([payload.tobytes()], pa.binary())], names=["kind", "piece", "turn", "payload"])
+    return pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([piece], pa.int32()), pa.array([turn], pa.int32()), pa.array([payload], pa.binary())], names=["kind", "piece", "turn", "payload"])
 
 
 class _Sequences:
@@ -245,7 +270,7 @@ class _Sequences:
 
     def flush(self):
         if self.size > len(self.parts) // 2:
-            yield _row("sequence", 0, np.concatenate(self.parts))
+            yield _row("sequence", 0, np.concatenate(self.parts).tobytes())
         self.parts, self.size = [], 0
 
     def close(self):
@@ -253,7 +278,7 @@ class _Sequences:
         if self.places is not None:
             for k, piece in enumerate(self.places.reshape(-1, PIECE)):
                 if piece.any():
-                    yield _row("sketch", k, piece)
+                    yield _row("sketch", k, packed(piece))
 
 
 @tidy
@@ -292,11 +317,23 @@ def _passing(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
 
 
 @tidy
-def _candidates(batches, index: Index, level: int, bits: np.ndarray):
-    """Distinct keys of the level of each sequence, which the sketch lets pass."""
+def _candidates(batches, index: Index, level: int, bits: np.ndarray, tasks: int, most: int = 4_000_000):
+    """Distinct keys of the level of each sequence, which the sketch lets pass and a task has often enough.
+
+    A key that occurs ``least`` times over all tasks occurs a ``tasks``-th of that in one of them. A task that can't hold its
+    keys sends all that it has.
+    """
+    keys, counts, share = np.empty(0, np.uint64), np.empty(0, np.int64), -(-index.least // tasks)
     for seq in _sequences(batches, index, level - 1):
-        _, keys = _pairs(seq)
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(keys[_passing(keys, bits)]).view(np.int64))], names=["key"])
+        _, new = _pairs(seq)
+        new = new[_passing(new, bits)]
+        both, place = np.unique(np.concatenate([keys, new]), return_inverse=True)
+        counts = np.bincount(place, np.concatenate([counts, np.ones(len(new), np.int64)]), len(both)).astype(np.int64)
+        keys = both
+        if len(keys) > most:
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], names=["key"])
+            keys, counts = keys[:0], counts[:0]
+    yield pa.RecordBatch.from_arrays([pa.array(keys[counts >= share].view(np.int64))], names=["key"])
 
 
 @tidy
@@ -315,35 +352,32 @@ def _counted(batches, index: Index, level: int, bits: np.ndarray, sketch: bool):
             here = np.bincount(slots[owner == block] & ((1 << LOCAL) - 1), minlength=len(index.table(level, block)[0]))
             counts[block] = counts[block] + here if block in counts else here
         if len(counts) > ARRAYS:
-            yield from (_row("count", b, c) for b, c in counts.items())
+            yield from (_row("count", b, packed(c)) for b, c in counts.items())
             counts = {}
         yield from out.add(found)
-    yield from (_row("count", b, c) for b, c in counts.items())
+    yield from (_row("count", b, packed(c)) for b, c in counts.items())
     yield from out.close()
 
 
 @tidy
-def _added(batches, kind: type):
-    """Rows (piece, turn, payload) sorted by the first two: one for each, with the sum of the payloads, at most what the type holds."""
+def _added(batches):
+    """Rows (piece, turn, payload) sorted by the first two: one for each, with the sum of the payloads."""
     now, total = None, None
 
     def done():
-        return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([np.minimum(total, np.iinfo(kind).max).astype(kind).tobytes()], pa.binary())], names=["piece", "turn", "payload"])
+        return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([packed(total)], pa.binary())], names=["piece", "turn", "payload"])
 
     for batch in batches:
         for piece, turn, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            values = np.frombuffer(payload.as_buffer(), kind)
-            if (piece, turn) == now:
-                total += values
-            else:
-                if now is not None:
-                    yield done()
-                now, total = (piece, turn), values.astype(np.int64)
+            if now is not None and (piece, turn) != now:
+                yield done()
+                total = None
+            now, total = (piece, turn), added_to(total, payload.as_buffer())
     if now is not None:
         yield done()
 
 
-def tree_sum(arrays: DataFrame, kind: type) -> DataFrame:
+def tree_sum(arrays: DataFrame) -> DataFrame:
     """(piece, payload) of rows (piece, turn, payload): the arrays of each piece summed, ``FAN`` turns at a time."""
     spark = arrays.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -351,7 +385,7 @@ def tree_sum(arrays: DataFrame, kind: type) -> DataFrame:
     while True:
         turns = -(-turns // FAN)
         dealt = now.withColumn("turn", F.floor(F.col("turn") / FAN).cast("int")).repartition(parts, "piece", "turn").sortWithinPartitions("piece", "turn")
-        now = dealt.mapInArrow(partial(_added, kind=kind), "piece int, turn int, payload binary")
+        now = dealt.mapInArrow(_added, "piece int, turn int, payload binary")
         if turns == 1:
             return now.drop("turn")
         now = written(now, "sums")
@@ -360,8 +394,8 @@ def tree_sum(arrays: DataFrame, kind: type) -> DataFrame:
 @tidy
 def _bits(batches, least: int):
     for batch in batches:
-        packed = [np.packbits(np.frombuffer(p.as_buffer(), np.int32) >= least, bitorder="little").tobytes() for p in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["piece", "bits"])
+        bits = [np.packbits(added_to(None, p.as_buffer()) >= least, bitorder="little").tobytes() for p in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], names=["piece", "bits"])
 
 
 @tidy
@@ -370,7 +404,7 @@ def _filed(batches, folder: str, level: int):
     for batch in batches:
         for piece, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
             with fs.open_output_stream(f"{path}/counts-{level}-{piece}") as out:
-                out.write(pickle.dumps(np.frombuffer(payload.as_buffer(), np.int64).copy(), 5))
+                out.write(pickle.dumps(added_to(None, payload.as_buffer()), 5))
         yield pa.RecordBatch.from_arrays([batch.column(0)], names=["piece"])
 
 
@@ -441,18 +475,19 @@ def candidates(docs: DataFrame, least: int = 100, longest: int = 5, text_col: st
     index = Index(folder, {1: _build(hashed, folder, 1)}, least)
     now = _out(rows.mapInArrow(partial(_encoded, index=index, seed=seed, sketch=True), _OUT), "words") if index.blocks[1][0] else None
     for level in range(2, longest + 1) if now else ():
-        pieces = tree_sum(now.filter("kind = 'sketch'"), np.int32).mapInArrow(partial(_bits, least=least), "piece int, bits binary").collect()
+        pieces = tree_sum(now.filter("kind = 'sketch'")).mapInArrow(partial(_bits, least=least), "piece int, bits binary").collect()
         bits = np.zeros(SKETCH // 8, np.uint8)
-        for piece, packed in pieces:
-            bits[piece * PIECE // 8 : (piece + 1) * PIECE // 8] = np.frombuffer(packed, np.uint8)
+        for piece, part in pieces:
+            bits[piece * PIECE // 8 : (piece + 1) * PIECE // 8] = np.frombuffer(part, np.uint8)
         sequences = now.filter("kind = 'sequence'").select("payload")
-        found = written(sequences.mapInArrow(partial(_candidates, index=index, level=level, bits=bits), "key long").distinct(), "keys")
+        tasks = max(1, sequences.rdd.getNumPartitions())
+        found = written(sequences.mapInArrow(partial(_candidates, index=index, level=level, bits=bits, tasks=tasks), "key long").distinct(), "keys")
         blocks = _build(found, folder, level)
         if not blocks[0]:
             break
         index = Index(folder, index.blocks | {level: blocks}, least)
         now = _out(sequences.mapInArrow(partial(_counted, index=index, level=level, bits=bits, sketch=level < longest), _OUT), f"level-{level}")
-        written(tree_sum(now.filter("kind = 'count'"), np.int64).mapInArrow(partial(_filed, folder=folder, level=level), "piece int"), "counts")
+        written(tree_sum(now.filter("kind = 'count'")).mapInArrow(partial(_filed, folder=folder, level=level), "piece int"), "counts")
     blocks = [(level, b) for level, (_, there) in index.blocks.items() if level > 1 for b in there]
     listed = spark.createDataFrame(blocks, "level int, block int").repartition(max(1, len(blocks)))
     return written(listed.mapInArrow(partial(_scored, index=index), "lang string, phrase string, level long, slot long, head long, tail long, a long, l long, r long, n long, score long"), "phrases")

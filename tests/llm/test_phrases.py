@@ -87,3 +87,13 @@ def test_perfect_hash():
     assert len(mph.Table(keys[:0])) == 0 and (mph.Table(keys[:0]).find(keys[:3]) == -1).all() and mph.Table(keys[:1]).find(keys[:2]).tolist() == [0, -1]
     with pytest.raises(ValueError):
         mph.Table(np.array([5, 5], np.uint64))
+
+
+def test_packed_counts():
+    rng = np.random.default_rng(2)
+    total, want = None, np.zeros(1000, np.int64)
+    for top, share in ((3, 1.0), (300, 0.01), (70_000, 0.5), (1 << 40, 0.02), (1, 0.0)):
+        values = np.where(rng.random(1000) < share, rng.integers(0, top, 1000), 0)
+        total, want = phrases.added_to(total, phrases.packed(values)), want + values
+        assert np.array_equal(phrases.added_to(None, phrases.packed(values)), values)
+    assert np.array_equal(total, want) and len(phrases.packed(np.zeros(1 << 16, np.int32))) == 24
