@@ -5,12 +5,18 @@ Everything is joins and grouped aggregates over long tables; every rate has its
 
 from __future__ import annotations
 
+import pickle
 from functools import partial
 
 import ahocorasick
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from ..sources.shared import opened, shared_folder
+from .ranges import nearest_ranks, with_ranks
 
 HIT_KS = (1, 3, 5)
 CORRECT, PARTIAL, INCORRECT, FALSE_REFUSAL, CORRECT_REFUSAL, HALLUCINATION = "correct", "partially_correct", "incorrect", "false_refusal", "correct_refusal", "hallucination"
@@ -26,38 +32,88 @@ def overlaps(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
 # --- expected spans --------------------------------------------------------------------------------------------
 
 
-def _find(batches, items: list[tuple]):
-    automaton = ahocorasick.Automaton()
+def _write_items(batches, folder: str):
+    """Rows (block, item_id, text) sorted by block: a file of each block's items."""
+    fs, path = opened(folder)
+    fs.create_dir(path, recursive=True)
+    now, held = None, []
+
+    def close():
+        with fs.open_output_stream(f"{path}/items-{now}") as out:
+            out.write(pickle.dumps(held, 5))
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32())], names=["block"])
+
+    for batch in batches:
+        for block, *item in zip(*(c.to_pylist() for c in batch.columns)):
+            if block != now:
+                if held:
+                    yield close()
+                now, held = block, []
+            held.append(tuple(item))
+    if held:
+        yield close()
+
+
+def _automaton(items: list[tuple]) -> ahocorasick.Automaton:
+    found = ahocorasick.Automaton()
     for item_id, text in items:
-        _, ids = automaton.get(text, (0, ()))
-        automaton.add_word(text, (len(text), (*ids, item_id)))
-    automaton.make_automaton()
+        _, ids = found.get(text, (0, ()))
+        found.add_word(text, (len(text), (*ids, item_id)))
+    found.make_automaton()
+    return found
+
+
+def _find(batches, folder: str, blocks: list[int], item_type: pa.DataType, chars: int = 16_000_000):
+    """Rows (doc_id, text) in parts of about ``chars`` characters; each part meets every block of items, of which a task holds one."""
+    fs, path = opened(folder)
+    last: tuple[int, ahocorasick.Automaton] | None = None
+    held, size = [], 0
+
+    def flush():
+        nonlocal last
+        for block in blocks if last is None or last[0] == blocks[0] else blocks[::-1]:  # the one at hand first
+            if last is None or last[0] != block:
+                with fs.open_input_stream(f"{path}/items-{block}") as file:
+                    last = block, _automaton(pickle.loads(file.read()))
+            for batch in held:
+                rows = []
+                for k, text in enumerate(batch.column(1)):
+                    first: dict = {}
+                    for end, (n, ids) in last[1].iter(text.as_py() or ""):
+                        for i in ids:
+                            first.setdefault((i, n), end + 1 - n)
+                    rows += [(k, i, s, s + n) for (i, n), s in first.items()]
+                cols = list(zip(*rows)) if rows else [[]] * 4
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], item_type), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], names=["doc_id", "item_id", "char_start", "char_end"])
+
     for batch in batches:
-        rows = []
-        for k, text in enumerate(batch.column(1).to_pylist()):
-            first: dict = {}
-            for end, (n, ids) in automaton.iter(text or ""):
-                for i in ids:
-                    first.setdefault((i, n), end + 1 - n)
-            rows += [(k, i, s, s + n) for (i, n), s in first.items()]
-        cols = list(zip(*rows)) if rows else [[]] * 4
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], names=["doc_id", "item_id", "char_start", "char_end"])
+        for at in range(0, batch.num_rows, 512):
+            held.append(batch.slice(at, 512))
+            size += pa.compute.sum(pa.compute.binary_length(held[-1].column(1))).as_py() or 0
+            if size >= chars:
+                yield from flush()
+                held, size = [], 0
+    yield from flush()
 
 
 def passage_spans(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_chars: int = 4_000_000) -> DataFrame:
     """(doc_id, item_id, char_start, char_end): where a document first holds an item's whole text (each text of an id that has several lengths).
 
-    Items are looked for in blocks of a bounded size, all of a block in one pass over each text; documents are not shuffled.
+    Items, of any type of id, are written in blocks of a bounded size as files that tasks read; documents are read once,
+    whatever the number of items, and not shuffled. The driver holds the numbers of the blocks.
     """
-    rows, asked = docs.select(F.col(id_col).alias("doc_id"), text_col), items.filter(F.col(item_text) != "").select(item_id, item_text)
-    total = asked.agg(F.sum(F.length(item_text).cast("long"))).first()[0] or 0
-    blocks = -(-total // block_chars)
-    shape = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id long, char_start int, char_end int"
-    out = docs.sparkSession.createDataFrame([], shape)
-    for b in range(blocks):
-        block = [tuple(r) for r in asked.filter(F.pmod(F.xxhash64(item_text), F.lit(blocks)) == b).collect()]
-        out = out.union(rows.mapInArrow(partial(_find, items=block), shape))
-    return out
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    asked = items.filter(F.col(item_text) != "").select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
+    kind, total = asked.schema["item_id"].dataType, asked.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    shape = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id {kind.simpleString()}, char_start int, char_end int"
+    if not total:
+        return spark.createDataFrame([], shape)
+    folder, blocks = shared_folder(spark), -(-total // block_chars)
+    tasks = min(blocks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = asked.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(blocks)).cast("int")).select("block", "item_id", "text").repartition(tasks, "block").sortWithinPartitions("block")
+    written = sorted(r.block for r in dealt.mapInArrow(partial(_write_items, folder=folder), "block int").collect())
+    return rows.mapInArrow(partial(_find, folder=folder, blocks=written, item_type=to_arrow_type(kind)), shape)
 
 
 # --- retrieval -------------------------------------------------------------------------------------------------
@@ -184,14 +240,11 @@ def failure_stage(label: Column, section_hit: Column, evidence_hit: Column, gate
         label.isin(FALSE_REFUSAL, HALLUCINATION), "refusal").when(label.isin(PARTIAL, INCORRECT), "generation").otherwise("citation")
 
 
-def nearest_rank(p: float, of: str) -> Column:
-    """The smallest value with at least a share ``p`` of all values at or below it."""
-    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {of})")
-
-
 def latency_summary(rows: DataFrame, value: str, *by: str) -> DataFrame:
     """n, mean, p50, p95 and max of each group, nulls left out."""
-    return rows.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), nearest_rank(0.5, value).alias("p50"), nearest_rank(0.95, value).alias("p95"), F.max(value).alias("max"))
+    there = rows.filter(F.col(value).isNotNull())
+    sums = there.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.max(value).alias("max"))
+    return with_ranks(sums, nearest_ranks(there, value, {"p50": 0.5, "p95": 0.95}, *by), *by).select(*by, "n", "mean", "p50", "p95", "max")
 
 
 def cost_usd(prompt: Column, output: Column, thoughts: Column, input_price: Column, output_price: Column) -> Column:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.udfs import code_aware_markers, code_aware_uncited
 from ..operators import chunking as C
 from ..operators import markdown as M
+from ..operators.ranges import Ranges, steps
 from ..sources import html as H
 from .base import WINDOWS_SQL, WS, query, sql_collapse, sql_strip, table
 
@@ -54,14 +54,15 @@ spans AS (SELECT source, doc_id, source || ' > ' || lang AS heading_path, CAST(r
 
 
 def _section_spans(spark, d):
+    """Sections of each source's page: places by running sums over ranges of (source, doc_id), so no source is gathered."""
     docs = table(spark, d, "documents")
     n = (F.length("text") + F.length("lang") + F.lit(6)).cast("long")
-    by, path = W.partitionBy("source"), F.concat_ws(" > ", "source", "lang")
-    placed = docs.select("doc_id", "source", "lang", n.alias("n")).withColumn("char_start", F.length("source") + 3 + F.sum("n").over(by.orderBy("doc_id")) - F.col("n"))
-    variants = W.partitionBy("source", "lang")
-    return placed.select(
-        "source", "doc_id", path.alias("heading_path"), F.row_number().over(variants.orderBy("char_start")).alias("variant"), F.count("*").over(variants).cast("int").alias("variant_count"),
-        F.col("char_start").cast("long").alias("char_start"), F.coalesce(F.lead("char_start").over(by.orderBy("char_start")), F.col("char_start") + F.col("n")).cast("long").alias("char_end"))
+    path = F.concat_ws(" > ", "source", "lang")
+    placed = Ranges(docs.select("doc_id", "source", "lang", n.alias("n")), ["source"], ["doc_id"]).running_sum("n", "up_to").done()
+    placed = placed.select("doc_id", "source", "lang", "n", (F.length("source") + 3 + F.col("up_to") - F.col("n")).cast("long").alias("char_start"))
+    ended = Ranges(placed, ["source"], ["char_start"]).next("char_start", "following").done()
+    numbered = Ranges(ended.withColumn("one", F.lit(1)), ["source", "lang"], ["char_start"]).running_sum("one", "variant").total("one", "variant_count").done()
+    return numbered.select("source", "doc_id", path.alias("heading_path"), F.col("variant").cast("int").alias("variant"), F.col("variant_count").cast("int").alias("variant_count"), "char_start", F.coalesce("following", F.col("char_start") + F.col("n")).alias("char_end"))
 
 
 @query(f"WITH {SECTIONS_SQL} SELECT * FROM spans")
@@ -69,13 +70,18 @@ def section_spans_synth(spark, d):
     return _section_spans(spark, d)
 
 
+def _last_start():
+    """Where the last window of 1,600 characters of a page of n begins, at steps of 1,400."""
+    return F.ceil(F.greatest(F.col("n") - 1600, F.lit(0)) / F.lit(1400.0)).cast("long") * 1400
+
+
 @query(f"""WITH {SECTIONS_SQL}, ends AS (SELECT source, max(char_end) AS n FROM spans GROUP BY source),
 starts AS (SELECT source, unnest(range(0, 1 + CAST(ceil(greatest(n - 1600, 0) / 1400.0) AS BIGINT))) * 1400 AS char_start FROM ends)
 SELECT c.source, c.char_start, s.heading_path, s.variant FROM starts c ASOF LEFT JOIN spans s ON c.source = s.source AND c.char_start >= s.char_start""")
 def section_at_chunk_start(spark, d):
     spans = _section_spans(spark, d)
     ends = spans.groupBy("source").agg(F.max("char_end").alias("n"))
-    starts = ends.select("source", F.explode(F.sequence(F.lit(0), F.ceil(F.greatest(F.col("n") - 1600, F.lit(0)) / F.lit(1400.0)).cast("long") * 1400, F.lit(1400))).alias("char_start"))
+    starts = steps(ends.select("source", _last_start().alias("last")), "last", 1400, "char_start").drop("last")
     found = C.section_at(starts, spans.select("source", F.col("char_start").alias("at"), "heading_path", "variant"), "source", "char_start", "at")
     return found.select("source", "char_start", "section.heading_path", "section.variant")
 
@@ -90,7 +96,7 @@ def fence_cut_chunks(spark, d):
     blocks = lambda a, b: F.explode(F.sequence(F.floor(a / 1600), F.floor((b - 1) / 1600))).alias("block")
     fences = spans.filter("doc_id % 3 = 0").select("source", F.col("char_start").alias("a"), F.col("char_end").alias("b"), blocks(F.col("char_start"), F.col("char_end")))
     ends = spans.groupBy("source").agg(F.max("char_end").alias("n"))
-    starts = ends.select("source", "n", F.explode(F.sequence(F.lit(0), F.ceil(F.greatest(F.col("n") - 1600, F.lit(0)) / F.lit(1400.0)).cast("long") * 1400, F.lit(1400))).alias("char_start"))
+    starts = steps(ends.select("source", "n", _last_start().alias("last")), "last", 1400, "char_start").drop("last")
     chunks = starts.select("source", "char_start", F.least(F.col("char_start") + 1600, F.col("n")).alias("char_end"))
     pieces = chunks.select("*", blocks(F.col("char_start"), F.col("char_end")))
     cut = (F.greatest("char_start", "a") < F.least("char_end", "b")) & ~((F.col("char_start") <= F.col("a")) & (F.col("b") <= F.col("char_end")))
