@@ -1,7 +1,7 @@
 """Paired statistics of two arms, and agreement of two raters.
 
 Counts and ranks are aggregates and windows; the exact distributions behind p-values need integers of any size, so they run in
-Python on what was counted, one small group at a time.
+Python on what was counted, one small group at a time. Groups beyond that are summed by tasks and never gathered.
 """
 
 from __future__ import annotations
@@ -9,15 +9,22 @@ from __future__ import annotations
 import math
 import random
 from fractions import Fraction
+from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from ..sources.shared import stored
+from .ranges import Ranges, nearest_ranks
+
 ALPHA = 0.05
+#: Pairs up to which a group is one task's, with exact tests.
+EXACT = 500
 
 
 def mcnemar_p(a_only: int, b_only: int) -> float:
@@ -103,6 +110,7 @@ def bootstrap(a: list[float], b: list[float], statistic=None, resamples: int = 1
 
 
 def wording(p: float | None, n: int, delta: float) -> str:
+    # fixed values: the words that reports use
     if p is None:
         return "not tested"
     if p >= ALPHA:
@@ -110,25 +118,95 @@ def wording(p: float | None, n: int, delta: float) -> str:
     return f"B {'higher' if delta > 0 else 'lower'} than A (p = {p:.3g}, n = {n})"
 
 
-def compare(pairs: DataFrame, kind: str, by: str = "metric", resamples: int = 10_000) -> DataFrame:
+_COMPARED = ("n long", "a double", "b double", "delta double", "low double", "high double", "p double", "wording string")
+
+
+def compare(pairs: DataFrame, kind: str, by: str = "metric", resamples: int = 10_000, exact_up_to: int = EXACT) -> DataFrame:
     """A row for each metric of paired values (case, a, b): means, interval, test and wording. kind: binary or continuous.
 
-    A group is an evaluation's cases, of which there are a few hundred at most, so a group is one task's.
+    Groups of up to ``exact_up_to`` pairs are one task's each, with seeded resamples and exact tests. Larger ones are never
+    gathered: cases weigh in resamples by Poisson counts that follow from their ids, summed by task and then over tasks; ranks
+    are those of tie groups; the signed-rank test then uses the normal distribution with corrections for ties and continuity.
     """
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.dropna(subset=["a", "b"]).sort_values("case_id")
         a, b = rows["a"].astype(float).tolist(), rows["b"].astype(float).tolist()
-        if not a:
-            return pd.DataFrame(columns=[by, "n", "a", "b", "delta", "low", "high", "p", "wording"])
         ci = bootstrap(a, b, resamples=resamples)
         if kind == "binary":
             p = mcnemar_p(sum(x > y for x, y in zip(a, b)), sum(y > x for x, y in zip(a, b)))
         else:
             p = wilcoxon(a, b)["p"]
-        return pd.DataFrame([(rows[by].iloc[0], len(a), sum(a) / len(a), sum(b) / len(b), ci["delta"], ci["low"], ci["high"], p, wording(p, len(a), ci["delta"]))], columns=[by, "n", "a", "b", "delta", "low", "high", "p", "wording"])
-
-    return pairs.groupBy(by).applyInPandas(one, f"{by} string, n long, a double, b double, delta double, low double, high double, p double, wording string")
+        return pd.DataFrame([(rows[by].iloc[0], len(a), sum(a) / len(a), sum(b) / len(b), ci["delta"], ci["low"], ci["high"], p, wording(p, len(a), ci["delta"]))], columns=[by, *(c.split()[0] for c in _COMPARED)])
+
+    there = pairs.filter("a is not null and b is not null").select(by, "case_id", F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b"))
+    there = stored(there, "pairs")
+    large = stored(there.groupBy(by).count().filter(F.col("count") > exact_up_to).select(by), "large")
+    few = large.count() <= 10_000  # groups are metrics and slices
+    names = F.broadcast(large) if few else large
+    small = there.join(names, by, "left_anti").groupBy(by).applyInPandas(one, f"{by} string, " + ", ".join(_COMPARED))
+    return small.unionByName(_compared_large(there.join(names, by, "left_semi"), kind, by, resamples)) if not large.isEmpty() else small
+
+
+def _weighed(batches, resamples: int, seed: int):
+    """Sums of Poisson weights, and of weights times differences, for each group and resample over a task's rows (group, case hash, difference)."""
+    sums: dict = {}
+
+    def flush():
+        for name, (w, wd) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * resamples), pa.array(np.arange(resamples, dtype=np.int32)), pa.array(w), pa.array(wd)], names=["g", "r", "w", "wd"])
+        sums.clear()
+
+    for batch in batches:
+        for name, case, d in zip(*(c.to_pylist() for c in batch.columns)):
+            weights = np.random.Generator(np.random.Philox(key=np.array([case & 0xFFFFFFFFFFFFFFFF, seed], np.uint64))).poisson(1.0, resamples)
+            if name not in sums:
+                sums[name] = (np.zeros(resamples), np.zeros(resamples))
+            sums[name][0][:] += weights
+            sums[name][1][:] += weights * d
+        if len(sums) > 200:
+            yield from flush()
+    yield from flush()
+
+
+def mcnemar_large(a_only: int, b_only: int) -> float:
+    """``mcnemar_p`` for any counts: binomial terms from the largest of the tail down, until they add nothing."""
+    n, k = a_only + b_only, min(a_only, b_only)
+    if not n:
+        return 1.0
+    term = math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2))
+    total = 0.0
+    while k >= 0 and term > total * 1e-17:
+        total += term
+        term *= k / (n - k + 1)
+        k -= 1
+    return min(1.0, 2 * total)
+
+
+def signed_rank_normal(n: int, w_plus: float, w_minus: float, ties: float) -> float:
+    """Two-sided p of the signed-rank test by the normal distribution; ``ties`` is the sum of t^3 - t over tie groups."""
+    spread = math.sqrt(max(n * (n + 1) * (2 * n + 1) / 24 - ties / 48, 0.0))
+    return math.erfc(max(abs(w_plus - w_minus) / 2 - 0.5, 0.0) / spread / math.sqrt(2)) if spread else 1.0
+
+
+def _compared_large(rows: DataFrame, kind: str, by: str, resamples: int, seed: int = 42) -> DataFrame:
+    g = F.col(by).cast("string").alias("g")
+    sums = rows.groupBy(g).agg(F.count("*").alias("n"), F.avg("a").alias("a"), F.avg("b").alias("b"), F.count_if(F.col("a") > F.col("b")).alias("a_only"), F.count_if(F.col("b") > F.col("a")).alias("b_only"))
+    weighed = rows.select(g, F.xxhash64("case_id").alias("c"), (F.col("b") - F.col("a")).alias("d")).mapInArrow(partial(_weighed, resamples=resamples, seed=seed), "g string, r int, w double, wd double")
+    deltas = weighed.groupBy("g", "r").agg((F.sum("wd") / F.sum("w")).alias("delta"))
+    ends = nearest_ranks(deltas, "delta", {"low": 0.025, "high": 0.975}, "g")
+    both = sums.join(ends, "g")
+    if kind == "binary":
+        tested = both.withColumn("p", F.udf(lambda x, y: mcnemar_large(x, y), "double")("a_only", "b_only"))
+    else:
+        d = rows.select(g, F.round(F.col("b") - F.col("a"), 12).alias("d")).filter("d <> 0")
+        ties = d.groupBy("g", F.abs("d").alias("size")).agg(F.count("*").alias("t"), F.count_if(F.col("d") > 0).alias("up"))
+        ranks = Ranges(ties, ["g"], ["size"]).running_sum("t", "up_to").done().withColumn("rank", F.col("up_to") - (F.col("t") - 1) / 2.0)
+        t = F.col("t").cast("double")
+        w = ranks.groupBy("g").agg(F.sum("t").alias("kept"), F.sum(F.col("up") * F.col("rank")).alias("w_plus"), F.sum((F.col("t") - F.col("up")) * F.col("rank")).alias("w_minus"), F.sum(t * t * t - t).alias("ties"))
+        tested = both.join(w, "g", "left").na.fill(0, ["kept", "w_plus", "w_minus", "ties"]).withColumn("p", F.udf(lambda n, x, y, t: signed_rank_normal(n, x, y, t), "double")("kept", "w_plus", "w_minus", "ties"))
+    out = tested.withColumn("delta", F.col("b") - F.col("a")).withColumn("wording", F.udf(lambda p, n, d: wording(p, n, d), "string")("p", "n", "delta"))
+    return out.select(F.col("g").alias(by), *[c.split()[0] for c in _COMPARED])
 
 
 def confusion(pairs: DataFrame, x: str, y: str) -> DataFrame:

@@ -91,9 +91,8 @@ def strict_lenient_rows(spark, d):
 
 @query()
 def compare_all_metrics(spark, d):
-    """All metrics and slices of an evaluation whose cases are the benchmark's items, with intervals, exact tests and wordings."""
-    items = table(spark, d, "benchmark").selectExpr("item_id AS doc_id", "CASE WHEN item_id % 5 = 0 THEN 0 ELSE 1 END AS quality", "CASE WHEN item_id % 2 = 0 THEN 'en' ELSE 'vi' END AS lang", "CAST(length(text) AS BIGINT) AS n_chars")
-    return X.compare_all(_answered(items))
+    """All metrics and slices of the labelled documents as cases, with intervals, tests and wordings."""
+    return X.compare_all(_rows(spark, d))
 
 
 @query(f"WITH {ROWS_SQL} SELECT case_id, arm, section_precision, support_rate FROM rows_ WHERE label = 'correct' AND answerable AND answered AND (section_precision IS DISTINCT FROM 1.0 OR (support_rate IS NOT NULL AND support_rate <> 1.0))")
