@@ -232,6 +232,55 @@ def citation_class(n: Column, evidence: Column, source: Column) -> Column:
     return F.when(n == 0, CITATION_CLASSES[3]).when(evidence, CITATION_CLASSES[0]).when(source, CITATION_CLASSES[1]).otherwise(CITATION_CLASSES[2])
 
 
+def citation_scores(records: DataFrame, cited: DataFrame, case: list[str]) -> DataFrame:
+    """The citation bundle of each answered record.
+
+    ``records``: case columns, answerable, insufficient, judged (whether its answer was judged). ``cited``: a row for each
+    citation with source_ok, section_ok and, where judged, supported. Records that answer "insufficient" have only
+    ``related_citation_count``; those of cases without an answer in the corpus have counts alone, as there is no evidence to check.
+    """
+    c = F.col
+    sums = cited.groupBy(*case).agg(F.count("*").alias("n"), F.max("section_ok").alias("any_section"), F.max("source_ok").alias("any_source"), F.max("supported").alias("any_supported"), *[F.avg(F.coalesce(c(x), F.lit(False)).cast("double")).alias(f"share_{x}") for x in ("section_ok", "source_ok", "supported")])
+    rows = records.join(sums, case, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    answered, no = ~c("insufficient"), F.lit(False)
+    checked = answered & c("answerable")
+    judged = checked & F.coalesce("judged", no)
+    return rows.select(
+        *case, answered.alias("answered"), F.when(~answered, c("n")).alias("related_citation_count"), F.when(answered, c("n")).alias("citation_count"), F.when(answered, c("n") > 0).alias("citation_present"),
+        F.when(checked, c("share_source_ok")).alias("source_precision"), F.when(checked, c("share_section_ok")).alias("section_precision"), F.when(judged, c("share_supported")).alias("support_rate"),
+        F.when(checked, citation_class(c("n"), F.coalesce("any_section", no), F.coalesce("any_source", no))).alias("auto_class"), F.when(judged, citation_class(c("n"), F.coalesce("any_supported", no), F.coalesce("any_source", no))).alias("judge_class"))
+
+
+def scored_rows(records: DataFrame, spans: DataFrame, retrieval: DataFrame, answers: DataFrame, citations: DataFrame, case: list[str], fallback: bool = True) -> DataFrame:
+    """Records with structs ``retrieval``, ``answer`` and ``citation`` of their scores, ``spans_unavailable``, and the split.
+
+    ``records``: case columns (the key of ``spans`` last), status, mode, answerable, split, run_split and any others. Scores are
+    of records that went well; those of citations and answers of full runs. An answerable case without expected spans has its
+    answer scored alone and is marked; without ``fallback`` it raises. A record's own split counts before its run's.
+    """
+    key, c = case[-1], F.col
+    # score tables in turn as one struct each, which is null where they have no row
+    nested = lambda df, name: df.select(*case, F.struct(*[x for x in df.columns if x not in case]).alias(name))
+    rows = records.join(spans.select(key).distinct().withColumn("covered", F.lit(True)), key, "left")
+    ok = c("status") == "ok"
+    lacking = ok & c("answerable") & c("covered").isNull()
+    if not fallback:
+        raised = F.raise_error(F.concat(F.lit("no expected spans: "), c(key).cast("string"))).cast("boolean")
+        rows = rows.filter(F.when(lacking, raised).otherwise(F.lit(True)))
+    full = ok & (c("mode") == "full")
+    for df, name in ((retrieval, "retrieval"), (answers, "answer"), (citations, "citation")):
+        rows = rows.join(nested(df, name), case, "left")
+    when = {"retrieval": ok & c("answerable") & c("covered").isNotNull(), "answer": full, "citation": full & ~lacking}
+    kept = [x for x in records.columns if x not in ("split", "run_split")]
+    return rows.select(*kept, F.coalesce("split", "run_split").alias("split"), *[F.when(test, c(name)).alias(name) for name, test in when.items()], lacking.alias("spans_unavailable"))
+
+
+def secondary_stages(stage: Column, section_hit: Column, evidence_hit: Column) -> Column:
+    """Stages that a failure shows besides its first: chunking, where the section was hit and no quote was whole in a chunk."""
+    cut = (section_hit == 1) & (evidence_hit == 0) & (stage != "chunking")
+    return F.when(stage.isNotNull(), F.when(F.coalesce(cut, F.lit(False)), F.array(F.lit("chunking"))).otherwise(F.array().cast("array<string>")))
+
+
 def failure_stage(label: Column, section_hit: Column, evidence_hit: Column, gate_fired: Column, n_hitting: Column, cuts_code: Column, first_rank: Column, cites_above: Column) -> Column:
     """The first stage that explains a failure; null for successes and unlabelled records. Retrieval columns are null where no evidence is expected."""
     failed = label.isNotNull() & (~label.isin(CORRECT, CORRECT_REFUSAL) | F.coalesce(section_hit == 0, F.lit(False)))

@@ -259,6 +259,21 @@ def allocation(strata: DataFrame, fraction: float, size: str = "n") -> DataFrame
     return strata.groupBy(F.lit("all")).applyInPandas(share, StructType([*strata.schema.fields, StructField("take", LongType())]))
 
 
+def stratified_pick(rows: DataFrame, strata: list[str], key: str, fraction: float, seed: str = "pick") -> DataFrame:
+    """The rows of a seeded sample: of each stratum as many as ``allocation`` takes, those of the least hashes of seed and key.
+
+    Rows are numbered by ranges of (stratum, hash), so no stratum is gathered; strata, combinations of labels, are few.
+    """
+    taken = allocation(rows.groupBy(*strata).agg(F.count("*").alias("n")), fraction).select(*[F.col(c).alias(f"of_{c}") for c in strata], "take")
+    order = F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")))
+    numbered = Ranges(rows.withColumn("turn", order).withColumn("one", F.lit(1)), strata, ["turn", key]).running_sum("one", "place").done()
+    same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in strata]
+    test = same[0]
+    for t in same[1:]:
+        test = test & t
+    return numbered.join(F.broadcast(taken), test).filter("place <= take").select(*rows.columns)
+
+
 def stratified_sample(rows: list[dict], strata: tuple[str, ...], order: tuple[str, ...], fraction: float, seed: int) -> list[dict]:
     """Seeded sample on the driver for review sheets: the allocation above, shuffled inside each stratum."""
     groups: dict[tuple, list[dict]] = {}

@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..functions.udfs import code_aware_markers, code_aware_uncited
 from ..operators import chunking as C
 from ..operators import markdown as M
+from ..operators import plugins as P
 from ..operators.ranges import Ranges, steps
 from ..sources import html as H
 from .base import WINDOWS_SQL, WS, query, sql_collapse, sql_strip, table
@@ -19,6 +20,14 @@ def chunk_fixed_1600_200(spark, d):
     return w.select("doc_id", "window", "char_start", "char_end", F.sha2("display_text", 256).alias("content_hash"))
 
 
+@query(f"WITH {WINDOWS_SQL} SELECT doc_id, CAST(char_start AS INT) AS char_start, CAST(char_end AS INT) AS char_end, sha256(display_text) AS content_hash FROM windows")
+def chunk_lateral(spark, d):
+    """Chunks by a table function in SQL: SELECT ... FROM documents, LATERAL window_chunk(text)."""
+    P.register(spark)
+    found = spark.sql("SELECT d.doc_id, c.* FROM {docs} AS d, LATERAL window_chunk(d.text) AS c", docs=table(spark, d, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "char_start", "char_end", F.sha2("display_text", 256).alias("content_hash"))
+
+
 CHUNKS_SQL = f"""{WINDOWS_SQL},
 hashed AS (SELECT *, sha256(display_text) AS content_hash FROM windows),
 firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, content_hash ORDER BY "window") AS nth FROM hashed) WHERE nth = 1),

@@ -8,7 +8,9 @@ from ..functions import text as T
 from ..operators import evaluation as E
 from ..operators import statistics as S
 from ..operators import validation as V
+from ..sources import records as L
 from ..sources import store
+from ..sources.shared import shared_folder
 from ..streaming import throttle
 from .base import query, table
 
@@ -82,6 +84,26 @@ def stratified_allocation(spark, d):
     return S.allocation(rows.groupBy("lang", "quality").agg(F.count("*").alias("n")), 0.15).select("quality", "lang", "n", "take")
 
 
+@query("""WITH d AS (SELECT doc_id, quality, lang FROM labels JOIN documents USING (doc_id)), s AS (SELECT quality, lang, count(*) AS n FROM d GROUP BY quality, lang),
+t AS (SELECT least(sum(n), greatest(count(*), CAST(round_even(sum(n) * 0.15, 0) AS BIGINT))) AS target FROM s),
+turns AS (SELECT quality, lang, unnest(range(1, n + 1)) AS turn FROM s), placed AS (SELECT *, row_number() OVER (ORDER BY turn, lang, quality) AS place FROM turns),
+takes AS (SELECT quality, lang, count(*) FILTER (place <= (SELECT target FROM t)) AS take FROM placed GROUP BY quality, lang),
+o AS (SELECT *, row_number() OVER (PARTITION BY quality, lang ORDER BY md5('pick:' || doc_id), doc_id) AS nth FROM d)
+SELECT o.doc_id, o.quality, o.lang FROM o JOIN takes USING (quality, lang) WHERE nth <= take""")
+def stratified_pick(spark, d):
+    rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id").select("doc_id", "quality", "lang")
+    return S.stratified_pick(rows, ["lang", "quality"], "doc_id", 0.15)
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events")
+def record_lines_roundtrip(spark, d):
+    """Events as a log of JSON lines, read back by the library's own data source in ranges."""
+    L.register(spark)
+    path = f"{shared_folder(spark)}/log"
+    table(spark, d, "events").select("event_id", "user_id", "event_type", "value").write.json(path)
+    return spark.read.format("record_lines").schema("event_id long, user_id long, event_type string, value double").option("rangeBytes", 1 << 20).load(path)
+
+
 @query("""SELECT 'short_text' AS rule, CAST(doc_id AS VARCHAR) AS key FROM documents WHERE length(text) < 20
 UNION ALL SELECT 'unknown_language', CAST(doc_id AS VARCHAR) FROM documents WHERE lang NOT IN ('en', 'fr', 'de')
 UNION ALL SELECT 'wrong_length', CAST(doc_id AS VARCHAR) FROM documents WHERE length(text) <> n_chars

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import chunking as C
 from ..operators import evaluation as E
+from ..sources.shared import stored
 from .base import WINDOWS_SQL, query, sql_collapse, table
 
 SPANS_SQL = """
@@ -218,14 +219,68 @@ def _failures(spark, d):
     rows = E.retrieval_scores(got, spans, case).join(labels, "item_id").join(E.evidence_scores(got, quotes, spans, case), case, "left").join(hits, case, "left")
     c = F.col
     stage = E.failure_stage(c("label"), c("section_hit_5"), c("evidence_hit_5"), c("item_id") % 2 == 0, c("n_hit"), c("item_id") % 5 == 0, c("first_rank"), c("item_id") % 3 == 0)
-    return rows.select("arm", "item_id", "label", stage.alias("stage"))
+    return rows.select("arm", "item_id", "label", stage.alias("stage"), E.secondary_stages(stage, c("section_hit_5"), c("evidence_hit_5")).alias("secondary"))
 
 
 @query(f"{_FAIL_SQL} SELECT * FROM failed WHERE stage IS NOT NULL")
 def failure_classification(spark, d):
-    return _failures(spark, d).filter("stage is not null")
+    return _failures(spark, d).filter("stage is not null").drop("secondary")
+
+
+@query(f"{_FAIL_SQL} SELECT f.arm, f.item_id, f.stage, CASE WHEN sc.section_hit_5 = 1 AND ev.evidence_hit_5 = 0 AND f.stage <> 'chunking' THEN ['chunking'] ELSE []::VARCHAR[] END AS secondary FROM failed f JOIN sc USING (arm, item_id) LEFT JOIN ev USING (arm, item_id) WHERE f.stage IS NOT NULL")
+def failure_secondary_stages(spark, d):
+    """What a failure shows besides its first stage."""
+    return _failures(spark, d).filter("stage is not null").select("arm", "item_id", "stage", "secondary")
 
 
 @query(f"{_FAIL_SQL} SELECT stage, count(*) FILTER (arm = 'A') AS a, count(*) FILTER (arm = 'B') AS b FROM failed WHERE stage IS NOT NULL GROUP BY stage")
 def failure_counts(spark, d):
     return _failures(spark, d).filter("stage is not null").groupBy("stage").agg(F.count_if(F.col("arm") == "A").alias("a"), F.count_if(F.col("arm") == "B").alias("b"))
+
+
+#: Records of every item in two arms: some failed, some of retrieval alone, some without spans or a split of their own.
+_RECORDS_SQL = """records AS (SELECT arm, item_id, CASE WHEN item_id % 17 = 3 THEN 'error' ELSE 'ok' END AS status, CASE WHEN item_id % 4 = 0 THEN 'retrieval' ELSE 'full' END AS mode, item_id % 5 <> 1 AS answerable,
+  item_id % 7 = 2 AS insufficient, item_id % 3 <> 0 AS judged, CASE WHEN item_id % 3 = 0 THEN 'dev' END AS split FROM benchmark, (SELECT unnest(['A', 'B']) AS arm))"""
+_BUNDLE_SQL = f"""c2 AS (SELECT *, (item_id + rank) % 3 = 1 AS supported FROM cited),
+g AS (SELECT arm, item_id, count(*) AS n, bool_or(section_ok) AS e, bool_or(source_ok) AS s, bool_or(supported) AS u, avg(section_ok::INT::DOUBLE) AS pe, avg(source_ok::INT::DOUBLE) AS ps, avg(supported::INT::DOUBLE) AS pu FROM c2 GROUP BY arm, item_id),
+b AS (SELECT r.*, coalesce(n, 0) AS n, coalesce(e, FALSE) AS e, coalesce(s, FALSE) AS s, coalesce(u, FALSE) AS u, pe, ps, pu FROM records r LEFT JOIN g USING (arm, item_id)),
+bundle AS (SELECT arm, item_id, NOT insufficient AS answered, CASE WHEN insufficient THEN n END AS related_citation_count, CASE WHEN NOT insufficient THEN n END AS citation_count, CASE WHEN NOT insufficient THEN n > 0 END AS citation_present,
+  CASE WHEN NOT insufficient AND answerable THEN round(ps, 6) END AS source_precision, CASE WHEN NOT insufficient AND answerable THEN round(pe, 6) END AS section_precision, CASE WHEN NOT insufficient AND answerable AND judged THEN round(pu, 6) END AS support_rate,
+  CASE WHEN NOT insufficient AND answerable THEN CASE WHEN n = 0 THEN 'citation_missing' WHEN e THEN 'correct_evidence' WHEN s THEN 'correct_source_wrong_evidence' ELSE 'unsupported_citation' END END AS auto_class,
+  CASE WHEN NOT insufficient AND answerable AND judged THEN CASE WHEN n = 0 THEN 'citation_missing' WHEN u THEN 'correct_evidence' WHEN s THEN 'correct_source_wrong_evidence' ELSE 'unsupported_citation' END END AS judge_class FROM b)"""
+
+
+def _records(spark, d):
+    i = F.col("item_id")
+    return table(spark, d, "benchmark").select(
+        F.explode(F.array(F.lit("A"), F.lit("B"))).alias("arm"), "item_id", F.when(i % 17 == 3, "error").otherwise("ok").alias("status"), F.when(i % 4 == 0, "retrieval").otherwise("full").alias("mode"),
+        (i % 5 != 1).alias("answerable"), (i % 7 == 2).alias("insufficient"), (i % 3 != 0).alias("judged"), F.when(i % 3 == 0, "dev").alias("split"))
+
+
+def _bundle(spark, d, spans, got):
+    hits = E.chunk_hits(got, spans, ["arm", "item_id"]).groupBy("arm", "item_id", "rank").agg(F.max("source").alias("source_ok"), F.max("section").alias("section_ok"))
+    cited = got.filter("rank <= item_id % 3").select("arm", "item_id", "rank").join(hits, ["arm", "item_id", "rank"], "left").na.fill(False, ["source_ok", "section_ok"])
+    return _rounded(E.citation_scores(_records(spark, d), cited.withColumn("supported", (F.col("item_id") + F.col("rank")) % 3 == 1), ["arm", "item_id"]))
+
+
+@query(f"WITH {FIXTURE_SQL}, {_CITED_SQL}, {_RECORDS_SQL}, {_BUNDLE_SQL} SELECT * FROM bundle")
+def citation_scores(spark, d):
+    """Presence, precision, support, and the class of each answer's citations by places and by the judge."""
+    spans = stored(_spans(spark, d), "spans")
+    return _bundle(spark, d, spans, _retrieved(spark, d, spans))
+
+
+@query(f"""WITH {FIXTURE_SQL}, {_CITED_SQL}, {_RECORDS_SQL}, {_BUNDLE_SQL}, {ANSWERS_SQL}, sc AS ({_SCORE_SQL}), known AS (SELECT DISTINCT item_id FROM spans WHERE item_id % 6 <> 0),
+r2 AS (SELECT r.*, r.status = 'ok' AND r.answerable AND k.item_id IS NULL AS lacking FROM records r LEFT JOIN known k USING (item_id))
+SELECT r.arm, r.item_id, r.status, r.mode, coalesce(r.split, 'eval') AS split, CASE WHEN r.status = 'ok' AND r.answerable AND NOT r.lacking THEN sc.section_hit_5 END AS section_hit_5,
+  CASE WHEN r.status = 'ok' AND r.mode = 'full' THEN a.label END AS label, CASE WHEN r.status = 'ok' AND r.mode = 'full' AND NOT r.lacking THEN b.auto_class END AS auto_class, r.lacking AS spans_unavailable
+FROM r2 r LEFT JOIN sc ON sc.arm = r.arm AND sc.item_id = r.item_id LEFT JOIN answers a ON a.doc_id = r.item_id LEFT JOIN bundle b ON b.arm = r.arm AND b.item_id = r.item_id""")
+def scored_rows(spark, d):
+    """A row for each record, with what can be scored where a case has no expected spans (here every sixth)."""
+    spans = stored(_spans(spark, d), "spans")
+    got, case = stored(_retrieved(spark, d, spans), "retrieved"), ["arm", "item_id"]
+    arms = F.explode(F.array(F.lit("A"), F.lit("B"))).alias("arm")
+    answers = _answers(spark, d).select(arms, F.col("doc_id").alias("item_id"), "label", "check", "grounded", "points_covered")
+    records = _records(spark, d).select("arm", "item_id", "status", "mode", "answerable", "split", F.lit("eval").alias("run_split"))
+    rows = E.scored_rows(records, spans.filter("item_id % 6 <> 0"), E.retrieval_scores(got, spans, case), answers, _bundle(spark, d, spans, got), case)
+    return rows.select("arm", "item_id", "status", "mode", "split", "retrieval.section_hit_5", "answer.label", "citation.auto_class", "spans_unavailable")
