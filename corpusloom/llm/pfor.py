@@ -13,11 +13,13 @@ A file is self-contained::
 
 Documents are dealt by ranges of the id, whose bounds come from quantiles of the id column alone, sorted inside each range by
 (id, text hash) and written in files of bounded size named by range; so file names in order hold the documents in ascending
-id order (null ids first, repeated ids by hash). Files are written under
+id order (null ids first, repeated ids by hash). Rows without id, or of an id that very many rows have, are ranges by the hash
+of their text. Files are written under
 another name and renamed; a task that runs again writes the same bytes. Reading goes through Spark's binary file source,
 which splits the work by file, and needs only per-file totals to place every document.
 
-Defined results: null text counts as empty and has the end id alone; an empty table gives no files and no rows.
+Defined results: ids are integers (others are cast to one, and raise or are null as Spark's cast does); null text counts as
+empty and has the end id alone; an empty table gives no files and no rows.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ from .common import filesystem, id_text, shared_dir, tidy
 from .tokens import Encoder, vocabulary
 
 BLOCK, MAGIC, VERSION = 4096, b"CLPF", 1
+_SPLIT_BITS = 6  # of text hashes, by which rows of one id are dealt where they are many
 FILES = "name string, part long, serial long, docs long, tokens long, bytes long"
 _HEAD = struct.Struct("<4sIQQQQ")
 _BLOCK = struct.Struct("<IHHBBxx")
@@ -127,7 +130,7 @@ def _write(batches, folder: str, path: str, end_id: int, percentile: float, file
 
     def flush():
         nonlocal ids, lengths, held, size, serial
-        name = f"part-{now:07d}-{serial:07d}.pfor"
+        name = f"part-{now:010d}-{serial:07d}.pfor"
         payload = encode_file(ids, lengths, np.frombuffer(b"".join(held), "<u4"), percentile)
         with system.open_output_stream(f"{root}/_{name}.{attempt}") as f:
             f.write(payload)
@@ -154,17 +157,26 @@ def _write(batches, folder: str, path: str, end_id: int, percentile: float, file
 
 
 def _ranges(rows: DataFrame, n: int):
-    """A column with the number of the id's range, of about ``n`` ranges of as many rows each (0: null); built-in functions alone."""
+    """A column with the number of the row's range in the order of (id, text hash); built-in functions alone.
+
+    There are about ``n`` ranges of ids of as many rows each. Rows without id, and those of an id that is a quantile more than
+    once (so at least an ``n``-th of all rows have it), are dealt further by the upper bits of their text's hash.
+    """
     found = rows.select(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 20 * n).alias("q")).first()["q"] if n > 1 else None
-    bounds = sorted(set(found or []))
-    if not bounds:
-        return F.when(F.col("doc_id").isNull(), 0).otherwise(1)
-    width = int(len(bounds) ** 0.5) + 1  # bounds in groups: the last group that begins below the id, then its bounds below the id
-    groups = [bounds[i : i + width] for i in range(0, len(bounds), width)]
-    row = lambda values: F.array(*[F.lit(v).cast("long") for v in values])
-    group = F.size(F.filter(row([g[0] for g in groups]), lambda b: b < F.col("doc_id")))
-    inside = F.size(F.filter(F.get(F.array(*map(row, groups)), group - 1), lambda b: b < F.col("doc_id")))
-    return F.when(F.col("doc_id").isNull(), 0).when(group == 0, 1).otherwise((group - 1) * width + inside + 1)
+    bounds, hash_ = sorted(set(found or [])), F.xxhash64("text")
+    hot = [b for b in bounds if found.count(b) > 1]  # a bound is the last id of its range
+    if bounds:
+        width = int(len(bounds) ** 0.5) + 1  # bounds in groups: the last group that begins below the id, then its bounds below the id
+        groups = [bounds[i : i + width] for i in range(0, len(bounds), width)]
+        row = lambda values: F.array(*[F.lit(v).cast("long") for v in values])
+        group = F.size(F.filter(row([g[0] for g in groups]), lambda b: b < F.col("doc_id")))
+        inside = F.size(F.filter(F.get(F.array(*map(row, groups)), group - 1), lambda b: b < F.col("doc_id")))
+        of = F.when(F.col("doc_id").isNull(), 0).when(group == 0, 1).otherwise((group - 1) * width + inside + 1)
+    else:
+        of = F.when(F.col("doc_id").isNull(), 0).otherwise(1)
+    dealt = F.shiftright(hash_, 64 - _SPLIT_BITS) + (1 << _SPLIT_BITS - 1) + 1
+    split = F.col("doc_id").isNull() | (F.col("doc_id").isin(hot) if hot else F.lit(False))
+    return of.cast("long") * ((1 << _SPLIT_BITS) + 1) + F.when(split, dealt).otherwise(0)
 
 
 def write_token_files(docs: DataFrame, folder: str, vocabulary_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", percentile: float = 0.9, file_ids: int = 4_000_000) -> None:

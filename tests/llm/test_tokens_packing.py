@@ -138,3 +138,16 @@ def test_very_long_texts_and_repeated_ids(spark, docs):
     rows = sorted(pfor.read_token_files(spark, pfor.encode_corpus(df, file_ids=1000)).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in rows] == [None, 1, 2, 2, 2] and [r.start for r in rows] == [sum(x.n_tokens for x in rows[:k]) for k in range(5)]
     assert rows[0].n_tokens == 1 and max(r.n_tokens for r in rows) > 200_000
+
+
+def test_many_rows_of_one_id(spark, docs):
+    rows = [(None, f"null {i}") for i in range(400)] + [(7, f"seven {i}") for i in range(300)] + [(i, f"own {i}") for i in range(20)] + [(None, None), (7, None), (-3, "")]
+    df = docs([(i, t, 0) for i, t in rows], "doc_id long, text string, part int").repartition(5)
+    folder = pfor.encode_corpus(df)
+    found = pfor.read_token_files(spark, folder).orderBy("start").collect()
+    ids = [r.doc_id for r in found]
+    assert len(found) == len(rows) and ids == sorted(ids, key=lambda i: (i is not None, i or 0))
+    ends = [r.start + r.n_tokens for r in found]
+    assert [r.start for r in found] == [0, *ends[:-1]]
+    sizes = [r.n for r in spark.read.parquet(f"{folder}/_files").groupBy("part").agg({"docs": "sum"}).toDF("part", "n").collect()]
+    assert max(sizes) < 40  # neither the rows without id nor those of one id are one task's
