@@ -116,6 +116,19 @@ def passage_spans(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     return rows.mapInArrow(partial(_find, folder=folder, blocks=written, item_type=to_arrow_type(kind)), shape)
 
 
+def spans_from_index(refs: DataFrame, index: DataFrame, key: str) -> DataFrame:
+    """(key, slot, role, source_id, char_start, char_end): the places of sections that cases refer to.
+
+    ``refs``: key, slot, role, source_id, heading_path, variant (null: every one of that path). ``index``: source_id, heading_path,
+    variant, char_start, char_end. A reference that matches no section raises when it is read.
+    """
+    places = index.select(F.col("source_id").alias("s"), F.col("heading_path").alias("h"), F.col("variant").alias("v"), "char_start", "char_end")
+    met = refs.join(places, (F.col("source_id") == F.col("s")) & (F.col("heading_path") == F.col("h")) & (F.col("variant").isNull() | (F.col("variant") == F.col("v"))), "left")
+    said = F.concat_ws(" ", F.lit("no section for"), F.col(key).cast("string"), F.col("source_id").cast("string"), "heading_path", F.col("variant").cast("string"))
+    start = F.when(F.col("char_start").isNull(), F.raise_error(said).cast("long")).otherwise(F.col("char_start"))
+    return met.select(key, "slot", "role", "source_id", start.alias("char_start"), "char_end")
+
+
 # --- retrieval -------------------------------------------------------------------------------------------------
 
 

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.udfs import code_aware_markers, code_aware_uncited
 from ..operators import chunking as C
+from ..operators import evaluation as E
 from ..operators import markdown as M
 from ..operators import plugins as P
 from ..operators.ranges import Ranges, steps
 from ..sources import html as H
+from ..sources.shared import stored
 from .base import WINDOWS_SQL, WS, query, sql_collapse, sql_strip, table
 
 
@@ -112,6 +114,31 @@ def fence_cut_chunks(spark, d):
     return pieces.join(fences, (pieces.source == fences.source) & (pieces.block == fences.block) & cut, "left_semi").select("source", "char_start", "char_end").distinct()
 
 
+@query(f"""WITH {SECTIONS_SQL}, refs AS (SELECT doc_id, source, source || ' > ' || lang AS heading_path, CASE WHEN doc_id % 3 = 0 THEN 1 END AS variant FROM documents WHERE doc_id % 50 = 0)
+SELECT r.doc_id AS case_id, 'S1' AS slot, 'expected' AS role, r.source AS source_id, s.char_start, s.char_end FROM refs r JOIN spans s ON s.source = r.source AND s.heading_path = r.heading_path AND (r.variant IS NULL OR s.variant = r.variant)""")
+def spans_by_section(spark, d):
+    """Expected spans from an index of sections, written once: one section, or all of a path."""
+    index = stored(_section_spans(spark, d).select(F.col("source").alias("source_id"), "heading_path", "variant", "char_start", "char_end"), "sections")
+    docs = table(spark, d, "documents").filter("doc_id % 50 = 0")
+    refs = docs.select(F.col("doc_id").alias("case_id"), F.lit("S1").alias("slot"), F.lit("expected").alias("role"), F.col("source").alias("source_id"), F.concat_ws(" > ", "source", "lang").alias("heading_path"), F.when(F.col("doc_id") % 3 == 0, 1).alias("variant"))
+    return E.spans_from_index(refs, index, "case_id")
+
+
+@query(f"""WITH {WINDOWS_SQL}, w AS (SELECT doc_id, "window", display_text, sha256(display_text) AS p, length(display_text) AS size, starts_with(display_text, 'a') AS cuts FROM windows),
+once AS (SELECT doc_id, p, count(*) AS n, any_value(size) AS size, arg_min(cuts, "window") AS cuts FROM w GROUP BY doc_id, p),
+per AS (SELECT doc_id, count(*) AS chunks, sum(n) - count(*) AS dropped FROM once GROUP BY doc_id),
+a AS (SELECT source, count(*) AS documents, sum(coalesce(chunks, 0)) AS chunks_total, min(coalesce(chunks, 0)) AS lo, max(coalesce(chunks, 0)) AS hi, count(*) FILTER (chunks = 1) AS one, sum(coalesce(dropped, 0)) AS dropped, count(*) FILTER (dropped > 0) AS with_dropped,
+  sum(CASE WHEN doc_id IN (1, 2) THEN coalesce(chunks, 0) ELSE 0 END) AS tiny FROM documents LEFT JOIN per USING (doc_id) GROUP BY source),
+b AS (SELECT source, min(size) AS size_min, quantile_disc(size, 0.5) AS size_p50, quantile_disc(size, 0.9) AS size_p90, max(size) AS size_max, count(*) FILTER (cuts) AS cutting, count(*) FILTER (size < 400) AS small FROM once JOIN documents USING (doc_id) GROUP BY source)
+SELECT a.source, documents, CAST(chunks_total AS BIGINT) AS chunks_total, lo AS chunks_per_document_min, hi AS chunks_per_document_max, one AS documents_with_one_chunk, CAST(dropped AS BIGINT) AS duplicates_dropped, with_dropped AS documents_with_duplicates, CAST(tiny AS BIGINT) AS chunks_of_tiny,
+  CAST(size_min AS INT) AS size_min, CAST(size_p50 AS INT) AS size_p50, CAST(size_p90 AS INT) AS size_p90, CAST(size_max AS INT) AS size_max, cutting AS chunks_cutting_code, small AS small_chunks, CAST(0 AS BIGINT) AS heading_only_chunks, round(100 * cutting / chunks_total, 2) AS pct_cutting_code FROM a LEFT JOIN b USING (source)""")
+def arm_chunk_stats(spark, d):
+    """Chunk counts, sizes, repeats and marks of each source; as a mark that SQL can tell, chunks that begin with an a stand for those that cut code."""
+    docs = table(spark, d, "documents")
+    spans = C.fixed_windows(docs).withColumn("cuts_code", F.startswith("display_text", F.lit("a"))).withColumn("heading_only", F.lit(False))
+    return C.arm_stats(docs, spans, ["source"], tiny=[1, 2])
+
+
 def _paged(docs):
     """A Markdown page from each document: a title, and a section from every fourth line on."""
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 4 == 0, F.concat(F.lit("\n## Part "), i.cast("string"), F.lit("\n\n"), x)).otherwise(x))

@@ -100,3 +100,39 @@ def test_stream_over_a_log_with_a_torn_tail(spark, tmp_path):
     assert step(b'{"k": 1}\n{"k": 2}\n{"k"') == [1, 2]
     assert step(b': 3}\n{"k": 4}\n') == [1, 2, 3, 4]
     assert step(b"") == [1, 2, 3, 4]
+
+
+def test_released_calls_equal_the_window(spark, tmp_path):
+    import random
+
+    from corpusloom.streaming import throttle
+
+    rng, folder = random.Random(5), tmp_path / "calls"
+    folder.mkdir()
+    calls = sorted((rng.random() * 300, i, rng.choice("abc"), rng.choice([5, 20, 60, 500])) for i in range(120))
+    want = {}
+    for name in "abc":
+        now = [0.0]
+        window = throttle.SlidingWindow(4, 100, clock=lambda: now[0], sleep=lambda s: now.__setitem__(0, now[0] + s))
+        for at, i, client, n in calls:
+            if client == name:
+                now[0] = max(now[0], at)
+                if n <= 100:
+                    window.acquire(n)
+                want[i] = now[0] if n <= 100 else None
+    for part in (calls[:70], calls[70:]):  # the state goes on from one run to the next
+        (folder / f"{part[0][1]}.json").write_text("".join(json.dumps(dict(zip(("requested_at", "call_id", "client", "tokens"), c))) + "\n" for c in part))
+        stream = throttle.released(spark.readStream.schema("client string, call_id long, requested_at double, tokens long").json(str(folder)), 4, 100)
+        stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert len(rows) == 120 and {r.call_id: r.released_at and round(r.released_at, 6) for r in rows} == {i: t and round(t, 6) for i, t in want.items()}
+
+
+def test_references_without_a_section_raise(spark):
+    from corpusloom.operators.evaluation import spans_from_index
+
+    index = spark.createDataFrame([("p", "A > B", 1, 0, 5), ("p", "A > B", 2, 5, 9)], "source_id string, heading_path string, variant int, char_start long, char_end long")
+    refs = spark.createDataFrame([(1, "S1", "expected", "p", "A > B", None), (2, "S1", "expected", "p", "A > B", 2)], "case_id long, slot string, role string, source_id string, heading_path string, variant int")
+    assert sorted((r.case_id, r.char_start) for r in spans_from_index(refs, index, "case_id").collect()) == [(1, 0), (1, 5), (2, 5)]
+    with pytest.raises(Exception, match="no section for 3 p A > C"):
+        spans_from_index(spark.createDataFrame([(3, "S1", "expected", "p", "A > C", None)], refs.schema), index, "case_id").collect()
