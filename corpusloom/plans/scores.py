@@ -90,15 +90,16 @@ h AS (SELECT r.arm, r.item_id, min(rank) FILTER ({_SECTION}) AS first, min(rank)
 SELECT arm, item_id, CAST(first AS INT) AS first, CAST(bare AS INT) AS bare, first IS DISTINCT FROM bare AS changed FROM h WHERE first IS NOT NULL""")
 def duplicate_rule_changes(spark, d):
     """First section hits of cases, and whether they move when the copies that a chunk stands for count too."""
-    docs = table(spark, d, "documents").select("doc_id", F.xxhash64("text").alias("h"), F.sha2("text", 256).alias("c"))
+    docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("c"))
     spans = _spans(spark, d)
     got = _retrieved(spark, d, spans).drop("duplicates")
-    mine = got.select("source_id").distinct().join(docs, F.col("source_id") == F.col("doc_id")).select("source_id", "c")
-    # copies outside the expected sources can't change a hit, so only those are gathered
-    expected = docs.join(spans.select(F.col("source_id").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("other"), "c")
-    copies = mine.join(expected, "c").filter("source_id <> other").groupBy("source_id").agg(F.collect_list("other").alias("others"))
+    case = ["arm", "item_id", "rank"]
+    # copies outside a case's expected sources can't change its hits, so contents meet inside a case alone
+    expected = spans.select("item_id", F.col("source_id").alias("doc_id")).distinct().join(docs, "doc_id").select("item_id", "c", F.col("doc_id").alias("other"))
+    mine = got.select(*case, F.col("source_id").alias("doc_id")).join(docs, "doc_id")
+    copies = mine.join(expected, ["item_id", "c"]).filter("doc_id <> other").groupBy(*case).agg(F.collect_list("other").alias("others"))
     place = lambda o: F.struct(o.alias("source_id"), F.col("char_start").alias("char_start"), F.col("char_end").alias("char_end"))
-    rows = got.join(copies, "source_id", "left").withColumn("duplicates", F.transform(F.coalesce("others", F.array().cast("array<bigint>")), place))
+    rows = got.join(copies, case, "left").withColumn("duplicates", F.transform(F.coalesce("others", F.array().cast("array<bigint>")), place))
     hits = E.chunk_hits(rows, spans, ["arm", "item_id"]).groupBy("arm", "item_id").agg(F.min(F.when(F.col("section"), F.col("rank"))).alias("first"), F.min(F.when(F.col("section_bare"), F.col("rank"))).alias("bare"))
     return hits.filter("first is not null").withColumn("changed", ~F.equal_null("first", "bare"))
 
