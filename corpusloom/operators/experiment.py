@@ -138,6 +138,12 @@ def apply_overrides(failures: DataFrame, overrides: DataFrame, key: tuple[str, .
     return failures.join(new, of, "left").withColumn("rule_stage", F.col("stage")).withColumn("stage", F.coalesce("new_stage", "stage")).drop("new_stage")
 
 
+def with_twins(rows: DataFrame, group: str, key: str) -> DataFrame:
+    """Rows whose group has another key as well; groups are counted before rows meet them."""
+    many = rows.groupBy(group).agg(F.min(key).alias("low"), F.max(key).alias("high")).filter("low <> high").select(group)
+    return rows.join(many, group, "left_semi")
+
+
 def half_even(value: Column, digits: int = 0) -> Column:
     """Rounded to the nearest, ties to the even digit, as reports are."""
     return F.bround(value, digits)

@@ -164,6 +164,12 @@ def blind_sheet(rows: DataFrame, seed: int) -> DataFrame:
     return rows.select(F.row_number().over(W.orderBy(order)).alias("item"), "question", "answer", F.struct("case_id", "arm").alias("key"))
 
 
+def mismatched(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """(key, only_left, only_right): keys of a sheet and of its key that the other side doesn't have."""
+    both = left.select(key, F.lit(True).alias("in_left")).join(right.select(key, F.lit(True).alias("in_right")), key, "full_outer")
+    return both.filter("in_left is null or in_right is null").select(key, F.col("in_right").isNull().alias("only_left"), F.col("in_left").isNull().alias("only_right"))
+
+
 def read_sheet(text: str) -> dict[int, dict]:
     """Verdicts of a filled sheet: a JSON line {item, label, ...} each; an item twice or without a label raises."""
     found: dict[int, dict] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.udfs import code_aware_markers, code_aware_uncited
+from ..functions.udfs import code_aware_markers, code_aware_uncited, resolved_citations
 from ..operators import chunking as C
 from ..operators import evaluation as E
 from ..operators import markdown as M
@@ -230,8 +230,8 @@ def uncited_sentences(spark, d):
 @query(r"""SELECT conv_id, turn, CASE WHEN turn IN (0, 2) THEN [2] WHEN turn <= 3 THEN [CAST(turn AS INT), 2] ELSE [2] END AS cited, CASE WHEN turn > 3 THEN [CAST(turn AS INT)] ELSE CAST([] AS INT[]) END AS dropped FROM conversations""")
 def resolve_citations(spark, d):
     """Of the markers, those of the three retrieved passages and those beyond."""
-    m = T.markers(F.col("text"))
-    return _marked(spark, d).select("conv_id", "turn", F.filter(m, lambda n: n <= 3).alias("cited"), F.filter(m, lambda n: n > 3).alias("dropped"))
+    found = _marked(spark, d).select("conv_id", "turn", resolved_citations(F.col("text"), F.array().cast("array<int>"), F.lit(3)).alias("r"))
+    return found.select("conv_id", "turn", "r.cited", "r.dropped")
 
 
 @query("SELECT doc_id, sha256(text || ' key=[REDACTED] own [REDACTED]') AS hash FROM documents")

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import evaluation as E
+from ..operators import experiment as X
+from ..operators import judging as J
 from ..operators import statistics as S
 from ..operators import validation as V
 from ..sources import records as L
@@ -175,24 +177,21 @@ def cost_by_model(spark, d):
 def parallel_subset(spark, d):
     """Rows that have a twin in their group."""
     docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("g"))
-    many = docs.groupBy("g").agg(F.count_distinct("doc_id").alias("n")).filter("n > 1")
-    return docs.join(many, "g", "left_semi").select("doc_id")
+    return X.with_twins(docs, "g", "doc_id").select("doc_id")
 
 
 @query("""SELECT doc_id, l.doc_id IS NULL AS only_left, d.doc_id IS NULL AS only_right FROM documents d FULL OUTER JOIN (SELECT doc_id FROM labels WHERE quality = 1 UNION ALL SELECT 10000000) l USING (doc_id) WHERE l.doc_id IS NULL OR d.doc_id IS NULL""")
 def sheet_key_mismatches(spark, d):
     """Ids of a sheet and of its key that do not answer to each other."""
-    left = table(spark, d, "documents").select("doc_id", F.lit(True).alias("l"))
-    right = table(spark, d, "labels").filter("quality = 1").select("doc_id").union(spark.createDataFrame([(10000000,)], "doc_id long")).withColumn("r", F.lit(True))
-    both = left.join(right, "doc_id", "full_outer")
-    return both.filter("l is null or r is null").select("doc_id", F.col("r").isNull().alias("only_left"), F.col("l").isNull().alias("only_right"))
+    right = table(spark, d, "labels").filter("quality = 1").select("doc_id").union(spark.createDataFrame([(10000000,)], "doc_id long"))
+    return J.mismatched(table(spark, d, "documents"), right, "doc_id")
 
 
 @query("SELECT doc_id, coalesce(o.toxic, l.toxic) AS toxic, o.toxic IS NOT NULL AS overridden FROM labels l LEFT JOIN (SELECT doc_id, 1 - toxic AS toxic FROM labels WHERE doc_id % 17 = 0) o USING (doc_id)")
 def overrides_applied(spark, d):
-    labels = table(spark, d, "labels").select("doc_id", "toxic")
-    owner = labels.filter("doc_id % 17 = 0").select("doc_id", (1 - F.col("toxic")).alias("own"))
-    return labels.join(owner, "doc_id", "left").select("doc_id", F.coalesce("own", "toxic").alias("toxic"), F.col("own").isNotNull().alias("overridden"))
+    labels = table(spark, d, "labels").select("doc_id", F.col("toxic").alias("stage"))
+    owner = labels.filter("doc_id % 17 = 0").select("doc_id", (1 - F.col("stage")).alias("stage"), F.lit("read by hand").alias("reason"))
+    return X.apply_overrides(labels, owner, ("doc_id",)).select("doc_id", F.col("stage").alias("toxic"), F.col("override_reason").isNotNull().alias("overridden"))
 
 
 @query("""WITH r AS (SELECT event_id, ts, user_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
