@@ -41,7 +41,7 @@ class Ranges:
         sums = self.rows.groupBy(self.group, self.part).agg(F.sum(value).alias(before))
         self._with(sums.withColumn(before, F.sum(before).over(self.parts_of.rowsBetween(W.unboundedPreceding, -1))))
         own = F.sum(value).over(self.inside.rowsBetween(W.unboundedPreceding, 0))
-        self.rows = self.rows.withColumn(name, own + F.coalesce(F.col(before), F.lit(0))).drop(before)
+        self.rows = self.rows.withColumn(name, F.coalesce(own + F.coalesce(F.col(before), F.lit(0)), F.col(before))).drop(before)  # a range may begin with nulls
         return self
 
     def total(self, value: str, name: str) -> "Ranges":
