@@ -1,4 +1,5 @@
 from collections import Counter, defaultdict
+from hashlib import md5
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -131,7 +132,7 @@ def test_recall_at_the_least_similarity(spark, docs):
 def test_half_a_million_lines_in_one_text(spark, docs):
     import time
 
-    many = "\n".join(["the same line of a log file, again and again"] * 480_000 + [f"{i * 0x9E3779B97F4A7C15 % (1 << 64):016x}" for i in range(20_000)])
+    many = "\n".join(["the same line of a log file, again and again"] * 480_000 + [md5(str(i).encode()).hexdigest()[:16] for i in range(20_000)])
     df = docs([(1, many, "a", 1, "b", 2), (2, "the same line of a log file, again and again\nown", "a", 1, "b", 2), (3, None, "a", 1, "b", 2)], "doc_id long, text string, gone string, of int, version string, lost int")
     start = time.monotonic()
     out = {r.doc_id: r for r in L.dedup_lines(df, count_as="n").collect()}
