@@ -317,13 +317,19 @@ def _passing(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
 
 
 @tidy
-def _candidates(batches, index: Index, level: int, bits: np.ndarray, tasks: int, most: int = 4_000_000):
-    """Distinct keys of the level of each sequence, which the sketch lets pass and a task has often enough.
+def _candidates(batches, index: Index, level: int, bits: np.ndarray, tasks: int, parts: int, most: int = 4_000_000):
+    """Distinct keys of the level of each sequence, which the sketch lets pass and a task has often enough: an array for each of ``parts`` parts.
 
     A key that occurs ``least`` times over all tasks occurs a ``tasks``-th of that in one of them. A task that can't hold its
     keys sends all that it has.
     """
     keys, counts, share = np.empty(0, np.uint64), np.empty(0, np.int64), -(-index.least // tasks)
+
+    def dealt(keys: np.ndarray):
+        part = (mixed(keys, 55) % np.uint64(parts)).astype(np.int32)
+        there = np.unique(part)
+        return pa.RecordBatch.from_arrays([pa.array(there), pa.array([keys[part == p].tobytes() for p in there], pa.binary())], names=["part", "keys"])
+
     for seq in _sequences(batches, index, level - 1):
         _, new = _pairs(seq)
         new = new[_passing(new, bits)]
@@ -331,9 +337,32 @@ def _candidates(batches, index: Index, level: int, bits: np.ndarray, tasks: int,
         counts = np.bincount(place, np.concatenate([counts, np.ones(len(new), np.int64)]), len(both)).astype(np.int64)
         keys = both
         if len(keys) > most:
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], names=["key"])
+            yield dealt(keys)
             keys, counts = keys[:0], counts[:0]
-    yield pa.RecordBatch.from_arrays([pa.array(keys[counts >= share].view(np.int64))], names=["key"])
+    yield dealt(keys[counts >= share])
+
+
+@tidy
+def _united(batches):
+    """Rows (part, keys) sorted by part: the distinct keys of each part."""
+    now, held, size = None, [], 0
+
+    def distinct():
+        return np.unique(np.concatenate(held))
+
+    for batch in batches:
+        for part, packed_keys in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if held and part != now:
+                yield pa.RecordBatch.from_arrays([pa.array(distinct().view(np.int64))], names=["key"])
+                held, size = [], 0
+            now = part
+            held.append(np.frombuffer(packed_keys.as_buffer(), np.uint64))
+            size += len(held[-1])
+            if size > 2_000_000:
+                held = [distinct()]
+                size = 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(distinct().view(np.int64))], names=["key"])
 
 
 @tidy
@@ -469,7 +498,7 @@ def candidates(docs: DataFrame, least: int = 100, longest: int = 5, text_col: st
         if hashed.groupBy("key").count().filter("count > 1").isEmpty():
             break
         seed += 1
-    folder = shared_dir(spark)
+    folder, parts = shared_dir(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
     fs, path = filesystem(folder)
     fs.create_dir(path, recursive=True)
     index = Index(folder, {1: _build(hashed, folder, 1)}, least)
@@ -481,7 +510,8 @@ def candidates(docs: DataFrame, least: int = 100, longest: int = 5, text_col: st
             bits[piece * PIECE // 8 : (piece + 1) * PIECE // 8] = np.frombuffer(part, np.uint8)
         sequences = now.filter("kind = 'sequence'").select("payload")
         tasks = max(1, sequences.rdd.getNumPartitions())
-        found = written(sequences.mapInArrow(partial(_candidates, index=index, level=level, bits=bits, tasks=tasks), "key long").distinct(), "keys")
+        own = sequences.mapInArrow(partial(_candidates, index=index, level=level, bits=bits, tasks=tasks, parts=parts), "part int, keys binary")
+        found = written(own.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_united, "key long"), "keys")
         blocks = _build(found, folder, level)
         if not blocks[0]:
             break
