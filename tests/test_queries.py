@@ -19,6 +19,12 @@ def test_query_equals_sql(spark, data, name):
     same(QUERIES[name](spark, data), connect(data), ORACLES[name])
 
 
+def test_coverage_matrix_of_unlabelled_and_null_groups(spark, tmp_path):
+    spark.createDataFrame([(1, "en", "a"), (2, "en", "a"), (3, "en", None), (4, None, "b"), (5, "de", "b"), (None, "de", "b")], "doc_id long, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1), (2, None), (4, 0), (None, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    same(QUERIES["coverage_matrix"](spark, str(tmp_path)), connect(str(tmp_path)), ORACLES["coverage_matrix"])
+
+
 def test_every_query_without_sql_is_tested_here():
     assert set(QUERIES) - set(ORACLES) == {"answer_flow", "bootstrap_ci", "chunk_header_aware", "compare_all_metrics", "compare_metrics", "html_to_text_sections"}
 
