@@ -36,6 +36,17 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(SPACES))
 
 
+#: Letters whose upper case in Java is several letters (ß as SS), with their single capital where Unicode has one, else as they are.
+_CAPITALS = {c: "ẞ" if c == "ß" else t if len(t := c.title()) == 1 else c for c in map(chr, range(0x80, 0x10000)) if len(c.upper()) > 1}
+
+
+def simple_upper(text: Column) -> Column:
+    """Upper case letter by letter, so that no length changes, as SQL engines with Unicode's simple mapping have it."""
+    capitals = F.create_map(*[F.lit(x) for pair in _CAPITALS.items() for x in pair])
+    by_letter = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.element_at(capitals, c), F.upper(c))), "")
+    return F.when(F.length(F.upper(text)) == F.length(text), F.upper(text)).otherwise(by_letter)
+
+
 def trimmed_span(text: Column, start: Column, end: Column) -> Column:
     """struct(start, end, text) of ``text[start:end]`` moved inward over white space."""
     part = F.substring(text, start + 1, end - start)

@@ -195,7 +195,7 @@ def union_of_runs(spark, d):
 @query("SELECT item_id, 'Rate: ' || text || ' | - P1: ' || left(text, 10) || ' | [1] ' || upper(left(text, 5)) || chr(10) || chr(10) || '[2] {{question}} | end' AS prompt FROM benchmark WHERE NOT contains(text, '{{')")
 def judge_prompts(spark, d):
     points = F.array(F.struct(F.lit("P1").alias("id"), F.substring("text", 1, 10).alias("point")))
-    made = J.judge_prompt(F.lit("Rate: {{question}} | {{points}} | {{passages}} | end"), F.col("text"), F.lit(""), points, F.array(F.upper(F.substring("text", 1, 5)), F.lit("{{question}}")))
+    made = J.judge_prompt(F.lit("Rate: {{question}} | {{points}} | {{passages}} | end"), F.col("text"), F.lit(""), points, F.array(T.simple_upper(F.substring("text", 1, 5)), F.lit("{{question}}")))
     return table(spark, d, "benchmark").filter(~F.contains("text", F.lit("{{"))).select("item_id", made.alias("prompt"))
 
 

@@ -25,6 +25,12 @@ def test_coverage_matrix_of_unlabelled_and_null_groups(spark, tmp_path):
     same(QUERIES["coverage_matrix"](spark, str(tmp_path)), connect(str(tmp_path)), ORACLES["coverage_matrix"])
 
 
+@pytest.mark.parametrize("text", ["Erßie ist", "ŉ ǰ ΐ", "ﬃ ß", "ᾀᾳ ῳx", "𐐨ß 😀", "straße", "", None])
+def test_judge_prompts_capitals(spark, tmp_path, text):
+    spark.createDataFrame([(1, text)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    same(QUERIES["judge_prompts"](spark, str(tmp_path)), connect(str(tmp_path)), ORACLES["judge_prompts"])
+
+
 def test_every_query_without_sql_is_tested_here():
     assert set(QUERIES) - set(ORACLES) == {"answer_flow", "bootstrap_ci", "chunk_header_aware", "compare_all_metrics", "compare_metrics", "html_to_text_sections"}
 
