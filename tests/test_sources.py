@@ -2,6 +2,7 @@ import hashlib
 import json
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,3 +210,36 @@ def test_failures():
 def test_atomic_manifest(tmp_path):
     store.write_manifest(str(tmp_path / "m" / "run.json"), {"é": 1})
     assert json.loads((tmp_path / "m" / "run.json").read_text(encoding="utf-8")) == {"é": 1} and os.listdir(tmp_path / "m") == ["run.json"]
+
+
+def test_slices_hold_few_rows_and_bytes():
+    from corpusloom.sources.shared import slices
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000)), pa.array(["x" * 3000] * 10_000)], names=["id", "text"])
+    parts = list(slices([batch, batch.slice(0, 0), batch.slice(0, 1)]))
+    assert max(p.num_rows for p in parts) <= 200 and max(p.nbytes for p in parts) <= 2_000_000
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch, batch.slice(0, 1)]))
+    assert [p.num_rows for p in slices([pa.RecordBatch.from_arrays([pa.array(["y" * 5_000_000] * 3)], names=["text"])])] == [1, 1, 1]
+
+
+def _steps(monkeypatch, made, function, rows):
+    """How many rows each batch has that an operator makes of one batch in a Python worker."""
+    from pyspark.sql import SparkSession
+
+    works = []
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, work, *a, **k: works.append(work) or SparkSession.getActiveSession().createDataFrame([], a[0]))
+    function(rows)
+    return [b.num_rows for b in works[0](iter([made]))]
+
+
+@pytest.mark.parametrize("name", ["html", "sections", "normalized"])
+def test_workers_make_rows_in_small_parts(spark, monkeypatch, name):
+    """A batch of 3,000 rows is never turned into Python objects at once."""
+    from corpusloom.operators import chunking, markdown
+    from corpusloom.sources import html
+
+    text = {"html": "<p>a</p>", "normalized": "# w\n\n# t\n\ntext\n"}.get(name, "# t\n\ntext\n")
+    of = {"html": lambda d: html.html_documents(d, "id", "text"), "sections": lambda d: markdown.sections_frame(d, "id"), "chunks": lambda d: chunking.header_chunks(d, id_col="id"), "normalized": lambda d: markdown.normalize_frame(d, "id")}[name]
+    made = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(3000)]), pa.array([text] * 3000)], names=["id", "text"])
+    found = _steps(monkeypatch, made, of, spark.createDataFrame([], "id string, text string"))
+    assert sum(found) == 3000 and max(found) <= 200
