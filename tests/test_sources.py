@@ -232,7 +232,7 @@ def _steps(monkeypatch, made, function, rows):
     return [b.num_rows for b in works[0](iter([made]))]
 
 
-@pytest.mark.parametrize("name", ["html", "sections", "normalized"])
+@pytest.mark.parametrize("name", ["html", "sections", "chunks", "normalized"])
 def test_workers_make_rows_in_small_parts(spark, monkeypatch, name):
     """A batch of 3,000 rows is never turned into Python objects at once."""
     from corpusloom.operators import chunking, markdown
