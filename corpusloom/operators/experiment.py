@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
 from . import statistics as S
 
 BINARY, CONTINUOUS, DESCRIPTIVE = "binary", "continuous", "descriptive"
@@ -88,7 +89,7 @@ def summaries(found: DataFrame, chosen: dict[str, Metric] | None = None) -> Data
 
 def compare_all(rows: DataFrame, resamples: int = 10_000) -> DataFrame:
     """Summaries of all slices and metrics with intervals, exact tests and wordings; a (slice, metric) is one small group's work."""
-    known, found = metrics(), pairs(rows).withColumn("key", F.concat_ws("|", "slice", "metric"))
+    known, found = metrics(), stored(pairs(rows).withColumn("key", F.concat_ws("|", "slice", "metric")), "pairs")
     tested = None
     for kind in (BINARY, CONTINUOUS):
         one = S.compare(found.filter(F.col("metric").isin([n for n, m in known.items() if m.kind == kind])).select("key", "case_id", "a", "b"), kind, "key", resamples)

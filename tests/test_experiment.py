@@ -19,6 +19,31 @@ def test_draws_are_those_of_random():
         assert np.concatenate(list(S.draws(n, 3000, 42))).tolist() == [rng.randrange(n) for _ in range(3000)]
 
 
+def test_a_case_is_drawn_once_for_all_its_groups(monkeypatch):
+    """Sums are those of weights that follow from the case, however many groups a case is in and however few are held."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng, made, want = np.random.default_rng(3), [], {}
+    philox, drawn = np.random.Philox, []
+    for case in range(-75, 75):
+        weights = np.random.Generator(philox(key=np.array([case & 0xFFFFFFFFFFFFFFFF, 42], np.uint64))).poisson(1.0, 2500)
+        for name in rng.choice(9, rng.integers(1, 9), replace=False):
+            d = float(rng.normal())
+            made.append((case, f"g{name}", 1, d))
+            w = want.setdefault(f"g{name}", np.zeros((2, 2500)))
+            w += [weights, weights * d]
+    monkeypatch.setattr(np.random, "Philox", lambda key: drawn.append(key[0]) or philox(key=key))
+    batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*made[at : at + 100])], names=["c", "g", "n", "d"]) for at in range(0, len(made), 100)]
+    for held in (2, 200):
+        drawn.clear()
+        found = {k: np.zeros((2, 2500)) for k in want}
+        for batch in S._weighed(iter(batches), 2500, 42, cases=16, held=held):
+            for r in batch.to_pylist():
+                found[r["g"]][:, r["place"] : r["place"] + len(r["w"])] += [r["w"], r["wd"]]
+        assert len(drawn) == 150 and all(np.allclose(found[k], want[k]) for k in want)
+
+
 def test_wilcoxon_counts_every_assignment():
     from itertools import product
 
