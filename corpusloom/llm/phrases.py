@@ -3,14 +3,16 @@
 Words are counted first; the frequent ones of a language get slots of a minimal perfect hash (``mph``), under which texts are
 written once as sequences of slots. Then level by level: a phrase of m words is the pair of the slots of its first and its last
 m - 1 words, so it exists only where both are frequent (Apriori), and the pair is its exact 64-bit key. Keys are first counted
-in a table of ``SKETCH`` places by their hash; only those of places that reach ``least``, and that some task has its share of,
-can be frequent. These candidates, in
-blocks of a bounded size, get a minimal perfect hash each, whose stored keys decide on a match. Mappers count slots by
+by the place of their hash in a sketch, which has ``LOAD`` places for every ``least`` pairs that may occur, so that it tells
+as much in a large corpus as in a small one; only keys of places that reach ``least``, and that some task has its share of,
+can be frequent. These candidates, in blocks of a bounded size, get a minimal perfect hash each, whose stored keys decide on a
+match. Mappers count slots by
 ``bincount`` into an array for each block; a tree of sums, ``FAN`` arrays at a time, adds them up. Counts are files by block
 as well, so the parts of every cut of a candidate are read by slot. No candidate, word or count of the corpus passes through
-the driver; it has the sketch's bits (SKETCH / 8 bytes), block numbers and sums.
+the driver; it has block numbers and sums.
 
-A worker keeps ``HELD`` bytes of blocks at most, and reads others again; an array of counts leaves a mapper when it has
+A worker keeps ``HELD`` bytes of blocks and of the sketch's bits at most, and reads others again; no worker has the sketch's
+counts, it sends those of ``PENDING`` pairs at a time. An array of counts leaves a mapper when it has
 ``ARRAYS`` of them. Slots have 32 bits: a level of more than 2^32 / 4 candidates or so stops with an error.
 
 Defined results: null texts count as empty; a null language is ``und``; texts without words have no phrases; repeated rows and
@@ -35,9 +37,10 @@ from pyspark.sql import functions as F
 from .common import filesystem, join_unique, kept, shared_dir, tidy, written
 from .mph import Table, mixed
 
-SKETCH, PIECE, FAN, ARRAYS = 1 << 22, 1 << 16, 64, 64
+LOAD, PLACES, PIECES = 4, 1 << 22, 1024  # places for each ``least`` pairs, the fewest of a sketch, and its most pieces
+FAN, ARRAYS = 64, 64
 BLOCK, LOCAL = 1 << 16, 18  # keys of a block on average, and bits of a slot inside its block
-HELD = 96 << 20
+HELD, PENDING, ROW = 64 << 20, 2_000_000, 1 << 16  # bytes of a worker's files, pairs of a task's sketch, slots of a row of sequences
 NONE = np.uint32(0xFFFFFFFF)
 _END = b"\xff"  # between pieces; no byte of UTF-8
 _MAP = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\v\f\r", b"abcdefghijklmnopqrstuvwxyz " + _END * 10)
@@ -51,17 +54,17 @@ def tokens(raw: bytes) -> list[bytes]:
 
 def _parts(batch: pa.RecordBatch, chars: int = 2_000_000):
     """(lang, bytes) of texts of one language together, a piece's end between them."""
-    texts: dict[str, list[bytes]] = {}
+    texts: dict[str, tuple[list[bytes], int]] = {}
     for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
         if raw := text.as_buffer().to_pybytes() if text.is_valid else b"":
-            texts.setdefault(lang, []).append(raw)
-    for lang, raws in texts.items():
-        at = size = 0
-        for k, raw in enumerate(raws):
-            size += len(raw)
-            if size > chars or k == len(raws) - 1:
-                yield lang, _END.join(raws[at : k + 1])
-                at, size = k + 1, 0
+            raws, size = texts.pop(lang, ([], 0))
+            raws.append(raw)
+            if size + len(raw) > chars:
+                yield lang, _END.join(raws)
+            else:
+                texts[lang] = raws, size + len(raw)
+    for lang, (raws, _) in texts.items():
+        yield lang, _END.join(raws)
 
 
 @tidy
@@ -108,7 +111,7 @@ def _numbered(batches, blocks: int):
 
 @tidy
 def _built(batches, folder: str, level: int):
-    """Rows sorted by block; writes each block's table, with the columns beside the key in the order of its slots."""
+    """Rows sorted by block; writes each block's table, with the columns beside the key in the order of its slots, texts in a file of their own."""
     fs, path = filesystem(folder)
 
     def write(block: int, rows: list[pa.RecordBatch]):
@@ -119,9 +122,11 @@ def _built(batches, folder: str, level: int):
             raise ValueError(f"{len(own)} keys in a block")
         order = np.empty(len(keys), np.int64)
         order[own.find(keys)] = np.arange(len(keys))
-        columns = {c: table[c].take(pa.array(order)).to_numpy(zero_copy_only=False) for c in table.column_names if c not in ("key", "block")}
-        with fs.open_output_stream(f"{path}/table-{level}-{block}") as out:
-            out.write(pickle.dumps((own, columns), 5))
+        columns = {c: table[c].take(pa.array(order)).combine_chunks() for c in table.column_names if c not in ("key", "block")}
+        texts = {c: columns.pop(c) for c in ("lang", "word") if c in columns}
+        for name, data in (("table", (own, {c: v.to_numpy() for c, v in columns.items()})), *([("texts", texts)] if texts else ())):
+            with fs.open_output_stream(f"{path}/{name}-{level}-{block}") as out:
+                out.write(pickle.dumps(data, 5))
         return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([len(own)], pa.int64())], names=["block", "n"])
 
     now, rows = None, []
@@ -140,11 +145,45 @@ def _built(batches, folder: str, level: int):
         yield write(now, rows)
 
 
+def _grouped(owner: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(number, where it is) of each of the numbers."""
+    if not len(owner):
+        return []
+    owner = owner.astype(np.uint16 if int(owner.max()) < 1 << 16 else np.uint32)  # 16 bits sort faster
+    order = np.argsort(owner, kind="stable")
+    owner = owner[order]
+    edges = np.flatnonzero(owner[1:] != owner[:-1]) + 1
+    return list(zip(owner[np.concatenate([[0], edges])].tolist(), np.split(order, edges)))
+
+
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values, sorted, and how often each occurs; sorts in place."""
+    values.sort()
+    starts = np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1]) if len(values) else np.empty(0, np.int64)
+    return values[starts], np.diff(starts, append=len(values))
+
+
+class Sketch:
+    """A count for each of ``places`` places of hashes of pairs, in pieces of ``piece`` places; its bits are files of about 1 MB."""
+
+    def __init__(self, pairs: int, least: int):
+        most = min(max(PLACES, -(-LOAD * pairs // least)), (1 << 32) - (1 << 24))
+        self.piece = 1 << max(16, (-(-most // PIECES) - 1).bit_length())
+        self.places = -(-most // self.piece) * self.piece
+        self.file = max(self.piece, 1 << 23)  # places of a file of bits
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        return (mixed(keys, 77) % np.uint64(self.places)).astype(np.uint32)
+
+
 class Index:
-    """Blocks of all levels, as files that tasks read when they need them; ``blocks`` has how many a level has, and which have keys."""
+    """Blocks of all levels, as files that tasks read when they need them.
 
-    def __init__(self, folder: str, blocks: dict[int, tuple[int, list[int]]], least: int):
-        self.folder, self.blocks, self.least = folder, blocks, least
+    ``blocks`` has how many a level has, and which have keys; ``bits`` the sketch of a level, and which files its bits have.
+    """
+
+    def __init__(self, folder: str, blocks: dict[int, tuple[int, list[int]]], least: int, bits: dict[int, tuple[Sketch, list[int]]] | None = None):
+        self.folder, self.blocks, self.least, self.bits = folder, blocks, least, bits or {}
 
     def _file(self, name: str):
         held = kept(__name__).setdefault("files", OrderedDict())
@@ -159,6 +198,11 @@ class Index:
         held.move_to_end(path)
         return held[path][1]
 
+    def _held_first(self, groups: list[tuple[int, np.ndarray]], name: str) -> list[tuple[int, np.ndarray]]:
+        """Files that the worker has come first, else each pass over more than ``HELD`` bytes would read all of them."""
+        held = kept(__name__).get("files", ())
+        return sorted(groups, key=lambda g: f"{self.folder}/{name}-{g[0]}" not in held)
+
     def table(self, level: int, block: int) -> tuple[Table, dict[str, np.ndarray]]:
         return self._file(f"table-{level}-{block}")
 
@@ -169,9 +213,10 @@ class Index:
         """Slots of keys, ``NONE`` where there is none; words have another 64 bits to compare."""
         out = np.full(len(keys), NONE, np.uint32)
         n, there = self.blocks[level]
-        owner = _block_of(keys, n)
-        for block in np.intersect1d(np.unique(owner), there).tolist():
-            at = np.flatnonzero(owner == block)
+        there = set(there)
+        for block, at in self._held_first(_grouped(_block_of(keys, n)), f"table-{level}"):
+            if block not in there:
+                continue
             table, columns = self.table(level, block)
             slots = table.find(keys[at])
             hit = slots >= 0
@@ -180,14 +225,28 @@ class Index:
             out[at[hit]] = (block << LOCAL) + slots[hit]
         return out
 
+    def passing(self, level: int, keys: np.ndarray) -> np.ndarray:
+        """Which keys' places reach ``least`` in the level's sketch."""
+        sketch, there = self.bits[level]
+        out, place, there = np.zeros(len(keys), bool), sketch.place(keys), set(there)
+        for number, at in self._held_first(_grouped(place // np.uint32(sketch.file)), f"bits-{level}"):
+            if number in there:
+                own = place[at] % np.uint32(sketch.file)
+                out[at] = (self._file(f"bits-{level}-{number}")[own >> 3] >> (own & 7).astype(np.uint8)) & 1 == 1
+        return out
+
     def take(self, level: int, slots: np.ndarray, column: str) -> np.ndarray:
         """What the slots' blocks have for them: ``count``, ``key``, or a column of the table."""
-        out, owner = None, slots.astype(np.int64) >> LOCAL
-        for block in np.unique(owner).tolist():
-            at = owner == block
-            values = self.counts(level, block) if column == "count" else self.table(level, block)[0].keys if column == "key" else self.table(level, block)[1][column]
+        out, text = None, column in ("lang", "word")
+        name = f"{'texts' if text else 'counts' if column == 'count' and level > 1 else 'table'}-{level}"
+        for block, at in self._held_first(_grouped(slots >> LOCAL), name):
+            own = slots[at].astype(np.int64) & ((1 << LOCAL) - 1)
+            if text:
+                values = self._file(f"{name}-{block}")[column].take(pa.array(own)).to_numpy(zero_copy_only=False)
+            else:
+                values = (self.counts(level, block) if column == "count" else self.table(level, block)[0].keys if column == "key" else self.table(level, block)[1][column])[own]
             out = np.empty(len(slots), values.dtype) if out is None else out
-            out[at] = values[slots[at].astype(np.int64) & ((1 << LOCAL) - 1)]
+            out[at] = values
         return np.empty(0, np.int64) if out is None else out
 
     def ends(self, level: int, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,45 +271,55 @@ def _pairs(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1].astype(np.uint64)
 
 
-def _place(keys: np.ndarray) -> np.ndarray:
-    return (mixed(keys, 77) % np.uint64(SKETCH)).astype(np.int64)
+_KINDS = {1: np.dtype("<u1"), 2: np.dtype("<u2"), 4: np.dtype("<u4"), 8: np.dtype("<i8")}
+
 
+def _width(most: int) -> int:
+    return next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
 
-_KINDS = {1: np.dtype("<u1"), 2: np.dtype("<u2"), 4: np.dtype("<u4"), 8: np.dtype("<i8")}
+
+def packed_at(n: int, at: np.ndarray, values: np.ndarray) -> bytes:
+    """``n`` counts, of which ``values`` at the rising places ``at`` are not 0: each in as few bytes as the largest needs, all or with gaps between places, whichever is shorter."""
+    gaps = np.diff(at.astype(np.int64), prepend=0)
+    width, step = _width(int(values.max(initial=0))), _width(int(gaps.max(initial=0)))
+    sparse = len(at) * (step + width) < n * width
+    head = np.array([n, len(at) if sparse else -1, width | step << 8], "<i8").tobytes()
+    if sparse:
+        return head + gaps.astype(_KINDS[step]).tobytes() + values.astype(_KINDS[width]).tobytes()
+    full = np.zeros(n, _KINDS[width])
+    full[at] = values
+    return head + full.tobytes()
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Counts in as few bytes each as the largest needs; only those that are not 0, with their places, where that is shorter."""
-    width = next(w for w in (1, 2, 4, 8) if int(values.max(initial=0)) < 1 << 8 * w)
     at = np.flatnonzero(values)
-    kind, sparse = _KINDS[width], len(at) * (4 + width) < len(values) * width
-    head = np.array([len(values), len(at) if sparse else -1, width], "<i8").tobytes()
-    return head + (at.astype("<u4").tobytes() + values[at].astype(kind).tobytes() if sparse else values.astype(kind).tobytes())
+    return packed_at(len(values), at, values[at])
 
 
 def added_to(total: np.ndarray | None, payload: bytes) -> np.ndarray:
     """``total`` (None: zeros) plus packed counts."""
-    n, k, width = np.frombuffer(payload, "<i8", 3).tolist()
+    n, k, widths = np.frombuffer(payload, "<i8", 3).tolist()
     total = np.zeros(n, np.int64) if total is None else total
-    kind = _KINDS[width]
+    kind, step = _KINDS[widths & 255], _KINDS[widths >> 8]
     if k < 0:
         total += np.frombuffer(payload, kind, n, 24)
     else:
-        total[np.frombuffer(payload, "<u4", k, 24)] += np.frombuffer(payload, kind, k, 24 + 4 * k)
+        total[np.cumsum(np.frombuffer(payload, step, k, 24), dtype=np.int64)] += np.frombuffer(payload, kind, k, 24 + step.itemsize * k)
     return total
 
 
-def _row(kind: str, piece: int, payload: bytes) -> pa.RecordBatch:
-    turn = TaskContext.get().partitionId()
-    return pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([piece], pa.int32()), pa.array([turn], pa.int32()), pa.array([payload], pa.binary())], names=["kind", "piece", "turn", "payload"])
+def _rows(kind: str, pieces: list[int], payloads: list[bytes]) -> pa.RecordBatch:
+    turn, n = TaskContext.get().partitionId(), len(pieces)
+    return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.string()), pa.array(pieces, pa.int32()), pa.array([turn] * n, pa.int32()), pa.array(payloads, pa.binary())], names=["kind", "piece", "turn", "payload"])
 
 
 class _Sequences:
-    """Collects sequences of slots, what the next level could count in them, and writes both."""
+    """Collects sequences of slots, where what the next level could count in them falls in its sketch, and writes both."""
 
-    def __init__(self, sketch: bool):
+    def __init__(self, sketch: Sketch | None):
         self.parts: list[np.ndarray] = []
-        self.size, self.places = 0, np.zeros(SKETCH, np.int32) if sketch else None
+        self.places: list[np.ndarray] = []
+        self.size, self.pending, self.sketch = 0, 0, sketch
 
     def add(self, seq: np.ndarray):
         there = seq != NONE
@@ -261,28 +330,41 @@ class _Sequences:
         keep = there.copy()
         keep[1:] |= there[:-1]
         short = np.where(there, seq, NONE)[keep]
-        if self.places is not None and len(short):
-            self.places += np.bincount(_place(_pairs(short)[1]), minlength=SKETCH).astype(np.int32)
+        if self.sketch is not None and len(short):
+            self.places.append(self.sketch.place(_pairs(short)[1]))
+            self.pending += len(self.places[-1])
+            if self.pending > PENDING:
+                yield from self.counted()
         self.parts += [short, np.array([NONE], np.uint32)]
         self.size += len(short) + 1
         if self.size > 1_000_000:
             yield from self.flush()
 
     def flush(self):
+        """Rows end where no phrase goes on."""
         if self.size > len(self.parts) // 2:
-            yield _row("sequence", 0, np.concatenate(self.parts).tobytes())
+            seq = np.concatenate(self.parts)
+            ends = np.flatnonzero(seq == NONE) + 1
+            cuts = np.unique(ends[np.searchsorted(ends, np.arange(ROW, len(seq) + ROW, ROW).clip(max=len(seq)))])
+            yield _rows("sequence", [0] * len(cuts), [seq[s:e].tobytes() for s, e in zip([0, *cuts.tolist()], cuts.tolist())])
         self.parts, self.size = [], 0
 
+    def counted(self):
+        if self.pending:
+            at, n = _distinct(np.concatenate(self.places))
+            piece = self.sketch.piece
+            pieces = np.unique(at // np.uint32(piece)).astype(np.int64)
+            edges = [*np.searchsorted(at, (pieces * piece).astype(np.uint32)).tolist(), len(at)]
+            yield _rows("sketch", pieces.tolist(), [packed_at(piece, at[s:e] % np.uint32(piece), n[s:e]) for s, e in zip(edges[:-1], edges[1:])])
+        self.places, self.pending = [], 0
+
     def close(self):
         yield from self.flush()
-        if self.places is not None:
-            for k, piece in enumerate(self.places.reshape(-1, PIECE)):
-                if piece.any():
-                    yield _row("sketch", k, packed(piece))
+        yield from self.counted()
 
 
 @tidy
-def _encoded(batches, index: Index, seed: int, sketch: bool):
+def _encoded(batches, index: Index, seed: int, sketch: Sketch | None):
     """Sequences of the slots of frequent words."""
     out, memo = _Sequences(sketch), {}
     for batch in batches:
@@ -300,24 +382,31 @@ def _encoded(batches, index: Index, seed: int, sketch: bool):
     yield from out.close()
 
 
-def _sequences(batches, index: Index, level: int):
-    """Sequences of a level, of frequent phrases alone."""
-    for batch in batches:
-        for payload in batch.column(0):
-            seq = np.frombuffer(payload.as_buffer(), np.uint32).copy()
-            at = np.flatnonzero(seq != NONE)
-            if level > 1:
-                seq[at[index.take(level, seq[at], "count") < index.least]] = NONE
-            yield seq
+def _sequences(batches, index: Index, level: int, most: int = 1_000_000):
+    """Sequences of a level, of frequent phrases alone; those of several rows together, up to ``most`` slots."""
 
+    def joined(parts: list[np.ndarray]) -> np.ndarray:
+        seq = np.concatenate(parts)
+        at = np.flatnonzero(seq != NONE)
+        if level > 1:
+            seq[at[index.take(level, seq[at], "count") < index.least]] = NONE
+        return seq
 
-def _passing(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    place = _place(keys)
-    return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+    for batch in batches:
+        parts, size = [], 0
+        for payload in batch.column(0):
+            part = np.frombuffer(payload.as_buffer(), np.uint32)
+            if parts and size + len(part) > most:
+                yield joined(parts)
+                parts, size = [], 0
+            parts.append(part)
+            size += len(part)
+        if parts:
+            yield joined(parts)
 
 
 @tidy
-def _candidates(batches, index: Index, level: int, bits: np.ndarray, tasks: int, parts: int, most: int = 4_000_000):
+def _candidates(batches, index: Index, level: int, tasks: int, parts: int, most: int = 2_000_000):
     """Distinct keys of the level of each sequence, which the sketch lets pass and a task has often enough: an array for each of ``parts`` parts.
 
     A key that occurs ``least`` times over all tasks occurs a ``tasks``-th of that in one of them. A task that can't hold its
@@ -326,19 +415,20 @@ def _candidates(batches, index: Index, level: int, bits: np.ndarray, tasks: int,
     keys, counts, share = np.empty(0, np.uint64), np.empty(0, np.int64), -(-index.least // tasks)
 
     def dealt(keys: np.ndarray):
-        part = (mixed(keys, 55) % np.uint64(parts)).astype(np.int32)
-        there = np.unique(part)
-        return pa.RecordBatch.from_arrays([pa.array(there), pa.array([keys[part == p].tobytes() for p in there], pa.binary())], names=["part", "keys"])
+        there = _grouped(mixed(keys, 55) % np.uint64(parts))
+        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in there], pa.int32()), pa.array([keys[at].tobytes() for _, at in there], pa.binary())], names=["part", "keys"])
 
     for seq in _sequences(batches, index, level - 1):
-        _, new = _pairs(seq)
-        new = new[_passing(new, bits)]
-        both, place = np.unique(np.concatenate([keys, new]), return_inverse=True)
-        counts = np.bincount(place, np.concatenate([counts, np.ones(len(new), np.int64)]), len(both)).astype(np.int64)
-        keys = both
+        new = _pairs(seq)[1]
+        new, n = _distinct(new[index.passing(level, new)])
+        at = np.searchsorted(keys, new)
+        old = at < len(keys)
+        old[old] = keys[at[old]] == new[old]
+        counts[at[old]] += n[old]
+        counts, keys = np.insert(counts, at[~old], n[~old]), np.insert(keys, at[~old], new[~old])
         if len(keys) > most:
             yield dealt(keys)
-            keys, counts = keys[:0], counts[:0]
+            keys, counts = keys[:0].copy(), counts[:0].copy()
     yield dealt(keys[counts >= share])
 
 
@@ -366,25 +456,25 @@ def _united(batches):
 
 
 @tidy
-def _counted(batches, index: Index, level: int, bits: np.ndarray, sketch: bool):
+def _counted(batches, index: Index, level: int, sketch: Sketch | None):
     """Sequences of the level's candidates, and how often each occurs."""
     out, counts = _Sequences(sketch), {}
     for seq in _sequences(batches, index, level - 1):
         at, keys = _pairs(seq)
-        on = _passing(keys, bits)
+        on = index.passing(level, keys)
         at, slots = at[on], index.find(level, keys[on])
         found = np.full(max(len(seq) - 1, 0), NONE, np.uint32)
         found[at] = slots
         slots = slots[slots != NONE].astype(np.int64)
-        owner = slots >> LOCAL
-        for block in np.unique(owner).tolist():
-            here = np.bincount(slots[owner == block] & ((1 << LOCAL) - 1), minlength=len(index.table(level, block)[0]))
-            counts[block] = counts[block] + here if block in counts else here
-        if len(counts) > ARRAYS:
-            yield from (_row("count", b, packed(c)) for b, c in counts.items())
-            counts = {}
+        for block, here in index._held_first(_grouped(slots >> LOCAL), f"table-{level}"):
+            if block not in counts:
+                if len(counts) == ARRAYS:
+                    yield _rows("count", list(counts), list(map(packed, counts.values())))
+                    counts = {}
+                counts[block] = np.zeros(len(index.table(level, block)[0]), np.int64)
+            counts[block] += np.bincount(slots[here] & ((1 << LOCAL) - 1), minlength=len(counts[block]))
         yield from out.add(found)
-    yield from (_row("count", b, packed(c)) for b, c in counts.items())
+    yield _rows("count", list(counts), list(map(packed, counts.values())))
     yield from out.close()
 
 
@@ -421,20 +511,57 @@ def tree_sum(arrays: DataFrame) -> DataFrame:
 
 
 @tidy
-def _bits(batches, least: int):
+def _bits(batches, least: int, sketch: Sketch):
     for batch in batches:
         bits = [np.packbits(added_to(None, p.as_buffer()) >= least, bitorder="little").tobytes() for p in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], names=["piece", "bits"])
+        numbers = [p * sketch.piece // sketch.file for p in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), batch.column(0), pa.array(bits, pa.binary())], names=["number", "piece", "bits"])
+
+
+@tidy
+def _bits_filed(batches, folder: str, level: int, sketch: Sketch):
+    """Rows (number, piece, bits) sorted by number: a file for each number."""
+    fs, path = filesystem(folder)
+
+    def write(number: int, bits: np.ndarray):
+        with fs.open_output_stream(f"{path}/bits-{level}-{number}") as out:
+            out.write(pickle.dumps(bits, 5))
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int32())], names=["number"])
+
+    now, held = None, None
+    for batch in batches:
+        for number, piece, bits in zip(*(c.to_pylist() for c in batch.columns)):
+            if number != now:
+                if held is not None:
+                    yield write(now, held)
+                now, held = number, np.zeros(sketch.file // 8, np.uint8)
+            at = piece * sketch.piece % sketch.file // 8
+            held[at : at + len(bits)] = np.frombuffer(bits, np.uint8)
+    if held is not None:
+        yield write(now, held)
+
+
+def _sketched(now: DataFrame, folder: str, level: int, least: int, sketch: Sketch) -> list[int]:
+    """Write the bits of the level's sketch; which files they are."""
+    parts, files = int(now.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sketch.places // sketch.file)
+    bits = tree_sum(now.filter("kind = 'sketch'")).mapInArrow(partial(_bits, least=least, sketch=sketch), "number int, piece int, bits binary")
+    dealt = bits.repartition(min(files, parts), "number").sortWithinPartitions("number")
+    done = written(dealt.mapInArrow(partial(_bits_filed, folder=folder, level=level, sketch=sketch), "number int"), "bits")
+    return sorted(r.number for r in done.collect())
 
 
 @tidy
-def _filed(batches, folder: str, level: int):
+def _filed(batches, folder: str, level: int, least: int):
+    """Write the counts of blocks; how often their frequent phrases occur."""
     fs, path = filesystem(folder)
     for batch in batches:
+        sums = []
         for piece, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
+            counts = added_to(None, payload.as_buffer())
             with fs.open_output_stream(f"{path}/counts-{level}-{piece}") as out:
-                out.write(pickle.dumps(added_to(None, payload.as_buffer()), 5))
-        yield pa.RecordBatch.from_arrays([batch.column(0)], names=["piece"])
+                out.write(pickle.dumps(counts, 5))
+            sums.append(int(counts[counts >= least].sum()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.int64())], names=["piece", "n"])
 
 
 @tidy
@@ -463,9 +590,9 @@ def _scored(batches, index: Index):
 
 
 def _out(df: DataFrame, tag: str) -> DataFrame:
-    """Written with a folder for each kind of row, so that each is read alone."""
+    """Written with a folder for each kind of row, so that each is read alone, in small row groups, as Spark reads one at once."""
     path = f"{shared_dir(df.sparkSession)}/{tag}"
-    df.write.partitionBy("kind").parquet(path)
+    df.write.option("parquet.block.size", 16 << 20).partitionBy("kind").parquet(path)
     return df.sparkSession.read.schema(_OUT).parquet(path)
 
 
@@ -489,9 +616,9 @@ def candidates(docs: DataFrame, least: int = 100, longest: int = 5, text_col: st
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
     words = written(rows.mapInArrow(_words, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
-    totals = written(words.groupBy("lang").agg(F.sum("n").alias("total"), F.count_if(F.col("n") >= least).alias("kinds")), "totals")
-    kinds = totals.agg(F.sum("kinds")).first()[0] or 0
-    frequent = written(join_unique(words.filter(F.col("n") >= least), totals, "lang", "kinds", kinds).drop("kinds"), "frequent")
+    totals = written(words.groupBy("lang").agg(F.sum("n").alias("total"), F.count_if(F.col("n") >= least).alias("kinds"), F.sum(F.when(F.col("n") >= least, F.col("n"))).alias("often")), "totals")
+    kinds, often = (x or 0 for x in totals.agg(F.sum("kinds"), F.sum("often")).first())
+    frequent = written(join_unique(words.filter(F.col("n") >= least), totals, "lang", "kinds", kinds).drop("kinds", "often"), "frequent")
     seed = 0
     while True:  # two words with one key would share a slot: other keys then
         hashed = frequent.mapInArrow(partial(_hashed, seed=seed), "key long, other long, " + ", ".join(f"{c} {t}" for c, t in frequent.dtypes))
@@ -502,22 +629,23 @@ def candidates(docs: DataFrame, least: int = 100, longest: int = 5, text_col: st
     fs, path = filesystem(folder)
     fs.create_dir(path, recursive=True)
     index = Index(folder, {1: _build(hashed, folder, 1)}, least)
-    now = _out(rows.mapInArrow(partial(_encoded, index=index, seed=seed, sketch=True), _OUT), "words") if index.blocks[1][0] else None
+    often = {1: often}  # by level, how many places its frequent phrases have
+    sketch = Sketch(often[1], least)
+    now = _out(rows.mapInArrow(partial(_encoded, index=index, seed=seed, sketch=sketch), _OUT), "words") if index.blocks[1][0] else None
     for level in range(2, longest + 1) if now else ():
-        pieces = tree_sum(now.filter("kind = 'sketch'")).mapInArrow(partial(_bits, least=least), "piece int, bits binary").collect()
-        bits = np.zeros(SKETCH // 8, np.uint8)
-        for piece, part in pieces:
-            bits[piece * PIECE // 8 : (piece + 1) * PIECE // 8] = np.frombuffer(part, np.uint8)
+        index = Index(folder, index.blocks, least, {level: (sketch, _sketched(now, folder, level, least, sketch))})
         sequences = now.filter("kind = 'sequence'").select("payload")
         tasks = max(1, sequences.rdd.getNumPartitions())
-        own = sequences.mapInArrow(partial(_candidates, index=index, level=level, bits=bits, tasks=tasks, parts=parts), "part int, keys binary")
+        own = sequences.mapInArrow(partial(_candidates, index=index, level=level, tasks=tasks, parts=parts), "part int, keys binary")
         found = written(own.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_united, "key long"), "keys")
         blocks = _build(found, folder, level)
         if not blocks[0]:
             break
-        index = Index(folder, index.blocks | {level: blocks}, least)
-        now = _out(sequences.mapInArrow(partial(_counted, index=index, level=level, bits=bits, sketch=level < longest), _OUT), f"level-{level}")
-        written(tree_sum(now.filter("kind = 'count'")).mapInArrow(partial(_filed, folder=folder, level=level), "piece int"), "counts")
+        index = Index(folder, index.blocks | {level: blocks}, least, index.bits)
+        sketch = Sketch(often[level - 1], least) if level < longest else None
+        now = _out(sequences.mapInArrow(partial(_counted, index=index, level=level, sketch=sketch), _OUT), f"level-{level}")
+        done = written(tree_sum(now.filter("kind = 'count'")).mapInArrow(partial(_filed, folder=folder, level=level, least=least), "piece int, n long"), "counts")
+        often[level] = done.agg(F.sum("n")).first()[0] or 0
     blocks = [(level, b) for level, (_, there) in index.blocks.items() if level > 1 for b in there]
     listed = spark.createDataFrame(blocks, "level int, block int").repartition(max(1, len(blocks)))
     return written(listed.mapInArrow(partial(_scored, index=index), "lang string, phrase string, level long, slot long, head long, tail long, a long, l long, r long, n long, score long"), "phrases")

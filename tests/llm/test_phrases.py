@@ -1,3 +1,5 @@
+import itertools
+import pathlib
 import random
 import re
 from collections import Counter
@@ -97,3 +99,21 @@ def test_packed_counts():
         total, want = phrases.added_to(total, phrases.packed(values)), want + values
         assert np.array_equal(phrases.added_to(None, phrases.packed(values)), values)
     assert np.array_equal(total, want) and len(phrases.packed(np.zeros(1 << 16, np.int32))) == 24
+
+
+def test_large_corpus(spark, docs):
+    """A sketch has places for the pairs of its corpus, so that few others become candidates; rows of sequences stay small."""
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{k}" for k in rng.integers(0, 900, 40)) + " new york", "en") for i in range(30_000)]
+    shared = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(shared.iterdir())
+    with pytest.MonkeyPatch.context() as m:  # the fewest places of a sketch; the driver makes sketches
+        m.setattr(phrases, "PLACES", 1 << 16, raising=False)
+        frequent = phrases.candidates(docs(rows, "doc_id long, text string, lang string").coalesce(1), least=10, longest=2).count()
+    found = [p for p in shared.iterdir() if p not in before]
+    keys = sum(spark.read.parquet(str(p / "keys")).count() for p in found if (p / "keys").exists())
+    own = spark.read.parquet(*(str(p / "words" / "kind=sequence") for p in found if (p / "words" / "kind=sequence").exists())).selectExpr("max(length(payload)) AS longest", "sum(length(payload)) AS all").first()
+    pairs = Counter(p for _, text, _ in rows for p in itertools.pairwise(text.split()))
+    assert frequent == sum(n >= 10 for n in pairs.values()) > 0
+    assert keys < len(pairs) / 20 and own["all"] > 4_000_000 and own["longest"] < 500_000
+    assert [phrases.Sketch(n, 100).places // (1 << 22) for n in (0, 10**8, 10**9)] == [1, 1, 9] and phrases.Sketch(10**10, 100).places // phrases.Sketch(10**10, 100).piece <= phrases.PIECES
